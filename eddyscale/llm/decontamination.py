@@ -124,7 +124,7 @@ class Matcher:
                 self.nearest[s] = s if s in self.short else self.nearest[link[s]]
 
     def scan(self, tokens: list[bytes]) -> tuple[list[tuple[int, int]], set, int]:
-        """Hit spans [start, end) in order, items whose windows occur, the longest match."""
+        """Hit spans [start, end) in order, items whose windows occur, the longest match (exact from a window up)."""
         if not self.shortest or len(tokens) < self.shortest:
             return [], set(), 0
         ids = np.fromiter(map(self.vocabulary.get, tokens, [0] * len(tokens)), np.int32, len(tokens))
@@ -258,7 +258,6 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
         _limit(F.col("n_hit"), F.col("n_words"), 20).alias("contaminated"),
-        "longest_match",
     )
 
 

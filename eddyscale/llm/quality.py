@@ -206,7 +206,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 6000, fold: int = 5, col
     shared = spark.sparkContext.broadcast(table)
     got = chosen.mapInArrow(_described(shared), "label double, x binary").collect()  # at most ``most`` rows of 0.5 KB
     got = sorted((bytes(r["x"]), r["label"]) for r in got)
-    x = np.array([np.frombuffer(b, "<f4") for b, _ in got], np.float64).reshape(len(got), -1)
+    x = np.array([np.frombuffer(b, "<f4") for b, _ in got], np.float64).reshape(len(got), 2 * WIDTH + FORM)
     return table, train(x, np.array([v for _, v in got]))
 
 

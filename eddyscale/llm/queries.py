@@ -1,17 +1,70 @@
-"""The registered queries of this subpackage and the SQL of those that SQL can express."""
+"""The registered queries of this subpackage and the SQL of those that SQL can express.
+
+Sharding by checksum and curve, tokenising, trained models and HTML parsing have no SQL; their
+tests compare with brute force, a round trip or held-out rows.
+"""
 
 from __future__ import annotations
 
-from . import decontamination, jaccard_join, line_dedup, packing, quality, sharding
+from . import chat, decontamination, html_extraction, jaccard_join, language_id, line_dedup, nearest, packing, quality, sharding
 from .common import table
 
 QUERIES = {
     "op1_benchmark_decontamination": lambda s, d: decontamination.report(table(s, d, "documents"), table(s, d, "benchmark")),
     "op2_line_dedup": lambda s, d: line_dedup.report(table(s, d, "documents")),
+    "op3_chat_perspectives": lambda s, d: chat.report(table(s, d, "conversations")),
     "op4_hilbert_sharding": lambda s, d: sharding.report(table(s, d, "documents")),
+    "op5_one_bit_neighbours": lambda s, d: nearest.report(table(s, d, "embeddings")),
     "op6_best_fit_packing": lambda s, d: packing.report(table(s, d, "documents")),
+    "op7_language_id": lambda s, d: language_id.report(table(s, d, "pages"), table(s, d, "documents")),
     "op8_ngram_jaccard_join": lambda s, d: jaccard_join.report(table(s, d, "documents")),
     "op9_quality_classifier": lambda s, d: quality.report(table(s, d, "documents"), table(s, d, "labels")),
+    "op10_html_extraction": lambda s, d: html_extraction.report(table(s, d, "pages")),
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"regexp_extract_all({_LOW.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_BLANK_WORDS = rf"regexp_extract_all({_LOW.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+')"
+_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_benchmark_decontamination": f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS w FROM documents),
+i AS (SELECT item_id, w, least(13, len(w)) AS n FROM (SELECT item_id, {_WORDS} AS w FROM benchmark) WHERE len(w) > 0),
+iw AS (SELECT DISTINCT item_id, n, w[s : s + n - 1] AS g FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM i)),
+dw AS (SELECT rid, n, s, w[s : s + n - 1] AS g
+       FROM (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, (SELECT DISTINCT n FROM iw) WHERE len(w) >= n)),
+h AS (SELECT rid, s, n, item_id FROM dw JOIN iw USING (n, g)),
+p AS (SELECT rid, count(DISTINCT pos) AS n_hit FROM (SELECT rid, unnest(range(s, s + n)) AS pos FROM h) GROUP BY rid),
+f AS (SELECT rid, list_sort(list(DISTINCT CAST(item_id AS VARCHAR))) AS items FROM h GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(len(items), 0) AS BIGINT) AS n_items, sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN p USING (rid) LEFT JOIN f USING (rid)
+""",
+    "op2_line_dedup": f"""
+WITH l AS (
+  SELECT rid, doc_id, line, pos, {_LOW.format(f"trim(line, {_BLANKS})")} AS key
+  FROM (SELECT rid, doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS pos
+        FROM (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents))),
+o AS (SELECT key, min(doc_id) AS owner FROM l WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) > 1),
+m AS (SELECT l.*, o.owner IS NOT NULL AND l.doc_id <> o.owner AS gone FROM l LEFT JOIN o USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM m GROUP BY rid, doc_id
+""",
+    "op3_chat_perspectives": chat.ORACLE,
+    "op8_ngram_jaccard_join": f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_BLANK_WORDS} AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[k : k + 4], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS k FROM d WHERE len(w) > 0)),
+z AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM c JOIN z x ON x.doc_id = a JOIN z y ON y.doc_id = b WHERE 100 * shared >= 80 * (x.n + y.n - shared)),
+v AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT a, b FROM v UNION SELECT r.a, v.b FROM r JOIN v ON r.b = v.a)
+SELECT d.doc_id, CAST(coalesce(z.n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, coalesce(t.low, d.doc_id)) AS component_id
+FROM d LEFT JOIN z USING (doc_id) LEFT JOIN (SELECT a, min(b) AS low FROM r GROUP BY a) t ON t.a = d.doc_id
+""",
+}
