@@ -68,8 +68,9 @@ def register(kind: type, expression, array) -> None:
     _EXPRESSIONS[kind], _ARRAYS[kind] = expression, array
 
 
-def array(invariant, carrier: np.ndarray, term: np.ndarray, k: list[np.ndarray]) -> np.ndarray:
-    return _ARRAYS[type(invariant)](carrier, term, k)
+def array_form(invariant):
+    """The numpy form, a function of carrier, term and wavenumbers; looked up on the driver, for kernels to take along."""
+    return _ARRAYS[type(invariant)]
 
 
 def of_wide(carrier: DataFrame, term: DataFrame, grid: Grid, m: int, invariant, keys: list[str]) -> DataFrame:

@@ -182,6 +182,8 @@ def _fused(u: DataFrame, f: DataFrame, grid: Grid, m: int, dealiasing, invariant
     Fields are the unit of work: a batch of snapshots uses every executor.
     """
 
+    dense_density = D.array_form(invariant)
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         kernel = N.Kernel(grid, dealiasing)
         advected = N.dense(pdf[pdf["role"] == "f"], grid, m)
@@ -198,7 +200,7 @@ def _fused(u: DataFrame, f: DataFrame, grid: Grid, m: int, dealiasing, invariant
             receive = lambda t: np.tensordot(weights, t, grid.nd)
         out = []
         for giver, part in parts.items():
-            t = D.array(invariant, advected, kernel.term(velocity, advected * part), kernel.k)
+            t = dense_density(advected, kernel.term(velocity, advected * part), kernel.k)
             for n, value in enumerate(receive(t)):
                 out.append((pdf["field_id"].iloc[0], n + 1, giver, value))
         return pd.DataFrame(out, columns=["field_id", "n", "m", "transfer"])

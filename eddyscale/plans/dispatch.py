@@ -9,7 +9,7 @@ from ..operators import transforms as T
 from . import types as P
 
 
-def calculate_energy_transfer(method, field: DataFrame, grid: P.Grid | None = None, **options):
+def calculate_energy_transfer(method, field: DataFrame, grid: P.Grid | None = None, /, **options):
     """Run ``method`` (a value of ``plans.types``) on modes, points or a series."""
     if isinstance(method, P.SpectralFlux):
         return transfer.spectral_flux(field, grid, binning=method.binning, **options)
@@ -24,7 +24,7 @@ def calculate_energy_transfer(method, field: DataFrame, grid: P.Grid | None = No
     raise TypeError(f"method: {method!r}")
 
 
-def from_points(method, points: DataFrame, grid: P.Grid, **options):
+def from_points(method, points: DataFrame, grid: P.Grid, /, **options):
     """The spectra front-end: points are transformed first, except for methods of physical space."""
     if isinstance(method, (P.CoarseGraining, P.TriadicDecomposition)):
         return calculate_energy_transfer(method, points, grid, **options)
