@@ -54,6 +54,19 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
 FROM m GROUP BY rid, doc_id
 """,
     "op3_chat_perspectives": chat.ORACLE,
+    # sums in order of the components, as the operator takes them; small tables are searched whole
+    "op5_one_bit_neighbours": """
+WITH v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))) AND list_bool_or(list_transform(embedding, lambda x: x <> 0))),
+d AS (
+  SELECT q.vec_id AS query_id, v.vec_id, list_reduce(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * v.e[i]), lambda x, y: x + y) AS qv,
+         list_reduce(list_transform(q.e, lambda x: x * x), lambda x, y: x + y) AS qq, list_reduce(list_transform(v.e, lambda x: x * x), lambda x, y: x + y) AS vv
+  FROM v q JOIN v ON q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id),
+s AS (SELECT query_id, vec_id, qv / (sqrt(qq) * sqrt(vv)) AS score FROM d),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT * FROM r WHERE rank <= 5
+""",
     "op8_ngram_jaccard_join": f"""
 WITH RECURSIVE d AS (SELECT doc_id, {_BLANK_WORDS} AS w FROM documents),
 s AS (
