@@ -26,15 +26,17 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "graph") -> DataF
     while True:
         k += 1
         both = _both(old)
-        # large star: larger neighbours go to the least of the neighbourhood
-        large = both.join(_least(both).withColumnRenamed("n", "a"), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        # large star: larger neighbours go to the least of the neighbourhood; written first, so that
+        # both sides of the join are shuffled for it and a node with very many neighbours is split
+        least = scratch.save(_least(both).withColumnRenamed("n", "a"), f"{name}-least-{k}")
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         # small star: smaller neighbours, and the node itself
         down = large.where("a > b")
         least = _least(down).withColumnRenamed("n", "a")
         small = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         new = scratch.save(small.where("a <> b").distinct(), f"{name}-{k}")
         now = tuple(new.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first())
-        scratch.drop(f"{name}-{k - 1}")
+        scratch.drop(f"{name}-{k - 1}", f"{name}-least-{k}")
         if now == seen:
             break
         old, seen = new, now

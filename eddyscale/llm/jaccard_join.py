@@ -15,8 +15,8 @@ The boundary between the two is the size at which the summed cost of keys and li
 over all documents is least.  Every candidate is checked on the whole sets.
 
 Equal sets are one class from the start.  For components, the members of each key are first
-linked to one of them; what then is in one component needs no further comparing, and only
-pairs across components are checked after that.  So a group of thousands of near copies costs
+compared with one of them, the one that shares most of its prefix; what then is in one component needs no further comparing, and only
+pairs across components are checked after that, first by a bitmap of each set, then on the sets.  So a group of thousands of near copies costs
 links in proportion to its members, and none between different components is lost.
 
 The order needs the shared shingles only roughly: each task counts the shingles that it meets
@@ -38,7 +38,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import graph
@@ -146,11 +146,11 @@ def boundary(sizes: dict[int, int], length: float) -> int:
 
 
 def keys_of(s: np.ndarray, order: tuple[np.ndarray, np.ndarray], light: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of a set, and the place in the ordered set of each (of light keys: of their second shingle)."""
+    """Keys of a set, and the place in the ordered set of each; of light keys, -1 less their second shingle's."""
     n = len(s)
     frequent, times = order
     if n <= 3:  # links with equal sets only
-        return mix(s.sum(dtype=np.uint64, keepdims=True) + np.uint64(n)), np.zeros(1, np.int32)
+        return mix(s.sum(dtype=np.uint64, keepdims=True) + np.uint64(n)), np.full(1, -1, np.int32)
     if len(frequent):
         at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
         weight = np.where(frequent[at] == s, times[at], 0)
@@ -161,7 +161,7 @@ def keys_of(s: np.ndarray, order: tuple[np.ndarray, np.ndarray], light: int) ->
     if n <= light:
         i, j = np.array(list(combinations(range(spare + 2), 2)), np.int64).T
         keys.append(mix(s[i] * _PLACE[1] + s[j] * _PLACE[2]))
-        places.append(j)
+        places.append(-1 - j)
     if n > light or n >= needed(light + 1):
         keys.append(s[: spare + 1])
         places.append(np.arange(spare + 1))
@@ -206,19 +206,56 @@ def _several(batches):
         yield last[0]
 
 
-def _sets(width: int):
+def _sets(width: int, sent: bool):
+    """(to, node, set): a document's set, to each node in its list ``others`` if it is sent, else to itself."""
+
     def run(batches):
         shingle = Shingler(width)
         for batch in pieces(batches, rows=500):
-            docs, sets = [], []
-            for doc, text in zip(column_list(batch, "doc_id"), column_list(batch, "text"), strict=True):
-                docs.append(doc)
-                sets.append(shingle(text).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "set"])
+            to, docs, sets = [], [], []
+            lists = column_list(batch, "others") if sent else [None] * batch.num_rows
+            for doc, text, others in zip(column_list(batch, "doc_id"), column_list(batch, "text"), lists, strict=True):
+                s = shingle(text).view(np.int64)
+                for other in others if sent else [doc]:
+                    to.append(other)
+                    docs.append(doc)
+                    sets.append(s)
+                    if len(to) >= 500:
+                        yield pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), pa.array(docs, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["to", "node", "set"])
+                        to, docs, sets = [], [], []
+            yield pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), pa.array(docs, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["to", "node", "set"])
+
+    return run
+
+
+def _bits(width: int):
+    """(node, n, bits): which of 2048 buckets a document's set reaches."""
+
+    def run(batches):
+        shingle = Shingler(width)
+        for batch in pieces(batches, rows=500):
+            sizes, maps = [], []
+            for text in column_list(batch, "text"):
+                s = shingle(text)
+                reached = np.zeros(2048, bool)
+                reached[(s >> np.uint64(53)).astype(np.int64)] = True
+                sizes.append(len(s))
+                maps.append(np.packbits(reached).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), pa.array(sizes, pa.int32()), pa.array(maps, pa.binary())], names=["node", "n", "bits"])
 
     return run
 
 
+def _near(batches):
+    """Pairs that may link: a bucket that one set alone reaches holds a shingle that isn't common."""
+    for batch in batches:
+        n = (batch.column("n").to_numpy() + batch.column("n_").to_numpy()).astype(np.int64)
+        x, y = (np.frombuffer(b"".join(column_list(batch, c)), np.uint8).reshape(-1, 256) for c in ("bits", "bits_"))
+        apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+        ok = pa.array(9 * ((n - apart) // 2) >= 4 * n)
+        yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok)], names=["a", "b"])
+
+
 def checked_broadcast(df: DataFrame, rows: int = 500_000) -> DataFrame:
     """Broadcast if there are at most so many rows, of a few numbers each; else Spark shuffles."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
@@ -235,6 +272,7 @@ class Join:
         measured = self.scratch.save(self.docs.mapInArrow(_measure(width, chunk), "kind int, a long, b long, c long, d long"), "measured")
         sized = measured.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n"), F.col("c").alias("i1"), F.col("d").alias("i2"))
         classes = sized.where("n > 0 and doc_id is not null").groupBy("n", "i1", "i2").agg(F.min("doc_id").alias("class"))
+        classes = self.scratch.save(classes, "classes")  # so that the join below is one that splits hot keys
         one = sized.where("n > 0").join(classes, ["n", "i1", "i2"], "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("class")).alias("class"))
         self.members = self.scratch.save(one.unionByName(sized.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("class"))), "members")
         self.order, self.light = self._order(measured)
@@ -259,62 +297,102 @@ class Join:
         return (values[by], table.column("times").to_numpy()[by]), boundary(sizes, 1 + squares / total)
 
     def _groups(self) -> DataFrame:
-        """(key, node, n, place) of keys that more than one class has; nodes are classes."""
+        """(key, node, n, place, hub) of keys that more than one class has; nodes are classes.
+
+        ``hub``: the share of the node's prefix that is shared, most in a text that others are
+        edited from.
+        """
         shared = self.spark.sparkContext.broadcast(self.order)
         keys = self.docs.mapInArrow(_emit(self.width, shared, self.light), "key long, node long, n int, place int")
         dealt = keys.repartition("key").sortWithinPartitions("key")
         some = self.scratch.save(dealt.mapInArrow(_several, "key long, node long, n int, place int"), "several")
         named = some.join(self.members.where("n > 0").select(F.col("doc_id").alias("node"), "class").distinct(), "node")
-        return self.scratch.save(named.groupBy("key", F.col("class").alias("node")).agg(F.first("n").alias("n"), F.min("place").alias("place")), "groups")
+        named = self.scratch.save(named.groupBy("key", F.col("class").alias("node")).agg(F.first("n").alias("n"), F.min("place").alias("place")), "named")
+        two = named.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key")
+        listed = F.count(F.when(F.col("place") >= 0, 1)).over(Window.partitionBy("node"))
+        groups = named.join(two, "key", "left_semi").select("*", (listed / (F.floor(F.col("n") / 5) + 1)).alias("hub"))
+        groups = self.scratch.save(groups, "groups")
+        self.scratch.drop("several", "named")
+        return groups
 
     def verified(self, pairs: DataFrame, name: str) -> DataFrame:
-        """Those of the distinct ``pairs`` (a, b) that link, on whole sets."""
+        """Those of the distinct ``pairs`` (a, b) that link, on whole sets.
+
+        The set of b is made where its text is read and goes to a once for each pair; that of a
+        is moved once.
+        """
         pairs = self.scratch.save(pairs.select("a", "b").distinct(), f"{name}-pairs")
-        ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-        ids = self.scratch.save(ids, f"{name}-ids")
-        chosen = self.docs.join(checked_broadcast(ids), "doc_id", "left_semi")
-        sets = self.scratch.save(chosen.mapInArrow(_sets(self.width), "node long, set array<long>"), f"{name}-sets")
-        joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
-        both = F.size(F.array_intersect("x", "y"))
-        links = joined.where(100 * both >= 80 * (F.size("x") + F.size("y") - both)).select("a", "b")
-        links = self.scratch.save(links, f"{name}-links")
-        self.scratch.drop(f"{name}-sets")
-        return links
+        lists = self.scratch.save(pairs.groupBy(F.col("b").alias("doc_id")).agg(F.collect_list("a").alias("others")), f"{name}-lists")
+        heads = self.scratch.save(pairs.select(F.col("a").alias("doc_id")).distinct(), f"{name}-heads")
+        kind = "to long, node long, set array<long>"
+        few = pairs.limit(1_000_001).count() <= 1_000_000  # a list's entries count, not its rows
+        sent = self.docs.join(F.broadcast(lists) if few else lists, "doc_id").mapInArrow(_sets(self.width, True), kind)
+        own = self.docs.join(checked_broadcast(heads), "doc_id", "left_semi").mapInArrow(_sets(self.width, False), kind)
+        joined = sent.join(own.select("to", F.col("set").alias("own")), "to")
+        both = F.size(F.array_intersect("set", "own"))
+        links = joined.where(100 * both >= 80 * (F.size("set") + F.size("own") - both)).select(F.col("to").alias("a"), F.col("node").alias("b"))
+        return self.scratch.save(links, f"{name}-links")
+
+    def _screened(self, pairs: DataFrame, name: str) -> DataFrame:
+        """Without pairs that 256 bytes of each set show to be too different; none that links is lost."""
+        pairs = self.scratch.save(pairs.select("a", "b").distinct(), f"{name}-candidates")
+        ids = self.scratch.save(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), f"{name}-ids")
+        bits = self.docs.join(checked_broadcast(ids), "doc_id", "left_semi").mapInArrow(_bits(self.width), "node long, n int, bits binary")
+        bits = self.scratch.save(bits, f"{name}-bits")
+        both = pairs.join(bits.toDF("a", "n", "bits"), "a").join(bits.toDF("b", "n_", "bits_"), "b")
+        return both.select("a", "b", "n", "n_", "bits", "bits_").mapInArrow(_near, "a long, b long")
+
+    @staticmethod
+    def _may_link():
+        """Whether sizes and places of two rows of one key, the second's columns with _, allow a link.
+
+        All that two sets have in common lies at or behind their first common shingle, so at the
+        key of that one both must have enough left.  Light keys hold their first two.
+        """
+        left = lambda s: F.when(F.col(f"place{s}") < 0, F.col(f"n{s}") + 2 + F.col(f"place{s}")).otherwise(F.col(f"n{s}") - F.col(f"place{s}"))
+        size, size_ = F.col("n"), F.col("n_")
+        return (5 * F.least(size, size_) >= 4 * F.greatest(size, size_)) & (9 * F.least(left(""), left("_")) >= 4 * (size + size_))
 
     def _pairs(self, left: DataFrame, extra: str = "true") -> DataFrame:
         """Pairs of one key whose sizes and places allow a link."""
         right = left.select(*(F.col(c).alias(f"{c}_" if c != "key" else c) for c in left.columns))
-        need = F.ceil((F.col("n") + F.col("n_")) * 4 / F.lit(9) - 1e-9)
-        meet = 1 + F.least(F.col("n") - F.col("place") - 1, F.col("n_") - F.col("place_") - 1)
-        # what stands before both places may be common as well
-        meet = meet + F.least("place", "place_")
-        cond = (F.col("node") < F.col("node_")) & (5 * F.least("n", "n_") >= 4 * F.greatest("n", "n_")) & (meet >= need) & F.expr(extra)
+        cond = (F.col("node") < F.col("node_")) & self._may_link() & F.expr(extra)
         return left.join(right, "key").where(cond).select(F.col("node").alias("a"), F.col("node_").alias("b"))
 
     def links(self) -> DataFrame:
         """(a, b), a < b: every link between different classes, by their smallest ids."""
-        return self.verified(self._pairs(self.groups), "all")
+        return self.verified(self._screened(self._pairs(self.groups), "every"), "every")
 
     def components(self) -> DataFrame:
         """doc_id, n, component: the smallest id reachable by links."""
-        band = self.groups.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / 0.2231))
-        heads = band.groupBy("key", "band").agg(F.min("node").alias("head"), F.count("*").alias("k")).where("k > 1").drop("k")
-        stars = band.join(heads, ["key", "band"]).where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+        band = F.floor(F.log(F.col("n").cast("double")) / 0.2231)
+        hub = F.max_by(F.struct("node", "n", "place"), F.struct("hub", -F.col("node"))).alias("h")
+        hubs = self.groups.groupBy("key", band.alias("band")).agg(hub).select("key", "band", *(F.col(f"h.{c}").alias(f"{c}_") for c in ("node", "n", "place")))
+        stars = self.groups.withColumn("band", band).join(hubs, ["key", "band"]).where((F.col("node") != F.col("node_")) & self._may_link())
+        # the hub receives
+        stars = stars.select(F.col("node_").alias("a"), F.col("node").alias("b"))
         first = self.verified(stars, "star")
         label = graph.components(first, self.scratch, "stars")
         marked = self.groups.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
         marked = self.scratch.save(marked, "marked")
         mixed = marked.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
         rest = self._pairs(marked.join(mixed, "key", "left_semi"), "component <> component_")
-        second = self.verified(rest.join(self.spark.read.parquet(f"{self.scratch.root}/star-pairs"), ["a", "b"], "left_anti"), "rest")
-        label = graph.components(first.unionByName(second), self.scratch, "all")
+        done = self.spark.read.parquet(f"{self.scratch.root}/star-pairs").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        second = self.verified(self._screened(rest.distinct().join(done, ["a", "b"], "left_anti"), "rest"), "rest")
+        if second.limit(1).count():
+            # only what the first links made is joined further: edges of the second kind are between components
+            ends = second.join(label.toDF("a", "ca"), "a", "left").join(label.toDF("b", "cb"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+            joined = graph.components(ends, self.scratch, "rest")
+            whole = label.join(joined.toDF("component", "top"), "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+            label = whole.unionByName(joined.toDF("node", "component").join(label.select("node"), "node", "left_anti"))
         return self.members.join(label.withColumnRenamed("node", "class"), "class", "left").select("doc_id", "n", F.coalesce("component", "class").alias("component"))
 
 
 def near_copies_dropped(docs: DataFrame, **options) -> DataFrame:
     """All columns; of each component the rows of the smallest id, and rows of null id."""
-    found = Join(docs, **options).components().where("doc_id <> component").select(F.col("doc_id").alias("__doc")).distinct()
-    return docs.join(found, F.col("doc_id") == F.col("__doc"), "left_anti")
+    join = Join(docs, **options)
+    found = join.scratch.save(join.components().where("doc_id <> component").select(F.col("doc_id").alias("__doc")).distinct(), "dropped")
+    return docs.join(checked_broadcast(found), F.col("doc_id") == F.col("__doc"), "left_anti")
 
 
 def report(docs: DataFrame, **options) -> DataFrame:
