@@ -4,17 +4,20 @@ A page's DOM becomes a folded tree: children with equal labels (tag, class, id,
 count as one node, as a repeated record does in a wrapper.  The commonest folded tree of a host
 is its wrapper; the others are aligned with it by simple tree matching, the dynamic programme
 that maximises the pairs of equally labelled nodes in order.  Aligned nodes whose text is the
-same on every page of the host are template, the others are slots.  The text of the slots in
-the article is the content; where a page has no article, that of all slots outside menus,
-headers, footers, sidebars, notices, adverts, forms, comments and lists of links.
+same on every page that has them are template, if enough different articles of the host have
+them; the others are slots.  The text of the slots in the article is the content; where a page
+has no article, that of all slots outside menus, headers, footers, sidebars, notices, adverts,
+forms, comments and lists of links.
 
-Template nodes are told only where a host shows enough different pages; inside an article, only
-where the articles differ as much, so that pages which repeat one article keep it.
+An article is told by its whole text.  A node is template only if ``support`` different articles
+have it, and a ``share`` of those that could: the host's articles under the same outermost
+article, or main element, or neither.  So copies of a page keep its blocks, however many they
+are, and so does a node that few articles have.
 
-Scale: pages are parsed twice, in maps.  Between them go counts by host, tree and node, summed
-in each task first, and alignments of distinct trees only; a host with a third of all pages is
-no larger than any other.  What a host's pages must know of it is broadcast if small, else
-joined with salted hosts.
+Scale: pages are parsed twice, in maps.  Between them go the hashes of each distinct article's
+nodes, and alignments of distinct trees only; counts are of distinct articles by host and node,
+combined map-side, so a host with a third of all pages is no larger than any other.  What a
+host's pages must know of it is broadcast if small, else joined with salted hosts.
 
 Defined results: null or empty html gives an empty text; a page of null or odd address belongs
 to the host ''; markup that ends early or nests wrongly is read as browsers do, roughly;
@@ -293,38 +296,20 @@ def _slots(page: Page) -> dict[str, str]:
     return {k: "\n".join(v) for k, v in slots.items()}
 
 
-_SUMS = "host string, tree string, slot string, pages long, lo long, hi long"
-_MOST_KEPT = 5000
+_SEEN = "host string, tree string, article long, slots array<struct<slot:string,hash:long>>"
 
 
-def _summed(batches):
-    """Of each host, tree and node in this task's pages: how many pages, least and largest text hash. Slot '' is the whole region."""
-    held: dict[tuple[str, str, str], list[int]] = {}
-
-    def out():
-        rows = [(*k, *v) for k, v in held.items()]
-        held.clear()
-        return pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True), [pa.string()] * 3 + [pa.int64()] * 3, strict=True)], names=["host", "tree", "slot", "pages", "lo", "hi"])
-
+def _seen(batches):
+    """Of each page: host, tree, hash of the whole region, and hash of each node's text."""
+    slot = pa.struct([("slot", pa.string()), ("hash", pa.int64())])
     for batch in pieces(batches, rows=500):
+        rows = []
         for url, source in zip(column_list(batch, "url"), column_list(batch, "html"), strict=True):
-            page, host = Page(source), host_of(url)
-            tree, slots = page.signature(), _slots(page)
-            for slot, text in (*slots.items(), ("", "\n".join(slots.values()))):
-                h = _hash(text)
-                # the whole region is told apart by a few bits of its hash, so that distinct ones can be counted
-                key = (host, tree, slot or f"\0{h & 15}")
-                got = held.get(key)
-                if got is None:
-                    held[key] = [1, h, h]
-                else:
-                    got[0] += 1
-                    got[1] = min(got[1], h)
-                    got[2] = max(got[2], h)
-        if len(held) > _MOST_KEPT:
-            yield out()
-    if held:
-        yield out()
+            page = Page(source)
+            slots = _slots(page)
+            rows.append((host_of(url), page.signature(), _hash("\n".join(slots.values())), [{"slot": k, "hash": _hash(v)} for k, v in slots.items()]))
+        kinds = [pa.string(), pa.string(), pa.int64(), pa.list_(slot)]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["host", "tree", "article", "slots"])
 
 
 def _aligned(batches):
@@ -336,25 +321,32 @@ def _aligned(batches):
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(4)], names=["host", "tree", "slot", "node"])
 
 
-def induce(pages: DataFrame, support: int = 5, scratch: Scratch | None = None) -> DataFrame:
+def _root(node):
+    """A node's path down to the outermost article, else to the outermost main element, else ''."""
+    down_to = lambda tag: F.regexp_extract(node, rf"^(?:.*?/)?{tag}(?:[.#][^/]*)?(?=/|$)", 0)
+    return F.when(down_to("article") != "", down_to("article")).otherwise(down_to("main"))
+
+
+def induce(pages: DataFrame, support: int = 5, share: float = 0.5, scratch: Scratch | None = None) -> DataFrame:
     """(host, template): of each host, the nodes (tree and path, parted by \\x01) that are template."""
     scratch = scratch or Scratch(pages.sparkSession, "html")
-    sums = scratch.save(pages.select("url", "html").mapInArrow(_summed, _SUMS).groupBy("host", "tree", "slot").agg(F.sum("pages").alias("pages"), F.min("lo").alias("lo"), F.max("hi").alias("hi")), "sums")
-    whole = F.col("slot").startswith("\0")
-    trees = sums.where(whole).groupBy("host", "tree").agg(F.sum("pages").alias("pages"))
-    # several regions: at least one for each value of their hash's last bits, two where one value has two
-    hosts = sums.where(whole).groupBy("host", "slot").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("pages").alias("pages"))
-    hosts = hosts.groupBy("host").agg(F.sum(F.when(F.col("lo") < F.col("hi"), 2).otherwise(1)).alias("kinds"), F.sum("pages").alias("all"))
-    hosts = hosts.where((F.col("all") >= support) & (F.col("kinds") >= support))
-    wrappers = trees.groupBy("host").agg(F.max_by("tree", F.struct("pages", "tree")).alias("wrapper"))
-    pairs = trees.join(wrappers, "host").join(hosts.select("host"), "host", "left_semi").select("host", "tree", "wrapper")
-    moved = pairs.mapInArrow(_aligned, "host string, tree string, slot string, node string")
-    nodes = sums.where(~whole).join(moved, ["host", "tree", "slot"], "left").withColumn("node", F.coalesce("node", "slot")).join(hosts, "host")
-    nodes = scratch.save(nodes, "nodes")
-    still = nodes.groupBy("host", "node", "all").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("pages").alias("pages"))
-    still = still.where((F.col("lo") == F.col("hi")) & (F.col("pages") >= support)).select("host", "node")
+    seen = scratch.save(pages.select("url", "html").mapInArrow(_seen, _SEEN).distinct(), "seen")
+    trees = seen.groupBy("host", "tree").agg(F.count("*").alias("articles"))
+    hosts = seen.select("host", "article").distinct().groupBy("host").agg(F.count("*").alias("articles"))
+    hosts = checked_broadcast(scratch.save(hosts.where(F.col("articles") >= support).select("host"), "hosts"), 100_000)
+    wrappers = trees.groupBy("host").agg(F.max_by("tree", F.struct("articles", "tree")).alias("wrapper"))
+    pairs = trees.join(wrappers, "host").join(hosts, "host", "left_semi").select("host", "tree", "wrapper")
+    moved = checked_broadcast(scratch.save(pairs.mapInArrow(_aligned, "host string, tree string, slot string, node string"), "moved"), 10_000)
+    nodes = seen.join(hosts, "host", "left_semi").select("host", "tree", "article", F.inline("slots"))
+    nodes = nodes.join(moved, ["host", "tree", "slot"], "left").withColumn("node", F.coalesce("node", "slot"))
+    # one row for each article that has the node, however many pages and trees show it
+    held = nodes.groupBy("host", "node", "article").agg(F.min("hash").alias("lo"), F.max("hash").alias("hi"))
+    held = held.groupBy("host", "node").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count("*").alias("articles")).withColumn("root", _root(F.col("node")))
+    could = nodes.select("host", "article", _root(F.col("node")).alias("root")).distinct().groupBy("host", "root").agg(F.count("*").alias("could"))
+    still = held.where((F.col("lo") == F.col("hi")) & (F.col("articles") >= support)).join(could, ["host", "root"])
+    still = still.where(F.col("articles") >= share * F.col("could")).select("host", "node")
     entry = F.concat("tree", F.lit("\x01"), "slot")
-    return nodes.join(still, ["host", "node"], "left_semi").groupBy("host").agg(F.collect_set(entry).alias("template"))
+    return nodes.select("host", "tree", "slot", "node").distinct().join(still, ["host", "node"], "left_semi").groupBy("host").agg(F.collect_set(entry).alias("template"))
 
 
 def _extract(keep: list[str], schema: pa.Schema):
@@ -374,12 +366,12 @@ def _extract(keep: list[str], schema: pa.Schema):
     return run
 
 
-def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), support: int = 5, salts: int = 32) -> DataFrame:
+def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), support: int = 5, share: float = 0.5, salts: int = 32) -> DataFrame:
     """``keep`` columns and ``text``, the main text of each page."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StringType, StructField, StructType
 
-    template = induce(pages, support)
+    template = induce(pages, support, share)
     template = Scratch(pages.sparkSession, "wrappers").save(template, "hosts")
     host = F.coalesce(F.lower(F.regexp_extract("url", r"://(?:[^/?#]*@)?([^/?#:@]*)", 1)), F.lit(""))
     rows = pages.select(*dict.fromkeys([*keep, "url", "html"])).withColumn("host", host)

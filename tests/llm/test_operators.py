@@ -379,6 +379,24 @@ def test_html(spark):
     assert {r["page_id"]: r["text"] for r in salted} == got
 
 
+def test_html_keeps_blocks_of_few_articles(spark):
+    """Copies of a page, under one tree or several, are one article; so few articles that have a node are no template."""
+    art = "<article><h1>Title {0}</h1><p>Text {0}</p>{1}<p class=x>Same</p></article>"
+    pages = [(i, f"http://a.org/{i}", PAGE.format(i, art.format(i, ""))) for i in range(30)]
+    pages += [(100 + i, f"http://a.org/copy/{i}", PAGE.format(i, art.format("c", "<blockquote>Only here</blockquote>"))) for i in range(6)]
+    pages += [(200 + i, f"http://a.org/tree/{i}", PAGE.format(i, art.format("d", "<h3>Once</h3>" + "<hr>" * (i % 2) + f"<section class={'abcdef'[i]}></section>"))) for i in range(6)]
+    pages += [(300 + i, f"http://a.org/few/{i}", PAGE.format(i, art.format(f"f{i}", "<ul><li>Few</ul>"))) for i in range(6)]
+    pages += [(400, "http://a.org/same", PAGE.format(0, art.format("g", "<h4>Again</h4>")))] * 6  # repeated rows
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(4)
+    got = {r["page_id"]: r["text"] for r in html_extraction.report(df).collect()}
+    assert got[3] == "Title 3\nText 3"
+    assert {got[100 + i] for i in range(6)} == {"Title c\nText c\nOnly here"}
+    assert {got[200 + i] for i in range(6)} == {"Title d\nText d\nOnce"}
+    assert got[302] == "Title f2\nText f2\nFew" and got[400] == "Title g\nText g\nAgain"
+    # where most articles have it, it is template
+    assert {r["text"] for r in html_extraction.report(df.where("page_id between 300 and 305")).collect()} == {f"Title f{i}\nText f{i}" for i in range(6)}
+
+
 def test_tree_matching():
     pairs = html_extraction.align("a(b(c,d),e)", "a(x,b(d),e(f))")
     assert pairs == {("a",): ("a",), ("a", "b"): ("a", "b"), ("a", "b", "d"): ("a", "b", "d"), ("a", "e"): ("a", "e")}
