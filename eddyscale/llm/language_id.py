@@ -4,7 +4,7 @@ Four kinds of evidence are multiplied:
 
 * the text: character n-grams under a naive Bayes model of each language, tempered since
   n-grams aren't independent and evidence of a long text would drown everything else;
-* the language that the markup declares;
+* the language that the markup declares, wherever in the page;
 * the address: the host's last label and a language-like part of the path;
 * the host: a prior smoothed along host, registered domain and all pages.
 
@@ -33,12 +33,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, column_list, pieces
-from .html_extraction import Page, host_of
+from .html_extraction import _RAW, _TAG, Page, host_of
 from .jaccard_join import checked_broadcast, mix
 
 BUCKETS = 1 << 14
-_LANG = re.compile(r"<html\b[^>]*?\b(?:xml:)?lang\s*=\s*[\"']?([A-Za-z]{2,3})", re.I)
-_META = re.compile(r"<meta\b[^>]*?content-language[^>]*?content\s*=\s*[\"']?([A-Za-z]{2,3})", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+_CODE = re.compile(r"\s*([A-Za-z]{2,3})")
 _PART = re.compile(r"[a-z]{2}(?:-[a-z]{2})?\Z")
 
 
@@ -58,9 +58,25 @@ def grams(text: str | None) -> np.ndarray:
 
 
 def declared(source: str | None) -> str | None:
-    head = (source or "")[:4096]  # attributes of the first element, and what a head declares
-    found = _LANG.search(head) or _META.search(head)
-    return found[1].lower()[:2] if found else None
+    """Language of the first html tag that gives one, else of the first such meta tag, wherever they are."""
+    source, at, meta = source or "", 0, None
+    while m := _TAG.search(source, at):
+        at, tag = m.end(), (m[2] or m[5] or "").lower()
+        if not tag or m[1] or m[4]:
+            continue
+        if tag in ("html", "meta"):
+            found = {}
+            for x in _ATTRIBUTE.finditer(m[3] if m[2] else m[6]):
+                found.setdefault(x[1].lower(), x[2] or x[3] or x[4] or "")
+            if tag == "html":
+                if code := _CODE.match(found.get("lang", "")) or _CODE.match(found.get("xml:lang", "")):
+                    return code[1].lower()[:2]
+            elif not meta and "content-language" in (found.get("http-equiv", "").strip().lower(), found.get("name", "").strip().lower()):
+                meta = _CODE.match(found.get("content", ""))
+        elif tag in _RAW:  # what looks like a tag in a script or style is none
+            end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(source, at)
+            at = end.end() if end else len(source)
+    return meta[1].lower()[:2] if meta else None
 
 
 def address(url: str | None) -> tuple[str, str, str | None]:

@@ -420,6 +420,16 @@ def test_language(spark):
     assert {r["lang"] for r in language_id.report(pages, docs.limit(0)).collect()} == {None}
 
 
+def test_declared_language_is_sought_in_the_whole_page():
+    long = "x" * 9000
+    assert language_id.declared(f"<!-- {long} --><html lang='fr'>") == "fr"
+    assert language_id.declared(f'<html><head><style>{long}</style><meta http-equiv="Content-Language" content="de-AT">') == "de"
+    assert language_id.declared(f'<html><head><script>{long}</script><meta content="es" http-equiv=content-language><body>') == "es"
+    assert language_id.declared(f"<!-- <html lang=en> --><script>'<html lang=en>'</script>{long}<HTML class=a xml:lang=FRA>") == "fr"
+    assert language_id.declared('<meta http-equiv="content-language" content="en"><html lang="de">') == "de"
+    assert language_id.declared("<html><p>lang=en") is None and language_id.declared(None) is None
+
+
 def test_sql_agrees(spark):
     con = duckdb.connect()
     for t in ("documents", "benchmark", "conversations", "embeddings"):
