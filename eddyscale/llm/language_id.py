@@ -12,13 +12,14 @@ The last three are learned from all pages: each page's text posterior is summed
 language, by address part, by host and by domain, with map-side combining.  A page's own share
 is taken off the host's and domain's sums, so that its text doesn't count twice.
 
-The text model is fitted on a bounded sample of labelled documents (``most``, by hash of the id).
+The possible languages are those of all labelled documents with an id.  The text model is fitted
+on a bounded sample of them, ``most`` documents of each language, by hash of the id.
 
 Scale: pages are read once, by a map; sums are of a handful of numbers for each host.  Hosts'
 priors are broadcast if few, else joined by host, where adaptive execution splits hot hosts.
 
 Defined results: a page without text, markup and address gets the prior of all pages; nulls are
-no evidence; without labelled documents the language is null; ties go to the alphabetically
+no evidence; without labelled documents that have an id the language is null; ties go to the alphabetically
 first language; repeated rows are judged each.
 """
 
@@ -29,7 +30,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, column_list, pieces
@@ -100,13 +101,23 @@ def _counted(languages: list[str]):
     return run
 
 
+def _chosen(docs: DataFrame, most: int, scratch: Scratch) -> tuple[list[str], DataFrame]:
+    """All languages, and (lang, doc_id) of the ``most`` documents of each whose ids have the least hashes."""
+    known = docs.where("doc_id is not null and lang is not null").select("lang", "doc_id", F.xxhash64("doc_id").alias("at"))
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n")).collect()}
+    # of a large language, ids beyond a hash that about twice ``most`` stay under are left out before they are ranked
+    cuts = [(lang, int(2**64 * min(1, (2 * most + 100) / max(n, 1)) - 2**63 - 1)) for lang, n in sizes.items()]
+    cuts = F.broadcast(docs.sparkSession.createDataFrame(cuts, "lang string, cut long"))
+    low = known.join(cuts, "lang").where("at <= cut").select("lang", "doc_id", "at").distinct()
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("at", "doc_id"))
+    return sorted(sizes), scratch.save(low.withColumn("rank", rank).where(F.col("rank") <= most).select("lang", "doc_id"), "chosen")
+
+
 def fit(docs: DataFrame, most: int = 4000, scratch: Scratch | None = None) -> tuple[list[str], np.ndarray]:
-    """(languages, log probability of each bucket) from at most ``most`` labelled documents."""
+    """(languages, log probability of each bucket) from at most ``most`` labelled documents of each language."""
     scratch = scratch or Scratch(docs.sparkSession, "language")
-    ids = docs.where("doc_id is not null and lang is not null").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    ids = scratch.save(ids.distinct(), "chosen")
-    rows = scratch.save(docs.where("lang is not null").join(F.broadcast(ids), "doc_id", "left_semi").select("lang", "text").repartition(8), "sample")
-    languages = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
+    languages, ids = _chosen(docs, most, scratch)
+    rows = scratch.save(docs.join(checked_broadcast(ids), ["lang", "doc_id"], "left_semi").select("lang", "text").repartition(8), "sample")
     sums = [np.frombuffer(r["sums"], np.int64).reshape(len(languages), BUCKETS) for r in rows.mapInArrow(_counted(languages), "sums binary").collect()] if languages else []
     total = sum(sums, np.zeros((len(languages), BUCKETS))) + 0.5
     return languages, np.log(total / total.sum(1, keepdims=True)) if languages else total

@@ -430,6 +430,23 @@ def test_declared_language_is_sought_in_the_whole_page():
     assert language_id.declared("<html><p>lang=en") is None and language_id.declared(None) is None
 
 
+def test_rare_language_is_known(spark):
+    """A language of one document in 5,000, whose id comes last in the order of hashes."""
+    from pyspark.sql import functions as F
+
+    last = spark.range(5000).orderBy(F.xxhash64("id").desc()).first()[0]
+    rows = [(i, "dette er en sjelden tekst" if i == last else "this is a frequent text", "no" if i == last else "en") for i in range(5000)]
+    docs = spark.createDataFrame([*rows, (None, "x", "en"), (3, "x", None)], "doc_id long, text string, lang string")
+    languages, model = language_id.fit(docs)
+    assert languages == ["en", "no"] and model.shape == (2, language_id.BUCKETS)
+    pages = spark.createDataFrame([(1, "http://a.org/", "<p>dette er en sjelden tekst"), (2, "http://b.org/", "<p>this is a frequent text")], "page_id long, url string, html string")
+    assert {r["page_id"]: r["lang"] for r in language_id.report(pages, docs).collect()} == {1: "no", 2: "en"}
+    for most in (10, 300):  # of each language the least hashes, however many there are
+        names, chosen = language_id._chosen(docs, most, Scratch(spark, "t"))
+        want = [r[0] for r in spark.range(5000).where(F.col("id") != last).orderBy(F.xxhash64("id")).limit(most).collect()]
+        assert sorted(tuple(r) for r in chosen.collect()) == sorted([("en", i) for i in want] + [("no", last)])
+
+
 def test_sql_agrees(spark):
     con = duckdb.connect()
     for t in ("documents", "benchmark", "conversations", "embeddings"):
