@@ -7,10 +7,12 @@ words around its occurrences (random indexing), unit length.  A document's vecto
 of both over its words, with a few figures of its form.  A two-layer network in numpy gives a
 logit; a temperature fitted on rows set aside in training makes it a probability.
 
-Fitting takes a bounded sample of labelled rows (``most``, by hash of the id) outside the
-held-out fold.  Scoring reads every whole text in one map.
+Context vectors need no label and are summed over all documents.  Fitting the network takes a
+bounded sample of labelled rows (``most``, by hash of the id) outside the held-out fold.
+Scoring reads every whole text in one map.
 
-Scale: no shuffle but of the sample; the model is under 3 MB, whatever the input.
+Scale: no shuffle but of the sample and of 2 MB of context sums for each task, which eight tasks
+add up; the model is under 3 MB, whatever the input.
 
 Defined results: null and empty texts get the score of a zero vector; unlabelled rows and null
 labels don't train; without training rows every score is 0.5; a null id isn't held out.
@@ -86,29 +88,64 @@ class Describer:
         return share, np.array(form, np.float32)
 
 
-def _contexts():
-    """Each task's sum of neighbours' index vectors by bucket."""
+def _contexts(fold_at: int = 1 << 27):
+    """Each task's sum of neighbours' index vectors by bucket, in whole numbers (times the square root of an index vector's ones)."""
 
     def run(batches):
-        index, describe, total = index_vectors(), Describer(), np.zeros((BUCKETS, WIDTH))
+        signs, describe = np.sign(index_vectors()).astype(np.float64), Describer()
+        # how often one bucket comes just before another; folded into the sums before a count can overflow
+        total, pairs, seen = np.zeros((BUCKETS, WIDTH)), np.zeros(BUCKETS * BUCKETS, np.int32), 0
+
+        def fold():
+            square = pairs.reshape(BUCKETS, BUCKETS)
+            for at in range(0, BUCKETS, 512):
+                part = square[at : at + 512].astype(np.float64)
+                total[at : at + 512] += part @ signs
+                np.add(total, part.T @ signs[at : at + 512], out=total)
+            pairs[:] = 0
+
         for batch in pieces(batches):
-            for text in column_list(batch, "text"):
-                words = text.split() if text else []
-                if len(words) < 2:
-                    continue
-                a, b = describe.features(words)
-                own = index[a] + index[b]
-                around = np.zeros_like(own)
+            split = [text.split() if text else [] for text in column_list(batch, "text")]
+            if not (sizes := np.array([len(words) for words in split], np.int64)).sum():
+                continue
+            both = [describe.features(words) for words in split]
+            a, b = (np.concatenate([x[i] for x in both]) for i in (0, 1))
+            doc = np.repeat(np.arange(len(split)), sizes)
+            for at in range(0, len(doc), 1 << 20):
                 for d in range(1, NEAR + 1):
-                    around[d:] += own[:-d]
-                    around[:-d] += own[d:]
-                for ids in (a, b):
-                    np.add.at(total, ids, around)
-        yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float32).tobytes()], pa.binary())], names=["sums"])
+                    here = slice(at, min(at + (1 << 20), len(doc) - d))
+                    then = slice(at + d, here.stop + d)
+                    if here.stop <= at:
+                        continue
+                    same = doc[here] == doc[then]
+                    for x in (a, b):
+                        for y in (a, b):
+                            np.add.at(pairs, x[here][same] * BUCKETS + y[then][same], np.int32(1))
+            seen += len(doc)
+            if seen >= fold_at:
+                fold()
+                seen = 0
+        fold()
+        yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.int64).tobytes()], pa.binary())], names=["sums"])
 
     return run
 
 
+def _added(batches):
+    """One sum of a task's sums."""
+    total = np.zeros(BUCKETS * WIDTH, np.int64)
+    for batch in batches:
+        for one in batch.column(0):
+            total += np.frombuffer(one.as_py(), np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
+
+
+def contexts(docs: DataFrame) -> np.ndarray:
+    """Sums of neighbours' index vectors by bucket over all documents; whole numbers, so alike in any order."""
+    sums = docs.select("text").mapInArrow(_contexts(), "sums binary").repartition(8).mapInArrow(_added, "sums binary")
+    return sum((np.frombuffer(r["sums"], np.int64) for r in sums.collect()), np.zeros(BUCKETS * WIDTH, np.int64)).reshape(BUCKETS, WIDTH)  # 8 of 2 MB
+
+
 def vectors(contexts: np.ndarray) -> np.ndarray:
     """Index and context vectors side by side."""
     size = np.linalg.norm(contexts, axis=1, keepdims=True)
@@ -195,14 +232,13 @@ def _scored(shared, schema: pa.Schema):
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = 6000, fold: int = 5, column: str = "quality", scratch: Scratch | None = None):
-    """(word vectors, network) from at most ``most`` labelled rows whose crc32 of the id isn't divisible by ``fold``."""
+    """(word vectors of all documents, network) from at most ``most`` labelled rows whose crc32 of the id isn't divisible by ``fold``."""
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "quality")
     rows = labels.where(F.col("doc_id").isNotNull() & F.col(column).isNotNull()).where(crc_fold(F.col("doc_id")) % fold != 0)
     rows = rows.select("doc_id", F.col(column).cast("double").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(most)
     chosen = scratch.save(docs.select("doc_id", "text").join(F.broadcast(scratch.save(rows, "chosen")), "doc_id").select("text", "label").repartition(8), "sample")
-    sums = [np.frombuffer(r["sums"], np.float32).reshape(BUCKETS, WIDTH) for r in chosen.select("text").mapInArrow(_contexts(), "sums binary").collect()]  # 8 of 1 MB
-    table = vectors(sum(sums, np.zeros((BUCKETS, WIDTH), np.float32)))
+    table = vectors(contexts(docs))
     shared = spark.sparkContext.broadcast(table)
     got = chosen.mapInArrow(_described(shared), "label double, x binary").collect()  # at most ``most`` rows of 0.5 KB
     got = sorted((bytes(r["x"]), r["label"]) for r in got)

@@ -289,6 +289,27 @@ def test_quality_of_odd_rows(spark, docs, rows, none):
     assert quality.accepted(docs, labels).columns == docs.columns
 
 
+def test_contexts_are_of_all_documents(spark, docs, rows):
+    """Against a sum word by word, and the fitted vectors don't depend on which documents have labels."""
+    index, describe = np.sign(quality.index_vectors()), quality.Describer()
+    want = np.zeros((quality.BUCKETS, quality.WIDTH))
+    for _, text, *_ in rows:
+        a, b = describe.features((text or "").split())
+        for i in range(len(a)):
+            for j in range(max(0, i - quality.NEAR), min(len(a), i + quality.NEAR + 1)):
+                if i != j:
+                    for x in (a[i], b[i]):
+                        want[x] += index[a[j]] + index[b[j]]
+    assert (quality.contexts(docs) == want).all()
+    labels = spark.createDataFrame([(3, 1), (9, 0)], "doc_id long, quality int")
+    assert np.allclose(quality.fit(docs, labels)[0], quality.vectors(want))
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"text": [r[1] for r in rows]})
+    (folded,) = quality._contexts(fold_at=1)(iter([batch, batch]))
+    assert (np.frombuffer(folded.column(0)[0].as_py(), np.int64).reshape(want.shape) == 2 * want).all()
+
+
 def test_network_learns_and_is_calibrated():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(1500, 6))
