@@ -102,7 +102,7 @@ class LevelledRuns:
         return hashes.join(whole.withColumn("known", F.lit(True)).hint("merge"), HASHES, "left").withColumn("known", F.coalesce("known", F.lit(False)))
 
 
-def dropped_hashes(docs: DataFrame, least: int = 10, batches: int = 4, fanout: int = 4, scratch: Scratch | None = None) -> DataFrame:
+def dropped_hashes(docs: DataFrame, least: int = 10, batches: int = 4, fanout: int = 2, scratch: Scratch | None = None) -> DataFrame:
     """(doc_id, drops): of each document that loses lines, the hashes of those lines."""
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "line-dedup")
@@ -147,7 +147,7 @@ def _keep(least: int, keep: list[str], schema: pa.Schema):
     return run
 
 
-def dedup_lines(docs: DataFrame, least: int = 10, batches: int = 4, fanout: int = 4, scratch: Scratch | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, least: int = 10, batches: int = 4, fanout: int = 2, scratch: Scratch | None = None) -> DataFrame:
     """All columns of ``docs``, text without lines that an earlier document holds, n_lines, n_dropped."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import LongType, StructField, StructType

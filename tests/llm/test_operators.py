@@ -124,6 +124,19 @@ def test_runs_are_levelled(spark):
     assert {(r["h1"], r["known"]) for r in known} == {(3, True), (9, False)}
 
 
+def test_registered_line_dedup_compacts(docs, rows, monkeypatch):
+    made = []
+
+    class Seen(line_dedup.LevelledRuns):
+        def __init__(self, *args, **options):
+            super().__init__(*args, **options)
+            made.append(self)
+
+    monkeypatch.setattr(line_dedup, "LevelledRuns", Seen)
+    assert table(line_dedup.report(docs)) == lines_kept(rows)
+    assert [len(level) for level in made[0].levels] == [1, 1]
+
+
 def test_hilbert_neighbours():
     for dims, bits in ((2, 3), (3, 2)):
         index = sharding.hilbert_table(dims, bits)
