@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Characters that the contracts call white space at line and word ends.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -24,8 +26,12 @@ def _own_folder() -> str:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a local one only where it is unset (tests)."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or _own_folder()).rstrip("/")
+    """The shared folder of ``spark.checkpoint.dir``; a local one only where it is unset and all runs in one process."""
+    if shared := spark.conf.get("spark.checkpoint.dir", None):
+        return shared.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", master := spark.sparkContext.master):
+        raise ValueError(f"spark.checkpoint.dir must name a folder that all machines share (master {master})")
+    return _own_folder()
 
 
 class Scratch:
@@ -52,6 +58,42 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
+def broadcast_if(df: DataFrame, weight: Column, most: int) -> DataFrame:
+    """Broadcast if the ``weight`` of all rows (numbers, array entries) is ``most`` at most; else Spark shuffles.
+
+    ``df`` should be written already, since it is read for this.
+    """
+    return F.broadcast(df) if (df.agg(F.sum(weight)).first()[0] or 0) <= most else df
+
+
+def quoted(name: str) -> str:
+    return f"`{name.replace('`', '``')}`"
+
+
+def fold(df: DataFrame, *apart: str) -> DataFrame:
+    """``apart`` columns as they are, all others in one struct ``kept``, where no name of theirs can clash."""
+    rest = [F.col(quoted(c)).alias(c) for c in df.columns if c not in apart]
+    return df.select(F.struct(*(rest or [F.lit(0).alias("none")])).alias("kept"), *(F.col(quoted(c)) for c in apart))
+
+
+def unfold(df: DataFrame, columns: list[str], *more: Column) -> DataFrame:
+    """``columns`` again in their order, those that aren't in ``kept`` from ``df`` itself, and ``more``."""
+    inside = set(df.schema["kept"].dataType.names)
+    return df.select(*(F.col(f"kept.{quoted(c)}").alias(c) if c in inside else F.col(quoted(c)) for c in columns), *more)
+
+
+def with_fields(schema: StructType, ddl: str) -> StructType:
+    """``schema`` and the fields that ``ddl`` names."""
+    return StructType([*schema.fields, *StructType.fromDDL(ddl).fields])
+
+
+def free(name: str, taken: list[str]) -> str:
+    """``name``, with underscores before it until no column is named so."""
+    while name.lower() in {t.lower() for t in taken}:
+        name = f"_{name}"
+    return name
+
+
 def ascii_lower(text: str) -> str:
     """Lower-case A-Z only."""
     return text if text.islower() and text.isascii() else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")

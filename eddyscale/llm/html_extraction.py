@@ -1,34 +1,44 @@
 """Main-text extraction by wrapper induction.
 
-A page's DOM becomes a folded tree: children with equal labels (tag, class, id, digits blurred)
-count as one node, as a repeated record does in a wrapper.  The commonest folded tree of a host
-is its wrapper; the others are aligned with it by simple tree matching, the dynamic programme
-that maximises the pairs of equally labelled nodes in order.  Aligned nodes whose text is the
-same on every page that has them are template, if enough different articles of the host have
-them; the others are slots.  The text of the slots in the article is the content; where a page
-has no article, that of all slots outside menus, headers, footers, sidebars, notices, adverts,
-forms, comments and lists of links.
-
-An article is told by its whole text.  A node is template only if ``support`` different articles
-have it, and a ``share`` of those that could: the host's articles under the same outermost
-article, or main element, or neither.  So copies of a page keep its blocks, however many they
-are, and so does a node that few articles have.
-
-Scale: pages are parsed twice, in maps.  Between them go the hashes of each distinct article's
-nodes, and alignments of distinct trees only; counts are of distinct articles by host and node,
-combined map-side, so a host with a third of all pages is no larger than any other.  What a
-host's pages must know of it is broadcast if small, else joined with salted hosts.
+A page's DOM becomes a folded tree: sibling elements of equal label (tag, class, id, digits
+blurred) and equal structure are one node, as the records of a list are in a wrapper.  The
+commonest folded tree of a host, by distinct articles, is its wrapper; every other tree is
+aligned with it by simple tree matching, the dynamic programme that maximises the pairs of
+equally labelled nodes in order.  All nodes of the DOM take part, within articles and outside.
+
+Aligned nodes whose text is the same wherever they occur are template; the others are slots.
+The content is the part of the wrapper where the varying text is: from the root down, the
+search follows the child that holds ``most`` of its node's varying text, and leaves out what
+holds less than ``least`` of it, headings excepted.  Tags decide only where that is a tie: an
+article or main element that holds half of a host's varying text is the content, and a page
+of a host with too few articles for a wrapper is read by its tags alone.  In what varies, menus,
+headers, footers, sidebars, notices, adverts, forms and reader comments are told by tag, class,
+id and role, since their text may vary as well.
+
+A node is template only if ``support`` different articles have it, and a ``share`` of those that
+could: the host's articles under the same outermost article or main element, or neither.  So
+copies of a page keep its blocks, however many they are, and so does a node that few articles
+have.  What an article is, for this count, is the text where a single page has most of its own.
+
+Scale: a page is parsed once, in a map; its blocks go to the shared folder (no more than the
+texts), and what is joined and counted is hashes of nodes.  Counts are of distinct articles by
+host and node, combined map-side, so a host with a third of all pages is no larger than any
+other; trees are aligned once each; a decision is one row for each distinct tree, joined with
+the pages by host and tree, where adaptive execution splits what is hot.  No row grows with a
+host's pages: a wrapper's counts are bounded by its nodes.
 
 Defined results: null or empty html gives an empty text; a page of null or odd address belongs
-to the host ''; markup that ends early or nests wrongly is read as browsers do, roughly;
-repeated rows are extracted each.
+to the host ''; markup that ends early or nests wrongly is read as browsers do, roughly; nesting
+may be of any depth and a page of any length; repeated rows are extracted each; ties between
+wrappers go to the larger hash; an empty table gives an empty one.  Kept columns come back as
+they are, whatever their names, but for one named ``text``, whose place the result takes.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from functools import lru_cache
 
 import pyarrow as pa
@@ -36,8 +46,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, column_list, pieces
-from .jaccard_join import checked_broadcast
+from .common import Scratch, broadcast_if, column_list, pieces, quoted, unfold, with_fields
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -81,12 +90,25 @@ _OPENERS = {t: [x for x, by in _CLOSED_BY.items() if t in by] for t in _BLOCK |
 _DIGITS = re.compile(r"\d+")
 
 
+#: Different articles that make a host's pages worth aligning.
+ENOUGH = 3
+#: Tags that the search for the content goes down through.
+_GROUPS = frozenset("html body div section main article center table tbody tr td".split())
+_HEADING = re.compile(r"(?:h[1-6]|hgroup)(?:[.#]|$)")
+
+
+def _tag_of(label: str) -> str:
+    return re.split(r"[.#]", label, maxsplit=1)[0]
+
+
 @lru_cache(maxsize=20_000)
 def _marks(tag: str, attributes: str) -> tuple[str, bool]:
     """Label, and whether class, id or role say that this surrounds content."""
     found = {m[1].lower(): (m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(attributes)}
     label = tag + "".join(f"{sign}{_DIGITS.sub('0', found[k].strip())}" for k, sign in (("class", "."), ("id", "#")) if found.get(k))
-    label = re.sub(r"[\s()/,]+", "_", label)[:80]
+    label = re.sub(r"[\s()/,]+", "_", label)
+    if len(label) > 80:  # long class lists by their hash
+        label = f"{tag}.~{xxhash.xxh3_64_hexdigest(label.encode('utf-8', 'surrogatepass'))}"
     if tag in ("html", "body", "main"):
         return label, False
     for token in " ".join(found.values()).split():
@@ -97,20 +119,30 @@ def _marks(tag: str, attributes: str) -> tuple[str, bool]:
     return label, False
 
 
+class Block:
+    __slots__ = ("around", "article", "linked", "links", "main", "node", "text")
+
+    def __init__(self, node: int, text: str, article: bool, main: bool, around: bool, links: int):
+        self.node, self.text, self.article, self.main, self.around, self.links, self.linked = node, text, article, main, around, links, False
+
+
 class Page:
-    """Blocks of a page: (path of labels, text, in article, in main, surrounds, link characters)."""
+    """A page's folded tree (``parents`` and ``labels``, in preorder) and its blocks of text in order."""
 
-    __slots__ = ("blocks", "paths")
+    __slots__ = ("blocks", "labels", "parents")
 
     def __init__(self, source: str | None):
-        self.blocks: list[tuple[tuple[str, ...], str, bool, bool, bool, int]] = []
-        self.paths: dict[tuple[str, ...], None] = {}  # in order of first sight
+        self.blocks: list[Block] = []
+        raw = ([-1], [""])  # parents and labels of the block elements, in order
         if source:
-            self._read(source)
-
-    def _read(self, source: str) -> None:
-        # of each open element: tag, path, in article, in main, out, surrounds
-        stack = [("", (), False, False, False, False)]
+            self._read(source, *raw)
+        self._fold(*raw)
+        self._link()
+
+    def _read(self, source: str, parents: list[int], labels: list[str]) -> None:
+        # of each open element: tag, node, in article, in main, out, surrounds
+        stack = [("", 0, False, False, False, False)]
+        opened: Counter = Counter()
         parts: list[str] = []
         links = at = anchors = 0
 
@@ -118,12 +150,9 @@ class Page:
             nonlocal links
             if parts:
                 if text := " ".join("".join(parts).split()):
-                    _, path, article, main, out, around = stack[-1]
-                    k = len(stack) - 1
-                    while k and stack[k][0] not in _BLOCK:
-                        k -= 1
+                    _, node, article, main, out, around = stack[-1]
                     if not out:
-                        self.blocks.append((stack[k][1], text, article, main, around, links))
+                        self.blocks.append(Block(node, text, article, main, around, links))
                 parts.clear()
             links = 0
 
@@ -131,7 +160,9 @@ class Page:
             nonlocal anchors
             if any(stack[k][0] in _BLOCK for k in range(to, len(stack))):
                 flush()
-            anchors -= sum(stack[k][0] == "a" for k in range(to, len(stack)))
+            for k in range(to, len(stack)):
+                opened[stack[k][0]] -= 1
+                anchors -= stack[k][0] == "a"
             del stack[to:]
 
         size = len(source)
@@ -153,111 +184,206 @@ class Page:
                 continue
             tag, rest = tag.lower(), m[3] if m[2] else m[6]
             if m[1] or m[4]:
-                for k in range(len(stack) - 1, 0, -1):
+                k = len(stack) - 1 if opened[tag] else 0
+                while k:
                     if stack[k][0] == tag:
                         close(k)
                         break
                     if stack[k][0] in ("article", "table") and tag not in ("article", "main", "section", "div", "body", "html"):
                         break
+                    k -= 1
                 continue
             for opener in _OPENERS.get(tag, ()):
-                for k in range(len(stack) - 1, 0, -1):
+                k = len(stack) - 1 if opened[opener] else 0
+                while k:
                     if stack[k][0] == opener:
                         close(k)
                         break
                     if stack[k][0] in _WALL[opener]:
                         break
+                    k -= 1
+            label, around = _marks(tag, rest) if "=" in rest else (tag, False)
+            node = stack[-1][1]
             if tag in _BLOCK:
                 flush()
+                parents.append(stack[-1][1])
+                labels.append(label)
+                node = len(labels) - 1
             elif tag == "br":
                 parts.append(" ")
-            label, around = _marks(tag, rest) if "=" in rest else (tag, False)
-            _, path, article, main, out, under = stack[-1]
-            path = (*path, label)
-            if tag in _BLOCK:
-                self.paths.setdefault(path)
+            _, _, article, main, out, under = stack[-1]
             if tag in _VOID or rest.endswith("/") and tag in ("svg", "path"):
                 continue
             here = tag == "article" and not under and not around
             around = under or around and not (article and ("header" in label or "title" in label)) or tag == "header" and not article
-            stack.append((tag, path, article or here, main or tag == "main", out or tag in _OUT, around))
+            stack.append((tag, node, article or here, main or tag == "main", out or tag in _OUT, around))
+            opened[tag] += 1
             anchors += tag == "a"
             if tag in _RAW:
                 end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(source, at)
                 at = end.end() if end else size
                 stack.pop()
+                opened[tag] -= 1
         while len(stack) > 1:
             close(len(stack) - 1)
         flush()
 
-    def region(self) -> list[tuple[tuple[str, ...], str]]:
-        """(path, text) of the blocks that may be content."""
-        for k in (2, 3):
-            if chosen := [(b[0], b[1]) for b in self.blocks if b[k] and not b[4]]:
+    def _fold(self, parents: list[int], labels: list[str]) -> None:
+        """Siblings of equal label and structure become one node; children come after their parent."""
+        below: list[dict[int, None]] = [{} for _ in labels]
+        shapes: dict[tuple, int] = {}
+        shape = [0] * len(labels)
+        order: list[list[int]] = [[] for _ in labels]
+        for i in range(1, len(labels)):
+            order[parents[i]].append(i)
+        for i in range(len(labels) - 1, -1, -1):
+            for c in order[i]:
+                below[i].setdefault(shape[c])
+            shape[i] = shapes.setdefault((labels[i], *below[i]), len(shapes))
+        self.parents, self.labels = [-1], [""]
+        at, seen = [0] * len(labels), {}
+        for i in range(1, len(labels)):
+            key = (at[parents[i]], shape[i])
+            if key not in seen:
+                seen[key] = len(self.labels)
+                self.parents.append(key[0])
+                self.labels.append(labels[i])
+            at[i] = seen[key]
+        for block in self.blocks:
+            block.node = at[block.node]
+
+    def _link(self) -> None:
+        """Marks the blocks of lists that are links, and other blocks that are."""
+        top: list[int | None] = [None] * len(self.labels)
+        for i in range(1, len(self.labels)):
+            top[i] = top[self.parents[i]]
+            if top[i] is None and _tag_of(self.labels[i]) in ("ul", "ol", "table", "dl"):
+                top[i] = i
+        links, whole = Counter(), Counter()
+        for b in self.blocks:
+            group = b.node if top[b.node] is None else top[b.node]
+            links[group] += b.links
+            whole[group] += len(b.text)
+        for b in self.blocks:
+            group = b.node if top[b.node] is None else top[b.node]
+            b.linked = links[group] >= 0.8 * whole[group]
+
+    def region(self) -> list[Block]:
+        """The blocks that tags and words take for content."""
+        for tag in ("article", "main"):
+            if chosen := [b for b in self.blocks if getattr(b, tag) and not b.around]:
                 return chosen
-        lists = Counter()
-        whole = Counter()
-        for path, text, *_, links in self.blocks:
-            top = next((path[: i + 1] for i, x in enumerate(path) if x.split(".")[0].split("#")[0] in ("ul", "ol", "table", "dl")), path)
-            lists[top] += links
-            whole[top] += len(text)
-        out = []
-        for path, text, _, _, around, _ in self.blocks:
-            top = next((path[: i + 1] for i, x in enumerate(path) if x.split(".")[0].split("#")[0] in ("ul", "ol", "table", "dl")), path)
-            if not around and lists[top] < 0.8 * whole[top]:
-                out.append((path, text))
-        return out
-
-    def signature(self) -> str:
-        """The folded tree, written with brackets."""
-        tree: dict = {}
-        for path in self.paths:
-            node = tree
-            for label in path:
-                node = node.setdefault(label, {})
-        return _written(tree)
-
-
-def _written(tree: dict) -> str:
-    return ",".join(f"{label}({_written(below)})" if below else label for label, below in tree.items())
-
-
-def _parsed(signature: str) -> list:
-    """Nested [label, children]."""
-    root: list = ["", []]
-    stack, word = [root], ""
-    for c in signature:
-        if c in "(),":
-            if word:
-                stack[-1][1].append([word, []])
-                word = ""
-            if c == "(":
-                stack.append(stack[-1][1][-1])
-            elif c == ")":
-                stack.pop()
-        else:
-            word += c
-    if word:
-        stack[-1][1].append([word, []])
-    return root
-
-
-def align(one: str, other: str) -> dict[tuple[str, ...], tuple[str, ...]]:
-    """Simple tree matching of two folded trees: paths of the first to paths of the second."""
-    memo: dict[tuple[int, int], tuple[int, list]] = {}
-
-    def match(a, b) -> tuple[int, list]:
-        key = (id(a), id(b))
-        if key in memo:
-            return memo[key]
-        n, m = len(a[1]), len(b[1])
-        best = [[0] * (m + 1) for _ in range(n + 1)]
-        for i in range(1, n + 1):
-            for j in range(1, m + 1):
-                x, y = a[1][i - 1], b[1][j - 1]
-                both = match(x, y)[0] if x[0] == y[0] else 0
+        return [b for b in self.blocks if not b.around and not b.linked]
+
+    def subject(self) -> str:
+        """The text that tells one article from another: the region's, where most of it is."""
+        blocks = self.region()
+        if blocks and not blocks[0].article and not blocks[0].main:
+            mass = Counter()
+            for b in blocks:
+                mass[b.node] += len(b.text)
+            inside = within(self.parents, descend(self.parents, self.labels, mass)[0])
+            blocks = [b for b in blocks if inside[b.node]]
+        return "\n".join(b.text for b in blocks)
+
+
+def within(parents: list[int], roots: set[int]) -> list[bool]:
+    """Of each node: whether it or a node above it is a root."""
+    out = [0 in roots] * len(parents)
+    for i in range(1, len(parents)):
+        out[i] = i in roots or out[parents[i]]
+    return out
+
+
+def descend(parents: list[int], labels: list[str], mass: dict[int, int], most: float = 0.8, least: float = 0.1) -> tuple[set[int], bool]:
+    """Roots of the part of a tree where the mass is, and whether their tag says so too."""
+    n = len(labels)
+    whole = [mass.get(i, 0) for i in range(n)]
+    below: list[list[int]] = [[] for _ in labels]
+    for i in range(n - 1, 0, -1):
+        whole[parents[i]] += whole[i]
+        below[parents[i]].append(i)
+    for tag in ("article", "main"):
+        under = [False] * n
+        roots = set()
+        for i in range(1, n):
+            is_one = _tag_of(labels[i]) == tag
+            under[i] = under[parents[i]] or is_one
+            if is_one and not under[parents[i]]:
+                roots.add(i)
+        if roots and 2 * sum(whole[i] for i in roots) >= whole[0] > 0:
+            return roots, True
+    at, also = 0, set()
+    while True:
+        best = max(below[at], key=lambda i: (whole[i], -i), default=None)
+        if best is None or _tag_of(labels[best]) not in _GROUPS or whole[best] < most * whole[at] or not whole[at]:
+            return {at} | also, False
+        also |= {i for i in below[at] if i != best and (_HEADING.match(labels[i]) or whole[i] >= least * whole[at])}
+        at = best
+
+
+def _hash(text: str) -> int:
+    return int.from_bytes(xxhash.xxh3_64_digest(text.encode("utf-8", "surrogatepass")), "big", signed=True)
+
+
+def node_keys(parents: list[int], labels: list[str]) -> list[int]:
+    """Of each node a hash of its path; equally labelled siblings are told by their number."""
+    keys, seen = [0] * len(labels), Counter()
+    for i in range(1, len(labels)):
+        up = (parents[i], labels[i])
+        keys[i] = _hash(f"{keys[parents[i]]}/{labels[i]}/{seen[up]}")
+        seen[up] += 1
+    return keys
+
+
+def align(one: tuple[list[int], list[str]], other: tuple[list[int], list[str]]) -> dict[int, int]:
+    """Simple tree matching of two trees (parents, labels): nodes of the first to nodes of the second.
+
+    Equal subtrees at both ends of two lists of children are paired at once, which no better
+    matching can beat; only what is between them goes through the dynamic programme.
+    """
+
+    def shape(parents, labels):
+        n = len(labels)
+        below, size, code = [[] for _ in range(n)], [1] * n, [0] * n
+        for i in range(1, n):
+            below[parents[i]].append(i)
+        for i in range(n - 1, -1, -1):
+            size[i] += sum(size[c] for c in below[i])
+            code[i] = xxhash.xxh3_128_intdigest(f"{labels[i]}({','.join(map(str, (code[c] for c in below[i])))})".encode("utf-8", "surrogatepass"))
+        return below, size, code
+
+    (below_a, size_a, code_a), (below_b, _, code_b) = shape(*one), shape(*other)
+    labels_a, labels_b = one[1], other[1]
+    found: dict[tuple[int, int], tuple] = {}
+    pairs = [(0, 0)]
+    for a, b in pairs:  # grows: a pair comes after that of its parents
+        if code_a[a] == code_b[b]:
+            continue
+        x, y, start = below_a[a], below_b[b], 0
+        while start < min(len(x), len(y)) and code_a[x[start]] == code_b[y[start]]:
+            start += 1
+        end = 0
+        while end < min(len(x), len(y)) - start and code_a[x[-1 - end]] == code_b[y[-1 - end]]:
+            end += 1
+        found[a, b] = (x, y, start, end)
+        pairs += [(i, j) for i in x[start : len(x) - end] for j in y[start : len(y) - end] if labels_a[i] == labels_b[j]]
+    worth: dict[tuple[int, int], int] = {}
+    chosen: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for a, b in reversed(pairs):
+        if (a, b) not in found:
+            worth[a, b] = size_a[a]
+            continue
+        x, y, start, end = found[a, b]
+        same = [*zip(x[:start], y[:start], strict=True), *zip(x[len(x) - end :], y[len(y) - end :], strict=True)]
+        x, y = x[start : len(x) - end], y[start : len(y) - end]
+        best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i, p in enumerate(x, 1):
+            for j, q in enumerate(y, 1):
+                both = worth[p, q] if labels_a[p] == labels_b[q] else 0
                 best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + both)
-        pairs, i, j = [], n, m
+        worth[a, b] = 1 + best[-1][-1] + sum(size_a[p] for p, _ in same)
+        i, j = len(x), len(y)
         while i and j:
             if best[i][j] == best[i - 1][j]:
                 i -= 1
@@ -265,18 +391,16 @@ def align(one: str, other: str) -> dict[tuple[str, ...], tuple[str, ...]]:
                 j -= 1
             else:
                 i, j = i - 1, j - 1
-                pairs.append((a[1][i], b[1][j]))
-        memo[key] = (1 + best[n][m], pairs[::-1])
-        return memo[key]
-
-    out: dict[tuple[str, ...], tuple[str, ...]] = {}
-
-    def walk(a, b, pa_, pb_):
-        for x, y in match(a, b)[1]:
-            out[(*pa_, x[0])] = (*pb_, y[0])
-            walk(x, y, (*pa_, x[0]), (*pb_, y[0]))
-
-    walk(_parsed(one), _parsed(other), (), ())
+                same.append((x[i], y[j]))
+        chosen[a, b] = same
+    out, left = {}, [(0, 0)]
+    while left:
+        a, b = left.pop()
+        if (a, b) in chosen:
+            out[a] = b
+            left += chosen[a, b]
+        else:  # equal subtrees, each in preorder
+            out.update(zip(range(a, a + size_a[a]), range(b, b + size_a[a]), strict=True))
     return out
 
 
@@ -285,104 +409,137 @@ def host_of(url: str | None) -> str:
     return re.split(r"[/?#]", rest, maxsplit=1)[0].rpartition("@")[2].partition(":")[0].lower()
 
 
-def _hash(text: str) -> int:
-    return int.from_bytes(xxhash.xxh3_64_digest(text.encode("utf-8", "surrogatepass")), "big", signed=True)
-
-
-def _slots(page: Page) -> dict[str, str]:
-    slots: dict[str, list[str]] = {}
-    for path, text in page.region():
-        slots.setdefault("/".join(path), []).append(text)
-    return {k: "\n".join(v) for k, v in slots.items()}
-
-
-_SEEN = "host string, tree string, article long, slots array<struct<slot:string,hash:long>>"
+_SEEN = (
+    "host string, tree string, parents array<int>, labels array<string>, article long,"
+    " slots array<struct<node:int,hash:long,chars:long>>, blocks array<struct<node:int,text:string,around:boolean,linked:boolean,own:boolean>>"
+)
+_SLOT = pa.list_(pa.struct([("node", pa.int32()), ("hash", pa.int64()), ("chars", pa.int64())]))
+_BLOCKS = pa.list_(pa.struct([("node", pa.int32()), ("text", pa.string()), ("around", pa.bool_()), ("linked", pa.bool_()), ("own", pa.bool_())]))
 
 
 def _seen(batches):
-    """Of each page: host, tree, hash of the whole region, and hash of each node's text."""
-    slot = pa.struct([("slot", pa.string()), ("hash", pa.int64())])
+    """Of each page: host, tree, hash of its subject, what each node holds, and its blocks."""
+    kinds = [pa.string(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.string()), pa.int64(), _SLOT, _BLOCKS]
+    names = ["host", "tree", "parents", "labels", "article", "slots", "blocks"]
     for batch in pieces(batches, rows=500):
         rows = []
         for url, source in zip(column_list(batch, "url"), column_list(batch, "html"), strict=True):
             page = Page(source)
-            slots = _slots(page)
-            rows.append((host_of(url), page.signature(), _hash("\n".join(slots.values())), [{"slot": k, "hash": _hash(v)} for k, v in slots.items()]))
-        kinds = [pa.string(), pa.string(), pa.int64(), pa.list_(slot)]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["host", "tree", "article", "slots"])
-
-
-def _aligned(batches):
-    for batch in batches:
-        rows = []
-        for host, tree, wrapper in zip(*(column_list(batch, n) for n in ("host", "tree", "wrapper")), strict=True):
-            pairs = {} if tree == wrapper else align(tree, wrapper)
-            rows += [(host, tree, "/".join(a), "/".join(b)) for a, b in pairs.items() if a != b]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(4)], names=["host", "tree", "slot", "node"])
-
-
-def _root(node):
-    """A node's path down to the outermost article, else to the outermost main element, else ''."""
-    down_to = lambda tag: F.regexp_extract(node, rf"^(?:.*?/)?{tag}(?:[.#][^/]*)?(?=/|$)", 0)
-    return F.when(down_to("article") != "", down_to("article")).otherwise(down_to("main"))
+            texts, chars = defaultdict(list), Counter()
+            for b in page.blocks:
+                texts[b.node].append(b.text)
+                chars[b.node] += 0 if b.around or b.linked and not (b.article or b.main) else len(b.text)
+            own = {id(b) for b in page.region()}
+            tree = xxhash.xxh3_128_hexdigest("\x02".join(f"{p} {x}" for p, x in zip(page.parents, page.labels, strict=True)).encode("utf-8", "surrogatepass"))
+            slots = [{"node": k, "hash": _hash("\n".join(v)), "chars": chars[k]} for k, v in texts.items()]
+            blocks = [{"node": b.node, "text": b.text, "around": b.around, "linked": b.linked, "own": id(b) in own} for b in page.blocks]
+            rows.append((host_of(url), tree, page.parents, page.labels, _hash(page.subject()), slots, blocks))
+        yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("kept")), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds))], names=["kept", *names])
+
+
+def _keyed(batches):
+    """Of each tree: its nodes' keys, those of the wrapper's nodes where they are aligned, and their roots' keys."""
+    for batch in pieces(batches, rows=500):
+        made = []
+        for row in batch.to_pylist():
+            tree, wrapper = (row["parents"], row["labels"]), (row["wrapper"]["parents"], row["wrapper"]["labels"])
+            keys, goal = node_keys(*tree), node_keys(*wrapper)
+            if tree != wrapper:
+                for a, b in align(tree, wrapper).items():
+                    keys[a] = goal[b]
+            roots = [0] * len(keys)
+            tags = [_tag_of(x) for x in row["labels"]]
+            kind = [""] * len(keys)
+            for i in range(1, len(keys)):  # the outermost article, else the outermost main element
+                roots[i], kind[i] = roots[row["parents"][i]], kind[row["parents"][i]]
+                if kind[i] != "article" and tags[i] == "article" or not kind[i] and tags[i] == "main":
+                    roots[i], kind[i] = keys[i], tags[i]
+            made.append((keys, roots, tree == wrapper))
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("host", "tree", "parents", "labels")), pa.array([m[0] for m in made], pa.list_(pa.int64())), pa.array([m[1] for m in made], pa.list_(pa.int64())), pa.array([m[2] for m in made], pa.bool_())], names=["host", "tree", "parents", "labels", "keys", "roots", "whole"])
+
+
+def _regions(batches):
+    """Of each wrapper: the keys of the roots of its content, and whether their tag says so."""
+    for batch in pieces(batches, rows=500):
+        roots, tagged = [], []
+        for row in batch.to_pylist():
+            at = {k: i for i, k in enumerate(row["keys"])}
+            found, said = descend(row["parents"], row["labels"], {at[x["key"]]: x["chars"] for x in row["mass"] or []})
+            roots.append([row["keys"][i] for i in found] if row["mass"] else [])
+            tagged.append(said)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(roots, pa.list_(pa.int64())), pa.array(tagged, pa.bool_())], names=["host", "content", "tagged"])
 
 
-def induce(pages: DataFrame, support: int = 5, share: float = 0.5, scratch: Scratch | None = None) -> DataFrame:
-    """(host, template): of each host, the nodes (tree and path, parted by \\x01) that are template."""
-    scratch = scratch or Scratch(pages.sparkSession, "html")
-    seen = scratch.save(pages.select("url", "html").mapInArrow(_seen, _SEEN).distinct(), "seen")
-    trees = seen.groupBy("host", "tree").agg(F.count("*").alias("articles"))
-    hosts = seen.select("host", "article").distinct().groupBy("host").agg(F.count("*").alias("articles"))
-    hosts = checked_broadcast(scratch.save(hosts.where(F.col("articles") >= support).select("host"), "hosts"), 100_000)
-    wrappers = trees.groupBy("host").agg(F.max_by("tree", F.struct("articles", "tree")).alias("wrapper"))
-    pairs = trees.join(wrappers, "host").join(hosts, "host", "left_semi").select("host", "tree", "wrapper")
-    moved = checked_broadcast(scratch.save(pairs.mapInArrow(_aligned, "host string, tree string, slot string, node string"), "moved"), 10_000)
-    nodes = seen.join(hosts, "host", "left_semi").select("host", "tree", "article", F.inline("slots"))
-    nodes = nodes.join(moved, ["host", "tree", "slot"], "left").withColumn("node", F.coalesce("node", "slot"))
+def _decided(batches):
+    """Of each tree: which nodes are template, and which of the others are in the content."""
+    for batch in pieces(batches, rows=500):
+        fixed, content = [], []
+        for row in batch.to_pylist():
+            still, roots = set(row["still"] or ()), set(row["content"] or ())
+            inside = within(row["parents"], {i for i, k in enumerate(row["keys"]) if k in roots})
+            fixed.append([i in still for i in range(len(inside))])
+            content.append([x and i not in still for i, x in enumerate(inside)])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fixed, pa.list_(pa.bool_())), pa.array(content, pa.list_(pa.bool_())), batch.column(batch.schema.get_field_index("tagged"))], names=["host", "tree", "fixed", "inside", "tagged"])
+
+
+def induce(seen: DataFrame, support: int = 5, share: float = 0.5, scratch: Scratch | None = None) -> DataFrame:
+    """(host, tree, fixed, inside, tagged) of each tree of a host of ``ENOUGH`` different articles.
+
+    ``seen``: host, tree, parents, labels, article, slots of each page.  ``fixed`` and ``inside``
+    tell of each node whether it is template, and whether it is content.
+    """
+    scratch = scratch or Scratch(seen.sparkSession, "html")
+    known = scratch.save(seen.select("host", "tree", "article", "slots").distinct(), "known")
+    hosts = known.select("host", "article").distinct().groupBy("host").agg(F.count("*").alias("articles"))
+    hosts = broadcast_if(scratch.save(hosts.where(F.col("articles") >= ENOUGH).select("host"), "hosts"), F.lit(1), 100_000)
+    counts = known.join(hosts, "host", "left_semi").select("host", "tree", "article").distinct().groupBy("host", "tree").agg(F.count("*").alias("articles"))
+    shapes = seen.join(hosts, "host", "left_semi").select("host", "tree", "parents", "labels").dropDuplicates(["host", "tree"])
+    trees = scratch.save(shapes.join(counts, ["host", "tree"]), "trees")
+    wrappers = trees.groupBy("host").agg(F.max_by(F.struct("parents", "labels"), F.struct("articles", "tree")).alias("wrapper"))
+    wrappers = broadcast_if(scratch.save(wrappers, "wrappers"), F.size("wrapper.parents"), 1_000_000)
+    keyed = trees.join(wrappers, "host").select("host", "tree", "parents", "labels", "wrapper").mapInArrow(_keyed, "host string, tree string, parents array<int>, labels array<string>, keys array<long>, roots array<long>, whole boolean")
+    keyed = scratch.save(keyed, "keyed")
+    small = broadcast_if(keyed.select("host", "tree", "keys", "roots"), F.size("keys"), 1_000_000)
+    slots = F.transform("slots", lambda s: F.struct(F.get("keys", s["node"]).alias("key"), F.get("roots", s["node"]).alias("root"), s["hash"].alias("hash"), s["chars"].alias("chars")))
+    nodes = known.join(small, ["host", "tree"]).select("host", "article", F.inline(slots))
     # one row for each article that has the node, however many pages and trees show it
-    held = nodes.groupBy("host", "node", "article").agg(F.min("hash").alias("lo"), F.max("hash").alias("hi"))
-    held = held.groupBy("host", "node").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count("*").alias("articles")).withColumn("root", _root(F.col("node")))
-    could = nodes.select("host", "article", _root(F.col("node")).alias("root")).distinct().groupBy("host", "root").agg(F.count("*").alias("could"))
-    still = held.where((F.col("lo") == F.col("hi")) & (F.col("articles") >= support)).join(could, ["host", "root"])
-    still = still.where(F.col("articles") >= share * F.col("could")).select("host", "node")
-    entry = F.concat("tree", F.lit("\x01"), "slot")
-    return nodes.select("host", "tree", "slot", "node").distinct().join(still, ["host", "node"], "left_semi").groupBy("host").agg(F.collect_set(entry).alias("template"))
-
-
-def _extract(keep: list[str], schema: pa.Schema):
-    def run(batches):
-        for batch in pieces(batches, rows=500):
-            texts = []
-            for source, template in zip(column_list(batch, "html"), column_list(batch, "template"), strict=True):
-                page = Page(source)
-                blocks = page.region()
-                if template:
-                    tree = page.signature()
-                    gone = {t[1] for t in (x.split("\x01", 1) for x in template) if t[0] == tree}
-                    blocks = [(p, t) for p, t in blocks if "/".join(p) not in gone]
-                texts.append("\n".join(t for _, t in blocks))
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), pa.array(texts, pa.string())], schema=schema)
-
-    return run
-
-
-def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), support: int = 5, share: float = 0.5, salts: int = 32) -> DataFrame:
+    held = nodes.groupBy("host", "key", "article").agg(F.min("root").alias("root"), F.min("hash").alias("lo"), F.max("hash").alias("hi"), F.max("chars").alias("chars"))
+    held = held.groupBy("host", "key").agg(F.min("root").alias("root"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("chars").alias("chars"), F.count("*").alias("articles"))
+    could = nodes.select("host", "root", "article").distinct().groupBy("host", "root").agg(F.count("*").alias("could"))
+    still = (F.col("lo") == F.col("hi")) & (F.col("articles") >= support) & (F.col("articles") >= share * F.col("could"))
+    stats = scratch.save(held.join(could, ["host", "root"]).select("host", "key", "chars", still.alias("still")), "stats")
+    # a wrapper's nodes only: no more than one tree has
+    whole = keyed.where("whole").select("host", "parents", "labels", "keys")
+    mass = whole.select("host", F.explode("keys").alias("key")).join(stats.where("not still and chars > 0"), ["host", "key"])
+    mass = mass.groupBy("host").agg(F.collect_list(F.struct("key", "chars")).alias("mass"))
+    regions = scratch.save(whole.join(mass, "host", "left").mapInArrow(_regions, "host string, content array<long>, tagged boolean"), "regions")
+    gone = keyed.select("host", "tree", F.posexplode("keys").alias("pos", "key")).join(stats.where("still").select("host", "key"), ["host", "key"])
+    gone = gone.groupBy("host", "tree").agg(F.collect_list("pos").alias("still"))
+    regions = broadcast_if(regions, F.size("content") + 1, 1_000_000)
+    both = keyed.join(gone, ["host", "tree"], "left").join(regions, "host").select("host", "tree", "parents", "keys", "still", "content", "tagged")
+    return both.mapInArrow(_decided, "host string, tree string, fixed array<boolean>, inside array<boolean>, tagged boolean")
+
+
+def _joined(test) -> "F.Column":
+    return F.array_join(F.transform(F.filter("blocks", test), lambda b: b["text"]), "\n")
+
+
+def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), support: int = 5, share: float = 0.5, scratch: Scratch | None = None) -> DataFrame:
     """``keep`` columns and ``text``, the main text of each page."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StringType, StructField, StructType
-
-    template = induce(pages, support, share)
-    template = Scratch(pages.sparkSession, "wrappers").save(template, "hosts")
-    host = F.coalesce(F.lower(F.regexp_extract("url", r"://(?:[^/?#]*@)?([^/?#:@]*)", 1)), F.lit(""))
-    rows = pages.select(*dict.fromkeys([*keep, "url", "html"])).withColumn("host", host)
-    small = checked_broadcast(template, 10_000)
-    if small is template:
-        rows = rows.withColumn("salt", F.pmod(F.xxhash64("url", "html"), F.lit(salts)).cast("int"))
-        joined = rows.join(template.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), ["host", "salt"], "left")
-    else:
-        joined = rows.join(small, "host", "left")
-    schema = StructType([*(pages.schema[c] for c in keep), StructField("text", StringType())])
-    return joined.mapInArrow(_extract(list(keep), to_arrow_schema(schema)), schema)
+    scratch = scratch or Scratch(pages.sparkSession, "html")
+    keep = tuple(c for c in keep if c != "text")
+    kept = F.struct(*([F.col(quoted(c)).alias(c) for c in keep] or [F.lit(0).alias("none")]))
+    rows = pages.select(kept.alias("kept"), "url", "html")
+    seen = scratch.save(rows.mapInArrow(_seen, with_fields(rows.select("kept").schema, _SEEN)), "seen")
+    decided = scratch.save(induce(seen, support, share, scratch), "decided")
+    scratch.drop("known", "hosts", "trees", "wrappers", "keyed", "stats", "regions")
+    decided = broadcast_if(decided, F.size("fixed"), 2_000_000)
+    joined = seen.select("kept", "host", "tree", "blocks").join(decided, ["host", "tree"], "left")
+    on = lambda name, b: F.coalesce(F.get(name, b["node"]), F.lit(False))
+    wrapped = _joined(lambda b: on("inside", b) & ~b["around"] & (F.coalesce("tagged", F.lit(False)) | ~b["linked"]))
+    # a page that has nothing where its host has its content is read by its tags
+    plain = _joined(lambda b: b["own"] & ~on("fixed", b))
+    return unfold(joined.select("kept", F.when(wrapped != "", wrapped).otherwise(plain).alias("text")), [*keep, "text"])
 
 
 def report(pages: DataFrame, **options) -> DataFrame:

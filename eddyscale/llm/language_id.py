@@ -129,7 +129,7 @@ def _observed(shared, reach: float):
         for batch in pieces(batches, rows=500):
             rows = []
             for source, url in zip(column_list(batch, "html"), column_list(batch, "url"), strict=True):
-                counts = grams("\n".join(t for _, t in Page(source).region()))
+                counts = grams("\n".join(b.text for b in Page(source).region()))
                 n = counts.sum()
                 score = model @ counts / max(n, 1) * min(n / 3, reach)  # every letter is in three n-grams
                 score = np.exp(score - score.max()) if len(score) else score
