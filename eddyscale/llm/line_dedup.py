@@ -1,33 +1,44 @@
 """Line dedup over levelled sorted runs of line hashes.
 
 Documents come in batches of ascending ids.  A batch's line hashes are merge-anti-joined with
-the runs of the batches before it: hashes found there are known, the others are new and are
-added as a sorted run of level 0.  As soon as a level holds ``fanout`` runs they are merged
-into one run of the next level, so that the number of runs grows with the logarithm of the
-number of batches.
+the runs of the batches before it: hashes found there are known, the others are new and make a
+sorted run of level 0.  As soon as a level holds ``fanout`` runs they are merged into one run of
+the next level, so that the number of runs grows with the logarithm of the number of batches.
+
+A run is a table bucketed by hash, one sorted file a bucket.  A probe shuffles and sorts the
+batch's hashes once and merges them with each run where it lies; runs are merged bucket by
+bucket.  Neither shuffles nor sorts a run again.
 
 A line that is known, or new but held by a smaller document of its own batch, goes.  Since
 batches ascend, the smallest document holding a line keeps it.
 
 Scale: texts are read by two maps; between them go only 128-bit hashes, 24 bytes for each
-distinct line of a document.  Hashes are grouped with map-side combining, and the join of
-(hash, document) pairs with the duplicated hashes is a plain one, whose hot keys adaptive
-execution splits.  Dropped hashes are gathered per document, never per line.
+distinct line of a document.  A batch holds at most ``per_core`` bytes of text for each core, so
+that a larger cluster takes larger and fewer ones; there are ``least_batches`` at least.  Hashes
+are grouped with map-side combining, and the join of (hash, document) pairs with the duplicated
+hashes is a plain one, whose hot keys adaptive execution splits.  Dropped hashes are gathered
+per document, never per line.
 
 Defined results: a null or empty text is one empty line; repeated rows of an id are one
-document; a row of null id owns no line and loses those that any document with an id holds.
+document, so that a line they share stays in each; a row of null id owns no line and loses those
+that any document with an id holds; very long texts are whole, line by line; ties can't occur,
+since the smallest id is one; an empty table gives an empty one.  Columns of any name come back
+as they were; the counts ``n_lines`` and ``n_dropped`` take an underscore in front where a column
+is named so already.
 """
 
 from __future__ import annotations
 
+import contextlib
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, Scratch, ascii_lower, column_list, pieces
+from .common import BLANKS, Scratch, ascii_lower, column_list, fold, free, pieces, unfold, with_fields
 
 HASHES = ["h1", "h2"]
 
@@ -60,21 +71,40 @@ def _pairs(least: int):
     return run
 
 
+@contextlib.contextmanager
+def _merging(spark: SparkSession):
+    """Plans made within take a bucket's only file as sorted, and merge."""
+    wanted = {"spark.sql.legacy.bucketedTableScan.outputOrdering": "true", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.join.preferSortMergeJoin": "true"}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 class LevelledRuns:
     """Sorted runs of distinct hashes, merged level by level."""
 
-    def __init__(self, scratch: Scratch, fanout: int = 4):
-        self.scratch, self.fanout, self.made = scratch, fanout, 0
+    def __init__(self, scratch: Scratch, fanout: int = 2):
+        self.scratch, self.spark, self.fanout, self.made = scratch, scratch.spark, fanout, 0
+        self.buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[tuple[str, DataFrame]]] = []
 
-    def _write(self, hashes: DataFrame) -> tuple[str, DataFrame]:
-        self.made += 1
-        name = f"run-{self.made}"
-        return name, self.scratch.save(hashes.repartition(*map(F.col, HASHES)).sortWithinPartitions(*HASHES), name)
-
-    def add(self, hashes: DataFrame) -> None:
-        """``hashes``: distinct, and in no run yet."""
-        new = self._write(hashes)
+    def write(self, hashes: DataFrame, name: str) -> DataFrame:
+        """A bucketed table, a bucket's rows sorted by hash.  ``hashes`` are partitioned by them."""
+        entry = f"run_{uuid.uuid4().hex}"
+        with _merging(self.spark):
+            hashes.write.bucketBy(self.buckets, *HASHES).sortBy(*HASHES).option("path", f"{self.scratch.root}/{name}").saveAsTable(entry)
+            table = self.spark.table(entry)
+        self.spark.sql(f"DROP TABLE {entry}")  # the entry only: the files stay, and the frame has found them
+        return table
+
+    def add(self, name: str, run: DataFrame) -> None:
+        """``run``: bucketed and sorted, of hashes that are in no run yet, read from ``name``."""
+        new = (name, run)
         for level in range(len(self.levels) + 1):
             if level == len(self.levels):
                 self.levels.append([])
@@ -82,32 +112,45 @@ class LevelledRuns:
             if len(self.levels[level]) < self.fanout:
                 return
             old, self.levels[level] = self.levels[level], []
-            whole = old[0][1]
-            for _, run in old[1:]:
-                whole = whole.unionByName(run)
-            new = self._write(whole)
-            self.scratch.drop(*(name for name, _ in old))
+            new = old[0]
+            for other in old[1:]:
+                self.made += 1
+                name = f"merged-{self.made}"
+                merged = (name, self.write(self.merged(new[1], other[1]), name))
+                self.scratch.drop(new[0], other[0])
+                new = merged
+
+    @staticmethod
+    def merged(one: DataFrame, other: DataFrame) -> DataFrame:
+        """All hashes of two disjoint runs, merged bucket by bucket."""
+        return one.select(*HASHES).join(other.select(*HASHES).hint("merge"), HASHES, "full_outer")
 
     def runs(self) -> list[DataFrame]:
         return [run for level in self.levels for _, run in level]
 
     def split(self, hashes: DataFrame) -> DataFrame:
         """``hashes`` with ``known``: whether a run holds the hash."""
-        runs = self.runs()
-        if not runs:
-            return hashes.withColumn("known", F.lit(False))
-        whole = runs[0]
-        for run in runs[1:]:
-            whole = whole.unionByName(run)
-        return hashes.join(whole.withColumn("known", F.lit(True)).hint("merge"), HASHES, "left").withColumn("known", F.coalesce("known", F.lit(False)))
+        marks = []
+        for i, run in enumerate(self.runs()):
+            hashes = hashes.join(run.select(*HASHES, F.lit(True).alias(f"__in{i}")).hint("merge"), HASHES, "left")
+            marks.append(F.col(f"__in{i}"))
+        known = F.coalesce(*marks, F.lit(False)) if marks else F.lit(False)
+        return hashes.withColumn("known", known).drop(*(f"__in{i}" for i in range(len(marks))))
+
 
+def batches_for(docs: DataFrame, per_core: int = 256 << 20, least_batches: int = 4) -> int:
+    """As many batches as keep each at ``per_core`` bytes of text a core."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(least_batches, -(-size // (per_core * docs.sparkSession.sparkContext.defaultParallelism)))
 
-def dropped_hashes(docs: DataFrame, least: int = 10, batches: int = 4, fanout: int = 2, scratch: Scratch | None = None) -> DataFrame:
+
+def dropped_hashes(docs: DataFrame, least: int = 10, batches: int | None = None, fanout: int = 2, scratch: Scratch | None = None) -> DataFrame:
     """(doc_id, drops): of each document that loses lines, the hashes of those lines."""
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "line-dedup")
+    batches = batches or batches_for(docs)
     schema = "doc_id long, h1 long, h2 long"
-    cuts = docs.where("doc_id is not null").stat.approxQuantile(["doc_id"], [k / batches for k in range(1, batches)], 0.001)[0] if batches > 1 else []
+    cuts = docs.where("doc_id is not null").stat.approxQuantile(["doc_id"], [k / batches for k in range(1, batches)], 0.1 / batches)[0] if batches > 1 else []
     bounds = sorted({int(x) for x in cuts})
     step = sum((F.col("doc_id") > b).cast("int") for b in bounds) if bounds else F.lit(0)
     pairs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_pairs(least), schema)
@@ -117,19 +160,23 @@ def dropped_hashes(docs: DataFrame, least: int = 10, batches: int = 4, fanout: i
     for k in range(len(bounds) + 1):
         here = lines.where(F.col("batch") == k)
         keys = here.groupBy(*HASHES).agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.max(F.col("doc_id").isNull()).alias("loose"))
-        keys = scratch.save(runs.split(keys), f"keys-{k}")
+        with _merging(spark):
+            keys = runs.write(runs.split(keys), f"keys-{k}")
+        # not a bucketed table: a join with it can split hot hashes
+        shared = scratch.save(keys.where("known or owner < last or (loose and owner is not null)").select(*HASHES, F.when(~F.col("known"), F.col("owner")).alias("owner"), "known"), f"shared-{k}")
         if k < len(bounds):
-            runs.add(keys.where(~F.col("known")).select(*HASHES))
-        shared = keys.where("known or owner < last or (loose and owner is not null)").select(*HASHES, F.when(~F.col("known"), F.col("owner")).alias("owner"), "known")
+            runs.add(f"keys-{k}", keys.where(~F.col("known")).select(*HASHES))
         hit = here.join(shared, HASHES).where("known or doc_id is null or doc_id > owner")
         gone.append(hit.select("doc_id", *HASHES))
     whole = gone[0]
     for part in gone[1:]:
         whole = whole.unionByName(part)
-    return whole.groupBy("doc_id").agg(F.collect_set(F.struct(*HASHES)).alias("drops"))
+    drops = scratch.save(whole.groupBy("doc_id").agg(F.collect_set(F.struct(*HASHES)).alias("drops")), "drops")
+    scratch.drop("lines", *(f"{kind}-{k}" for kind in ("keys", "shared") for k in range(len(bounds) + 1)), *(n for level in runs.levels for n, _ in level))
+    return drops
 
 
-def _keep(least: int, keep: list[str], schema: pa.Schema):
+def _keep(least: int):
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in pieces(batches):
             texts, counts, losses = [], [], []
@@ -141,22 +188,32 @@ def _keep(least: int, keep: list[str], schema: pa.Schema):
                     lines = [x for x in lines if len(s := x.strip(BLANKS)) < least or _halves(_hash(ascii_lower(s))) not in known]
                 losses.append(counts[-1] - len(lines))
                 texts.append(text if text is None and not drops else "\n".join(lines))
-            made = {"text": texts, "n_lines": counts, "n_dropped": losses}
-            yield pa.RecordBatch.from_arrays([pa.array(made[n], schema.field(n).type) if n in made else batch.column(batch.schema.get_field_index(n)) for n in schema.names], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("kept")), pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(losses, pa.int64())], names=["kept", "text", "n_lines", "n_dropped"])
 
     return run
 
 
-def dedup_lines(docs: DataFrame, least: int = 10, batches: int = 4, fanout: int = 2, scratch: Scratch | None = None) -> DataFrame:
+def _deduplicated(docs: DataFrame, least: int, **options) -> DataFrame:
+    """``kept`` (all columns but the text), text, n_lines, n_dropped."""
+    drops = dropped_hashes(docs.select("doc_id", "text"), least, **options)
+    rows = fold(docs, "text").withColumn("doc", F.col("kept.doc_id").cast("long"))
+    joined = rows.join(drops, F.col("doc").eqNullSafe(F.col("doc_id")), "left").select("kept", "text", "drops")
+    return joined.mapInArrow(_keep(least), with_fields(rows.select("kept").schema, "text string, n_lines long, n_dropped long"))
+
+
+def dedup_lines(docs: DataFrame, least: int = 10, **options) -> DataFrame:
     """All columns of ``docs``, text without lines that an earlier document holds, n_lines, n_dropped."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import LongType, StructField, StructType
-
-    cols = [c for c in docs.columns if c not in ("drops", "n_lines", "n_dropped")]
-    drops = dropped_hashes(docs, least, batches, fanout, scratch)
-    joined = docs.select(*cols).join(drops.withColumnRenamed("doc_id", "__doc"), F.col("doc_id").eqNullSafe(F.col("__doc")), "left").drop("__doc")
-    schema = StructType([*docs.select(*cols).schema, StructField("n_lines", LongType()), StructField("n_dropped", LongType())])
-    return joined.mapInArrow(_keep(least, cols, to_arrow_schema(schema)), schema)
+    done = _deduplicated(docs, least, **options)
+    return unfold(done, docs.columns, *(F.col(n).alias(free(n, docs.columns)) for n in ("n_lines", "n_dropped")))
+
+
+def without_known_lines(docs: DataFrame, least: int = 10, **options) -> DataFrame:
+    """Exactly the columns of ``docs``; ``n_chars``, if there is one, follows a text that lost lines."""
+    done = _deduplicated(docs, least, **options)
+    if "n_chars" in docs.columns:
+        size = F.length("text").cast(docs.schema["n_chars"].dataType)
+        done = done.withColumn("kept", F.when(F.col("n_dropped") > 0, F.col("kept").withField("n_chars", size)).otherwise(F.col("kept")))
+    return unfold(done, docs.columns)
 
 
 def report(docs: DataFrame, **options) -> DataFrame:
