@@ -1,27 +1,36 @@
 """Approximate nearest neighbours by randomly rotated one-bit codes.
 
 Vectors are scaled to unit length and dealt to the nearest of several centres.  What is left of
-a vector after its centre is rotated by a fixed random rotation, and the signs of its
-coordinates are its code, packed to bits.  With the length of the rest and the inner product of
-code and rest as correction scalars, a query's inner product with a vector is estimated from
-the code alone, with an error bound.
+a vector after its centre is turned by several random rotations, and the signs of all turned
+coordinates are its code, packed to bits.  With correction scalars (how long the rest is, how
+well the code points along it, how far the code's image lies off it), a query's inner product
+with a vector is estimated from the code alone, with an error bound.
 
-A search has two passes.  The first looks at the few centres nearest to a query; its k-th best
-score is what others must reach.  The second estimates every other vector (or those of ``probes``
-centres) from its code, and reranks those whose upper bound reaches that score, or the k-th best
-lower bound of their block, on the original vectors in double precision.
+A search has four steps:
 
-Centres and rotation are fitted on a bounded sample (``most`` rows, by hash of the id); every
-row is indexed.  Vectors without structure gain nothing from leaving centres out, so by default
-none is: what is missed is what the bound misses (measured recall is in the README).
+1. every query is estimated against every code, and the few best guesses are kept;
+2. those are scored on the original vectors: the k-th best score is what others must reach;
+3. every query is estimated against every code again, and codes whose upper bound reaches that
+   score are the survivors;
+4. the survivors' original vectors are fetched, and scored in double precision.
 
-Scale: a centre's rows form blocks of bounded size, spread by salt, so a vector that a third of
-all rows share is many blocks.  Blocks of rows meet blocks of queries by centre, each pair one
-unit of work; nothing is sent to all tasks but centres and rotation.
+The bound allows for ``sure`` standard deviations of the estimate; ``sure=None`` takes the bound
+that no vector can pass (Cauchy and Schwarz), and the result is exact.
+
+Centres are fitted on a bounded sample (``most`` rows, by hash of the id); every row is indexed.
+
+Scale: equal vectors are one code with their smallest ids, so a vector that a third of all rows
+share is one candidate.  A code takes 84 bytes for a vector of 64 dimensions, the vector 256 or 512;
+codes and queries meet in groups of bounded size, by hash, each pair of groups one unit of work,
+and original vectors move for survivors only, of which a query has about as many in a large
+table as in a small one.  Nothing is sent to all tasks but centres and rotations, and what is
+broadcast is counted first.  The scan itself is of every query against every code, as asked for.
 
 Defined results: vectors that are null, empty, zero, of another length than most, or hold null
 or non-finite components take no part; a null id takes no part; rows of one id are one
-candidate, with its best score; ties go to the smaller id; fewer candidates than k give all.
+candidate, with its best score, and one query, of its least vector; ties go to the smaller id;
+fewer candidates than k give all; an empty table gives no rows; other columns, whatever their
+names, aren't read.
 """
 
 from __future__ import annotations
@@ -32,12 +41,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, FloatType
 
-from .common import Scratch
+from .common import Scratch, broadcast_if
 
-BLOCK, QUERIES = 1024, 256
-#: Standard deviations of the estimate that the bound allows for.
-SURE = 2.2
+#: Codes and queries of one unit of work, about.
+CODES, QUERIES = 65_536, 8_192
+#: Codes and queries of one matrix product.
+_TILE, _ROWS = 8_192, 256
 
 
 def _valid(column: str):
@@ -57,225 +68,216 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 def centres(x: np.ndarray, k: int, rounds: int = 10, seed: int = 5) -> np.ndarray:
-    """Spherical k-means."""
+    """Means of k clusters; shorter than one, so that what is left of unit vectors is no longer than they are."""
     rng = np.random.default_rng(seed)
     c = x[rng.choice(len(x), min(k, len(x)), replace=False)]
     for _ in range(rounds):
-        own = np.argmax(x @ c.T, axis=1)
-        total = np.zeros_like(c)
+        own = nearest_centre(x, c)
+        total, n = np.zeros_like(c), np.bincount(own, minlength=len(c))
         np.add.at(total, own, x)
-        size = np.linalg.norm(total, axis=1, keepdims=True)
-        c = np.where(size > 1e-12, total / np.maximum(size, 1e-12), c)
+        c = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], c)
     return c
 
 
-def rotation(dim: int, seed: int = 11) -> np.ndarray:
-    q, r = np.linalg.qr(np.random.default_rng(seed).normal(size=(dim, dim)))
-    return q * np.sign(np.diag(r))
+def nearest_centre(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return np.argmax(2 * (x @ c.T) - (c * c).sum(1), axis=1)
+
+
+def rotations(dim: int, n: int, seed: int = 11) -> np.ndarray:
+    """``n`` random rotations side by side, scaled so that they keep lengths."""
+    rng = np.random.default_rng(seed)
+    turns = [np.linalg.qr(rng.normal(size=(dim, dim))) for _ in range(n)]
+    return np.hstack([q * np.sign(np.diag(r)) for q, r in turns]) / math.sqrt(n)
+
 
+def encode(x: np.ndarray, own: np.ndarray, c: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of unit vectors: packed signs, and scale, spread and bias of the estimate.
 
-def encode(x: np.ndarray, own: np.ndarray, c: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Packed signs, length of the rest, inner product of unit rest and unit code."""
-    rest = (x - c[own]) @ turn
+    With r = x - c, u its direction, z the unit vector of the signs and p its image in the space of
+    x, <q - c, r> is guessed as |r| <q - c, p> / <u, p>.  The guess errs by |r| / <u, p> times the
+    inner product of q - c with the part of p that is off u.  All that doesn't depend on q is the
+    bias: <q, x> = <q, c> + <q - c, r> + <c, r>.
+    """
+    rest = x - c[own]
     length = np.linalg.norm(rest, axis=1)
     u = rest / np.maximum(length, 1e-300)[:, None]
-    return np.packbits(rest > 0, axis=1), length, np.abs(u).sum(1) / math.sqrt(x.shape[1])
+    signs = u @ turn > 0
+    z = np.where(signs, 1.0, -1.0) / math.sqrt(turn.shape[1])
+    image = z @ turn.T
+    inner = np.maximum((image * u).sum(1), 1e-9)
+    off = np.linalg.norm(image - inner[:, None] * u, axis=1)
+    scale = np.where(length > 1e-12, length / inner, 0.0)
+    return np.packbits(signs, axis=1), scale, scale * off, scale * (image * c[own]).sum(1) - (c[own] * rest).sum(1)
+
+
+def _rows(batch, dim: int):
+    return unit(_matrix(batch.column(batch.schema.get_field_index("embedding")), dim))
 
 
-def _assign(shared, dim: int, probes: int | None):
-    """Rows (vec_id, centre, vector[, floor]); queries once for each centre they probe."""
+def _coded(shared, dim: int):
+    """(key, centre, bits, scale, spread, bias) of each distinct vector."""
 
     def run(batches):
-        c = shared.value
+        c, turn = shared.value
         for batch in batches:
             if not batch.num_rows:
                 continue
-            like = unit(_matrix(batch.column("embedding"), dim)) @ c.T
-            if probes is None:
-                rows, own = np.arange(len(like)), np.argmax(like, axis=1)
-            else:
-                k = min(probes, len(c))
-                own = np.argsort(-like, axis=1, kind="stable")[:, :k].ravel()
-                rows = np.repeat(np.arange(len(like)), k)
-            take = pa.array(rows)
-            rest = [batch.column("floor").take(take)] if probes is not None else []
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(take), pa.array(own.astype(np.int32)), batch.column("embedding").take(take), *rest], names=["vec_id", "centre", "embedding", "floor"][: 3 + len(rest)])
+            x = _rows(batch, dim)
+            own = nearest_centre(x, c)
+            bits, *scalars = encode(x, own, c, turn)
+            columns = [batch.column(batch.schema.get_field_index("key")), pa.array(own.astype(np.int32)), pa.array([b.tobytes() for b in bits], pa.binary()), *(pa.array(v.astype(np.float32)) for v in scalars)]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "centre", "bits", "scale", "spread", "bias"])
 
     return run
 
 
-def _blocks(shared, dim: int, size: int, coded: bool):
-    """Of rows sorted by centre: packed blocks of at most ``size`` rows of one centre."""
+def _scan(shared, dim: int, sure: float | None, keep: int | None):
+    """Of a group of codes and one of queries: the ``keep`` best guesses of each query, or all whose bound reaches its floor."""
 
-    def run(batches):
+    def run(codes: pa.Table, queries: pa.Table) -> pa.Table:
         c, turn = shared.value
-        held: list[tuple[np.ndarray, ...]] = []
-        now, count = None, 0
-
-        def out():
-            ids, x, floor = (np.concatenate(p) for p in zip(*held, strict=True))
-            row = [now, ids.tobytes(), x.tobytes()]
-            if not coded:
-                row.append(floor.tobytes())
-            else:
-                bits, length, inner = encode(unit(x), np.full(len(x), now), c, turn)
-                row += [bits.tobytes(), length.tobytes(), inner.tobytes()]
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int32()), *(pa.array([b], pa.binary()) for b in row[1:])], names=["centre", "ids", "vectors", "bits", "lengths", "inners"] if coded else ["centre", "ids", "vectors", "floors"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            own, ids, x = batch.column("centre").to_numpy(), batch.column("vec_id").to_numpy(), _matrix(batch.column("embedding"), dim)
-            floor = ids if coded else batch.column("floor").to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), len(own)]
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                if now is not None and now != own[a]:
-                    if held:
-                        yield out()
-                    count = 0
-                now = int(own[a])
-                while a < b:
-                    n = min(b - a, size - count)
-                    held.append((ids[a : a + n], x[a : a + n], floor[a : a + n]))
-                    a, count = a + n, count + n
-                    if count == size:
-                        yield out()
-                        count = 0
-        if held:
-            yield out()
+        root = math.sqrt(turn.shape[1])
+        out: list[tuple[np.ndarray, ...]] = []
+        if codes.num_rows and queries.num_rows:
+            key = codes.column("key").to_numpy()
+            own = codes.column("centre").to_numpy()
+            packed = np.frombuffer(b"".join(codes.column("bits").to_pylist()), np.uint8).reshape(len(key), -1)
+            scale, spread, bias = (codes.column(n).to_numpy() for n in ("scale", "spread", "bias"))
+            wide = np.float32(1 if sure is None or dim < 2 else min(1, sure / math.sqrt(dim - 1)))
+            qids, u, floors = queries.column("query_id").to_numpy(), unit(_matrix(queries.column("embedding"), dim)), queries.column("floor").to_numpy()
+            turned, near = (u @ turn / root).astype(np.float32), (u @ c.T).astype(np.float32)
+            apart = np.sqrt(np.maximum(1 + (c * c).sum(1) - 2 * (u @ c.T), 0)).astype(np.float32)
+            best: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(0, len(qids), _ROWS)]
+            for at in range(0, len(key), _TILE):
+                tile = slice(at, at + _TILE)
+                signs = np.unpackbits(packed[tile], axis=1, count=turn.shape[1]).astype(np.float32) * 2 - 1
+                mine, width = own[tile], wide * spread[tile]
+                for block, start in enumerate(range(0, len(qids), _ROWS)):
+                    some = slice(start, start + _ROWS)
+                    guess = near[some][:, mine] + (turned[some] @ signs.T) * scale[tile] - bias[tile]
+                    if keep is None:
+                        bound = guess + apart[some][:, mine] * width
+                        a, b = np.nonzero(bound >= (floors[some][:, None] - 1e-5))
+                        out.append((qids[some][a], key[tile][b], guess[a, b]))
+                    else:
+                        n = min(keep, guess.shape[1])
+                        top = np.argpartition(-guess, n - 1, axis=1)[:, :n]
+                        best[block].append((key[tile][top], np.take_along_axis(guess, top, 1)))
+            for block, start in enumerate(range(0, len(qids), _ROWS)):
+                if best[block]:
+                    keys, guess = (np.concatenate(p, axis=1) for p in zip(*best[block], strict=True))
+                    n = min(keep, guess.shape[1])
+                    top = np.argpartition(-guess, n - 1, axis=1)[:, :n]
+                    out.append((np.repeat(qids[start : start + _ROWS], n), np.take_along_axis(keys, top, 1).ravel(), np.take_along_axis(guess, top, 1).ravel()))
+        kinds = (np.int64, np.int64, np.float32)
+        columns = [np.concatenate([o[i] for o in out]).astype(t) if out else np.zeros(0, t) for i, t in enumerate(kinds)]
+        return pa.table({"query_id": columns[0], "key": columns[1], "guess": columns[2].astype(np.float64)})
 
     return run
 
 
-def best_of(q: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
-    """Places of each query's best k, an id counted once, ties to the smaller id."""
-    order = np.lexsort((-score, ids, q))
-    order = order[np.concatenate(([True], (np.diff(q[order]) != 0) | (np.diff(ids[order]) != 0)))[: len(order)]]
-    order = order[np.lexsort((ids[order], -score[order], q[order]))]
-    first = np.concatenate(([0], np.flatnonzero(np.diff(q[order])) + 1)) if len(order) else np.zeros(0, int)
-    rank = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
-    return order[rank < k]
-
-
 def exact(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Cosines of rows, summed in order of the components, so that any engine gets the same bits."""
     total = lambda a: np.cumsum(a, axis=1)[:, -1]
     return total(x * y) / (np.sqrt(total(y * y)) * np.sqrt(total(x * x)))
 
 
-def _search(shared, dim: int, k: int):
-    """Each query's best k of a block."""
+def _scored(dim: int):
+    """(query_id, vec_id, score) of every id of each pair's vector but the query's own."""
 
     def run(batches):
-        c, turn = shared.value
-        root = math.sqrt(dim)
         for batch in batches:
-            out: list[list] = [[], [], []]
-            for at in range(batch.num_rows):
-                row = batch.slice(at, 1).to_pylist()[0]
-                centre = c[row["centre"]]
-                ids = np.frombuffer(row["ids"], np.int64)
-                x = np.frombuffer(row["vectors"], np.float64).reshape(-1, dim)
-                code = np.unpackbits(np.frombuffer(row["bits"], np.uint8).reshape(len(ids), -1), axis=1, count=dim).astype(np.float64) * (2 / root) - 1 / root
-                length, inner = np.frombuffer(row["lengths"], np.float64), np.maximum(np.frombuffer(row["inners"], np.float64), 1e-9)
-                spread = SURE * np.sqrt(np.maximum(1 - inner * inner, 0)) / inner / math.sqrt(max(dim - 1, 1))
-                qids, q = np.frombuffer(row["qids"], np.int64), np.frombuffer(row["queries"], np.float64).reshape(-1, dim)
-                u = unit(q)
-                turned = (u - centre) @ turn
-                # <q, x> = <q, c> + <q - c, x - c> + <c, x - c>, of which the middle one is estimated
-                guess = (u @ centre)[:, None] + centre_part(length) + turned @ code.T * (length / inner)
-                error = np.linalg.norm(turned, axis=1)[:, None] * (length * spread) + 1e-12
-                other = qids[:, None] != ids
-                bound = np.frombuffer(row["floors"], np.float64) - 1e-12
-                # copies of one id would count more than once among the k best
-                if len(ids) > k and len(np.unique(ids)) == len(ids):
-                    bound = np.maximum(bound, np.partition(np.where(other, guess - error, -np.inf), -k, axis=1)[:, -k])
-                a, b = np.nonzero(other & (guess + error >= bound[:, None]))
-                score = np.concatenate([exact(x[b[i : i + 20_000]], q[a[i : i + 20_000]]) for i in range(0, len(a), 20_000)]) if len(a) else np.zeros(0)
-                best = best_of(a, ids[b], score, k)
-                for own, values in zip(out, (qids[a[best]], ids[b[best]], score[best]), strict=True):
-                    own.append(values)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v) if v else np.zeros(0), t) for v, t in zip(out, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "vec_id", "score"])
+            for at in range(0, batch.num_rows, 20_000):
+                part = batch.slice(at, 20_000)
+                score = exact(_matrix(part.column("vector"), dim), _matrix(part.column("query"), dim))
+                ids = part.column("ids")
+                n = np.diff(ids.offsets.to_numpy())
+                flat, qid = ids.flatten().to_numpy(), np.repeat(part.column("query_id").to_numpy(), n)
+                other = flat != qid
+                yield pa.RecordBatch.from_arrays([pa.array(qid[other]), pa.array(flat[other]), pa.array(np.repeat(score, n)[other])], names=["query_id", "vec_id", "score"])
 
     return run
 
 
-def centre_part(length: np.ndarray) -> np.ndarray:
-    """<c, x - c> of unit vectors: from |x - c|^2 = 2 - 2<c, x>."""
-    return -length * length / 2
-
-
 class Index:
-    def __init__(self, vectors: DataFrame, most: int = 20_000, lists: int | None = None, scratch: Scratch | None = None):
-        """``vectors``: vec_id, embedding."""
-        self.spark = vectors.sparkSession
+    def __init__(self, vectors: DataFrame, k: int = 5, bits: int = 8, most: int = 20_000, lists: int = 64, scratch: Scratch | None = None):
+        """``vectors``: vec_id, embedding.  ``k``: the most neighbours to be asked for; ``bits``: rotations, so bits a dimension."""
+        self.spark, self.k = vectors.sparkSession, k
         self.scratch = scratch or Scratch(self.spark, "nearest")
-        whole = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where(F.col("vec_id").isNotNull() & _valid("embedding"))
+        whole = self._plain(vectors)
         sizes = whole.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").limit(1).collect()
-        self.dim, self.rows = (sizes[0]["dim"], sizes[0]["n"]) if sizes else (1, 0)
-        self.vectors = whole.where(F.size("embedding") == self.dim)
-        k = lists or max(1, min(1024, math.isqrt(self.rows) // 8))
-        sample = self.vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(most).toArrow()
+        self.dim = sizes[0]["dim"] if sizes else 1
+        self.vectors = self._classes(whole.where(F.size("embedding") == self.dim))
+        self.rows = self.vectors.count()
+        sample = self.vectors.select("embedding", F.xxhash64("key").alias("at"), "key").orderBy("at", "key").limit(most).toArrow()
         x = unit(_matrix(sample.column("embedding"), self.dim)) if sample.num_rows else np.zeros((0, self.dim))
-        self.centres = centres(x, k) if len(x) else np.ones((1, self.dim)) / math.sqrt(self.dim)
-        self.shared = self.spark.sparkContext.broadcast((self.centres, rotation(self.dim)))
-        self._only = self.spark.sparkContext.broadcast(self.centres)
-        self.blocks = self._index()
-
-    def _dealt(self, rows: DataFrame, salt, *more: str) -> DataFrame:
-        return rows.withColumn("salt", salt).repartition("centre", "salt").sortWithinPartitions("centre").select("vec_id", "centre", "embedding", *more)
-
-    def _index(self) -> DataFrame:
-        own = self.scratch.save(self.vectors.mapInArrow(_assign(self._only, self.dim, None), "vec_id long, centre int, embedding array<double>"), "assigned")
-        counts = {r["centre"]: r["n"] for r in own.groupBy("centre").agg(F.count("*").alias("n")).collect()}  # one for each centre
-        salts = F.from_json(F.lit(str([-(-counts.get(i, 0) // BLOCK) or 1 for i in range(len(self.centres))])), "array<int>")
-        salt = F.pmod(F.xxhash64("vec_id", "embedding"), F.element_at(salts, F.col("centre") + 1).cast("long"))
-        blocks = self._dealt(own, salt).mapInArrow(_blocks(self.shared, self.dim, BLOCK, True), "centre int, ids binary, vectors binary, bits binary, lengths binary, inners binary")
-        return self.scratch.save(blocks, "blocks")
-
-    def search(self, queries: DataFrame, k: int = 5, first: int = 2, probes: int | None = None) -> DataFrame:
-        """query_id, rank, vec_id, score for ``queries`` (vec_id, embedding), a query's own id left out.
-
-        ``first`` centres set the score to reach; ``probes`` centres are searched then, None: all.
-        """
-        queries = queries.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where(F.col("vec_id").isNotNull() & _valid("embedding") & (F.size("embedding") == self.dim)).dropDuplicates(["vec_id"])
-        queries = self.scratch.save(queries.withColumn("floor", F.lit(-2.0)), "queries")
-        some = self.scratch.save(self._found(queries, k, first), "first")
-        if first >= len(self.centres):
-            return some
-        return self._found(self._floored(queries, some, k), k, len(self.centres), some) if probes is None else self._probed(queries, some, k, probes)
+        c = centres(x, max(1, min(lists, len(x) // 64))) if len(x) else np.ones((1, self.dim)) / math.sqrt(self.dim)
+        self.shared = self.spark.sparkContext.broadcast((c, rotations(self.dim, bits)))
+        coded = self.vectors.select("key", "embedding").mapInArrow(_coded(self.shared, self.dim), "key long, centre int, bits binary, scale float, spread float, bias float")
+        self.codes = self.scratch.save(coded, "codes")
 
     @staticmethod
-    def _floored(queries: DataFrame, found: DataFrame, k: int) -> DataFrame:
-        """Queries with the k-th best score that has been found, if so many have."""
-        reached = found.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("__s"))
-        return queries.join(reached, "vec_id", "left").select("vec_id", "embedding", F.coalesce("__s", "floor").alias("floor"))
-
-    def _probed(self, queries: DataFrame, some: DataFrame, k: int, probes: int) -> DataFrame:
-        """Of the nearest centres only; queries for which those hold fewer than k vectors look at all."""
-        found = self.scratch.save(self._found(self._floored(queries, some, k), k, probes, some), "probed")
-        full = found.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"))
-        short = self.scratch.save(queries.join(full, "vec_id", "left_anti"), "short")
-        if not short.limit(1).count():
-            return found
-        again = self._found(short, k, len(self.centres))
-        return found.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").unionByName(again)
-
-    def _found(self, queries: DataFrame, k: int, probes: int, also: DataFrame | None = None) -> DataFrame:
-        probed = queries.mapInArrow(_assign(self._only, self.dim, probes), "vec_id long, centre int, embedding array<double>, floor double")
-        packed = self._dealt(probed, F.lit(0), "floor").mapInArrow(_blocks(self.shared, self.dim, QUERIES, False), "centre int, ids binary, vectors binary, floors binary")
-        packed = packed.withColumnsRenamed({"ids": "qids", "vectors": "queries"})
-        # a pair of blocks is one unit of work, and pairs are spread
-        pairs = self.blocks.join(packed, "centre").repartition(F.xxhash64("ids", "qids"))
-        best = pairs.mapInArrow(_search(self.shared, self.dim, k), "query_id long, vec_id long, score double")
-        if also is not None:  # found already, whatever the bound says
-            best = best.unionByName(also.select(*best.columns))
-        best = best.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    def _plain(vectors: DataFrame) -> DataFrame:
+        kind = vectors.schema["embedding"].dataType
+        own = isinstance(kind, ArrayType) and isinstance(kind.elementType, (FloatType, DoubleType))
+        e = F.col("embedding") if own else F.col("embedding").cast("array<double>")
+        return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), e.alias("embedding")).where(F.col("vec_id").isNotNull() & _valid("embedding"))
+
+    def _classes(self, rows: DataFrame) -> DataFrame:
+        """(key, ids, embedding): each distinct vector with its ``k`` + 1 smallest ids, which are all that can be asked for."""
+        rank = F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))
+        low = rows.distinct().withColumn("rank", rank).where(F.col("rank") <= self.k + 1)
+        classes = low.groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
+        # vectors that meet under one key by accident are both scored
+        return self.scratch.save(classes.select(F.xxhash64("embedding", "ids").alias("key"), "ids", "embedding"), "vectors")
+
+    def _queries(self, queries: DataFrame) -> DataFrame:
+        own = self._plain(queries).where(F.size("embedding") == self.dim).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+        return self.scratch.save(own.withColumnRenamed("vec_id", "query_id"), "queries")
+
+    def _pairs(self, queries: DataFrame, sure: float | None, keep: int | None) -> DataFrame:
+        """(query_id, key, guess) of codes and queries in groups, each pair of groups one unit of work."""
+        least = min(2 * self.spark.sparkContext.defaultParallelism, -(-self.rows // 1024))
+        g, h = max(1, least, -(-self.rows // CODES)), max(1, -(-queries.count() // QUERIES))
+        every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+        codes = self.codes.withColumn("g", F.pmod(F.xxhash64("key"), F.lit(g))).select("*", every(h).alias("h"))
+        asked = queries.withColumn("h", F.pmod(F.xxhash64("query_id"), F.lit(h))).select("*", every(g).alias("g"))
+        return codes.groupBy("g", "h").cogroup(asked.groupBy("g", "h")).applyInArrow(_scan(self.shared, self.dim, sure, keep), "query_id long, key long, guess double")
+
+    def _best(self, pairs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+        """query_id, rank, vec_id, score of the best ``k`` of ``pairs`` (query_id, key), on original vectors."""
+        wanted = pairs.select("key").distinct()
+        wanted = broadcast_if(self.scratch.save(wanted, f"wanted-{self.steps}"), F.lit(1), 1_000_000)
+        vectors = self.vectors.join(wanted, "key", "left_semi").withColumnRenamed("embedding", "vector")
+        asked = broadcast_if(queries.select("query_id", F.col("embedding").alias("query")), F.lit(self.dim), 2_000_000)
+        both = pairs.select("query_id", "key").join(vectors, "key").join(asked, "query_id").select("query_id", "ids", "vector", "query")
+        scored = both.mapInArrow(_scored(self.dim), "query_id long, vec_id long, score double")
+        scored = scored.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-        return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    def search(self, queries: DataFrame, k: int | None = None, sure: float | None = 2.5) -> DataFrame:
+        """query_id, rank, vec_id, score for ``queries`` (vec_id, embedding), a query's own id left out."""
+        k = self.k if k is None else k
+        if not 0 < k <= self.k:
+            raise ValueError(f"k must be from 1 to {self.k}, which the index was made for")
+        self.steps = 0
+        queries = self._queries(queries)
+        guessed = self._pairs(queries.withColumn("floor", F.lit(0.0)), sure, 2 * k + 1)
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("guess"), "key"))
+        guessed = self.scratch.save(guessed.withColumn("rank", rank).where(F.col("rank") <= 2 * k + 1), "guessed")
+        reached = self._best(guessed, queries, k).where(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
+        floored = self.scratch.save(queries.join(reached, "query_id", "left").select("query_id", "embedding", F.coalesce("floor", F.lit(-2.0)).alias("floor")), "floored")
+        self.survivors = self.scratch.save(self._pairs(floored, sure, None), "survivors")
+        self.steps = 1
+        return self._best(self.survivors, queries, k)
+
+    def share_scored(self) -> float:
+        """Of the last search: survivors by pairs of a query and a vector."""
+        asked = self.survivors.select("query_id").distinct().count()
+        return self.survivors.count() / max(1, asked * self.rows)
 
 
 def report(embeddings: DataFrame, every: int = 50, k: int = 5, **options) -> DataFrame:
     """The contract's rows: the k nearest of each query."""
-    return Index(embeddings, **options).search(embeddings.where(F.col("vec_id") % every == 0), k)
+    return Index(embeddings, k, **options).search(embeddings.where(F.col("vec_id") % every == 0), k)
