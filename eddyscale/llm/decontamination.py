@@ -6,26 +6,29 @@ longest suffix read so far that occurs in some item.  Where that suffix is at le
 long, the words of the window are hit, and the state reached by shortening it to a window tells
 which items hold it.  Items shorter than a window count as one window of their own length.
 
-Scale: one map over the documents, no shuffle.  Items are taken in chunks of a bounded number
+Scale: one map over the documents, no shuffle; an automaton is built once a Python worker.  Items are taken in chunks of a bounded number
 of words, so that an automaton's size doesn't follow the benchmark's: a larger benchmark takes
 more passes, each of which adds its spans to those found before.
 
 Defined results: null or empty texts have no words and are clean; items without words are
-ignored; items of null id hit words but aren't listed; repeated rows are judged one by one;
-an empty benchmark leaves every document clean.
+ignored; items of null id hit words but aren't listed; repeated rows are judged one by one, and
+repeated items are one; texts are read whole, whatever their length; an empty benchmark leaves
+every document clean, an empty table gives an empty one; there are no ties.  Columns of any name
+come back as they were; what is found takes an underscore in front where a column is named so.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_list, pieces
+from .common import column_list, fold, free, pieces, quoted, unfold, with_fields
 
 #: Words are runs of digits, letters and everything beyond ASCII; A-Z is lowered.
 _TABLE = bytes(
@@ -182,13 +185,26 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 _FOUND = "n_words long, n_hit long, longest_match int, items array<string>, starts array<int>, ends array<int>"
+_NAMES = ("n_words", "n_hit", "longest_match", "items", "starts", "ends")
+#: The last matcher of this Python worker, by its broadcast's name: workers outlive tasks.
+_MATCHERS: dict[str, Matcher] = {}
 
 
-def _scan_with(items, window: int, keep: list[str], schema: pa.Schema, again: bool):
+def _matcher(name: str, shared, window: int) -> Matcher:
+    if name not in _MATCHERS:
+        _MATCHERS.clear()
+        _MATCHERS[name] = Matcher(shared.value, window)
+    return _MATCHERS[name]
+
+
+def _scan(name: str, shared, window: int, again: bool):
+    """Rows of kept, text and what is found; ``again``: added to what an earlier chunk has found."""
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int32())]
+
     def run(batches):
-        matcher = Matcher(items, window)
+        matcher = _matcher(name, shared, window)
         for batch in pieces(batches):
-            made = {n: [] for n in schema.names[len(keep) :]}
+            made: list[list] = [[] for _ in kinds]
             before = zip(*(column_list(batch, n) for n in ("items", "starts", "ends", "longest_match")), strict=True) if again else None
             for text in column_list(batch, "text"):
                 tokens = words(text)
@@ -197,42 +213,46 @@ def _scan_with(items, window: int, keep: list[str], schema: pa.Schema, again: bo
                 if before is not None:
                     listed, starts, ends, most = next(before)
                     spans, found, longest = merge([*spans, *zip(starts, ends, strict=True)]), found.union(listed), max(longest, most)
-                for name, value in zip(made, (len(tokens), sum(b - a for a, b in spans), longest, sorted(found), [a for a, _ in spans], [b for _, b in spans]), strict=True):
-                    made[name].append(value)
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(n)) for n in keep] + [pa.array(v, schema.field(n).type) for n, v in made.items()], schema=schema)
+                for out, value in zip(made, (len(tokens), sum(b - a for a, b in spans), longest, sorted(found), [a for a, _ in spans], [b for _, b in spans]), strict=True):
+                    out.append(value)
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in ("kept", "text")), *(pa.array(v, t) for v, t in zip(made, kinds, strict=True))], names=["kept", "text", *_NAMES])
 
     return run
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, keep: tuple[str, ...] = ("doc_id",), chunk_words: int = 100_000) -> DataFrame:
-    """``keep`` columns, ``text`` and, for each row, the words, hit words, longest match, item ids and hit spans."""
-    from pyspark.sql.pandas.types import to_arrow_schema
+def _cut(batches):
+    """Rows of kept and the text without its spans."""
+    for batch in pieces(batches):
+        texts = [cut(t, list(zip(a, b, strict=True))) if a else t for t, a, b in zip(*(column_list(batch, n) for n in ("text", "starts", "ends")), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("kept")), pa.array(texts, pa.string())], names=["kept", "text"])
+
 
-    spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").alias("item_id"), F.col("text").alias("text"))
+def _found(rows: DataFrame, benchmark: DataFrame, window: int, chunk_words: int) -> DataFrame:
+    """``rows`` (kept, text) with what is found in them."""
+    spark = rows.sparkSession
+    items = benchmark.select("item_id", "text")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = 1 + int(total) // (chunk_words * 4)  # a word takes two bytes at least; half the bound, for an uneven deal
-    cols = list(dict.fromkeys([*keep, "text"]))
-    out = docs.select(*cols)
+    schema = with_fields(rows.schema, _FOUND)
     for k in range(chunks):
         part = items if chunks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(chunks)) == k)
-        rows = [tuple(r) for r in part.collect()]  # bounded: about chunk_words words
-        shared = spark.sparkContext.broadcast(rows)
-        schema = spark.createDataFrame([], ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*cols).schema] + [_FOUND])).schema
-        arrow = to_arrow_schema(schema)
-        out = out.mapInArrow(_lazy(shared, window, cols, arrow, k > 0), schema)
-    return out
+        shared = spark.sparkContext.broadcast([tuple(r) for r in part.collect()])  # bounded: about chunk_words words
+        rows = rows.mapInArrow(_scan(uuid.uuid4().hex, shared, window, k > 0), schema)
+    return rows
 
 
-def _lazy(shared, window, cols, arrow, again):
-    return lambda batches: _scan_with(shared.value, window, cols, arrow, again)(batches)
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, keep: tuple[str, ...] = ("doc_id",), chunk_words: int = 100_000) -> DataFrame:
+    """``keep`` columns, ``text`` and, for each row, the words, hit words, longest match, item ids and hit spans."""
+    cols = list(dict.fromkeys([*keep, "text"]))
+    found = _found(fold(docs.select(*map(quoted, cols)), "text"), benchmark, window, chunk_words)
+    return unfold(found, cols, *(F.col(n).alias(free(n, cols)) for n in _NAMES))
 
 
 def _limit(n_hit, n_words, share: int):
     return (n_hit > 0) & (share * n_hit >= n_words)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20, mode: str = "drop") -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20, mode: str = "drop", chunk_words: int = 100_000) -> DataFrame:
     """Documents without benchmark passages, all columns kept.
 
     ``drop`` leaves out documents of which at least one word in ``share`` is hit; ``cut`` keeps
@@ -240,12 +260,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
     """
     if mode not in ("drop", "cut"):
         raise ValueError(f"mode: {mode!r}")
-    cols = docs.columns
-    found = contamination(docs.select(*cols), benchmark, window, keep=tuple(cols))
+    rows = fold(docs, "text")
+    found = _found(rows, benchmark, window, chunk_words)
     if mode == "drop":
-        return found.where(~_limit(F.col("n_hit"), F.col("n_words"), share)).select(*cols)
-    clean = F.udf(lambda text, starts, ends: cut(text, list(zip(starts, ends, strict=True))), "string", useArrow=True)
-    return found.withColumn("text", F.when(F.size("starts") > 0, clean("text", "starts", "ends")).otherwise(F.col("text"))).select(*cols)
+        return unfold(found.where(~_limit(F.col("n_hit"), F.col("n_words"), share)), docs.columns)
+    return unfold(found.mapInArrow(_cut, rows.schema), docs.columns)
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
