@@ -5,25 +5,33 @@ orders the rows, and runs of that order become shards.  Neighbours on the curve
 in every dimension, so a shard's minima and maxima of each dimension stay narrow and a reader
 prunes shards by any of them.
 
-Strings are quantised by the number that their first seven UTF-8 bytes make, which keeps their
-order; numbers directly.  Boundaries come from ``percentile_approx`` over all rows.
+Numbers are quantised by ``percentile_approx`` over all rows; strings by the whole string: the
+distinct values are counted, ranked and cut where their running count passes each share, so that
+values with a long common beginning part like any others.
 
 Scale: the texts are read once, to be measured; 40 bytes a row are range-partitioned by curve
 index and tie-breakers, so equal cells and copies spread over partitions.  Places in the order
-come from each partition's row count, a sum over as many numbers as there are partitions.
+come from each partition's row count, a sum over as many numbers as there are partitions; ranks
+of strings likewise, over distinct values.
 
 The law is ``rows``: counts of any two shards differ by one at most.  Defined results: null
-text counts as empty; null metadata sorts first; copies and repeated rows may part; fewer rows
-than shards leave the last shards empty.
+text counts as empty; null metadata sorts first; within a cell, rows go by size and checksum, so
+that equal texts are neighbours, then by id; a group of equal texts parts only where a shard is
+full, or where its other metadata differ; repeated rows are placed each, a null id first; texts
+of any length count by their size; fewer rows than shards leave the last shards empty; an empty
+table gives an empty one.  Columns of any name are written as they were; the shard's folder takes
+an underscore in front where a column is named ``shard``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .common import Scratch
+from .common import Scratch, free, quoted, unfold
 
 
 def hilbert_table(dims: int, bits: int) -> list[int]:
@@ -53,32 +61,66 @@ def hilbert_table(dims: int, bits: int) -> list[int]:
     return out
 
 
-def _number(column):
-    """A string's first seven bytes as a number in the strings' order; -1 for null."""
-    code = F.conv(F.hex(F.substring(F.concat(column.cast("binary"), F.lit(b"\0" * 7)), 1, 7)), 16, 10)
-    return F.coalesce(code.cast("long"), F.lit(-1).cast("long"))
+def _levels(column: str, bounds: list):
+    """How many of the sorted ``bounds`` a column lies above; null lies above none."""
+    level = F.lit(0)
+    for bound in sorted(set(bounds)):
+        level = level + F.coalesce((F.col(column) > F.lit(bound)).cast("int"), F.lit(0))
+    return level
 
 
-def hilbert_order(docs: DataFrame, keep: list[str], dims: list[str], bits: int = 4) -> DataFrame:
+def _string_bounds(rows: DataFrame, columns: list[str], shares: list[float], scratch: Scratch) -> dict[str, list[str]]:
+    """Of each string column, the values where the running count of rows passes each share."""
+    if not columns:
+        return {}
+    counts = [rows.where(F.col(c).isNotNull()).groupBy(F.lit(c).alias("dim"), F.col(c).alias("value")).agg(F.count("*").alias("n")) for c in columns]
+    counts = reduce(DataFrame.unionByName, counts)
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = counts.repartitionByRange(n, "dim", "value").withColumn("part", F.spark_partition_id())
+    dealt = scratch.save(dealt, "values")  # written, since partitions hold for one deal only
+    sums = dealt.groupBy("dim", "part").agg(F.sum("n").alias("n")).collect()  # one number for each partition
+    total, starts = {}, []
+    for r in sorted(sums, key=lambda r: (r["dim"], r["part"])):
+        starts.append((r["dim"], r["part"], total.get(r["dim"], 0)))
+        total[r["dim"]] = total.get(r["dim"], 0) + r["n"]
+    if not total:
+        return {c: [] for c in columns}
+    spark = rows.sparkSession
+    starts = F.broadcast(spark.createDataFrame(starts, "dim string, part int, before long"))
+    totals = F.broadcast(spark.createDataFrame(list(total.items()), "dim string, total long"))
+    up_to = F.col("before") + F.sum("n").over(Window.partitionBy("dim", "part").orderBy("value"))
+    run = dealt.join(starts, ["dim", "part"]).join(totals, "dim").withColumn("up_to", up_to)
+    marks = F.array(*[F.lit(s) * F.col("total") for s in shares])
+    crossed = F.exists(marks, lambda m: (F.col("up_to") >= m) & (F.col("up_to") - F.col("n") < m))
+    found = run.where(crossed).select("dim", "value").collect()  # at most one a share
+    return {c: [r["value"] for r in found if r["dim"] == c] for c in columns}
+
+
+def hilbert_order(docs: DataFrame, keep: list[str], dims: list[str], bits: int = 4, scratch: Scratch | None = None) -> DataFrame:
     """``keep`` and ``curve``, the Hilbert index of the quantised ``dims`` (at most 12 bits in all)."""
     if not dims or len(dims) * bits > 12:
         raise ValueError("dims times bits must be from 1 to 12")
     kinds = {f.name: f.dataType for f in docs.schema}
-    coded = docs.select(*keep, *(( _number(F.col(d)) if isinstance(kinds[d], StringType) else F.coalesce(F.col(d).cast("long"), F.lit(-1).cast("long"))).alias(f"__dim{i}") for i, d in enumerate(dims)))
-    return _curve(coded, keep, len(dims), bits)
+    own = lambda d: F.col(quoted(d)) if isinstance(kinds[d], StringType) else F.col(quoted(d)).cast("long")
+    kept = F.struct(*(F.col(quoted(c)).alias(c) for c in keep))
+    coded = docs.select(kept.alias("kept"), *(own(d).alias(f"dim{i}") for i, d in enumerate(dims)))
+    return unfold(_curve(coded, len(dims), bits, scratch or Scratch(docs.sparkSession, "curve")), keep, F.col("curve").alias(free("curve", keep)))
 
 
-def _curve(coded: DataFrame, keep: list[str], n: int, bits: int) -> DataFrame:
+def _curve(coded: DataFrame, n: int, bits: int, scratch: Scratch) -> DataFrame:
+    """Columns but dim0, dim1 and so on, and ``curve``."""
+    names = [f"dim{i}" for i in range(n)]
     shares = [k / (1 << bits) for k in range(1, 1 << bits)]
-    found = coded.agg(*(F.percentile_approx(f"__dim{i}", shares, 10_000).alias(str(i)) for i in range(n))).first()
+    strings = [d for d in names if isinstance(coded.schema[d].dataType, StringType)]
+    bounds = _string_bounds(coded, strings, shares, scratch)
+    if numbers := [d for d in names if d not in strings]:
+        found = coded.agg(*(F.percentile_approx(d, shares, 10_000).alias(d) for d in numbers)).first()
+        bounds |= {d: found[d] or [] for d in numbers}
     cell = F.lit(0)
-    for i in range(n):
-        level = F.lit(0)
-        for bound in sorted(set(found[i] or [])):
-            level = level + (F.col(f"__dim{i}") > bound).cast("int")
-        cell = cell * (1 << bits) + level
+    for d in names:
+        cell = cell * (1 << bits) + _levels(d, bounds[d])
     table = F.from_json(F.lit(str(hilbert_table(n, bits))), "array<int>")
-    return coded.select(*keep, F.element_at(table, cell + 1).alias("curve"))
+    return coded.select(*(c for c in coded.columns if c not in names), F.element_at(table, cell + 1).alias("curve"))
 
 
 def numbered(rows: DataFrame, order: list[str], scratch: Scratch, name: str) -> DataFrame:
@@ -111,20 +153,15 @@ def runs(rows: DataFrame, shards: int) -> DataFrame:
 def shard_documents(docs: DataFrame, shards: int = 24, bits: int = 4, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, size, text_crc32, curve, shard, slot of each row."""
     scratch = scratch or Scratch(docs.sparkSession, "sharding")
-    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 8
     known = {f.name for f in docs.schema}
     text = lambda c: F.col(c).cast("string") if c in known else F.lit(None).cast("string")
-    measured = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        size.alias("size"),
-        F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
-        _number(text("source")).alias("__dim0"),
-        _number(text("lang")).alias("__dim1"),
-        size.alias("__dim2"),
-    )
-    measured = scratch.save(measured, "measured")
-    curve = _curve(measured, ["doc_id", "size", "text_crc32"], 3, bits)
-    return runs(numbered(curve, ["curve", "doc_id", "size", "text_crc32"], scratch, "ordered"), shards)
+    measured = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_measures(), text("source").alias("dim0"), text("lang").alias("dim1")).withColumn("dim2", F.col("size"))
+    curve = _curve(scratch.save(measured, "measured"), 3, bits, scratch)
+    return runs(numbered(curve, ["curve", "size", "text_crc32", "doc_id"], scratch, "ordered"), shards)
+
+
+def _measures():
+    return (F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 8).alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32")
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 24, bits: int = 4) -> None:
@@ -134,11 +171,12 @@ def write_shards(docs: DataFrame, path: str, shards: int = 24, bits: int = 4) ->
     """
     key = ["doc_id", "size", "text_crc32"]
     place = shard_documents(docs, shards, bits).groupBy(*key).agg(F.min("shard").alias("shard"), F.min("curve").alias("curve"))
-    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 8
-    rows = docs.withColumns({"__size": size, "__crc": F.crc32(F.coalesce("text", F.lit("")).cast("binary"))})
-    on = rows["doc_id"].eqNullSafe(place["doc_id"]) & (rows["__size"] == place["size"]) & (rows["__crc"] == place["text_crc32"])
-    out = rows.join(place, on).select(*(rows[c] for c in docs.columns if c not in ("shard", "curve")), place["shard"], place["curve"])
-    out.repartitionByRange("shard", "curve").sortWithinPartitions("shard", "curve").drop("curve").write.partitionBy("shard").parquet(path)
+    place = place.withColumnsRenamed({c: f"_{c}" for c in key})
+    rows = docs.select(F.struct(*(F.col(quoted(c)).alias(c) for c in docs.columns)).alias("kept"), F.col("doc_id").cast("long").alias("doc_id"), *_measures())
+    on = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("size") == F.col("_size")) & (F.col("text_crc32") == F.col("_text_crc32"))
+    folder = free("shard", docs.columns)
+    out = rows.join(place, on).repartitionByRange("shard", "curve").sortWithinPartitions("shard", "curve")
+    unfold(out, docs.columns, F.col("shard").alias(folder)).write.partitionBy(folder).parquet(path)
 
 
 def report(docs: DataFrame, shards: int = 24) -> DataFrame:
