@@ -1,9 +1,9 @@
 """Best-fit packing of token sequences with exact-complement hashing.
 
 Only lengths matter for a plan, and there are no more lengths than the capacity: the plan is
-made on the histogram of piece lengths.  From the longest length down, sums of one, two and
-three available lengths are looked up for the one that fills the gap exactly, and as many
-sequences as the counts allow are made of each combination.  What finds no exact complement is
+made on the histogram of piece lengths.  Sums of one, two and three lengths are indexed by sum.
+From the longest length down, the gap is looked up for a combination that fills it exactly, and
+as many sequences as the counts allow are made of each.  What finds no exact complement is
 packed by best fit, decreasing.  A plan is a list of patterns, each with a count.
 
 Pieces then find their places without meeting: a piece's rank among those of its length points
@@ -14,7 +14,10 @@ few thousand patterns whatever the input, and is made on the driver from at most
 counts.
 
 Defined results: null or empty texts are one token, the end; only documents longer than the
-capacity are cut; repeated rows are packed each; an empty table gives no sequences.
+capacity are cut, however long they are; repeated rows are packed each, null ids as well; pieces
+of one length are alike, so ties need no rule; an empty table gives no sequences.  Kept columns
+of any name come back as they were; a result's column takes an underscore in front where a kept
+one is named so.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, column_list, pieces
+from .common import Scratch, column_list, free, pieces, quoted, unfold, with_fields
 
 #: A word of Latin letters with a tail of ASCII punctuation: its tokens are the word's and the tail's.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-/:-@\[-`{-~]*)\Z")
@@ -101,9 +104,46 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+class Sums:
+    """Sums of two and of three lengths, by sum: what fills a gap exactly is looked up.
+
+    An entry of two is its larger length, one of three its first length, whose rest is an entry
+    of two.  Counts only fall, so an entry that has run out is passed once and for all.
+    """
+
+    def __init__(self, left: list[int], capacity: int):
+        self.left = left
+        self.have = np.flatnonzero(left)
+        self.two: list[list[int]] = [[] for _ in range(capacity + 1)]
+        for a in self.have[::-1].tolist():  # so that each list falls
+            for b in self.have[self.have <= min(a, capacity - a)].tolist():
+                self.two[a + b].append(a)
+        self.at = [0] * (capacity + 1)
+        self.three: dict[int, list[int]] = {}
+
+    def _lasts(self, a: int, b: int) -> bool:
+        return self.left[a] > (a == b) and self.left[b] > 0
+
+    def pairs(self, total: int):
+        """The larger lengths of pairs of that sum that are there, longest first."""
+        entries = self.two[total]
+        while self.at[total] < len(entries) and not self._lasts(a := entries[self.at[total]], total - a):
+            self.at[total] += 1
+        for a in entries[self.at[total] :]:
+            if self._lasts(a, total - a):
+                yield a
+
+    def firsts(self, total: int):
+        """Lengths that with a pair make that sum, longest first."""
+        if total not in self.three:
+            self.three[total] = [x for x in self.have[::-1].tolist() if x < total and 3 * x >= total and self.two[total - x]]
+        entries = self.three[total] = [x for x in self.three[total] if self.left[x] > 0]
+        yield from entries
+
+
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """Patterns of lengths with how many sequences follow each; every length is used up."""
-    left = np.zeros(capacity + 1, np.int64)
+    left = [0] * (capacity + 1)
     for length, n in counts.items():
         if not 0 < length <= capacity:
             raise ValueError(f"length {length}")
@@ -112,40 +152,27 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], i
 
     def take(pattern: tuple[int, ...]) -> bool:
         need = {x: pattern.count(x) for x in pattern}
-        n = min(int(left[x]) // k for x, k in need.items())
+        n = min(left[x] // k for x, k in need.items())
         for x, k in need.items():
             left[x] -= n * k
         if n:
             patterns[tuple(sorted(pattern, reverse=True))] += n
         return n > 0
 
-    def single(long: int, gap: int) -> bool:
-        return left[gap] > 0 and take((long, gap))
-
-    def pair(long: int, gap: int) -> bool:
-        a = np.arange((gap + 1) // 2, gap)
-        for x in a[(left[a] > 0) & (left[gap - a] > 0)][::-1].tolist():
-            if take((long, x, gap - x)):
-                return True
-        return False
-
-    def triple(long: int, gap: int) -> bool:
-        have = np.flatnonzero(left[: gap - 1])
-        for x in have[have >= gap // 3][::-1].tolist():
-            rest = gap - x
-            b = np.arange((rest + 1) // 2, rest)
-            for y in b[(left[b] > 0) & (left[rest - b] > 0)][::-1].tolist():
-                if take((long, x, y, rest - y)):
-                    return True
-        return False
+    def fill(long: int, gap: int) -> bool:
+        if left[gap] > 0 and take((long, gap)):
+            return True
+        if any(take((long, a, gap - a)) for a in sums.pairs(gap)):
+            return True
+        return any(take((long, x, a, gap - x - a)) for x in sums.firsts(gap) for a in sums.pairs(gap - x))
 
+    sums = Sums(left, capacity)
     for long in range(capacity, 0, -1):
         gap = capacity - long
         if gap == 0 and left[long]:
             take((long,))
-        for fill in (single, pair, triple):
-            while gap > 0 and left[long] and fill(long, gap):
-                pass
+        while gap > 0 and left[long] and fill(long, gap):
+            pass
     # what is left, by best fit: open sequences are kept by gap, alike ones together
     gaps: list[int] = []
     opened: dict[int, list[list]] = defaultdict(list)
@@ -156,7 +183,7 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], i
         opened[gap].append([pattern, n])
 
     for length in range(capacity, 0, -1):
-        n = int(left[length])
+        n = left[length]
         while n:
             at = bisect_left(gaps, length)
             if at < len(gaps):
@@ -196,12 +223,15 @@ def intervals(patterns: list[tuple[tuple[int, ...], int]], base: int) -> np.ndar
     return np.array(sorted(rows), np.int64).reshape(-1, 3)
 
 
-def _cut_up(path: str, capacity: int, end: int, keep: list[str], schema: pa.Schema):
+_PIECE = "piece int, start long, length long, ids_crc32 long"
+
+
+def _cut_up(path: str, capacity: int, end: int):
     tail = int(end).to_bytes(4, "little")
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
 
     def run(batches):
         encode, seen, part = encoder(path), defaultdict(int), TaskContext.get().partitionId()
-        names = schema.names[len(keep) :]
         for batch in pieces(batches, rows=500):
             rows, take = [], []
             for i, text in enumerate(column_list(batch, "text")):
@@ -212,37 +242,32 @@ def _cut_up(path: str, capacity: int, end: int, keep: list[str], schema: pa.Sche
                     rows.append((k, at // 4, length, zlib.crc32(one), part, seen[length]))
                     seen[length] += 1
                     take.append(i)
-            kept = batch.select(keep).take(pa.array(take, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*kept.columns, *(pa.array(list(x), schema.field(n).type) for n, x in zip(names, zip(*rows, strict=True), strict=True))], schema=schema)
+            kept = batch.column(batch.schema.get_field_index("kept")).take(pa.array(take, pa.int64()))
+            yield pa.RecordBatch.from_arrays([kept, *(pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds))], names=["kept", "piece", "start", "length", "ids_crc32", "part", "nth"])
 
     return run
 
 
-def _place(shared, base: int, schema: pa.Schema):
+def _place(shared, base: int):
     def run(batches):
         table = shared.value
         for batch in batches:
             rank = batch.column("rank").to_numpy(zero_copy_only=False)
             key = batch.column("length").to_numpy(zero_copy_only=False) * base + rank
             at = np.searchsorted(table[:, 0], key, side="right") - 1
-            made = {"sequence_id": table[at, 1] + (key - table[at, 0]), "offset": table[at, 2]}
-            yield pa.RecordBatch.from_arrays([pa.array(made[n]) if n in made else batch.column(n) for n in schema.names], schema=schema)
+            own = batch.select([n for n in batch.schema.names if n != "rank"])
+            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(table[at, 1] + (key - table[at, 0])), pa.array(table[at, 2])], names=[*own.schema.names, "sequence_id", "offset"])
 
     return run
 
 
 def pack(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None, end: int = 0, keep: tuple[str, ...] = ("doc_id",), scratch: Scratch | None = None) -> DataFrame:
     """``keep`` columns and each piece's piece, start, length, ids_crc32, sequence_id and offset."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import IntegerType, LongType, StructField, StructType
-
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "packing")
-    own = [StructField("piece", IntegerType()), *(StructField(n, LongType()) for n in ("start", "length", "ids_crc32"))]
-    extra = [StructField("part", IntegerType()), StructField("nth", LongType())]
-    kept = [docs.schema[c] for c in keep]
-    schema = StructType([*kept, *own, *extra])
-    cut = docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(_cut_up(tokenizer or default_tokenizer(), capacity, end, list(keep), to_arrow_schema(schema)), schema)
+    kept = F.struct(*([F.col(quoted(c)).alias(c) for c in keep] or [F.lit(0).alias("none")]))
+    rows = docs.select(kept.alias("kept"), "text")
+    cut = rows.mapInArrow(_cut_up(tokenizer or default_tokenizer(), capacity, end), with_fields(rows.select("kept").schema, f"{_PIECE}, part int, nth long"))
     cut = scratch.save(cut, "pieces")  # written, since a task's counts hold for one deal only
     counts = cut.groupBy("part", "length").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -250,10 +275,11 @@ def pack(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None, en
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most capacity rows
     base = 1 << 48
     shared = spark.sparkContext.broadcast(intervals(plan(histogram, capacity), base))
-    ranked = cut.join(counts.select("part", "length", "before"), ["part", "length"]).withColumn("rank", F.col("before") + F.col("nth"))
-    out = StructType([*kept, *own, StructField("sequence_id", LongType()), StructField("offset", LongType())])
-    cols = [f.name for f in [*kept, *own]]
-    return ranked.select(*cols, "rank").mapInArrow(_place(shared, base, to_arrow_schema(out)), out)
+    # the counts grow with the number of tasks, so they are merged, not broadcast
+    ranked = cut.join(counts.select("part", "length", "before").hint("merge"), ["part", "length"]).withColumn("rank", F.col("before") + F.col("nth"))
+    names = ["kept", "piece", "start", "length", "ids_crc32"]
+    placed = ranked.select(*names, "rank").mapInArrow(_place(shared, base), with_fields(cut.select(*names).schema, "sequence_id long, offset long"))
+    return unfold(placed, list(keep), *(F.col(n).alias(free(n, list(keep))) for n in [*names[1:], "sequence_id", "offset"]))
 
 
 def report(docs: DataFrame, **options) -> DataFrame:
