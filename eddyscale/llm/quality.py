@@ -15,7 +15,11 @@ Scale: no shuffle but of the sample and of 2 MB of context sums for each task, w
 add up; the model is under 3 MB, whatever the input.
 
 Defined results: null and empty texts get the score of a zero vector; unlabelled rows and null
-labels don't train; without training rows every score is 0.5; a null id isn't held out.
+labels don't train; without training rows every score is 0.5; a null id isn't held out; repeated
+rows are scored each, and train as often as their id is labelled; texts are read whole, whatever
+their length; a score of exactly the limit is accepted; an empty table gives an empty one.
+Columns of any name come back as they were; ``score`` takes an underscore in front where a
+column is named so.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, column_list, crc_fold, pieces
+from .common import Scratch, column_list, crc_fold, fold, free, pieces, unfold, with_fields
 
 BUCKETS, WIDTH, NEAR = 4096, 64, 2
 FORM = 8
@@ -49,7 +53,7 @@ def index_vectors(seed: int = 20_240_601, ones: int = 8) -> np.ndarray:
 def shape(word: str) -> str:
     for pattern, sign in _SHAPE:
         word = pattern.sub(sign, word)
-    return word[:16]
+    return word
 
 
 class _Features(dict):
@@ -220,13 +224,13 @@ def _described(shared):
     return run
 
 
-def _scored(shared, schema: pa.Schema):
+def _scored(shared):
     def run(batches):
         describe, (table, net) = Describer(), shared.value
         for batch in pieces(batches, rows=500):
             n = batch.num_rows
             score = net(_vectors_of(column_list(batch, "text"), describe, table)) if net is not None and n else np.full(n, 0.5)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in schema.names[:-1]), pa.array(score.astype(np.float64))], schema=schema)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score.astype(np.float64))], names=[*batch.schema.names, "score"])
 
     return run
 
@@ -246,22 +250,20 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 6000, fold: int = 5, col
     return table, train(x, np.array([v for _, v in got]))
 
 
+def _marked(docs: DataFrame, model) -> DataFrame:
+    """``kept`` (all columns but the text), text, score."""
+    rows = fold(docs, "text")
+    return rows.mapInArrow(_scored(docs.sparkSession.sparkContext.broadcast(model)), with_fields(rows.schema, "score double"))
+
+
 def score(docs: DataFrame, model) -> DataFrame:
     """All columns of ``docs`` and ``score``, the probability of label 1."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import DoubleType, StructField, StructType
-
-    plain = docs.select(*(c for c in docs.columns if c != "score"))
-    schema = StructType([*plain.schema, StructField("score", DoubleType())])
-    return plain.mapInArrow(_scored(docs.sparkSession.sparkContext.broadcast(model), to_arrow_schema(schema)), schema)
+    return unfold(_marked(docs, model), docs.columns, F.col("score").alias(free("score", docs.columns)))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, least: float = 0.3, **options) -> DataFrame:
     """Documents whose score is ``least`` at least, all columns kept."""
-    cols = docs.columns
-    marked = score(docs.withColumnRenamed("score", "__score") if "score" in cols else docs, fit(docs, labels, **options))
-    kept = marked.where(F.col("score") >= least).drop("score")
-    return kept.withColumnRenamed("__score", "score").select(*cols) if "score" in cols else kept.select(*cols)
+    return unfold(_marked(docs, fit(docs, labels, **options)).where(F.col("score") >= least), docs.columns)
 
 
 def report(docs: DataFrame, labels: DataFrame, least: float = 0.3, **options) -> DataFrame:
