@@ -28,7 +28,9 @@ of documents with a candidate only.  Keys of one document are dropped where they
 
 Defined results: null, empty or blank texts have no shingles and link with nothing; fewer than
 five words make one shingle; rows of one id are one document; rows of null id have a null
-component and link nothing; an empty table gives an empty result.
+component and link nothing; texts are read whole, whatever their length; there are no ties, since
+a component is named by its smallest id; an empty table gives an empty result.  Columns of any
+name come back as they were.
 """
 
 from __future__ import annotations
@@ -42,7 +44,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import graph
-from .common import Scratch, column_list, pieces
+from .common import Scratch, column_list, free, pieces
 
 #: Odd multipliers of the words of a shingle, and those of the finaliser.
 _PLACE = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -56,31 +58,92 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        got = self[word] = xxhash.xxh3_64_intdigest(word)
-        return got
+#: Of each byte: whether it is white space, and its value, A-Z lowered, as an odd random number.
+_BLANK = np.zeros(256, bool)
+_BLANK[[0x20, *range(0x09, 0x0E)]] = True
+_VALUE = (np.random.default_rng(20_250_105).integers(0, 1 << 63, 256, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
+_VALUE[0x41:0x5B] = _VALUE[0x61:0x7B]
+#: The base of the words' polynomial, odd, and its inverse modulo 2^64.
+_BASE = 0x9FB21C651E98DF25
+_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 class Shingler:
-    def __init__(self, width: int = 5):
-        self.width, self.known = width, _Words()
+    """Distinct shingle hashes of texts, for a whole Arrow column at once.
+
+    A word's hash is a polynomial of its bytes, taken from running sums over the column's buffer
+    in chunks that end between words, so neither a dictionary nor the length of a text takes memory.
+    """
+
+    def __init__(self, width: int = 5, chunk: int = 1 << 20):
+        self.width, self.chunk = width, chunk
+        self.powers = self.inverses = np.ones(1, np.uint64)
+
+    def _grow(self, n: int) -> None:
+        if len(self.powers) < n:
+            ladder = lambda base: np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n - 1, base, np.uint64))))
+            self.powers, self.inverses = ladder(_BASE), ladder(_INVERSE)
+
+    def _words(self, data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and hashes of the words of ``data``; a word also ends at each of ``breaks``."""
+        starts, hashes, at = [np.empty(0, np.int64)], [np.empty(0, np.uint64)], 0
+        while at < len(data):
+            end = min(len(data), at + self.chunk)
+            while end < len(data):  # on to a place between words
+                if len(gap := np.flatnonzero(_BLANK[data[end - 1 : end + self.chunk]])):
+                    end += int(gap[0])
+                    break
+                end = min(len(data), end + self.chunk)
+            part = data[at:end]
+            solid = ~_BLANK[part]
+            first, last = solid.copy(), solid.copy()
+            first[1:] &= ~solid[:-1]
+            last[:-1] &= ~solid[1:]
+            own = breaks[np.searchsorted(breaks, at + 1) : np.searchsorted(breaks, end)] - at
+            first[own] = solid[own]
+            last[own - 1] = solid[own - 1]
+            first, last = np.flatnonzero(first), np.flatnonzero(last)
+            self._grow(len(part) + 1)
+            sums = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum(_VALUE[part] * self.powers[: len(part)], out=sums[1:])
+            hashes.append(mix((sums[last + 1] - sums[first]) * self.inverses[first] + (last - first).astype(np.uint64)))
+            starts.append(first + at)
+            at = end
+        return np.concatenate(starts), np.concatenate(hashes)
+
+    def sets(self, texts: pa.Array):
+        """Each text's distinct shingles' hashes, sorted; none for a null text."""
+        texts = texts.cast(pa.large_string()) if not pa.types.is_large_string(texts.type) else texts
+        _, places, data = texts.buffers()
+        offsets = np.frombuffer(places, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        low = int(offsets[0]) if len(offsets) else 0
+        data = np.frombuffer(data or b"", np.uint8)[low : int(offsets[-1]) if len(offsets) else 0]
+        offsets = offsets - low
+        starts, h = self._words(data, offsets)
+        bounds = np.searchsorted(starts, offsets)
+        w = self.width
+        total = np.empty(0, np.uint64)
+        if len(h) >= w:
+            total = h[: len(h) - w + 1] * _PLACE[0]
+            for i in range(1, w):
+                total += h[i : len(h) - w + 1 + i] * _PLACE[i]
+            total = mix(total)
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            if b - a >= w:
+                s = np.sort(total[a : b - w + 1])
+                fresh = s[1:] != s[:-1]
+                yield s if fresh.all() else s[np.concatenate(([True], fresh))]
+            elif b > a:
+                yield mix(np.array([(h[a:b] * _PLACE[: b - a]).sum(dtype=np.uint64) + np.uint64(b - a)], np.uint64))
+            else:
+                yield np.empty(0, np.uint64)
 
     def __call__(self, text: str | None) -> np.ndarray:
-        """The distinct shingles' hashes, sorted."""
-        words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-        if not words:
-            return np.empty(0, np.uint64)
-        h = np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
-        n, w = len(h), self.width
-        if n < w:
-            return mix(np.array([(h * _PLACE[:n]).sum(dtype=np.uint64) + np.uint64(n)], np.uint64))
-        total = h[: n - w + 1] * _PLACE[0]
-        for i in range(1, w):
-            total = total + h[i : n - w + 1 + i] * _PLACE[i]
-        return np.unique(mix(total))
+        return next(self.sets(pa.array([text], pa.string())))
+
+
+def _texts(batch: pa.RecordBatch) -> pa.Array:
+    return batch.column(batch.schema.get_field_index("text"))
 
 
 def needed(n):
@@ -107,8 +170,7 @@ def _measure(width: int, chunk: int):
 
         for batch in pieces(batches):
             rows = []
-            for doc, text in zip(column_list(batch, "doc_id"), column_list(batch, "text"), strict=True):
-                s = shingle(text)
+            for doc, s in zip(column_list(batch, "doc_id"), shingle.sets(_texts(batch)), strict=True):
                 who = _identity(s)
                 rows.append((0, doc, len(s), *who))
                 if who not in seen:
@@ -173,8 +235,7 @@ def _emit(width: int, shared, light: int):
         shingle, seen = Shingler(width), set()
         for batch in pieces(batches):
             keys, nodes, sizes, places = [], [], [], []
-            for doc, text in zip(column_list(batch, "doc_id"), column_list(batch, "text"), strict=True):
-                s = shingle(text)
+            for doc, s in zip(column_list(batch, "doc_id"), shingle.sets(_texts(batch)), strict=True):
                 if doc is None or not len(s) or (who := _identity(s)) in seen:
                     continue
                 seen.add(who)
@@ -214,8 +275,8 @@ def _sets(width: int, sent: bool):
         for batch in pieces(batches, rows=500):
             to, docs, sets = [], [], []
             lists = column_list(batch, "others") if sent else [None] * batch.num_rows
-            for doc, text, others in zip(column_list(batch, "doc_id"), column_list(batch, "text"), lists, strict=True):
-                s = shingle(text).view(np.int64)
+            for doc, s, others in zip(column_list(batch, "doc_id"), shingle.sets(_texts(batch)), lists, strict=True):
+                s = s.view(np.int64)
                 for other in others if sent else [doc]:
                     to.append(other)
                     docs.append(doc)
@@ -235,8 +296,7 @@ def _bits(width: int):
         shingle = Shingler(width)
         for batch in pieces(batches, rows=500):
             sizes, maps = [], []
-            for text in column_list(batch, "text"):
-                s = shingle(text)
+            for s in shingle.sets(_texts(batch)):
                 reached = np.zeros(2048, bool)
                 reached[(s >> np.uint64(53)).astype(np.int64)] = True
                 sizes.append(len(s))
@@ -391,8 +451,9 @@ class Join:
 def near_copies_dropped(docs: DataFrame, **options) -> DataFrame:
     """All columns; of each component the rows of the smallest id, and rows of null id."""
     join = Join(docs, **options)
-    found = join.scratch.save(join.components().where("doc_id <> component").select(F.col("doc_id").alias("__doc")).distinct(), "dropped")
-    return docs.join(checked_broadcast(found), F.col("doc_id") == F.col("__doc"), "left_anti")
+    name = free("dropped", docs.columns)
+    found = join.scratch.save(join.components().where("doc_id <> component").select(F.col("doc_id").alias(name)).distinct(), "dropped")
+    return docs.join(checked_broadcast(found), docs["doc_id"] == found[name], "left_anti")
 
 
 def report(docs: DataFrame, **options) -> DataFrame:
