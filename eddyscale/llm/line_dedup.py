@@ -91,7 +91,7 @@ class LevelledRuns:
     def __init__(self, scratch: Scratch, fanout: int = 2):
         self.scratch, self.spark, self.fanout, self.made = scratch, scratch.spark, fanout, 0
         self.buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        self.levels: list[list[tuple[str, DataFrame]]] = []
+        self.levels: list[list[tuple[str | None, DataFrame]]] = []
 
     def write(self, hashes: DataFrame, name: str) -> DataFrame:
         """A bucketed table, a bucket's rows sorted by hash.  ``hashes`` are partitioned by them."""
@@ -102,8 +102,8 @@ class LevelledRuns:
         self.spark.sql(f"DROP TABLE {entry}")  # the entry only: the files stay, and the frame has found them
         return table
 
-    def add(self, name: str, run: DataFrame) -> None:
-        """``run``: bucketed and sorted, of hashes that are in no run yet, read from ``name``."""
+    def add(self, name: str | None, run: DataFrame) -> None:
+        """``run``: bucketed and sorted, of hashes that are in no run yet; ``name``: its folder, if it goes when it has been merged."""
         new = (name, run)
         for level in range(len(self.levels) + 1):
             if level == len(self.levels):
@@ -117,7 +117,7 @@ class LevelledRuns:
                 self.made += 1
                 name = f"merged-{self.made}"
                 merged = (name, self.write(self.merged(new[1], other[1]), name))
-                self.scratch.drop(new[0], other[0])
+                self.scratch.drop(*(n for n in (new[0], other[0]) if n))
                 new = merged
 
     @staticmethod
@@ -162,18 +162,17 @@ def dropped_hashes(docs: DataFrame, least: int = 10, batches: int | None = None,
         keys = here.groupBy(*HASHES).agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.max(F.col("doc_id").isNull()).alias("loose"))
         with _merging(spark):
             keys = runs.write(runs.split(keys), f"keys-{k}")
-        # not a bucketed table: a join with it can split hot hashes
-        shared = scratch.save(keys.where("known or owner < last or (loose and owner is not null)").select(*HASHES, F.when(~F.col("known"), F.col("owner")).alias("owner"), "known"), f"shared-{k}")
+        # the same files, not as a bucketed table: a join with them can split hot hashes
+        plain = spark.read.schema(keys.schema).parquet(f"{scratch.root}/keys-{k}")
+        shared = plain.where("known or owner < last or (loose and owner is not null)").select(*HASHES, F.when(~F.col("known"), F.col("owner")).alias("owner"), "known")
         if k < len(bounds):
-            runs.add(f"keys-{k}", keys.where(~F.col("known")).select(*HASHES))
+            runs.add(None, keys.where(~F.col("known")).select(*HASHES))
         hit = here.join(shared, HASHES).where("known or doc_id is null or doc_id > owner")
         gone.append(hit.select("doc_id", *HASHES))
     whole = gone[0]
     for part in gone[1:]:
         whole = whole.unionByName(part)
-    drops = scratch.save(whole.groupBy("doc_id").agg(F.collect_set(F.struct(*HASHES)).alias("drops")), "drops")
-    scratch.drop("lines", *(f"{kind}-{k}" for kind in ("keys", "shared") for k in range(len(bounds) + 1)), *(n for level in runs.levels for n, _ in level))
-    return drops
+    return whole.groupBy("doc_id").agg(F.collect_set(F.struct(*HASHES)).alias("drops"))
 
 
 def _keep(least: int):
