@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..plans.types import GaussianFilter, Grid, SharpSpectralFilter, ShellMagnitude, SmoothBands, TopHatFilter
+from ..plans.types import GaussianFilter, Grid, OrszagTwoThirds, SharpSpectralFilter, ShellMagnitude, SmoothBands, TopHatFilter
 
 
 def add(columns: list[Column]) -> Column:
@@ -66,14 +66,27 @@ def largest(grid: Grid, geometry: ShellMagnitude = ShellMagnitude()) -> float:
     return math.sqrt(sum(float(np.max(axis(grid.ns[d], grid.lengths[d]) ** 2)) for d in _dims(grid, geometry)))
 
 
+def kept(grid: Grid, dealiasing, prefix: str = "i") -> Column | None:
+    """Modes that a dealiasing rule keeps; None if all."""
+    tests = []
+    for d, n in enumerate(grid.ns):
+        own = dealiasing.keeps(n)
+        near = sum(own) // 2 + 1  # of a symmetric rule: the first index that goes
+        if all(own):
+            continue
+        if own == [min(i, n - i) < near for i in range(n)]:
+            tests.append(F.least(index(d, prefix), n - index(d, prefix)) < near)
+        else:
+            tests.append(index(d, prefix).isin([i for i, x in enumerate(own) if x]))
+    return reduce(lambda a, b: a & b, tests) if tests else None
+
+
 def two_thirds(grid: Grid, prefix: str = "i") -> Column:
-    """Modes that the engine's 2/3 rule keeps: nearer to zero than a third of the axis, rounded down."""
-    return reduce(lambda a, b: a & b, [F.least(index(d, prefix), n - index(d, prefix)) < n // 3 for d, n in enumerate(grid.ns)])
+    return kept(grid, OrszagTwoThirds(), prefix)
 
 
 def two_thirds_array(grid: Grid) -> np.ndarray:
-    masks = [np.minimum(np.arange(n), n - np.arange(n)) < n // 3 for n in grid.ns]
-    return reduce(np.logical_and, np.meshgrid(*masks, indexing="ij"))
+    return reduce(np.logical_and, np.meshgrid(*(np.array(OrszagTwoThirds().keeps(n)) for n in grid.ns), indexing="ij"))
 
 
 def dealiasing_mask(grid: Grid, rule: str = "twothirds", prefix: str = "i") -> Column:
@@ -83,6 +96,8 @@ def dealiasing_mask(grid: Grid, rule: str = "twothirds", prefix: str = "i") -> C
 
 
 def filter_response(kind, k: Column, scale: float) -> Column:
+    if callable(getattr(kind, "column", None)):
+        return kind.column(k, scale)
     if isinstance(kind, SharpSpectralFilter):
         return F.when(F.abs(k) < math.pi / scale, 1.0).otherwise(0.0)
     if isinstance(kind, GaussianFilter):
@@ -95,6 +110,8 @@ def filter_response(kind, k: Column, scale: float) -> Column:
 
 def filter_array(kind, k: np.ndarray, scale: float) -> np.ndarray:
     k = np.asarray(k, float)
+    if callable(getattr(kind, "array", None)):
+        return kind.array(k, scale)
     if isinstance(kind, SharpSpectralFilter):
         return (np.abs(k) < math.pi / scale).astype(float)
     if isinstance(kind, GaussianFilter):

@@ -14,8 +14,8 @@ def batch_map(fields: DataFrame, run: Callable[[pd.DataFrame], pd.DataFrame], sc
     """``run`` on each item's rows, in parallel over items.
 
     gather: the rows of all items, in the items' order; sum, mean: of every other column, by
-    ``keys``; a function of two frames: folded over the items' results on the driver, in order,
-    which is for results that are few and small.
+    ``keys``; a function of two frames (associative): folded over the items' results in order,
+    first within each range of items where they are, then over the ranges' results on the driver.
     """
     got = fields.groupBy(item).applyInPandas(run, schema)
     if how == "gather":
@@ -25,11 +25,41 @@ def batch_map(fields: DataFrame, run: Callable[[pd.DataFrame], pd.DataFrame], sc
         agg = F.sum if how == "sum" else F.avg
         return got.groupBy(*keys).agg(*(agg(c).alias(c) for c in values))
     if callable(how):
-        whole = got.toPandas()
-        return reduce(how, [own.reset_index(drop=True) for _, own in whole.groupby(item, sort=True)])
+        return _folded(got, how, item)
     raise ValueError(f"how: {how!r}")
 
 
+def _folded(got: DataFrame, how: Callable, item: str) -> pd.DataFrame:
+    from pyspark import TaskContext
+    from pyspark.sql.types import IntegerType, StructField, StructType
+
+    names = got.columns
+
+    def run(batches):
+        total = rest = None
+
+        def add(frames):
+            nonlocal total
+            for _, own in frames:
+                own = own.reset_index(drop=True)
+                total = own if total is None else how(total, own)
+
+        for pdf in batches:
+            rest = pdf if rest is None else pd.concat([rest, pdf])
+            last = rest[item] == rest[item].iloc[-1] if len(rest) else []
+            add(rest[~last].groupby(item, sort=True) if len(rest) else [])  # the last item may go on
+            rest = rest[last] if len(rest) else rest
+        if rest is not None and len(rest):
+            add(rest.groupby(item, sort=True))
+        if total is not None:
+            yield total[names].assign(__part=TaskContext.get().partitionId())
+
+    parts = int(got.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    schema = StructType([*got.schema.fields, StructField("__part", IntegerType())])
+    some = got.repartitionByRange(parts, item).sortWithinPartitions(item).mapInPandas(run, schema).toPandas()
+    return reduce(how, [own[names].reset_index(drop=True) for _, own in some.groupby("__part", sort=True)])
+
+
 def spread(fields: DataFrame, parts: int) -> DataFrame:
     """Fields dealt over ``parts`` partitions, whole: what a process grid is elsewhere."""
     if parts < 1:

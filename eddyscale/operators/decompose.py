@@ -95,3 +95,15 @@ def decompose(modes: DataFrame, grid: Grid, kind, m: int | None = None, key: str
     wide, made = split(wide, m)
     rows = F.array(*(F.struct(F.lit(name).alias(key), F.lit(c).alias("c"), re.alias("re"), im.alias("im")) for name in kind.parts for c, (re, im) in enumerate(made[name])))
     return wide.select(*M.place(grid), F.explode(rows).alias("p")).select(*M.place(grid), f"p.{key}", "p.c", "p.re", "p.im")
+
+
+def decompose_points(points: DataFrame, grid: Grid, kind, method: str = "auto") -> DataFrame:
+    """field_id, component, i0.., c, value: the parts of a field on the grid's points."""
+    from . import transforms as T
+
+    parts = decompose(T.forward(points, grid, method), grid, kind, grid.nd)
+    # a part of a field is a field of its own meanwhile
+    named = parts.withColumn("field_id", F.to_json(F.struct("field_id", "component"))).drop("component")
+    back = T.inverse(named, grid, method, m=grid.nd)
+    of = F.from_json("field_id", "field_id string, component string")
+    return back.withColumn("of", of).select(F.col("of.field_id").alias("field_id"), F.col("of.component").alias("component"), *M.place(grid)[1:], "c", "value")

@@ -46,13 +46,14 @@ _EXPRESSIONS = {
 
 
 def _curl_array(v: np.ndarray, k: list[np.ndarray]) -> np.ndarray:
+    """Of arrays (field, component, place..)."""
     pairs = [(0, 1)] if len(k) == 2 else [(1, 2), (2, 0), (0, 1)]
-    return np.stack([1j * (k[a] * v[..., b] - k[b] * v[..., a]) for a, b in pairs], -1)
+    return np.stack([1j * (k[a] * v[:, b] - k[b] * v[:, a]) for a, b in pairs], 1)
 
 
 def _dot_array(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    m = min(a.shape[-1], b.shape[-1])
-    return (a[..., :m].conj() * b[..., :m]).sum(-1).real
+    m = min(a.shape[1], b.shape[1])
+    return (a[:, :m].conj() * b[:, :m]).sum(1).real
 
 
 _ARRAYS = {

@@ -66,12 +66,44 @@ def narrow(wide: DataFrame, grid: Grid, m: int, keys: list[str]) -> DataFrame:
 
 
 def hermitian(modes: DataFrame, grid: Grid, m: int, keys: list[str], columns: dict[str, tuple[Column, Column]]) -> DataFrame:
-    """Wide sums of half of each mode and half of its partner's conjugate.
+    """Wide sums of half of each mode and half of its partner's conjugate, in one pass.
 
     ``columns``: for each name a complex expression of re, im and the indices; the result has
     {name}{c}r and {name}{c}m.
     """
     half = modes.select(*place(grid), *keys, "c", *(x.alias(f"{n}{s}") for n, z in columns.items() for s, x in zip("rm", z, strict=True)))
-    other = half.select("field_id", *(negated(grid, d).alias(f"i{d}") for d in range(grid.nd)), *keys, "c", *(e for n in columns for e in (F.col(f"{n}r"), (-F.col(f"{n}m")).alias(f"{n}m"))))
-    sums = [F.sum(F.when(F.col("c") == c, F.col(f"{n}{s}") / 2).otherwise(0.0)).alias(f"{n}{c}{s}") for n in columns for c in range(m) for s in "rm"]
-    return half.unionByName(other).groupBy(*place(grid), *keys).agg(*sums)
+    own = F.struct(*(F.col(i).cast("int").alias(i) for i in IDS[: grid.nd]), F.lit(1).alias("sign"))
+    partner = F.struct(*(negated(grid, d).alias(f"i{d}") for d in range(grid.nd)), F.lit(-1).alias("sign"))
+    both = half.select("field_id", *keys, "c", *(f"{n}{s}" for n in columns for s in "rm"), F.explode(F.array(own, partner)).alias("at"))
+    value = lambda n, s: F.col(f"{n}{s}") / 2 if s == "r" else F.col(f"{n}m") * F.col("sign") / 2
+    sums = [F.sum(F.when(F.col("c") == c, value(n, s)).otherwise(0.0)).alias(f"{n}{c}{s}") for n in columns for c in range(m) for s in "rm"]
+    return both.select("*", "at.*").drop("at").groupBy(*place(grid), *keys).agg(*sums)
+
+
+_KEPT: list[DataFrame] = []
+
+
+def once(modes: DataFrame) -> DataFrame:
+    """Modes that several branches of a plan read: made once, kept in memory and beyond it on disk.
+
+    A lost executor's part is made again.  ``release`` forgets what has been kept.
+    """
+    if modes.isStreaming or modes.storageLevel.useMemory or modes.storageLevel.useDisk:
+        return modes
+    _KEPT.append(modes.persist())
+    return _KEPT[-1]
+
+
+def release() -> None:
+    while _KEPT:
+        _KEPT.pop().unpersist()
+
+
+def read_often(f: DataFrame, u: DataFrame | None, m: int | None, grid: Grid) -> tuple[DataFrame, DataFrame, int]:
+    """Advected field and velocity, kept for their several uses, and the number of components."""
+    from . import stack
+
+    if stack.is_packed(f):
+        return f, f if u is None else u, m or stack.components(f, grid)
+    own = once(as_component_field(f))
+    return own, own if u is None or u is f else u if stack.is_packed(u) else once(u), m or components(own)

@@ -1,4 +1,4 @@
-"""The nonlinear term: N = DFT[(u . grad) f] in the reference's normalisation.
+"""The nonlinear term: N = DFT[(u . grad) f], with a forward transform's 1/Np and its inverse's.
 
 In index space N(k) = Np^-2 sum over q + p = k (mod N) of U(q) . G(p), U and G being the
 Hermitian parts of the velocity and of i p f(p).  As a join: velocity modes meet advected modes
@@ -6,42 +6,57 @@ of the same field, and products are summed by k with map-side combining.  Advect
 velocity) modes may carry giver keys; one join then yields all shell-, band-, mode- or
 component-resolved terms.
 
-Pairs are spread by a salt on the advected mode, the velocity being repeated for each salt, so
-that one large field uses every core.  A join grows with the square of the retained modes: for
-larger grids use the FFT kernel, which transforms each field in numpy.
+A join grows with the square of the retained modes.  Both sides are cut into blocks of at most
+``BLOCK`` modes by hash, and every block of one meets every block of the other: a small grid is
+one unit of work, a field of a million modes is millions of equal ones, whatever the cluster.
+Beyond a few thousand modes the FFT kernel is the cheaper route; it takes a field as a row.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import spectral
-from ..plans.types import FFT, Grid, NoDealiasing, OrszagTwoThirds, PaddedThreeHalves, engine
+from ..plans.types import FFT, Grid, OrszagTwoThirds, engine
 from . import modes as M
+from . import stack
+
+BLOCK = 512
 
 
 def _kept(df: DataFrame, grid: Grid, dealiasing) -> DataFrame:
-    return df.where(spectral.two_thirds(grid)) if isinstance(dealiasing, OrszagTwoThirds) else df
+    rule = spectral.kept(grid, dealiasing)
+    return df if rule is None else df.where(rule)
 
 
-def wide_term(u: DataFrame, f: DataFrame, grid: Grid, m: int, dealiasing=OrszagTwoThirds(), u_keys: list[str] | None = None, f_keys: list[str] | None = None, salts: int = 8) -> DataFrame:  # noqa: B008
-    """Wide N by mode and keys (r0, m0, ..), by joins."""
-    if isinstance(dealiasing, PaddedThreeHalves):
-        raise ValueError("padding needs engine='fft'")
-    if not isinstance(dealiasing, (NoDealiasing, OrszagTwoThirds)):
+def check_unpadded(grid: Grid, dealiasing) -> None:
+    """Joins work in the grid's own modes."""
+    if not (callable(getattr(dealiasing, "keeps", None)) and callable(getattr(dealiasing, "length", None))):
         raise TypeError(f"dealiasing: {dealiasing!r}")
+    if any(dealiasing.length(n) != n for n in grid.ns):
+        raise ValueError("padding needs method='fft'")
+
+
+def wide_term(u: DataFrame, f: DataFrame, grid: Grid, m: int, dealiasing=OrszagTwoThirds(), u_keys: list[str] | None = None, f_keys: list[str] | None = None, block: int = BLOCK) -> DataFrame:  # noqa: B008
+    """Wide N by mode and keys (r0, m0, ..), by joins."""
+    check_unpadded(grid, dealiasing)
     u_keys, f_keys, nd = u_keys or [], f_keys or [], grid.nd
     k = spectral.wavenumbers(grid)
     velocity = M.hermitian(_kept(u.where(F.col("c") < nd), grid, dealiasing), grid, nd, u_keys, {"u": (F.col("re"), F.col("im"))})
     gradients = {f"g{j}_": (-k[j] * F.col("im"), k[j] * F.col("re")) for j in range(nd)}
     gradient = M.hermitian(_kept(f, grid, dealiasing), grid, m, f_keys, gradients)
     places = [f"i{d}" for d in range(nd)]
-    velocity = velocity.withColumnsRenamed({p: f"q{p[1:]}" for p in places}).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    gradient = gradient.withColumn("salt", F.pmod(F.hash(*places), F.lit(salts)))
-    pairs = velocity.join(gradient, ["field_id", "salt"])
+    modes = int(np.prod([sum(dealiasing.keeps(n)) for n in grid.ns]))
+    blocks, on = -(-modes // block), ["field_id"]
+    if blocks > 1:
+        each, own = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))), F.pmod(F.hash(*places), F.lit(blocks))
+        velocity = velocity.withColumn("block_u", own).withColumn("block_f", each)
+        gradient = gradient.withColumn("block_f", own).withColumn("block_u", each)
+        on += ["block_u", "block_f"]
+    velocity = velocity.withColumnsRenamed({p: f"q{p[1:]}" for p in places})
+    pairs = velocity.join(gradient, on)
     at = [((F.col(f"q{d}") + F.col(f"i{d}")) % n).cast("int").alias(f"k{d}") for d, n in enumerate(grid.ns)]
     values = []
     for c in range(m):
@@ -54,103 +69,79 @@ def wide_term(u: DataFrame, f: DataFrame, grid: Grid, m: int, dealiasing=OrszagT
     return products.groupBy(*M.place(grid), *u_keys, *f_keys).agg(*((F.sum(f"{s}{c}") / norm).alias(f"{s}{c}") for c in range(m) for s in "rm"))
 
 
-# --- the FFT kernel -------------------------------------------------------------------------
-
-
-def _embed(a: np.ndarray, ns: tuple[int, ...], big: tuple[int, ...]) -> np.ndarray:
-    axes = tuple(range(len(ns)))
-    out = np.zeros(big + a.shape[len(ns) :], complex)
-    lo = [b // 2 - n // 2 for n, b in zip(ns, big, strict=True)]
-    out[tuple(slice(x, x + n) for x, n in zip(lo, ns, strict=True))] = np.fft.fftshift(a, axes)
-    return np.fft.ifftshift(out, axes)
-
-
-def _truncate(a: np.ndarray, ns: tuple[int, ...]) -> np.ndarray:
-    axes = tuple(range(len(ns)))
-    big = a.shape[: len(ns)]
-    lo = [b // 2 - n // 2 for n, b in zip(ns, big, strict=True)]
-    return np.fft.ifftshift(np.fft.fftshift(a, axes)[tuple(slice(x, x + n) for x, n in zip(lo, ns, strict=True))], axes)
-
-
-def padded_length(n: int) -> int:
-    big = -(-3 * n // 2)
-    return big + (big - n) % 2
-
-
 class Kernel:
-    """The term of dense arrays (*ns, components); transforms of a velocity are kept for its next use."""
+    """Terms of arrays (field, component, place..), a whole stack of fields in each transform.
+
+    The rule says which modes of an axis take part and how long its transforms are.  ``inside``
+    are their places in the grid, ``outside`` those in the transform, both for any direction:
+    without padding they are one and the same, and a mask does.
+    """
 
     def __init__(self, grid: Grid, dealiasing):
-        self.grid, self.dealiasing = grid, dealiasing
-        self.axes = tuple(range(grid.nd))
+        self.grid, self.axes = grid, tuple(range(-grid.nd, 0))
         self.k = np.meshgrid(*spectral.axes(grid), indexing="ij")
-        self.mask = spectral.two_thirds_array(grid)[..., None] if isinstance(dealiasing, OrszagTwoThirds) else None
-        self.big = tuple(map(padded_length, grid.ns)) if isinstance(dealiasing, PaddedThreeHalves) else None
+        self.lengths = tuple(dealiasing.length(n) for n in grid.ns)
+        kept = [np.flatnonzero(dealiasing.keeps(n)) for n in grid.ns]
+        signed = [np.where(i < (n + 1) // 2, i, i - n) for i, n in zip(kept, grid.ns, strict=True)]
+        self.inside = np.ix_(*kept)
+        self.outside = np.ix_(*(s % length for s, length in zip(signed, self.lengths, strict=True)))
+        self.padded = self.lengths != grid.ns
+        mask = np.zeros(grid.ns)
+        mask[self.inside] = 1.0
+        self.mask = None if mask.all() else mask
+        self.scale = np.prod(self.lengths) / grid.size**2
 
     def physical(self, a: np.ndarray) -> np.ndarray:
-        a = a * self.mask if self.mask is not None else a
-        return np.fft.ifftn(_embed(a, self.grid.ns, self.big) if self.big else a, axes=self.axes).real
+        if self.padded:
+            wide = np.zeros((*a.shape[: -self.grid.nd], *self.lengths), complex)
+            wide[..., *self.outside] = a[..., *self.inside]
+            a = wide
+        elif self.mask is not None:
+            a = a * self.mask
+        return np.fft.ifftn(a, axes=self.axes).real
+
+    def spectral(self, x: np.ndarray) -> np.ndarray:
+        a = np.fft.fftn(x, axes=self.axes) * self.scale
+        if self.padded:
+            out = np.zeros((*a.shape[: -self.grid.nd], *self.grid.ns), complex)
+            out[..., *self.inside] = a[..., *self.outside]
+            return out
+        return a if self.mask is None else a * self.mask
 
     def velocity(self, u: np.ndarray) -> np.ndarray:
-        return self.physical(u[..., : self.grid.nd])
+        return self.physical(u[:, : self.grid.nd])
 
     def term(self, velocity: np.ndarray, f: np.ndarray) -> np.ndarray:
-        total = sum(velocity[..., j : j + 1] * self.physical(1j * self.k[j][..., None] * f) for j in range(self.grid.nd))
-        out = np.fft.fftn(total, axes=self.axes)
-        if self.big:
-            return _truncate(out, self.grid.ns) * (np.prod(self.big) / self.grid.size**2)
-        out = out / self.grid.size
-        return out * self.mask if self.mask is not None else out
-
-
-def dense(pdf: pd.DataFrame, grid: Grid, m: int) -> np.ndarray:
-    out = np.zeros((*grid.ns, m), complex)
-    at = tuple(pdf[f"i{d}"].to_numpy() for d in range(grid.nd))
-    np.add.at(out, (*at, pdf["c"].to_numpy()), pdf["re"].to_numpy() + 1j * pdf["im"].to_numpy())
-    return out
-
-
-def _tagged(parts: dict[str, tuple[DataFrame, list[str]]], grid: Grid) -> DataFrame:
-    """Several fields' rows in one frame: role and the keys as one string."""
-    out = None
-    for role, (df, keys) in parts.items():
-        key = F.to_json(F.struct(*keys)) if keys else F.lit("")
-        one = df.select(*M.place(grid), F.lit(role).alias("role"), key.alias("keys"), "c", "re", "im")
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
-def _fft_term(u: DataFrame, f: DataFrame, grid: Grid, m: int, dealiasing, u_keys: list[str], f_keys: list[str]) -> DataFrame:
-    from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
-
-    schema = StructType([StructField("field_id", StringType()), *(StructField(f"i{d}", IntegerType()) for d in range(grid.nd)), StructField("uk", StringType()), StructField("fk", StringType()), StructField("c", IntegerType()), StructField("re", DoubleType()), StructField("im", DoubleType())])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        kernel, out = Kernel(grid, dealiasing), []
-        advecting = {key: kernel.velocity(dense(p, grid, max(grid.nd, int(p["c"].max()) + 1))) for key, p in pdf[pdf["role"] == "u"].groupby("keys")}
-        advected = {key: dense(p, grid, m) for key, p in pdf[pdf["role"] == "f"].groupby("keys")}
-        at = np.indices(grid.ns).reshape(grid.nd, -1)
-        for uk, v in advecting.items():
-            for fk, a in advected.items():
-                n = kernel.term(v, a).reshape(-1, m)
-                for c in range(m):
-                    out.append(pd.DataFrame({"field_id": pdf["field_id"].iloc[0], **{f"i{d}": at[d].astype(np.int32) for d in range(grid.nd)}, "uk": uk, "fk": fk, "c": np.int32(c), "re": n[:, c].real, "im": n[:, c].imag}))
-        return pd.concat(out) if out else pd.DataFrame(columns=schema.names)
-
-    got = _tagged({"u": (u, u_keys), "f": (f, f_keys)}, grid).groupBy("field_id").applyInPandas(run, schema)
-    for packed, keys, source in (("uk", u_keys, u), ("fk", f_keys, f)):
-        if keys:
-            form = StructType([source.schema[k] for k in keys])
-            got = got.withColumn(packed, F.from_json(packed, form)).select("*", *(F.col(packed)[k].alias(k) for k in keys))
-    return got.drop("uk", "fk")
+        return self.spectral(sum(velocity[:, j : j + 1] * self.physical(1j * self.k[j] * f) for j in range(self.grid.nd)))
+
+
+def packed_term(u: DataFrame, f: DataFrame, grid: Grid, m: int, dealiasing, u_keys: list[str] | None = None, f_keys: list[str] | None = None) -> DataFrame:
+    """Packed terms of each velocity and advected field (each of its keys) of one field_id."""
+    u_keys, f_keys = u_keys or [], f_keys or []
+    made = "re array<double>, im array<double>"
+    if u is f and not u_keys and not f_keys:
+        rows, sides = stack.together({"f": stack.ready(f, grid, m)}), ["f"]
+    else:
+        width = stack.components(u, grid) if stack.is_packed(u) else grid.nd
+        rows = stack.together({"f": stack.ready(f, grid, m, f_keys), "u": stack.ready(u, grid, width, u_keys)}, {"f": f_keys, "u": u_keys})
+        sides = ["f", "u"]
+
+    def run(f, u=None):
+        kernel = Kernel(grid, dealiasing)
+        n = kernel.term(kernel.velocity(f if u is None else u), f)
+        return {"re": n.real, "im": n.imag}
+
+    return stack.mapped(rows, grid, sides, [*u_keys, *f_keys], made, run, width=2)
 
 
 def nonlinear_term(f: DataFrame, grid: Grid, u: DataFrame | None = None, dealiasing=OrszagTwoThirds(), method: str = "sql", u_keys: list[str] | None = None, f_keys: list[str] | None = None, m: int | None = None) -> DataFrame:  # noqa: B008
-    """Modes of DFT[(u . grad) f], by keys; ``u`` is ``f`` itself if not given."""
-    f = M.as_component_field(f)
-    u = f if u is None else u
-    m = m or M.components(f)
+    """Modes of DFT[(u . grad) f], by keys; ``u`` is ``f`` itself if not given.
+
+    Fields are long modes, or packed ones, in which case ``method="fft"`` gives packed terms.
+    """
+    f, u, m = M.read_often(f, u, m, grid)
     if engine(method) == FFT:
-        return _fft_term(u, f, grid, m, dealiasing, u_keys or [], f_keys or [])
+        term = packed_term(u, f, grid, m, dealiasing, u_keys, f_keys)
+        return term if stack.is_packed(f) else stack.unpack(term, grid, [*(u_keys or []), *(f_keys or [])])
     wide = wide_term(u, f, grid, m, dealiasing, u_keys, f_keys)
     return M.narrow(wide, grid, m, [*(u_keys or []), *(f_keys or [])])

@@ -13,6 +13,8 @@ from ..plans.types import CustomBinning, DyadicBinning, Grid, LinearBinning, Log
 
 
 def shell_edges(binning, k_max: float) -> list[float]:
+    if callable(getattr(binning, "edges_to", None)):
+        return [float(e) for e in binning.edges_to(k_max)]
     if isinstance(binning, CustomBinning):
         edges = list(binning.edges)
         if edges != sorted(edges):
@@ -31,17 +33,18 @@ def shell_edges(binning, k_max: float) -> list[float]:
     if isinstance(binning, LogarithmicBinning):
         if binning.k0 <= 0 or binning.ratio <= 1 or k_max < binning.k0:
             raise ValueError("k0 must be positive, ratio over 1, k_max at least k0")
-        steps = math.floor(math.log(k_max / binning.k0) / math.log(binning.ratio)) + 1
-        edges = [binning.k0 * binning.ratio**n for n in range(steps + 1)]
-        while len(edges) > 2 and edges[-2] > k_max:
-            edges.pop()
-        return edges
+        # one shell beyond the last whole ratio; one less where the logarithm was rounded up to it
+        last = 1 + math.floor(math.log(k_max / binning.k0) / math.log(binning.ratio))
+        last -= last > 1 and binning.k0 * binning.ratio ** (last - 1) > k_max
+        return [binning.k0 * binning.ratio**n for n in range(last + 1)]
     raise TypeError(f"binning: {binning!r}")
 
 
 def shell_centers(binning, edges: list[float]) -> list[float]:
     if len(edges) < 2:
         raise ValueError("no shells")
+    if callable(getattr(binning, "centers", None)):
+        return [float(c) for c in binning.centers(edges)]
     pairs = list(zip(edges, edges[1:], strict=False))
     if isinstance(binning, (LogarithmicBinning, DyadicBinning)):
         return [math.sqrt(a * b) for a, b in pairs]

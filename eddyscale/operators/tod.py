@@ -9,6 +9,7 @@ second; only the frequencies that triads use are kept between them.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 from typing import NamedTuple
 
 import numpy as np
@@ -17,51 +18,71 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import spectral
+from . import modes as M
 
 
-class Parameters(NamedTuple):
+@dataclass(frozen=True)
+class Parameters:
+    """How a series of ``nt`` rows is cut: into blocks as long as ``window``, its taper's values."""
+
+    nt: int
     window: np.ndarray
     noverlap: int
     dt: float
-    nfft: int
-    blocks: int
 
+    def __post_init__(self):
+        problems = {
+            f"a window has four points at least, not {self.nfft}": self.nfft < 4,
+            f"overlap {self.noverlap} must be from 0 to less than the window's {self.nfft}": not 0 <= self.noverlap < self.nfft,
+        }
+        problems |= {} if any(problems.values()) else {f"{self.nt} rows give {self.blocks} blocks; two are needed": self.blocks < 2}
+        for text, holds in problems.items():
+            if holds:
+                raise ValueError(text)
 
-class Result(NamedTuple):
-    """bispectrum (l, n, mode, lambda, budget); modes (l, n, kind, mode, state, x, re, im);
-    coefficients (l, n, kind, mode, block, re, im) or None; frequencies, by centred index."""
+    @property
+    def nfft(self) -> int:
+        return len(self.window)
 
-    bispectrum: DataFrame
-    modes: DataFrame
-    coefficients: DataFrame | None
-    frequencies: dict[int, float]
+    @property
+    def hop(self) -> int:
+        return self.nfft - self.noverlap
+
+    @property
+    def blocks(self) -> int:
+        return (self.nt - self.noverlap) // self.hop
+
+
+def default_window(nt: int) -> int:
+    """The largest power of two up to a fifth of the rows, 256 at most."""
+    return 1 << min(8, max(0, (nt // 5).bit_length() - 1))
 
 
 def parameters(nt: int, window=None, noverlap: int | None = None, dt: float | None = None) -> Parameters:
-    if window is None:
-        window = min(256, 2 ** max(0, math.floor(math.log2(nt / 5)))) if nt >= 5 else 1
-    if isinstance(window, (int, np.integer)):
-        n = int(window)
-        taper = spectral.taper("hamming", n) if n >= 2 else np.ones(max(n, 1))
-    elif isinstance(window, (list, tuple, np.ndarray)):
+    """``window``: a length, for a Hamming taper, or the taper's values; by default half of it overlaps and spans one unit of time."""
+    if isinstance(window, (list, tuple, np.ndarray)):
         taper = np.asarray(window, float)
-        n = len(taper)
+    elif window is None or isinstance(window, (int, np.integer)):
+        n = default_window(nt) if window is None else int(window)
+        taper = spectral.taper("hamming", n) if n > 1 else np.ones(1)
     else:
         raise TypeError("window: None, a length or the values")
-    over = n // 2 if noverlap is None else int(noverlap)
-    if over >= n:
-        raise ValueError(f"overlap {over} must be less than the window's {n}")
-    if n < 4:
-        raise ValueError("a window has four points at least")
-    blocks = (nt - over) // (n - over)
-    if blocks < 2:
-        raise ValueError(f"{nt} rows give {blocks} blocks; two are needed")
-    return Parameters(taper, over, 1.0 / n if dt is None else float(dt), n, blocks)
+    return Parameters(nt, taper, len(taper) // 2 if noverlap is None else int(noverlap), 1 / len(taper) if dt is None else float(dt))
+
+
+class Result(NamedTuple):
+    """bispectrum (l, n, mode, lambda, budget); modes (l, n, kind, mode, state, x, re, im) or None;
+    coefficients (l, n, kind, mode, block, re, im) or None; frequencies, by centred index."""
+
+    bispectrum: DataFrame
+    modes: DataFrame | None
+    coefficients: DataFrame | None
+    frequencies: dict[int, float]
 
 
 def block_starts(nt: int, p: Parameters) -> list[int]:
     """Hops of window less overlap; the last block ends with the series at the latest."""
-    return [min(b * (p.nfft - p.noverlap) + p.nfft, nt) - p.nfft for b in range(p.blocks)]
+    return [min(b * p.hop, nt - p.nfft) for b in range(p.blocks)]
 
 
 def indices(n: int) -> list[int]:
@@ -78,17 +99,21 @@ def triads(n: int, real: bool = True, nfreq: int | None = None) -> list[tuple[in
     return [(b - a, a, b) for b in own for a in own if not (real and b < 0) and all(lo <= f <= hi for f in (b - a, a, b))]
 
 
+#: Singular values up to this are cut.
+LEAST = 100 * np.finfo(float).eps
+
+
 def triadic_svd(q_n: np.ndarray, q_kl: np.ndarray, weights: np.ndarray, blocks: int):
-    """Singular triplets of W^1/2 Q_kl (W^1/2 Q_n)^H / blocks, modes without the weight; least values cut."""
+    """Singular triplets of A B^H / blocks, A and B being the weighted products and receivers.
+
+    Both are reduced to their triangular factors first, so that what is decomposed is no larger
+    than the number of blocks, and its condition isn't squared.  Modes come without the weight.
+    """
     root = np.sqrt(weights)[:, None]
-    q, r = np.linalg.qr(q_kl * root)
-    x = r @ (q_n * root).conj().T / blocks
-    value, vector = np.linalg.eigh(x @ x.conj().T)
-    order = np.argsort(-value, kind="stable")
-    s = np.sqrt(np.maximum(value[order], 0))
-    rank = int((s > 100 * np.finfo(float).eps).sum())
-    u, s = vector[:, order[:rank]], s[:rank]
-    return (q @ u) / root, s, (x.conj().T @ u / s) / root
+    (left, a), (right, b) = np.linalg.qr(root * q_kl), np.linalg.qr(root * q_n)
+    u, s, vh = np.linalg.svd(a @ b.conj().T / blocks, full_matrices=False)
+    rank = np.count_nonzero(s > LEAST)
+    return left @ u[:, :rank] / root, s[:rank], right @ vh[:rank].conj().T / root
 
 
 def _transform(p: Parameters, nt: int, wanted: list[int], mean_type: str):
@@ -115,11 +140,11 @@ def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a * b
 
 
-def tod(series: DataFrame, window=None, weight: list[float] | None = None, noverlap: int | None = None, dt: float | None = None, q=_product, lhs=None, nmode: int | None = None, nfreq: int | None = None, isreal_data: bool | None = None, mean_type="zero", return_coefficients: bool = False, return_auxiliary_modes: bool = False) -> Result:
+def tod(series: DataFrame, window=None, weight: list[float] | None = None, noverlap: int | None = None, dt: float | None = None, q=_product, lhs=None, nmode: int | None = None, nfreq: int | None = None, isreal_data: bool | None = None, mean_type="zero", return_coefficients: bool = False, return_auxiliary_modes: bool = False, outputs: tuple[str, ...] = ("bispectrum", "modes")) -> Result:
     """``q(k, l)`` and ``lhs(a)`` act on arrays (var, x, block); ``lhs`` may change the number of variables.
 
     ``mean_type``: zero, blockwise, or an array (var, x) to take off.  Auxiliary modes come with
-    coefficients only.
+    coefficients only.  ``outputs`` without "modes" leaves out the mode shapes, most of the result.
     """
     spark = series.sparkSession
     if isinstance(mean_type, str):
@@ -158,6 +183,9 @@ def tod(series: DataFrame, window=None, weight: list[float] | None = None, nover
     flat = lambda a: a.reshape(-1, p.blocks)
     weights = np.tile(w, states)
 
+    spaces = (["convective", "recipient"] + (["donor", "catalyst"] if return_coefficients and return_auxiliary_modes else [])) if "modes" in outputs else []
+    sides = ["convective", "recipient"] if return_coefficients else []
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         part = {}
         for role, own in pdf.groupby("role"):
@@ -166,27 +194,33 @@ def tod(series: DataFrame, window=None, weight: list[float] | None = None, nover
             part[role] = a
         q_n, q_kl = flat(act(part["n"])), flat(q(part["k"], part["l"]))
         u, s, v = triadic_svd(q_n, q_kl, weights, p.blocks)
-        m = min(keep, len(s))
-        u, s, v = u[:, :m], s[:m], v[:, :m]
-        out = []
-        for j in range(m):
-            out.append(("value", "", j, 0, 0, s[j], s[j] * float(np.vdot(v[:, j], weights * u[:, j]).real)))
-        spaces = {"convective": u, "recipient": v}
+        u, s, v = u[:, :keep], s[:keep], v[:, :keep]
+        out = {"l": [pdf["l"].iloc[0]], "n": [pdf["n"].iloc[0]], "lambda": [s], "budget": [s * (v.conj() * weights[:, None] * u).sum(0).real]}
+        found = {"convective": u, "recipient": v}
         if return_coefficients:
             a_conv, a_recip = u.conj().T @ (q_kl * weights[:, None]), v.conj().T @ (q_n * weights[:, None])
-            for name, a in (("convective", a_conv), ("recipient", a_recip)):
-                out += [("coefficient", name, j, b, 0, a[j, b].real, a[j, b].imag) for j in range(m) for b in range(p.blocks)]
-            if return_auxiliary_modes:
-                spaces |= {name: flat(act(part[r])) @ a_recip.conj().T / s / p.blocks for name, r in (("donor", "l"), ("catalyst", "k"))}
-        for name, modes in spaces.items():
-            out += [("mode", name, j, i // nx, i % nx, modes[i, j].real, modes[i, j].imag) for j in range(m) for i in range(len(modes))]
-        made = pd.DataFrame(out, columns=["what", "kind", "mode", "a", "b", "re", "im"])
-        return made.assign(l=pdf["l"].iloc[0], n=pdf["n"].iloc[0])[["l", "n", *made.columns]]
-
-    got = dealt.groupBy("l", "n").applyInPandas(run, "l int, n int, what string, kind string, mode int, a int, b int, re double, im double")
-    bispectrum = got.where("what = 'value'").select("l", "n", "mode", F.col("re").alias("lambda"), F.col("im").alias("budget"))
-    modes = got.where("what = 'mode'").select("l", "n", "kind", "mode", F.col("a").alias("state"), F.col("b").alias("x"), "re", "im")
-    coefficients = got.where("what = 'coefficient'").select("l", "n", "kind", "mode", F.col("a").alias("block"), "re", "im") if return_coefficients else None
+            found |= {"a_convective": a_conv, "a_recipient": a_recip}
+            if "donor" in spaces:
+                found |= {name: flat(act(part[r])) @ a_recip.conj().T / s / p.blocks for name, r in (("donor", "l"), ("catalyst", "k"))}
+        for name in [*spaces, *(f"a_{x}" for x in sides)]:
+            z = found[name].T if name in spaces else found[name]  # a row for each mode
+            out |= {f"{name}_re": [z.real.ravel()], f"{name}_im": [z.imag.ravel()]}
+        return pd.DataFrame(out)
+
+    arrays = ["lambda", "budget", *(f"{n}_{x}" for n in [*spaces, *(f"a_{x}" for x in sides)] for x in ("re", "im"))]
+    got = dealt.groupBy("l", "n").applyInPandas(run, "l int, n int, " + ", ".join(f"`{a}` array<double>" for a in arrays))
+    if len(spaces) + len(sides):
+        got = M.once(got)  # one row a triad, read once for each output
+    each = lambda name, **parts: got.select("l", "n", F.posexplode(F.arrays_zip(*parts.values())).alias("at", "z")).select("l", "n", F.col("at"), *(F.col(f"z.{c}").alias(a) for a, c in parts.items()), F.lit(name).alias("kind"))
+    bispectrum = got.select("l", "n", F.posexplode(F.arrays_zip("lambda", "budget")).alias("mode", "z")).select("l", "n", "mode", "z.lambda", "z.budget")
+    places, modes, coefficients = states * nx, None, None
+    cell = lambda n, size: F.floor(F.col("at") / n).cast("int") if size is None else (F.floor(F.col("at") / n) % size).cast("int")
+    for name in spaces:
+        one = each(name, re=f"{name}_re", im=f"{name}_im").select("l", "n", "kind", cell(places, None).alias("mode"), cell(nx, states).alias("state"), cell(1, nx).alias("x"), "re", "im")
+        modes = one if modes is None else modes.unionByName(one)
+    for name in sides:
+        one = each(name, re=f"a_{name}_re", im=f"a_{name}_im").select("l", "n", "kind", cell(p.blocks, None).alias("mode"), cell(1, p.blocks).alias("block"), "re", "im")
+        coefficients = one if coefficients is None else coefficients.unionByName(one)
     return Result(bispectrum, modes, coefficients, {f: f / (p.dt * p.nfft) for f in indices(p.nfft)})
 
 

@@ -1,8 +1,9 @@
 """Fourier transforms between points and modes, filtering, and spherical analysis.
 
-A transform is a sum over points times modes.  Modes are a bounded list (a grid's), attached to
-each row as an exploded literal range, so nothing is joined; products are summed with map-side
-combining.  Regular fields of any size go through numpy, one field at a time.
+A gridded transform goes axis by axis: each row meets the indices of one axis, an exploded literal
+range, and products are summed with map-side combining, so a grid of n^d points costs d n rows a
+point, not n^d.  Grids of more than ``LARGE`` points go through numpy, whole fields in stacks.
+Scattered points are summed a batch at a time in numpy, and blocks of points meet blocks of modes.
 """
 
 from __future__ import annotations
@@ -11,63 +12,68 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import spectral
 from ..plans.types import FFT, Grid, ShellMagnitude, engine
 from . import modes as M
+from . import stack
 
+#: Points of a grid beyond which method="auto" transforms in numpy.
+LARGE = 4096
 
-def _each(df: DataFrame, grid: Grid, prefix: str) -> DataFrame:
-    """Every row with every index of the grid."""
-    for d, n in enumerate(grid.ns):
-        df = df.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(f"{prefix}{d}"))
-    return df
 
+def _by_fft(grid: Grid, method: str) -> bool:
+    return grid.size > LARGE if method == "auto" else engine(method) == FFT
 
-def _angle(grid: Grid, a: str, b: str):
-    return spectral.add([F.col(f"{a}{d}") * F.col(f"{b}{d}") * F.lit(2 * math.pi / n) for d, n in enumerate(grid.ns)])
 
+def _axes(rows: DataFrame, grid: Grid, sign: int) -> DataFrame:
+    """Sums of (re + i im) exp(sign i angle) over x0.., one axis after another, by i0.. ."""
+    for d, n in enumerate(grid.ns):
+        rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(f"i{d}"))
+        angle = F.pmod(F.col(f"i{d}") * F.col(f"x{d}"), F.lit(n)) * F.lit(2 * math.pi / n)
+        re, im, cos, sin = F.col("re"), F.col("im"), F.cos(angle), sign * F.sin(angle)
+        own = ["field_id", "c", *(f"i{e}" for e in range(d + 1)), *(f"x{e}" for e in range(d + 1, grid.nd))]
+        rows = rows.groupBy(*own).agg(F.sum(re * cos - im * sin).alias("re"), F.sum(im * cos + re * sin).alias("im"))
+    return rows
 
-def _fft(df: DataFrame, grid: Grid, forward: bool) -> DataFrame:
-    from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
-    values = ["re", "im"] if forward else ["value"]
-    schema = StructType([StructField("field_id", StringType()), *(StructField(f"i{d}", IntegerType()) for d in range(grid.nd)), StructField("c", IntegerType()), *(StructField(v, DoubleType()) for v in values)])
+def _fft(df: DataFrame, grid: Grid, forward: bool, m: int | None) -> DataFrame:
+    """Packed transforms of long or packed fields; the values of packed points are their ``re``."""
+    if not stack.is_packed(df):
+        if forward:
+            df = df.withColumnRenamed("value", "re").withColumn("im", F.lit(0.0))
+        df = df if m else M.once(df)
+        df = stack.pack(df, grid, m or M.components(df))
+    axes = tuple(range(-grid.nd, 0))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        shape = (*grid.ns, int(pdf["c"].max()) + 1)
-        at = tuple(pdf[f"i{d}"].to_numpy() for d in range(grid.nd))
-        a = np.zeros(shape, complex)
-        np.add.at(a, (*at, pdf["c"].to_numpy()), pdf["value"].to_numpy() if forward else pdf["re"].to_numpy() + 1j * pdf["im"].to_numpy())
-        axes = tuple(range(grid.nd))
-        a = np.fft.fftn(a, axes=axes) / grid.size if forward else np.fft.ifftn(a, axes=axes).real * grid.size
-        index = np.indices(shape).reshape(grid.nd + 1, -1).astype(np.int32)
-        out = {"field_id": pdf["field_id"].iloc[0], **{f"i{d}": index[d] for d in range(grid.nd)}, "c": index[-1]}
-        return pd.DataFrame(out | ({"re": a.real.ravel(), "im": a.imag.ravel()} if forward else {"value": a.ravel()}))
+    def run(f):
+        a = np.fft.fftn(f, axes=axes) / grid.size if forward else np.fft.ifftn(f, axes=axes).real * grid.size
+        return {"re": a.real, "im": a.imag}
 
-    return df.groupBy("field_id").applyInPandas(run, schema)
+    return stack.mapped(stack.together({"f": df}), grid, ["f"], [], "re array<double>, im array<double>", run, width=2)
 
 
-def forward(points: DataFrame, grid: Grid, method: str = "sql") -> DataFrame:
-    """Points on the grid (field_id, i0.., c, value) to modes: the sum times 1/Np."""
-    if engine(method) == FFT:
-        return _fft(points, grid, True)
-    named = points.withColumnsRenamed({f"i{d}": f"x{d}" for d in range(grid.nd)}).select("field_id", "c", "value", *(f"x{d}" for d in range(grid.nd)))
-    angle = _angle(grid, "i", "x")
-    rows = _each(named, grid, "i")
-    return rows.groupBy(*M.place(grid), "c").agg((F.sum(F.col("value") * F.cos(angle)) / grid.size).alias("re"), (-F.sum(F.col("value") * F.sin(angle)) / grid.size).alias("im"))
+def forward(points: DataFrame, grid: Grid, method: str = "auto", m: int | None = None) -> DataFrame:
+    """Points on the grid (field_id, i0.., c, value) to modes: the sum times 1/Np. Packed points give packed modes."""
+    if stack.is_packed(points):
+        return _fft(points, grid, True, m)
+    if _by_fft(grid, method):
+        return stack.unpack(_fft(points, grid, True, m), grid)
+    named = points.select("field_id", "c", (F.col("value") / grid.size).alias("re"), F.lit(0.0).alias("im"), *(F.col(f"i{d}").alias(f"x{d}") for d in range(grid.nd)))
+    return _axes(named, grid, -1).select(*M.place(grid), "c", "re", "im")
 
 
-def inverse(modes: DataFrame, grid: Grid, method: str = "sql") -> DataFrame:
+def inverse(modes: DataFrame, grid: Grid, method: str = "auto", m: int | None = None) -> DataFrame:
     """Modes to points, real part: the plain sum, so that ``inverse(forward(x)) == x``."""
-    if engine(method) == FFT:
-        return _fft(modes, grid, False)
-    named = modes.withColumnsRenamed({f"i{d}": f"q{d}" for d in range(grid.nd)}).select("field_id", "c", "re", "im", *(f"q{d}" for d in range(grid.nd)))
-    angle = _angle(grid, "i", "q")
-    rows = _each(named, grid, "i")
-    return rows.groupBy(*M.place(grid), "c").agg(F.sum(F.col("re") * F.cos(angle) - F.col("im") * F.sin(angle)).alias("value"))
+    if stack.is_packed(modes):
+        return _fft(modes, grid, False, m)
+    if _by_fft(grid, method):
+        return stack.unpack(_fft(modes, grid, False, m), grid).withColumnRenamed("re", "value").drop("im")
+    named = modes.select("field_id", "c", "re", "im", *(F.col(f"i{d}").alias(f"x{d}") for d in range(grid.nd)))
+    return _axes(named, grid, 1).select(*M.place(grid), "c", F.col("re").alias("value"))
 
 
 def apply_filter(modes: DataFrame, grid: Grid, kind, scale: float, geometry: ShellMagnitude = ShellMagnitude()) -> DataFrame:  # noqa: B008
@@ -84,22 +90,62 @@ def rescaled(points: DataFrame, nd: int) -> DataFrame:
     return joined.withColumns(made).select(*points.columns)
 
 
+def _integer_modes(grid: Grid) -> np.ndarray:
+    """(mode, axis): integer wavenumbers of all modes, in row order."""
+    return np.stack([k.ravel() for k in np.meshgrid(*(spectral.axis(n) for n in grid.ns), indexing="ij")], 1)
+
+
 def scattered_forward(points: DataFrame, grid: Grid) -> DataFrame:
-    """Type 1: modes of scattered points on [-pi, pi), (1/N) sum f e^{-ikx}. One to three dimensions."""
+    """Type 1: modes of scattered points on [-pi, pi), (1/N) sum f e^{-ikx}. One to three dimensions.
+
+    Every task sums its points by field; what is shuffled is sums.
+    """
     if not 1 <= grid.nd <= 3:
         raise ValueError("one to three dimensions")
     count = points.groupBy("field_id", "c").agg(F.count("*").alias("n"))
-    rows = _each(points.select("field_id", "c", "value", *(f"x{d}" for d in range(grid.nd))), grid, "i")
-    angle = spectral.add([spectral.signed(F.col(f"i{d}"), n) * F.col(f"x{d}") for d, n in enumerate(grid.ns)])
-    sums = rows.groupBy(*M.place(grid), "c").agg(F.sum(F.col("value") * F.cos(angle)).alias("re"), (-F.sum(F.col("value") * F.sin(angle))).alias("im"))
+    k, index = _integer_modes(grid), np.indices(grid.ns).reshape(grid.nd, -1).astype(np.int32)
+    xs = [f"x{d}" for d in range(grid.nd)]
+
+    def run(batches):
+        for pdf in batches:
+            for (field, c), own in pdf.groupby(["field_id", "c"]):
+                total = np.zeros(len(k), complex)
+                for at in range(0, len(own), 1024):
+                    part = own.iloc[at : at + 1024]
+                    total += np.exp(-1j * (k @ part[xs].to_numpy(float).T)) @ part["value"].to_numpy(float)
+                yield pd.DataFrame({"field_id": field, **{f"i{d}": index[d] for d in range(grid.nd)}, "c": np.int32(c), "re": total.real, "im": total.imag})
+
+    schema = ", ".join(["field_id string", *(f"i{d} int" for d in range(grid.nd)), "c int", "re double", "im double"])
+    parts = points.select("field_id", "c", F.col("value").cast("double").alias("value"), *xs).mapInPandas(run, schema)
+    sums = parts.groupBy(*M.place(grid), "c").agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
     return sums.join(count, ["field_id", "c"]).select(*M.place(grid), "c", (F.col("re") / F.col("n")).alias("re"), (F.col("im") / F.col("n")).alias("im"))
 
 
-def scattered_inverse(modes: DataFrame, places: DataFrame, grid: Grid) -> DataFrame:
-    """Type 2: the modes' sum e^{+ikx} at scattered places (field_id, point, x0..): field_id, point, c, value."""
-    rows = modes.join(places, "field_id")
-    angle = spectral.add([spectral.signed(F.col(f"i{d}"), n) * F.col(f"x{d}") for d, n in enumerate(grid.ns)])
-    return rows.groupBy("field_id", "point", "c").agg(F.sum(F.col("re") * F.cos(angle) - F.col("im") * F.sin(angle)).alias("value"))
+def scattered_inverse(modes: DataFrame, places: DataFrame, grid: Grid, block: int = 4096) -> DataFrame:
+    """Type 2: the modes' sum e^{+ikx} at scattered places (field_id, point, x0..): field_id, point, c, value.
+
+    A field's places are cut into blocks of about ``block``; its modes go to each of them.
+    """
+    most = places.groupBy("field_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1
+    blocks = -(-most // block)
+    own = places.withColumn("part", F.pmod(F.xxhash64("point"), F.lit(blocks)).cast("int"))
+    every = modes.select("field_id", *(f"i{d}" for d in range(grid.nd)), "c", "re", "im", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("part"))
+    axes, xs = [spectral.axis(n) for n in grid.ns], [f"x{d}" for d in range(grid.nd)]
+
+    def run(some: pa.Table, at: pa.Table) -> pa.Table:
+        c, which = np.unique(some.column("c").to_numpy(), return_inverse=True)
+        z = some.column("re").to_numpy() + 1j * some.column("im").to_numpy()
+        spread = np.zeros((len(z), len(c)), complex)
+        spread[np.arange(len(z)), which] = z
+        k = np.stack([axis[some.column(f"i{d}").to_numpy()] for d, axis in enumerate(axes)], 1)
+        x = np.stack([at.column(n).to_numpy() for n in xs], 1)
+        value = [(np.exp(1j * (x[i : i + 512] @ k.T)) @ spread).real for i in range(0, len(x), 512)]
+        value = np.concatenate(value) if value else np.zeros((0, len(c)))
+        take = pa.array(np.repeat(np.arange(len(x)), len(c)))
+        return pa.table({"field_id": at.column("field_id").take(take), "point": at.column("point").take(take), "c": pa.array(np.tile(c, len(x)).astype(np.int32)), "value": value.ravel()})
+
+    kind = places.schema["point"].dataType.simpleString()
+    return every.groupBy("field_id", "part").cogroup(own.groupBy("field_id", "part")).applyInArrow(run, f"field_id string, point {kind}, c int, value double")
 
 
 # --- spherical fields -------------------------------------------------------------------------

@@ -1,8 +1,8 @@
 """The registered queries of the transfer engine, each with SQL that computes it another way.
 
-The SQL takes the reference's direct route, through physical space: inverse transform, product,
-forward transform.  The engine joins modes by their triad.  Doubles are rounded on both sides,
-since sums run in different orders.
+The SQL takes the direct route through physical space: inverse transform, product, forward
+transform.  The engine joins modes by their triad, or transforms stacks of fields.  Doubles are
+rounded on both sides, since sums run in different orders; cells of any size are compared.
 """
 
 from __future__ import annotations
@@ -18,9 +18,10 @@ from ..operators import batch, coarse, decompose, density, nonlinear, shells, to
 from ..operators import modes as M
 from ..operators import transforms as T
 from ..sources import fields
+from . import dispatch
 from . import types as P
 
-DIGITS = 6
+DIGITS = 7
 FLAT, ODD, CUBE, SMALL = P.Grid((12, 12)), P.Grid((11, 11)), P.Grid((9, 9, 9)), P.Grid((8, 8))
 
 
@@ -29,7 +30,11 @@ def rounded(df: DataFrame) -> DataFrame:
 
 
 def _q(run, drop=("field_id",)):
-    return lambda s, d: rounded(run(s, d).drop(*drop))
+    def query(s, d):
+        M.release()  # what an earlier query has kept
+        return rounded(run(s, d).drop(*drop))
+
+    return query
 
 
 def _u(s, d, grid=FLAT):
@@ -62,6 +67,8 @@ class Sql:
             one = lambda c, a, b: f"SELECT {self.ids}, {c} AS c, -(k{a} * m{b} - k{b} * m{a}) AS re, k{a} * r{b} - k{b} * r{a} AS im FROM ph"
             self.add("uh", " UNION ALL ".join(one(*x) for x in ((0, 1, 2), (1, 2, 0), (2, 0, 1))))
         self.add("th", f"SELECT {self.ids}, 0 AS c, r1 AS re, m1 AS im FROM ph")
+        if self.nd == 2:  # quantity and price as a velocity, as they are
+            self.add("vh", f"SELECT {self.ids}, 0 AS c, r0 / 100 AS re, m0 / 100 AS im FROM ph UNION ALL SELECT {self.ids}, 1, r1 / 100, m1 / 100 FROM ph")
 
     def add(self, name: str, query: str) -> None:
         self.parts.append(f"{name} AS MATERIALIZED ({query})")
@@ -115,9 +122,9 @@ def _r(x: str) -> str:
     return f"round({x}, {DIGITS}) + 0.0"
 
 
-def _flux_sql(grid, binning, geometry=P.ShellMagnitude(), f="uh", invariant="ke", keep=True) -> str:  # noqa: B008
+def _flux_sql(grid, binning, geometry=P.ShellMagnitude(), f="uh", invariant="ke", keep=True, u="uh") -> str:  # noqa: B008
     q = Sql(grid)
-    term, carrier = q.term("nl", f=f, keep=keep), f
+    term, carrier = q.term("nl", u=u, f=f, keep=keep), f
     if invariant in ("helicity", "enstrophy"):
         carrier = q.curled("cw", f)
     if invariant == "enstrophy":
@@ -142,21 +149,34 @@ def _shell_sql(f="uh", what="matrix") -> str:
     }[what])
 
 
-def _band_sql(bands: P.SmoothBands) -> str:
+def _band_sql(bands: P.SmoothBands, what: str = "matrix") -> str:
     q = Sql(FLAT)
     rows = ", ".join(f"({n + 1}, {float(c)!r}::DOUBLE)" for n, c in enumerate(bands.centers))
     q.add("raw", f"SELECT {q.ids}, b, CASE WHEN kap > 0 THEN exp(-pow(ln(kap / c), 2) / {2 * bands.logwidth**2!r}) ELSE 0 END AS w FROM gr, (VALUES {rows}) v(b, c)")
     q.add("w", f"SELECT {q.ids}, b, CASE WHEN sum(w) OVER (PARTITION BY {q.ids}) > 0 THEN w / sum(w) OVER (PARTITION BY {q.ids}) ELSE 0 END AS w FROM raw")
     q.add("fb", f"SELECT {q.ids}, c, re * w AS re, im * w AS im, b AS m FROM uh JOIN w USING ({q.ids})")
     q.density("t", "uh", q.term("nl", f="fb", keys=("m",)), ("m",))
-    return q.done(f"SELECT CAST(b AS INTEGER) AS n, CAST(m AS INTEGER) AS m, {_r('sum(t * w)')} AS transfer FROM t JOIN w USING ({q.ids}) GROUP BY b, m")
+    q.add("mx", f"SELECT CAST(b AS INTEGER) AS n, CAST(m AS INTEGER) AS m, sum(t * w) AS t FROM t JOIN w USING ({q.ids}) GROUP BY b, m")
+    return q.done({
+        "matrix": f"SELECT n, m, {_r('t')} AS transfer FROM mx",
+        "net": f"SELECT n, {_r('c')} AS lo, {_r('c')} AS hi, {_r('c')} AS center, {_r('sum(t)')} AS net FROM mx JOIN (VALUES {rows}) v(n, c) USING (n) GROUP BY n, c",
+        "error": f"SELECT {_r('max(abs(a.t + b.t))')} AS max_antisymmetry_error FROM mx a JOIN mx b ON a.n = b.m AND a.m = b.n",
+    }[what])
 
 
-def _mode_sql(f="uh") -> str:
+def _mode_sql(f="uh", net: bool = False) -> str:
+    """Every two modes, those that nothing joins as well."""
     q = Sql(FLAT)
     q.add("fp", f"SELECT f.*, i0 AS p0, i1 AS p1 FROM {f} f JOIN gr USING ({q.ids}) WHERE keep")
     q.density("t", f, q.term("nl", f="fp", keys=("p0", "p1")), ("p0", "p1"))
-    return q.done(f"SELECT i0 AS k0, i1 AS k1, p0, p1, {_r('t')} AS s FROM t WHERE round(t, {DIGITS}) <> 0")
+    q.add("al", "SELECT k.i0 AS k0, k.i1 AS k1, p.i0 AS p0, p.i1 AS p1, coalesce(t, 0) AS s FROM gr k CROSS JOIN gr p LEFT JOIN t ON t.i0 = k.i0 AND t.i1 = k.i1 AND t.p0 = p.i0 AND t.p1 = p.i1")
+    return q.done(f"SELECT k0, k1, {_r('1000 * sum(s)')} AS net_milli FROM al GROUP BY k0, k1" if net else f"SELECT k0, k1, p0, p1, {_r('1000 * s')} AS s_milli FROM al")
+
+
+def _milli(df: DataFrame) -> DataFrame:
+    """The last column in thousandths: single modes' values are small."""
+    name = df.columns[-1]
+    return df.select(*df.columns[:-1], (1000 * F.col(name)).alias(f"{name}_milli"))
 
 
 _CROSS = {0: (1, 2), 1: (2, 0), 2: (0, 1)}
@@ -215,7 +235,7 @@ def _part_flux_sql(grid, kind, carriers_only: bool) -> str:
     return q.done(f"SELECT {cols}, CAST(shell AS INTEGER) AS shell, {_r('center')} AS k_shell, {_r('t')} AS transfer, {_r(f'sum(t) OVER (PARTITION BY {cols} ORDER BY shell)')} AS flux FROM al")
 
 
-def _coarse_sql(response: str) -> str:
+def _coarse_sql(response: str, what: str = "map") -> str:
     """Flux map of the velocity (v0, v1) on the points, by filtered transforms."""
     q = Sql(FLAT)
     n2 = q.n**2
@@ -227,7 +247,12 @@ def _coarse_sql(response: str) -> str:
     q.add("sm", f"SELECT x.i0, x.i1, w, sum(re * cos({t}) - im * sin({t})) AS v, sum(-f.k0 * im * cos({t}) - f.k0 * re * sin({t})) AS d0, sum(-f.k1 * im * cos({t}) - f.k1 * re * sin({t})) AS d1 FROM fh f, gr x GROUP BY ALL")
     one = lambda w, v: f"max({v}) FILTER (WHERE w = '{w}')"
     q.add("al", f"SELECT i0, i1, {one('u', 'v')} AS u, {one('v', 'v')} AS v, {one('uu', 'v')} AS uu, {one('uv', 'v')} AS uv, {one('vv', 'v')} AS vv, {one('u', 'd0')} AS ux, {one('u', 'd1')} AS uy, {one('v', 'd0')} AS vx, {one('v', 'd1')} AS vy FROM sm GROUP BY ALL")
-    return q.done(f"SELECT i0, i1, {_r('-((uu - u * u) * ux + (vv - v * v) * vy + (uv - u * v) * (uy + vx))')} AS flux FROM al")
+    q.add("fx", "SELECT i0, i1, -((uu - u * u) * ux + (vv - v * v) * vy + (uv - u * v) * (uy + vx)) AS flux FROM al")
+    return q.done({
+        "map": f"SELECT i0, i1, {_r('flux')} AS flux FROM fx",
+        "mean": f"SELECT {_r('avg(flux)')} AS mean_flux FROM fx",
+        "wet": f"SELECT {_r('avg(flux)')} AS mean_flux FROM fx WHERE (i0 + i1) % 3 <> 0",
+    }[what])
 
 
 def _filter_rows(s):
@@ -274,21 +299,98 @@ z AS (SELECT var, x, block, f, sum(v * cos(2 * pi() * f * j / 16)) / {float(_TOD
 
 
 def _tod_budget(s, d):
-    got = tod.tod(_series(s, d), window=16, noverlap=8, dt=1.0, nfreq=2)
+    got = tod.tod(_series(s, d), window=16, noverlap=8, dt=1.0, outputs=("bispectrum",))
     return got.bispectrum.groupBy("l", "n").agg(F.sum("budget").alias("budget"), F.sum(F.col("lambda") * F.col("lambda")).alias("energy"))
 
 
 #: Of all modes kept, budgets add up to the trace of the cross product and squared values to its norm.
-_TOD_SQL = _TOD_BASE + f""", tr AS (SELECT a.f AS l, b.f AS n FROM f a, f b WHERE b.f >= 0 AND abs(a.f) <= 2 AND abs(b.f) <= 2 AND abs(b.f - a.f) <= 2),
-p AS (SELECT l, n, k.block, k.var, k.x, k.re * o.re - k.im * o.im AS re, k.re * o.im + k.im * o.re AS im FROM tr JOIN z o ON o.f = l JOIN z k ON k.f = n - l AND k.var = o.var AND k.x = o.x AND k.block = o.block),
+_TOD_PAIRS = """, tr AS (SELECT a.f AS l, b.f AS n FROM f a, f b WHERE b.f >= 0 AND b.f - a.f BETWEEN -8 AND 7),
+p AS (SELECT l, n, k.block, k.var, k.x, k.re * o.re - k.im * o.im AS re, k.re * o.im + k.im * o.re AS im FROM tr JOIN z o ON o.f = l JOIN z k ON k.f = n - l AND k.var = o.var AND k.x = o.x AND k.block = o.block)"""
+_TOD_CROSS = f""",
 c AS (SELECT p.l, p.n, p.var, p.x, q.var AS var2, q.x AS x2, sum(p.re * q.re + p.im * q.im) / {_TOD.blocks} AS re, sum(p.im * q.re - p.re * q.im) / {_TOD.blocks} AS im FROM p JOIN z q ON q.f = p.n AND q.block = p.block GROUP BY ALL)
-SELECT l, n, {_r('coalesce(sum(re) FILTER (WHERE var = var2 AND x = x2), 0)')} AS budget, {_r('sum(re * re + im * im)')} AS energy FROM c GROUP BY l, n"""
+"""
+_TOD_SQL = _TOD_BASE + _TOD_PAIRS + _TOD_CROSS + f"""SELECT l, n, {_r('coalesce(sum(re) FILTER (WHERE var = var2 AND x = x2), 0)')} AS budget, {_r('sum(re * re + im * im)')} AS energy FROM c GROUP BY l, n"""
+
+
+#: Frequencies as above of blocks less their mean; the mean itself stays at frequency 0.
+_TOD_BLOCKWISE = _TOD_BASE.replace("\nf AS (SELECT", """
+w0 AS (SELECT var, x, block, j, v FROM w),
+wm AS (SELECT var, x, b.block, l.t - s AS j, (v - avg(v) OVER (PARTITION BY var, x, b.block)) * (0.54 - 0.46 * cos(2 * pi() * (l.t - s) / 15)) AS v FROM l JOIN b ON t >= s AND t < s + 16),
+f AS (SELECT""").replace("FROM w, f GROUP BY ALL)", "FROM (SELECT w0.*, TRUE AS still FROM w0 UNION ALL SELECT *, FALSE FROM wm) w JOIN f ON still = (f.f = 0) GROUP BY ALL)")
+#: Of two states, the squared values are the two roots of the cross product's characteristic polynomial.
+_TOD_TWO = _TOD_BASE.replace("user_id % 3", "user_id % 2").replace(" UNION ALL SELECT t, 1, x, sum(ln(1 + abs(value))) / 1000 FROM e GROUP BY ALL", "") + _TOD_PAIRS + _TOD_CROSS + f""",
+g AS (SELECT l, n, sum(re * re + im * im) AS t2,
+  max(re) FILTER (WHERE x = 0 AND x2 = 0) AS ar, max(im) FILTER (WHERE x = 0 AND x2 = 0) AS ai, max(re) FILTER (WHERE x = 0 AND x2 = 1) AS br, max(im) FILTER (WHERE x = 0 AND x2 = 1) AS bi,
+  max(re) FILTER (WHERE x = 1 AND x2 = 0) AS cr, max(im) FILTER (WHERE x = 1 AND x2 = 0) AS ci, max(re) FILTER (WHERE x = 1 AND x2 = 1) AS dr, max(im) FILTER (WHERE x = 1 AND x2 = 1) AS di FROM c GROUP BY l, n),
+r AS (SELECT l, n, t2, pow(ar * dr - ai * di - br * cr + bi * ci, 2) + pow(ar * di + ai * dr - br * ci - bi * cr, 2) AS d2 FROM g)
+SELECT l, n, CAST(0 AS INTEGER) AS mode, {_r('sqrt((t2 + sqrt(greatest(t2 * t2 - 4 * d2, 0))) / 2)')} AS value FROM r"""
+
+
+def _tod_two(s, d):
+    """The leading value of each triad of two states."""
+    got = tod.tod(fields.event_series(s, d, 64, 2).where("var = 0"), window=16, noverlap=8, dt=1.0, nmode=1)
+    return got.bispectrum.select("l", "n", "mode", F.col("lambda").alias("value"))
+
+
+def _tod_blockwise(s, d):
+    got = tod.tod(_series(s, d), window=16, noverlap=8, dt=1.0, mean_type="blockwise", outputs=("bispectrum",))
+    return got.bispectrum.groupBy("l", "n").agg(F.sum("budget").alias("budget"), F.sum(F.col("lambda") * F.col("lambda")).alias("energy"))
+
+
+def _tod_coefficients(s, d):
+    """Of as many modes as states, coefficients hold all of the products: their squares by block."""
+    got = tod.tod(_series(s, d), window=16, noverlap=8, dt=1.0, return_coefficients=True, outputs=("bispectrum",))
+    return got.coefficients.where("kind = 'convective' and n > 0 and l not in (0, -8) and n - l not in (0, -8)").groupBy("l", "n", "block").agg(F.sum(F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("energy"))
+
+
+def _tod_defaults(s, d):
+    """What is chosen where nothing is said."""
+    p = tod.parameters(64)
+    rows = [(b, start, p.nfft, p.noverlap, p.dt, float(p.window.sum())) for b, start in enumerate(tod.block_starts(64, p))]
+    return s.createDataFrame(rows, "block int, start int, nfft int, noverlap int, dt double, total double").coalesce(1)
 
 
 def _batch_flux(s, d):
     """Each embedding as a velocity of one dimension: transfer by shell of a batch of snapshots."""
     grid = P.Grid((64,))
-    return transfer.spectral_flux(T.forward(fields.embedding_fields(s, d), grid, "fft"), grid, binning=P.LinearBinning(4.0), method="fft", m=1)
+    return transfer.spectral_flux(T.forward(fields.embedding_stack(s, d), grid), grid, binning=P.LinearBinning(4.0), method="fft", m=1)
+
+
+def _batch_flux_sql() -> str:
+    turn = "2 * pi() * a.i * x.i / 64"
+    return _EMB + f""",
+a AS (SELECT CAST(r AS INTEGER) AS i, CASE WHEN r <= 32 THEN r ELSE r - 64 END AS k, least(r, 64 - r) < 21 AS keep FROM range(64) t(r)),
+p AS (SELECT vec_id, x.i AS x, sum(re * cos({turn}) - im * sin({turn})) / 64 AS u, sum(-a.k * (im * cos({turn}) + re * sin({turn}))) / 64 AS g FROM h JOIN a USING (i), a x WHERE a.keep GROUP BY ALL),
+n AS (SELECT vec_id, a.i, abs(a.k) AS k, sum(u * g * cos(2 * pi() * a.i * x / 64)) / 64 AS re, -sum(u * g * sin(2 * pi() * a.i * x / 64)) / 64 AS im FROM p, a WHERE keep GROUP BY ALL),
+t AS (SELECT vec_id, 1 + CAST(floor(n.k / 4) AS INTEGER) AS shell, sum(h.re * n.re + h.im * n.im) AS t FROM n JOIN h USING (vec_id, i) GROUP BY ALL),
+s AS (SELECT v.vec_id, CAST(r AS INTEGER) AS shell, coalesce(t, 0) AS t FROM (SELECT DISTINCT vec_id FROM h) v CROSS JOIN range(1, 9) q(r) LEFT JOIN t ON t.vec_id = v.vec_id AND t.shell = r)
+SELECT CAST(vec_id AS VARCHAR) AS field_id, shell, {_r('4.0 * shell - 2')} AS k_shell, {_r('t')} AS transfer, {_r('sum(t) OVER (PARTITION BY vec_id ORDER BY shell)')} AS flux FROM s"""
+
+
+def _batch_each(s, d):
+    """Gathered: of every field its energy."""
+    import numpy as np
+    import pandas as pd
+
+    run = lambda pdf: pd.DataFrame({"field_id": pdf["field_id"].iloc[:1], "energy": [float(np.mean(pdf["value"].to_numpy() ** 2))]})
+    return batch.batch_map(fields.embedding_fields(s, d), run, "field_id string, energy double", "gather")
+
+
+def _batch_mean(s, d):
+    import pandas as pd
+
+    run = lambda pdf: pd.DataFrame({"field_id": pdf["field_id"].iloc[0], "i0": pdf["i0"].to_numpy(), "square": pdf["value"].to_numpy() ** 2})
+    return batch.batch_map(fields.embedding_fields(s, d), run, "field_id string, i0 int, square double", "mean", ("i0",))
+
+
+def _batch_fold(s, d):
+    """Folded in order: the largest energy, and how many fields."""
+    import pandas as pd
+
+    run = lambda pdf: pd.DataFrame({"field_id": pdf["field_id"].iloc[:1], "most": [float((pdf["value"].to_numpy() ** 2).sum())], "fields": [1]})
+    both = lambda a, b: a.assign(most=max(a["most"].iloc[0], b["most"].iloc[0]), fields=a["fields"].iloc[0] + b["fields"].iloc[0])
+    whole = batch.batch_map(fields.embedding_fields(s, d), run, "field_id string, most double, fields long", both)
+    return s.createDataFrame([(float(whole["most"].iloc[0]), int(whole["fields"].iloc[0]))], "most double, fields long")
 
 
 def _batch_sum(s, d):
@@ -375,16 +477,100 @@ def _energies(grid, kind):
     return run
 
 
-def _seen(pairs: DataFrame) -> DataFrame:
-    """Pairs of which something is left when rounded; the engine has no rows of triads that don't close."""
-    return pairs.where(F.round("s", DIGITS) != 0)
-
-
 def _velocity_points(s, d):
     """Quantity and price as the components of a velocity on the grid."""
     return fields.lineitem_points(s, d, FLAT).where("c < 2").withColumn("value", F.col("value") / 100)
 
 
+def _mean_flux(wet: bool):
+    def run(s, d):
+        fluxes = coarse.flux_map(_velocity_points(s, d), FLAT, P.GaussianFilter(), 2.0)
+        return coarse.mean_flux(fluxes.withColumn("wet", (F.col("i0") + F.col("i1")) % 3 != 0), wet="wet") if wet else coarse.mean_flux(fluxes)
+
+    return run
+
+
+def _taper_rows(s):
+    j = F.col("j")
+    rows = s.range(17).select(F.col("id").cast("int").alias("j"))
+    return rows.select("j", *(spectral.taper_column(kind, j, 17, alpha).alias(name) for name, kind, alpha in (("hamming", "hamming", 0.0), ("hann", "hann", 0.0), ("tukey", "tukey", 0.4))))
+
+
+_TAPER_SQL = (
+    f"SELECT CAST(j AS INTEGER) AS j, {_r('0.54 - 0.46 * cos(2 * pi() * j / 16)')} AS hamming, {_r('0.5 - 0.5 * cos(2 * pi() * j / 16)')} AS hann, "
+    f"{_r('CASE WHEN least(j, 16 - j) >= 3.2 THEN 1.0::DOUBLE ELSE 0.5 - 0.5 * cos(pi() * least(j, 16 - j) / 3.2) END')} AS tukey FROM range(17) q(j)"
+)
+
+
+def _shell_table(s, binning):
+    grid_edges = shells.shell_edges(binning, spectral.largest(FLAT))
+    return shells.shells(s, binning, grid_edges)
+
+
+def _shell_table_sql(lo: str, hi: str, center: str, last: str) -> str:
+    return f"SELECT CAST(n AS INTEGER) AS shell, {_r(lo)} AS lo, {_r(hi)} AS hi, {_r(center)} AS center FROM range(1, 40) q(n) WHERE {last}"
+
+
+def _density_rows(s, d):
+    u = M.once(_u(s, d))
+    return density.transfer_density(u, nonlinear.nonlinear_term(u, FLAT, m=2), FLAT, m=2)
+
+
+def _density_sql() -> str:
+    q = Sql(FLAT)
+    q.density("t", "uh", q.term("nl"))
+    return q.done(f"SELECT i0, i1, {_r('t')} AS t FROM t")
+
+
+def _rotational(s, d):
+    return decompose.decompose(_u(s, d), FLAT, P.RotationalDecomposition(), 2).drop("component")
+
+
+def _rotational_points(s, d):
+    """Of a velocity on the grid, the divergent part there."""
+    return decompose.decompose_points(_velocity_points(s, d), FLAT, P.HelmholtzDecomposition()).where("component = 'divergent'").drop("component")
+
+
+def _rotational_points_sql() -> str:
+    q = Sql(FLAT)
+    t = q.angle("g.i", "x.i")
+    q.add("dv", "SELECT i0, i1, k0, k1, CASE WHEN kap > 0 THEN (k0 * r0 + k1 * r1) / (kap * kap) ELSE 0 END / 10 AS ar, CASE WHEN kap > 0 THEN (k0 * m0 + k1 * m1) / (kap * kap) ELSE 0 END / 10 AS am FROM (SELECT i0, i1, k0, k1, kap, r0 / 10 AS r0, m0 / 10 AS m0, r1 / 10 AS r1, m1 / 10 AS m1 FROM ph)")
+    one = lambda c: f"SELECT x.i0, x.i1, {c} AS c, sum(g.k{c} * (ar * cos({t}) - am * sin({t}))) AS v FROM dv g, gr x GROUP BY ALL"
+    return q.done(f"SELECT i0, i1, c, {_r('v')} AS value FROM ({one(0)} UNION ALL {one(1)})")
+
+
+def _sphere(s, d):
+    """Suppliers as points of a sphere, each as heavy as any other."""
+    rows = fields.table(s, d, "supplier")
+    points = rows.select(F.lit("f").alias("field_id"), ((F.col("s_suppkey") % 19 + 0.5) * (math.pi / 19)).alias("theta"), ((F.col("s_suppkey") % 23) * (2 * math.pi / 23)).alias("phi"), F.lit(0).alias("c"), (F.col("s_acctbal") / 1000).alias("value"))
+    return points
+
+
+_SPHERE = "WITH p AS (SELECT (s_suppkey % 19 + 0.5) * pi() / 19 AS a, (s_suppkey % 23) * 2 * pi() / 23 AS b, s_acctbal / 1000 AS v FROM supplier), y AS (" + " UNION ALL ".join(
+    f"SELECT {l} AS l, {m} AS m, 0 AS c, ({norm}) * ({body}) * cos({m} * b) * v AS re, -({norm}) * ({body}) * sin({m} * b) * v AS im FROM p"
+    for l, m, norm, body in (
+        (0, 0, "sqrt(1 / (4 * pi()))", "1"),
+        (1, -1, "sqrt(3 / (8 * pi()))", "sin(a)"),
+        (1, 0, "sqrt(3 / (4 * pi()))", "cos(a)"),
+        (1, 1, "-sqrt(3 / (8 * pi()))", "sin(a)"),
+        (2, -2, "sqrt(15 / (32 * pi()))", "sin(a) * sin(a)"),
+        (2, -1, "sqrt(15 / (8 * pi()))", "sin(a) * cos(a)"),
+        (2, 0, "sqrt(5 / (16 * pi()))", "3 * cos(a) * cos(a) - 1"),
+        (2, 1, "-sqrt(15 / (8 * pi()))", "sin(a) * cos(a)"),
+        (2, 2, "sqrt(15 / (32 * pi()))", "sin(a) * sin(a)"),
+    )
+) + "), s AS (SELECT l, m, c, 4 * pi() * avg(re) AS re, 4 * pi() * avg(im) AS im FROM y GROUP BY ALL) "
+
+
+def _axes_rows(s, d):
+    """Spacing and length of the axes that the order lines' grid has, and how many components are whole."""
+    points = fields.lineitem_points(s, d, FLAT)
+    places = points.select((F.col("i0") * 0.5).alias("x0"), (F.col("i1") * 0.25).alias("x1"))
+    steps, sizes = fields.check_uniform(places, 2), fields.domain_size(places, 2)
+    fields.check_velocity(points, FLAT)
+    return s.createDataFrame([(d_, float(a), float(b)) for d_, (a, b) in enumerate(zip(steps, sizes, strict=True))], "axis int, step double, length double").coalesce(1)
+
+
 _DEFS: dict[str, tuple] = {
     "flux_kinetic": (lambda s, d: transfer.spectral_flux(_u(s, d), FLAT, binning=_LIN, m=2), _flux_sql(FLAT, _LIN)),
     "flux_kinetic_fft": (lambda s, d: transfer.spectral_flux(_u(s, d), FLAT, binning=_LIN, method="fft", m=2), _flux_sql(FLAT, _LIN)),
@@ -409,8 +595,23 @@ _DEFS: dict[str, tuple] = {
     "shell_to_shell_antisymmetry": (lambda s, d: transfer.shell_to_shell(_u(s, d), FLAT, binning=_LIN, m=2).error, _shell_sql(what="error")),
     "shell_to_shell_scalar": (lambda s, d: transfer.scalar_shell_to_shell(_th(s, d), _u(s, d), FLAT, binning=_LIN, m=1).matrix, _shell_sql("th")),
     "band_to_band": (lambda s, d: transfer.band_to_band(_u(s, d), FLAT, _BANDS4, m=2).matrix, _band_sql(_BANDS4)),
-    "mode_to_mode": (lambda s, d: _seen(transfer.mode_to_mode(_u(s, d), FLAT, m=2).pairs), _mode_sql()),
-    "mode_to_mode_scalar": (lambda s, d: _seen(transfer.scalar_mode_to_mode(_th(s, d), _u(s, d), FLAT, m=1).pairs), _mode_sql("th")),
+    "shell_to_shell_scalar_fft": (lambda s, d: transfer.scalar_shell_to_shell(_th(s, d), _u(s, d), FLAT, binning=_LIN, method="fft", m=1).matrix, _shell_sql("th")),
+    "band_to_band_fft": (lambda s, d: transfer.band_to_band(_u(s, d), FLAT, _BANDS4, method="fft", m=2).matrix, _band_sql(_BANDS4)),
+    "band_to_band_net": (lambda s, d: transfer.band_to_band(_u(s, d), FLAT, _BANDS4, m=2).net, _band_sql(_BANDS4, "net")),
+    "band_to_band_antisymmetry": (lambda s, d: transfer.band_to_band(_u(s, d), FLAT, _BANDS4, m=2).error, _band_sql(_BANDS4, "error")),
+    "mode_to_mode": (lambda s, d: _milli(transfer.mode_to_mode(_u(s, d), FLAT, dense=True, m=2).pairs), _mode_sql()),
+    "mode_to_mode_fft": (lambda s, d: _milli(transfer.mode_to_mode(_u(s, d), FLAT, dense=True, method="fft", m=2).pairs), _mode_sql()),
+    "mode_to_mode_net": (lambda s, d: _milli(transfer.mode_to_mode(_u(s, d), FLAT, dense=True, m=2).net), _mode_sql(net=True)),
+    "mode_to_mode_scalar": (lambda s, d: _milli(transfer.scalar_mode_to_mode(_th(s, d), _u(s, d), FLAT, dense=True, m=1).pairs), _mode_sql("th")),
+    "flux_default_shells": (lambda s, d: transfer.spectral_flux(_u(s, d), FLAT), _flux_sql(FLAT, _LIN)),
+    "flux_dispatched": (lambda s, d: dispatch.from_points(P.SpectralFlux(_LIN), _velocity_points(s, d), FLAT), _flux_sql(FLAT, _LIN, f="vh", u="vh")),
+    "flux_3d_fft": (lambda s, d: transfer.spectral_flux(_u(s, d, CUBE), CUBE, binning=_LIN, method="fft", m=3), _flux_sql(CUBE, _LIN)),
+    "flux_3d_helicity_fft": (lambda s, d: transfer.spectral_flux(_u(s, d, CUBE), CUBE, binning=_LIN, invariant=P.Helicity(), method="fft", m=3), _flux_sql(CUBE, _LIN, invariant="helicity")),
+    "flux_partial_helmholtz_fft": (lambda s, d: transfer.partial_fluxes(_u(s, d), FLAT, P.HelmholtzDecomposition(), binning=_LIN, method="fft", m=2), _part_flux_sql(FLAT, "helmholtz", False)),
+    "flux_partial_helical_fft": (lambda s, d: transfer.helical_partial_fluxes(_u(s, d, CUBE), CUBE, binning=_LIN, method="fft", m=3), _part_flux_sql(CUBE, "helical", False)),
+    "flux_partial_total": (lambda s, d: transfer.total_flux(transfer.partial_fluxes(_u(s, d), FLAT, P.HelmholtzDecomposition(), binning=_LIN, m=2)), _flux_sql(FLAT, _LIN)),
+    "transfer_density": (_density_rows, _density_sql()),
+    "nonlinear_term_fft": (lambda s, d: nonlinear.nonlinear_term(_u(s, d), FLAT, method="fft", m=2).where(spectral.two_thirds(FLAT)), _modes_sql(True)),
     "nonlinear_term": (lambda s, d: nonlinear.nonlinear_term(_u(s, d), FLAT, m=2), _modes_sql(True)),
     "forward_transform": (lambda s, d: _u(s, d), _modes_sql(False)),
     "inverse_transform": (lambda s, d: T.inverse(T.forward(fields.lineitem_points(s, d, FLAT).where("c < 2"), FLAT), FLAT), Sql(FLAT).done(f"SELECT i0, i1, c, {_r('coalesce(CASE c WHEN 0 THEN v0 ELSE v1 END, 0)')} AS value FROM (SELECT i0, i1, unnest([0, 1]) AS c FROM gr) LEFT JOIN pt ON i0 = x0 AND i1 = x1")),
@@ -423,14 +624,37 @@ _DEFS: dict[str, tuple] = {
     "coarse_sharp": (lambda s, d: coarse.flux_map(_velocity_points(s, d), FLAT, P.SharpSpectralFilter(), 1.0), _coarse_sql("CASE WHEN kap < pi() THEN 1.0 ELSE 0 END")),
     "coarse_gaussian": (lambda s, d: coarse.flux_map(_velocity_points(s, d), FLAT, P.GaussianFilter(), 2.0), _coarse_sql("exp(-kap * kap * 4 / 24)")),
     "coarse_tophat": (lambda s, d: coarse.flux_map(_velocity_points(s, d), FLAT, P.TopHatFilter(), 1.0), _coarse_sql("CASE WHEN kap = 0 THEN 1.0 ELSE sin(kap / 2) / (kap / 2) END")),
+    "coarse_mean": (_mean_flux(False), _coarse_sql("exp(-kap * kap * 4 / 24)", "mean")),
+    "coarse_mean_wet": (_mean_flux(True), _coarse_sql("exp(-kap * kap * 4 / 24)", "wet")),
+    "part_rotational": (_rotational, Sql(FLAT).done(f"SELECT i0, i1, c, {_r('re')} AS re, {_r('im')} AS im FROM uh")),
+    "part_divergent_points": (_rotational_points, _rotational_points_sql()),
+    "forward_transform_fft": (lambda s, d: fields.streamfunction_velocity(T.forward(fields.lineitem_points(s, d, FLAT).where("c = 0"), FLAT, "fft", 1), FLAT), _modes_sql(False)),
+    "tapers": (lambda s, d: _taper_rows(s), _TAPER_SQL),
+    "shells_linear": (lambda s, d: _shell_table(s, _LIN), _shell_table_sql("n - 1", "CASE WHEN n > sqrt(72) THEN sqrt(72) ELSE n END", "(n - 1 + CASE WHEN n > sqrt(72) THEN sqrt(72) ELSE n END) / 2", "n - 1 < sqrt(72)")),
+    "shells_dyadic": (lambda s, d: _shell_table(s, P.DyadicBinning(0.5)), _shell_table_sql("0.5 * pow(2, n - 1)", "0.5 * pow(2, n)", "0.5 * sqrt(pow(2, n - 1) * pow(2, n))", "0.5 * pow(2, n - 1) <= sqrt(72)")),
+    "shells_logarithmic": (lambda s, d: _shell_table(s, P.LogarithmicBinning(1.0, 1.5)), _shell_table_sql("pow(1.5, n - 1)", "pow(1.5, n)", "sqrt(pow(1.5, n - 1) * pow(1.5, n))", "pow(1.5, n - 1) <= sqrt(72)")),
+    "spherical_coefficients": (lambda s, d: T.spherical_analysis(_sphere(s, d), 2), _SPHERE + f"SELECT l, m, c, {_r('re')} AS re, {_r('im')} AS im FROM s"),
+    "spherical_spectrum": (lambda s, d: T.spherical_spectrum(T.spherical_analysis(_sphere(s, d), 2)), _SPHERE + f"SELECT l, {_r('sum(re * re + im * im)')} AS energy FROM s GROUP BY l"),
+    "axes_checked": (_axes_rows, f"WITH p AS (SELECT CAST(l_orderkey % 12 AS INTEGER) * 0.5 AS a, CAST(l_partkey % 12 AS INTEGER) * 0.25 AS b FROM lineitem) SELECT 0 AS axis, {_r('(max(a) - min(a)) / (count(DISTINCT a) - 1)')} AS step, {_r('count(DISTINCT a) * (max(a) - min(a)) / (count(DISTINCT a) - 1)')} AS length FROM p UNION ALL SELECT 1, {_r('(max(b) - min(b)) / (count(DISTINCT b) - 1)')}, {_r('count(DISTINCT b) * (max(b) - min(b)) / (count(DISTINCT b) - 1)')} FROM p"),
     "coarse_scattered": (lambda s, d: coarse.scattered_flux(_scatter(s, d), SMALL, P.GaussianFilter(), 1.0), _scatter_sql()),
     "tod_budget": (_tod_budget, _TOD_SQL),
     "tod_block_transform": (lambda s, d: tod.windowed_dft(_series(s, d), 64, _TOD), _TOD_BASE + f"SELECT var, x, CAST(block AS INTEGER) AS block, f, {_r('re')} AS re, {_r('im')} AS im FROM z"),
+    "tod_blockwise": (_tod_blockwise, _TOD_BLOCKWISE + _TOD_PAIRS + _TOD_CROSS + f"SELECT l, n, {_r('coalesce(sum(re) FILTER (WHERE var = var2 AND x = x2), 0)')} AS budget, {_r('sum(re * re + im * im)')} AS energy FROM c GROUP BY l, n"),
+    "tod_leading": (_tod_two, _TOD_TWO),
+    "tod_coefficients": (_tod_coefficients, _TOD_BASE + _TOD_PAIRS + f" SELECT l, n, CAST(block AS INTEGER) AS block, {_r('sum(re * re + im * im)')} AS energy FROM p WHERE n > 0 AND l NOT IN (0, -8) AND n - l NOT IN (0, -8) GROUP BY l, n, block"),
+    "tod_defaults": (_tod_defaults, f"SELECT CAST(r AS INTEGER) AS block, CAST(4 * r AS INTEGER) AS start, 8 AS nfft, 4 AS noverlap, 0.125::DOUBLE AS dt, (SELECT {_r('sum(0.54 - 0.46 * cos(2 * pi() * j / 7))')} FROM range(8) w(j)) AS total FROM range(15) q(r)"),
+    "batch_gather": (_batch_each, _EMB + f" SELECT CAST(vec_id AS VARCHAR) AS field_id, {_r('avg(v * v)')} AS energy FROM e GROUP BY vec_id"),
+    "batch_mean": (_batch_mean, _EMB + f" SELECT CAST(x AS INTEGER) AS i0, {_r('avg(v * v)')} AS square FROM e GROUP BY x"),
+    "batch_fold": (_batch_fold, _EMB + f" SELECT {_r('max(p)')} AS most, count(*) AS fields FROM (SELECT sum(v * v) AS p FROM e GROUP BY vec_id)"),
     "batch_power": (_batch_sum, _EMB + f" SELECT CAST(i AS INTEGER) AS i0, {_r('sum(re * re + im * im)')} AS power FROM h GROUP BY i"),
+    "batch_flux": (_batch_flux, _batch_flux_sql()),
     "total_energy_budget": (lambda s, d: transfer.total_energy_budget(_u(s, d), _magnetic(s, d), FLAT, binning=_LIN), _budget_sql()),
+    "total_energy_budget_fft": (lambda s, d: transfer.total_energy_budget(_u(s, d), _magnetic(s, d), FLAT, binning=_LIN, method="fft"), _budget_sql()),
 }
+#: Queries whose fields are told apart in the result.
+_NAMED = ("batch_flux", "batch_gather")
 
-QUERIES = {name: _q(run) for name, (run, _) in _DEFS.items()} | {"batch_flux": _q(_batch_flux, ())}
+QUERIES = {name: _q(run, () if name in _NAMED else ("field_id",)) for name, (run, _) in _DEFS.items()}
 ORACLE_SQL = {name: sql for name, (_, sql) in _DEFS.items()}
 
 

@@ -1,7 +1,9 @@
 """Parameters: what to compute, as plain values.
 
-Every family is open: a new invariant, binning, geometry, filter, decomposition or dealiasing
-rule is any object with the members its family shows here.
+Every family is open.  Of another's own: an invariant is registered with ``density.register``; a
+binning has ``edges_to(k_max)`` and may have ``centers(edges)``; a filter has ``column(k, scale)`` and
+``array(k, scale)``; a decomposition has ``parts`` and ``split(wide, m)``; a dealiasing rule has
+``keeps(n)`` and ``length(n)``; a geometry has ``dims``.
 """
 
 from __future__ import annotations
@@ -141,20 +143,36 @@ class SmoothBands:
             raise ValueError("bands have positive centers and a positive width")
 
 
-# Dealiasing.
+# Dealiasing: along an axis of n points, which modes take part, and how long the transforms are.
 @dataclass(frozen=True)
 class NoDealiasing:
-    pass
+    def keeps(self, n: int) -> list[bool]:
+        return [True] * n
+
+    def length(self, n: int) -> int:
+        return n
 
 
 @dataclass(frozen=True)
 class OrszagTwoThirds:
-    pass
+    """Modes nearer to zero than a third of the axis, rounded down."""
+
+    def keeps(self, n: int) -> list[bool]:
+        return [min(i, n - i) < n // 3 for i in range(n)]
+
+    def length(self, n: int) -> int:
+        return n
 
 
 @dataclass(frozen=True)
 class PaddedThreeHalves:
-    pass
+    """Every mode; transforms are half as long again, and of the axis' parity."""
+
+    def keeps(self, n: int) -> list[bool]:
+        return [True] * n
+
+    def length(self, n: int) -> int:
+        return n + 2 * -(-n // 4)
 
 
 @dataclass(frozen=True)

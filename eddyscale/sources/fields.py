@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import spectral
@@ -79,6 +79,12 @@ def embedding_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("field_id", "i0", F.lit(0).alias("c"), F.col("value").cast("double").alias("value"))
 
 
+def embedding_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same fields packed, a row each."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("field_id"), F.col("embedding").cast("array<double>").alias("re"))
+    return rows.withColumn("im", F.transform("re", lambda x: F.lit(0.0)))
+
+
 def event_series(spark: SparkSession, sf_dir: str, nt: int, nx: int) -> DataFrame:
     """Summed event values, in thousands, and their logarithms by event number and user: (t, var, x, value), every cell present."""
     rows = table(spark, sf_dir, "events").select(F.pmod("event_id", F.lit(nt)).cast("long").alias("t"), F.pmod("user_id", F.lit(nx)).cast("int").alias("x"), F.array(F.col("value"), F.log1p(F.abs("value"))).alias("v"))
@@ -111,11 +117,11 @@ def check_uniform(coordinates: DataFrame, nd: int, tolerance: float = 1e-8) -> l
             out.append(0.0)
             continue
         step = (ends["hi"] - ends["lo"]) / (ends["n"] - 1)
-        # an axis has as many values as a grid has points along it
-        gaps = own.select(F.col("x") - F.lag("x").over(Window.orderBy("x")))
-        worst = gaps.toDF("g").agg(F.max(F.abs(F.col("g") - step))).first()[0]
-        if worst > tolerance * abs(step) + tolerance:
-            raise ValueError(f"axis {d} isn't uniform: off by {worst}")
+        # each value against the multiple of the spacing that it should be: no order, so no single task
+        at = F.round((F.col("x") - ends["lo"]) / step)
+        off = own.agg(F.max(F.abs(F.col("x") - ends["lo"] - at * step)).alias("worst"), F.count_distinct(at).alias("n")).first()
+        if 2 * off["worst"] > tolerance * abs(step) + tolerance or off["n"] < ends["n"]:
+            raise ValueError(f"axis {d} isn't uniform: off by {off['worst']}")
         out.append(step)
     return out
 
