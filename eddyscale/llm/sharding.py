@@ -25,6 +25,7 @@ an underscore in front where a column is named ``shard``.
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -79,17 +80,16 @@ def _string_bounds(rows: DataFrame, columns: list[str], shares: list[float], scr
     dealt = counts.repartitionByRange(n, "dim", "value").withColumn("part", F.spark_partition_id())
     dealt = scratch.save(dealt, "values")  # written, since partitions hold for one deal only
     sums = dealt.groupBy("dim", "part").agg(F.sum("n").alias("n")).collect()  # one number for each partition
-    total, starts = {}, []
+    total, starts = {}, {}
     for r in sorted(sums, key=lambda r: (r["dim"], r["part"])):
-        starts.append((r["dim"], r["part"], total.get(r["dim"], 0)))
+        starts[f"{r['dim']}/{r['part']}"] = total.get(r["dim"], 0)
         total[r["dim"]] = total.get(r["dim"], 0) + r["n"]
     if not total:
         return {c: [] for c in columns}
-    spark = rows.sparkSession
-    starts = F.broadcast(spark.createDataFrame(starts, "dim string, part int, before long"))
-    totals = F.broadcast(spark.createDataFrame(list(total.items()), "dim string, total long"))
-    up_to = F.col("before") + F.sum("n").over(Window.partitionBy("dim", "part").orderBy("value"))
-    run = dealt.join(starts, ["dim", "part"]).join(totals, "dim").withColumn("up_to", up_to)
+    known = lambda d: F.from_json(F.lit(json.dumps(d)), "map<string,bigint>")
+    before = F.element_at(known(starts), F.concat_ws("/", "dim", F.col("part").cast("string")))
+    up_to = before + F.sum("n").over(Window.partitionBy("dim", "part").orderBy("value"))
+    run = dealt.select("dim", "value", "n", up_to.alias("up_to"), F.element_at(known(total), F.col("dim")).alias("total"))
     marks = F.array(*[F.lit(s) * F.col("total") for s in shares])
     crossed = F.exists(marks, lambda m: (F.col("up_to") >= m) & (F.col("up_to") - F.col("n") < m))
     found = run.where(crossed).select("dim", "value").collect()  # at most one a share
