@@ -413,11 +413,18 @@ class Join:
         size, size_ = F.col("n"), F.col("n_")
         return (5 * F.least(size, size_) >= 4 * F.greatest(size, size_)) & (9 * F.least(left(""), left("_")) >= 4 * (size + size_))
 
-    def _pairs(self, left: DataFrame, extra: str = "true") -> DataFrame:
-        """Pairs of one key whose sizes and places allow a link."""
-        right = left.select(*(F.col(c).alias(f"{c}_" if c != "key" else c) for c in left.columns))
-        cond = (F.col("node") < F.col("node_")) & self._may_link() & F.expr(extra)
-        return left.join(right, "key").where(cond).select(F.col("node").alias("a"), F.col("node_").alias("b"))
+    def _pairs(self, rows: DataFrame, extra: str = "true") -> DataFrame:
+        """Pairs of one key whose sizes and places allow a link.
+
+        Sizes that link differ by less than one band, so a key's list is cut into bands and the
+        smaller set meets only its own and the next.
+        """
+        band = F.floor(F.log(F.col("n").cast("double")) / 0.2231)
+        large = rows.select(*(F.col(c).alias(f"{c}_" if c != "key" else c) for c in rows.columns), band.alias("band"))
+        small = rows.select("*", F.explode(F.array(band, band + 1)).alias("band"))
+        smaller = (F.col("n") < F.col("n_")) | (F.col("n") == F.col("n_")) & (F.col("node") < F.col("node_"))
+        pairs = small.join(large, ["key", "band"]).where(smaller & self._may_link() & F.expr(extra))
+        return pairs.select(F.least("node", "node_").alias("a"), F.greatest("node", "node_").alias("b"))
 
     def links(self) -> DataFrame:
         """(a, b), a < b: every link between different classes, by their smallest ids."""
