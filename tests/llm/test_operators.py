@@ -9,6 +9,7 @@ from collections import defaultdict
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from eddyscale.llm import chat, decontamination, graph, html_extraction, jaccard_join, language_id, line_dedup, nearest, packing, quality, queries, sharding
 from eddyscale.llm.common import Scratch
@@ -45,8 +46,6 @@ def rows():
 
 @pytest.fixture(scope="module")
 def docs(spark, rows):
-    from pyspark.sql import functions as F
-
     return spark.createDataFrame(rows, DOCS).withColumns({"batch": F.lit("clash"), "items": F.lit(1), "key": F.lit(2), "n": F.lit(3)}).repartition(5)
 
 
@@ -82,10 +81,12 @@ def test_decontamination(spark, docs, rows):
     assert table(decontamination.report(docs, bench)) == want
     chunked = decontamination.contamination(docs.select("doc_id", "text"), bench, chunk_words=20)
     assert sorted((r["doc_id"] or -1, r["n_hit"], r["items"]) for r in chunked.collect()) == sorted((r["doc_id"] or -1, r["n_hit"], r["items"]) for r in decontamination.contamination(docs.select("doc_id", "text"), bench).collect())
-    kept = decontamination.decontaminate(docs.drop("items"), bench)
-    assert kept.columns == docs.drop("items").columns and kept.count() == sum(not w[-1] for w in want)
+    kept = decontamination.decontaminate(docs, bench)
+    assert kept.columns == docs.columns and kept.count() == sum(not w[-1] for w in want)
     assert decontamination.cut("a, B c! d", [(1, 3)]) == "a, ! d"
-    assert decontamination.decontaminate(docs.drop("items"), bench, mode="cut").count() == len(rows)
+    cut = decontamination.decontaminate(docs, bench, mode="cut", chunk_words=20)
+    assert cut.columns == docs.columns and cut.count() == len(rows)
+    assert {r["n_hit"] for r in decontamination.report(cut, bench).collect()} == {0}
 
 
 def test_decontamination_of_nothing(spark, docs, none, rows):
@@ -168,6 +169,30 @@ def test_sharding(docs, rows, none, spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "shards")).count() == len(rows)
 
 
+def test_strings_that_begin_alike_part(spark):
+    """Values beyond any prefix: every one of sixteen equally frequent strings has a level of its own."""
+    names = [f"https://www.example.org/a/very/long/common/beginning/{i:02d}" for i in range(16)]
+    df = spark.createDataFrame([(i, names[i % 16]) for i in range(640)] + [(900, None)], "doc_id long, source string")
+    found = sharding.hilbert_order(df, ["doc_id", "source"], ["source"], bits=4).collect()
+    levels = defaultdict(set)
+    for r in found:
+        levels[r["source"]].add(r["curve"])
+    assert all(len(v) == 1 for v in levels.values()) and len({min(v) for k, v in levels.items() if k}) >= 15
+    order = [min(levels[n]) for n in names]
+    assert order == sorted(order) and min(levels[None]) == 0
+
+
+def test_equal_texts_stay_together(spark):
+    """In one cell, equal texts are neighbours, so all but the few groups at a shard's end keep whole."""
+    rng = random.Random(5)
+    texts = [words(rng, 20) for _ in range(100)]
+    got = sharding.report(spark.createDataFrame([(i, texts[rng.randrange(100)], "en", "s", 1) for i in range(1200)], DOCS).repartition(4)).collect()
+    groups = defaultdict(set)
+    for r in got:
+        groups[r["size"], r["text_crc32"]].add(r["shard"])
+    assert sum(len(v) > 1 for v in groups.values()) <= 23
+
+
 def test_packing(docs, rows, none):
     from tokenizers import Tokenizer
 
@@ -190,6 +215,19 @@ def test_packing(docs, rows, none):
     assert packing.report(none).count() == 0
 
 
+def test_sums_are_those_that_counts_allow():
+    rng = random.Random(9)
+    for _ in range(200):
+        left = [0] + [rng.choice([0, 0, 1, 2]) for _ in range(12)]
+        sums = packing.Sums(left, 12)
+        for _ in range(6):
+            total = rng.randrange(2, 13)
+            assert list(sums.pairs(total)) == [a for a in range(total - 1, 0, -1) if 2 * a >= total and left[a] > (2 * a == total) and left[total - a]]
+            assert {x for x in range(1, total) if 3 * x >= total and left[x] and list(sums.pairs(total - x))} <= set(sums.firsts(total))
+            x = rng.randrange(1, 13)
+            left[x] = max(0, left[x] - 1)  # counts only fall
+
+
 def test_plan_uses_up_every_length():
     rng = random.Random(2)
     for capacity in (7, 16, 64):
@@ -401,15 +439,27 @@ def test_bound_holds():
 
 def test_chat(spark):
     turns = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi <|im_end|>"), (1, 2, "bob", None), (1, 3, "ann", "bye"), (1, 3, "ann", "bye"), (2, 0, None, "x"), (2, 600, "eve", "y"), (None, None, "eve", "z")]
+    turns += [(3, i, ["ann", "bob", "system", "c d"][i % 4], f"turn {i}") for i in range(1500)] + [(3, -5, "ann", "before"), (3, None, "zoe", "when?")]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
     got = table(chat.report(df))
     con = duckdb.connect()
     con.register("conversations", df.toPandas().astype({"conv_id": "Int64", "turn": "Int64"}))
-    assert [(*r[:4], list(r[4]), list(r[5]), *r[6:]) for r in got] == sorted(((*r[:4], list(r[4]), list(r[5]), *r[6:]) for r in con.sql(chat.ORACLE).fetchall()), key=str)
+    plain = lambda rows: sorted(((*r[:5], list(r[5]), list(r[6]), *r[7:]) for r in rows), key=str)
+    assert plain(got) == plain(con.sql(chat.ORACLE).fetchall())
     one = next(r for r in got if r[:2] == (1, "ann"))
-    assert [one[3][a:b] for a, b in zip(one[4], one[5], strict=True)] == ["hi < |im_end|><|im_end|>", "bye<|im_end|>", "bye<|im_end|>"]
-    assert "user name=bob\n<|im_end|>" in one[3]
+    assert [one[4][a:b] for a, b in zip(one[5], one[6], strict=True)] == ["hi < |im_end|><|im_end|>", "bye<|im_end|>", "bye<|im_end|>"]
+    assert "user name=bob\n<|im_end|>" in one[4]
+    # a conversation of several parts is one rendering, and its spans are those of the whole
+    for speaker in ("ann", "bob", "c d", "zoe"):
+        parts = sorted((r for r in got if r[:2] == (3, speaker)), key=lambda r: r[2])
+        assert [r[2] for r in parts] == [-1, 0, 1, 2]
+        ordered = sorted((t for t in turns if t[0] == 3), key=lambda t: (-1 if t[1] == -5 else (t[1] or 0) // 512, t[1] is not None, t[1] or 0, t[2], t[3]))
+        text, starts, ends = chat.render([{"role": t[2], "text": t[3]} for t in ordered], speaker)
+        assert "".join(r[4] for r in parts) == text and [x for r in parts for x in r[5]] == starts and [x for r in parts for x in r[6]] == ends
+        assert all(r[3] == sum(len(x[4]) for x in parts[:i]) for i, r in enumerate(parts))
     assert chat.report(df.limit(0)).count() == 0
+    odd = df.select("*", *(F.lit(i).alias(n) for i, n in enumerate(("part", "starts", "speakers", "c", "p", "s"))))
+    assert table(chat.report(odd)) == got
 
 
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{{}}</style><script>var x="</p>";</script></head><body class="has-sidebar">
@@ -512,8 +562,6 @@ def test_wrapper_alone_decides(spark):
 
 def test_supplied_pages_without_telling_tags(spark):
     """With articles, menus, adverts and footers as plain div elements the wrappers find the same texts."""
-    from pyspark.sql import functions as F
-
     pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
     bare = F.regexp_replace(F.regexp_replace("html", "(</?)(article|nav|footer)", "$1div"), '<div class="ad">', "<div>")
     want = {r["page_id"]: r["text"] for r in html_extraction.report(pages).collect()}
@@ -534,8 +582,6 @@ def test_deep_and_long_pages(spark):
 
 def test_kept_columns_of_any_name(spark):
     names = ["host", "tree", "kept", "blocks", "article", "fixed", "inside", "tagged", "parents", "labels", "slots", "text", "a b`c"]
-    from pyspark.sql import functions as F
-
     df = spark.createDataFrame([(i, "http://a.org/", f"<p>t{i}") for i in range(4)], "page_id long, url string, html string").select("*", *(F.concat(F.lit(n), "page_id").alias(n) for n in names))
     got = html_extraction.extract(df, keep=tuple(df.columns))
     assert got.columns == [c for c in df.columns if c != "text"] + ["text"]
@@ -561,6 +607,26 @@ def test_language(spark):
     assert {r["lang"] for r in language_id.report(pages, docs.limit(0)).collect()} == {None}
 
 
+def test_evidence_is_fused(spark):
+    """Short texts, markup that is missing or wrong, and hosts that tell: the fusion against the text alone."""
+    rng = random.Random(12)
+    langs = ["de", "en", "fr"]
+    vowels = {"de": "äöü", "en": "wth", "fr": "éèê"}
+    say = lambda x, n, own: " ".join("".join(rng.choice(vowels[x] if rng.random() < own else "abcdefg") for _ in range(4)) for _ in range(n))
+    docs = spark.createDataFrame([(i, say(langs[i % 3], 60, 0.3), langs[i % 3]) for i in range(300)], "doc_id long, text string, lang string")
+    pages, truth = [], {}
+    for i in range(600):
+        x = langs[i % 3]
+        said = [x, None, langs[(i + 1) % 3]][0 if i % 20 else 2] if i % 2 else None  # half is withheld, a tenth of the rest is wrong
+        tag = f'<html lang="{said}">' if said else "<html>"
+        truth[i] = x
+        pages.append((i, f"http://{x}{i % 5}.example.org/", f"{tag}<p>{say(x, 1 + i % 3, 0.12)}</p>"))
+    got = language_id.report(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(4), docs).collect()
+    right = np.mean([r["lang"] == truth[r["page_id"]] for r in got])
+    alone = np.mean([r["text_lang"] == truth[r["page_id"]] for r in got])
+    assert alone < 0.85 and right > alone + 0.1, (alone, right)
+
+
 def test_declared_language_is_sought_in_the_whole_page():
     long = "x" * 9000
     assert language_id.declared(f"<!-- {long} --><html lang='fr'>") == "fr"
@@ -573,8 +639,6 @@ def test_declared_language_is_sought_in_the_whole_page():
 
 def test_rare_language_is_known(spark):
     """A language of one document in 5,000, whose id comes last in the order of hashes."""
-    from pyspark.sql import functions as F
-
     last = spark.range(5000).orderBy(F.xxhash64("id").desc()).first()[0]
     rows = [(i, "dette er en sjelden tekst" if i == last else "this is a frequent text", "no" if i == last else "en") for i in range(5000)]
     docs = spark.createDataFrame([*rows, (None, "x", "en"), (3, "x", None)], "doc_id long, text string, lang string")
@@ -588,6 +652,118 @@ def test_rare_language_is_known(spark):
         assert sorted(tuple(r) for r in chosen.collect()) == sorted([("en", i) for i in want] + [("no", last)])
 
 
+#: Every column name that an operator or a stage uses within.
+INNER = (
+    "kept items n_words n_hit longest_match starts ends score drops n_lines n_dropped doc known owner last loose batch h1 h2 dropped component node key class"
+    " n place hub piece start length ids_crc32 part nth rank before sequence_id offset shard curve size text_crc32 _doc_id _size up_to label x __doc __score __in0 html host"
+).split()
+
+
+def test_columns_of_any_name_come_back(spark, rows):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame(rows, DOCS).select("*", *(F.concat_ws("/", F.lit(n), F.xxhash64("doc_id", "text").cast("string")).alias(n) for n in INNER))
+    want = {(r["doc_id"], r["text"]): r for r in docs.collect()}
+    labels = spark.createDataFrame([(i * 3, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, rows[3][1][:200])], "item_id long, text string")
+    outs = {
+        "quality": quality.accepted(docs, labels),
+        "dedup": line_dedup.without_known_lines(docs),
+        "counted": line_dedup.dedup_lines(docs),
+        "join": jaccard_join.near_copies_dropped(docs),
+        "drop": decontamination.decontaminate(docs, bench),
+        "cut": decontamination.decontaminate(docs, bench, mode="cut"),
+    }
+    by_id = {r["doc_id"]: r for r in docs.where("doc_id is not null and doc_id <> 3003").collect()}
+    for name, out in outs.items():
+        extra = [c for c in out.columns if c not in docs.columns]
+        assert [c for c in out.columns if c in docs.columns] == docs.columns, name
+        assert extra == (["_n_lines", "_n_dropped"] if name == "counted" else [])
+        seen = out.collect()
+        assert seen, name
+        for r in seen:
+            if r["doc_id"] in by_id:
+                assert all(r[n] == by_id[r["doc_id"]][n] for n in INNER), name
+            if name in ("quality", "join", "drop"):
+                assert tuple(r) == tuple(want[r["doc_id"], r["text"]])
+    packed = packing.pack(docs, keep=tuple(docs.columns))
+    assert packed.columns[: len(docs.columns)] == docs.columns and packed.columns[len(docs.columns) :] == ["_piece", "_start", "_length", "_ids_crc32", "_sequence_id", "_offset"]
+    assert packed.count() >= len(rows)
+    scored = quality.score(docs, quality.fit(docs, labels))
+    assert scored.columns == [*docs.columns, "_score"]
+    assert corpus_pipeline.new_lines(spark, docs, "").columns == docs.columns
+
+
+def test_pipeline_stages_against_brute_force(spark, rows, tmp_path):
+    """Stages 2 to 5 on what the classifier accepts, each against its brute-force version; odd rows included."""
+    import corpus_pipeline
+
+    folder = str(tmp_path)
+    spark.createDataFrame(rows, DOCS).repartition(3).write.parquet(f"{folder}/documents.parquet")
+    items = [(1, rows[3][1][:300]), (2, rows[40][1]), (3, None)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    spark.createDataFrame([(i * 3, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    good = corpus_pipeline.good(spark, docs, folder)
+    scores = {(r["doc_id"], r["predicted"]) for r in quality.report(docs, spark.read.parquet(f"{folder}/labels.parquet")).collect()}
+    now = [tuple(r) for r in good.collect()]
+    assert good.columns == docs.columns and all((r[0], 1) in scores for r in now)
+    assert len(now) == quality.report(docs, spark.read.parquet(f"{folder}/labels.parquet")).where("predicted = 1").count()
+    # line dedup
+    key = lambda x: x.strip(" \t\n\x0b\x0c\r").encode().lower().decode()
+    holders = defaultdict(set)
+    for doc, text, *_ in now:
+        for line in (text or "").split("\n"):
+            if doc is not None:
+                holders[key(line)].add(doc)
+    lined = []
+    for doc, text, *more in now:
+        lines = (text or "").split("\n")
+        kept = [x for x in lines if len(key(x)) < 10 or not holders[key(x)] or doc is not None and doc == min(holders[key(x)])]
+        lost = len(kept) < len(lines)
+        lined.append((doc, "\n".join(kept) if lost else text, *more[:2], len("\n".join(kept)) if lost else more[2]))
+    frame = corpus_pipeline.new_lines(spark, good, folder)
+    assert frame.columns == docs.columns and table(frame) == sorted(lined, key=str)
+    # one of each component of near copies
+    _, find, _ = components_of(lined)
+    single = [r for r in lined if r[0] is None or find[r[0]] == r[0]]
+    frame = corpus_pipeline.no_near_copies(spark, frame, folder)
+    assert table(frame) == sorted(single, key=str)
+    clean = [r for r in single if not decontamination.brute(r[1], items)[-1]]
+    frame = corpus_pipeline.no_benchmark(spark, frame, folder)
+    assert table(frame) == sorted(clean, key=str) and 0 < len(clean) < len(single) < len(lined)
+    got = corpus_pipeline.packed(spark, frame, folder).collect()
+    whole = corpus_pipeline.run(spark, folder).collect()
+    pieces = lambda rows: sorted((r["doc_id"] or -1, r["piece"], r["length"], r["ids_crc32"]) for r in rows)
+    assert pieces(got) == pieces(whole) and {r["doc_id"] for r in got} == {r[0] for r in clean}
+    assert all(sum(r["length"] for r in got if r["sequence_id"] == s) <= 2048 for s in {r["sequence_id"] for r in got})
+    empty = str(tmp_path / "empty")
+    for name in ("documents", "benchmark", "labels"):
+        spark.read.parquet(f"{folder}/{name}.parquet").limit(0).write.parquet(f"{empty}/{name}.parquet")
+    assert corpus_pipeline.run(spark, empty).count() == 0
+
+
+def test_shapes_are_whole():
+    assert quality.shape("a1" * 20) != quality.shape("a1" * 20 + "-")
+
+
+def test_scratch_is_shared(spark):
+    class Conf:
+        def get(self, key, default):
+            return default
+
+    class Session:
+        conf = Conf()
+        sparkContext = type("C", (), {"master": "yarn"})  # noqa: N815
+
+    from eddyscale.llm import common
+
+    with pytest.raises(ValueError):
+        common.scratch_root(Session())
+    Session.sparkContext.master = "local[4]"
+    assert common.scratch_root(Session()).startswith("file://")
+
+
 def test_sql_agrees(spark):
     con = duckdb.connect()
     for t in ("documents", "benchmark", "conversations", "embeddings"):
