@@ -121,11 +121,13 @@ def filter_array(kind, k: np.ndarray, scale: float) -> np.ndarray:
     raise TypeError(f"filter: {kind!r}")
 
 
-def band_weights(bands: SmoothBands, kappa: Column) -> list[Column]:
-    """One weight for each band, summing to one; zero at and below zero."""
-    raw = [F.when(kappa > 0, F.exp(-F.pow(F.log(kappa / c), 2) / (2 * bands.logwidth**2))).otherwise(0.0) for c in bands.centers]
-    total = add(raw)
-    return [F.when(total > 0, w / total).otherwise(0.0) for w in raw]
+def band_weights(bands: SmoothBands, kappa: Column) -> Column:
+    """An array of one weight for each band, summing to one; zero at and below zero."""
+    centers = F.array(*(F.lit(float(c)) for c in bands.centers))
+    raw = F.transform(centers, lambda c: F.when(kappa > 0, F.exp(-F.pow(F.log(kappa / c), 2) / (2 * bands.logwidth**2))).otherwise(0.0))
+    total = lambda r: F.aggregate(r, F.lit(0.0), lambda a, w: a + w)
+    # through an array of one array, so that the weights are made once
+    return F.get(F.transform(F.array(raw), lambda r: F.transform(r, lambda w: F.when(total(r) > 0, w / total(r)).otherwise(0.0))), F.lit(0))
 
 
 def band_arrays(bands: SmoothBands, kappa: np.ndarray) -> np.ndarray:

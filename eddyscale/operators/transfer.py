@@ -167,11 +167,11 @@ def band_to_band(f: DataFrame, grid: Grid, bands: SmoothBands, u: DataFrame | No
         matrix = _fused_matrix(u, f, grid, m, dealiasing, invariant, geometry, [], bands)
     else:
         weights = spectral.band_weights(bands, spectral.magnitude(grid, geometry))
-        spread = F.explode(F.array(*(F.struct(F.lit(b + 1).alias("b"), w.alias("w")) for b, w in enumerate(weights))))
-        given = f.select("*", spread.alias("s")).where("s.w > 0").select(*M.place(grid), "c", (F.col("re") * F.col("s.w")).alias("re"), (F.col("im") * F.col("s.w")).alias("im"), F.col("s.b").alias("giver"))
+        spread = F.posexplode(weights).alias("b", "w")
+        given = f.select("*", spread).where("w > 0").select(*M.place(grid), "c", (F.col("re") * F.col("w")).alias("re"), (F.col("im") * F.col("w")).alias("im"), (F.col("b") + 1).alias("giver"))
         term = N.wide_term(u, given, grid, m, dealiasing, f_keys=["giver"])
         t = D.of_wide(M.widen(f, grid, m, []), term, grid, m, invariant, ["giver"])
-        sums = t.select("*", spread.alias("s")).groupBy("field_id", F.col("s.b").alias("n"), F.col("giver").alias("m")).agg(F.sum(F.col("t") * F.col("s.w")).alias("transfer"))
+        sums = t.select("*", spread).groupBy("field_id", (F.col("b") + 1).alias("n"), F.col("giver").alias("m")).agg(F.sum(F.col("t") * F.col("w")).alias("transfer"))
         matrix = _dense(sums, f, len(centers))
     return _transfer(matrix, centers, centers, centers)
 

@@ -17,7 +17,7 @@ from ..functions import spectral
 from ..operators import batch, coarse, decompose, density, nonlinear, shells, tod, transfer
 from ..operators import modes as M
 from ..operators import transforms as T
-from ..sources import fields
+from ..sources import fields, flows
 from . import dispatch
 from . import types as P
 
@@ -269,7 +269,7 @@ def _grid_rows(s):
     _, edges = shells.edges_of(FLAT, P.LinearBinning(1.0))
     kappa = spectral.magnitude(FLAT)
     weights = spectral.band_weights(P.SmoothBands((1.0, 2.0, 4.0)), kappa)
-    return rows.select("i0", "i1", k[0].cast("double").alias("k0"), k[1].cast("double").alias("k1"), kappa.alias("kappa"), shells.shell_of(kappa, edges).alias("shell"), spectral.two_thirds(FLAT).alias("keep"), spectral.dealiasing_mask(FLAT).alias("mask"), *(w.alias(f"w{b}") for b, w in enumerate(weights)))
+    return rows.select("i0", "i1", k[0].cast("double").alias("k0"), k[1].cast("double").alias("k1"), kappa.alias("kappa"), shells.shell_of(kappa, edges).alias("shell"), spectral.two_thirds(FLAT).alias("keep"), spectral.dealiasing_mask(FLAT).alias("mask"), *(F.get(weights, F.lit(b)).alias(f"w{b}") for b in range(3)))
 
 
 _GRID_SQL = Sql(FLAT)
@@ -635,6 +635,8 @@ _DEFS: dict[str, tuple] = {
     "shells_logarithmic": (lambda s, d: _shell_table(s, P.LogarithmicBinning(1.0, 1.5)), _shell_table_sql("pow(1.5, n - 1)", "pow(1.5, n)", "sqrt(pow(1.5, n - 1) * pow(1.5, n))", "pow(1.5, n - 1) <= sqrt(72)")),
     "spherical_coefficients": (lambda s, d: T.spherical_analysis(_sphere(s, d), 2), _SPHERE + f"SELECT l, m, c, {_r('re')} AS re, {_r('im')} AS im FROM s"),
     "spherical_spectrum": (lambda s, d: T.spherical_spectrum(T.spherical_analysis(_sphere(s, d), 2)), _SPHERE + f"SELECT l, {_r('sum(re * re + im * im)')} AS energy FROM s GROUP BY l"),
+    "flow_taylor_green": (lambda s, d: flows.energy(T.forward(flows.on_grid(s, CUBE, flows.taylor_green), CUBE)), f"SELECT {_r('0.125')} AS energy"),
+    "flow_beltrami": (lambda s, d: flows.energy(T.forward(flows.on_grid(s, CUBE, flows.beltrami), CUBE)), f"SELECT {_r('(1 + 0.49 + 0.43 * 0.43) / 2')} AS energy"),
     "axes_checked": (_axes_rows, f"WITH p AS (SELECT CAST(l_orderkey % 12 AS INTEGER) * 0.5 AS a, CAST(l_partkey % 12 AS INTEGER) * 0.25 AS b FROM lineitem) SELECT 0 AS axis, {_r('(max(a) - min(a)) / (count(DISTINCT a) - 1)')} AS step, {_r('count(DISTINCT a) * (max(a) - min(a)) / (count(DISTINCT a) - 1)')} AS length FROM p UNION ALL SELECT 1, {_r('(max(b) - min(b)) / (count(DISTINCT b) - 1)')}, {_r('count(DISTINCT b) * (max(b) - min(b)) / (count(DISTINCT b) - 1)')} FROM p"),
     "coarse_scattered": (lambda s, d: coarse.scattered_flux(_scatter(s, d), SMALL, P.GaussianFilter(), 1.0), _scatter_sql()),
     "tod_budget": (_tod_budget, _TOD_SQL),
