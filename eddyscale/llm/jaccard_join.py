@@ -45,90 +45,29 @@ from pyspark.sql import functions as F
 
 from . import graph
 from .common import Scratch, column_list, free, pieces
+from .words import Hasher, mix, texts_of
 
 #: Odd multipliers of the words of a shingle, and those of the finaliser.
 _PLACE = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _LIGHT_MOST = 128  # largest boundary that is weighed
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """A bijection that spreads bits (64-bit finaliser)."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-#: Of each byte: whether it is white space, and its value, A-Z lowered, as an odd random number.
-_BLANK = np.zeros(256, bool)
-_BLANK[[0x20, *range(0x09, 0x0E)]] = True
-_VALUE = (np.random.default_rng(20_250_105).integers(0, 1 << 63, 256, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
-_VALUE[0x41:0x5B] = _VALUE[0x61:0x7B]
-#: The base of the words' polynomial, odd, and its inverse modulo 2^64.
-_BASE = 0x9FB21C651E98DF25
-_INVERSE = pow(_BASE, -1, 1 << 64)
-
-
 class Shingler:
-    """Distinct shingle hashes of texts, for a whole Arrow column at once.
-
-    A word's hash is a polynomial of its bytes, taken from running sums over the column's buffer
-    in chunks that end between words, so neither a dictionary nor the length of a text takes memory.
-    """
+    """Distinct shingle hashes of texts, for a whole Arrow column at once."""
 
     def __init__(self, width: int = 5, chunk: int = 1 << 20):
-        self.width, self.chunk = width, chunk
-        self.powers = self.inverses = np.ones(1, np.uint64)
-
-    def _grow(self, n: int) -> None:
-        if len(self.powers) < n:
-            ladder = lambda base: np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n - 1, base, np.uint64))))
-            self.powers, self.inverses = ladder(_BASE), ladder(_INVERSE)
-
-    def _words(self, data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and hashes of the words of ``data``; a word also ends at each of ``breaks``."""
-        starts, hashes, at = [np.empty(0, np.int64)], [np.empty(0, np.uint64)], 0
-        while at < len(data):
-            end = min(len(data), at + self.chunk)
-            while end < len(data):  # on to a place between words
-                if len(gap := np.flatnonzero(_BLANK[data[end - 1 : end + self.chunk]])):
-                    end += int(gap[0])
-                    break
-                end = min(len(data), end + self.chunk)
-            part = data[at:end]
-            solid = ~_BLANK[part]
-            first, last = solid.copy(), solid.copy()
-            first[1:] &= ~solid[:-1]
-            last[:-1] &= ~solid[1:]
-            own = breaks[np.searchsorted(breaks, at + 1) : np.searchsorted(breaks, end)] - at
-            first[own] = solid[own]
-            last[own - 1] = solid[own - 1]
-            first, last = np.flatnonzero(first), np.flatnonzero(last)
-            self._grow(len(part) + 1)
-            sums = np.zeros(len(part) + 1, np.uint64)
-            np.cumsum(_VALUE[part] * self.powers[: len(part)], out=sums[1:])
-            hashes.append(mix((sums[last + 1] - sums[first]) * self.inverses[first] + (last - first).astype(np.uint64)))
-            starts.append(first + at)
-            at = end
-        return np.concatenate(starts), np.concatenate(hashes)
+        self.width, self.words = width, Hasher(lowered=True, chunk=chunk)
 
     def sets(self, texts: pa.Array):
         """Each text's distinct shingles' hashes, sorted; none for a null text."""
-        texts = texts.cast(pa.large_string()) if not pa.types.is_large_string(texts.type) else texts
-        _, places, data = texts.buffers()
-        offsets = np.frombuffer(places, np.int64)[texts.offset : texts.offset + len(texts) + 1]
-        low = int(offsets[0]) if len(offsets) else 0
-        data = np.frombuffer(data or b"", np.uint8)[low : int(offsets[-1]) if len(offsets) else 0]
-        offsets = offsets - low
-        starts, h = self._words(data, offsets)
-        bounds = np.searchsorted(starts, offsets)
-        w = self.width
-        total = np.empty(0, np.uint64)
+        found, w = self.words(texts), self.width
+        h, total = found.hashes, np.empty(0, np.uint64)
         if len(h) >= w:
             total = h[: len(h) - w + 1] * _PLACE[0]
             for i in range(1, w):
                 total += h[i : len(h) - w + 1 + i] * _PLACE[i]
             total = mix(total)
-        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        for a, b in zip(found.bounds[:-1].tolist(), found.bounds[1:].tolist(), strict=True):
             if b - a >= w:
                 s = np.sort(total[a : b - w + 1])
                 fresh = s[1:] != s[:-1]
@@ -142,10 +81,6 @@ class Shingler:
         return next(self.sets(pa.array([text], pa.string())))
 
 
-def _texts(batch: pa.RecordBatch) -> pa.Array:
-    return batch.column(batch.schema.get_field_index("text"))
-
-
 def needed(n):
     """Least overlap of a set of n with a linking one."""
     return (4 * n + 4) // 5
@@ -170,7 +105,7 @@ def _measure(width: int, chunk: int):
 
         for batch in pieces(batches):
             rows = []
-            for doc, s in zip(column_list(batch, "doc_id"), shingle.sets(_texts(batch)), strict=True):
+            for doc, s in zip(column_list(batch, "doc_id"), shingle.sets(texts_of(batch)), strict=True):
                 who = _identity(s)
                 rows.append((0, doc, len(s), *who))
                 if who not in seen:
@@ -235,7 +170,7 @@ def _emit(width: int, shared, light: int):
         shingle, seen = Shingler(width), set()
         for batch in pieces(batches):
             keys, nodes, sizes, places = [], [], [], []
-            for doc, s in zip(column_list(batch, "doc_id"), shingle.sets(_texts(batch)), strict=True):
+            for doc, s in zip(column_list(batch, "doc_id"), shingle.sets(texts_of(batch)), strict=True):
                 if doc is None or not len(s) or (who := _identity(s)) in seen:
                     continue
                 seen.add(who)
@@ -275,7 +210,7 @@ def _sets(width: int, sent: bool):
         for batch in pieces(batches, rows=500):
             to, docs, sets = [], [], []
             lists = column_list(batch, "others") if sent else [None] * batch.num_rows
-            for doc, s, others in zip(column_list(batch, "doc_id"), shingle.sets(_texts(batch)), lists, strict=True):
+            for doc, s, others in zip(column_list(batch, "doc_id"), shingle.sets(texts_of(batch)), lists, strict=True):
                 s = s.view(np.int64)
                 for other in others if sent else [doc]:
                     to.append(other)
@@ -296,7 +231,7 @@ def _bits(width: int):
         shingle = Shingler(width)
         for batch in pieces(batches, rows=500):
             sizes, maps = [], []
-            for s in shingle.sets(_texts(batch)):
+            for s in shingle.sets(texts_of(batch)):
                 reached = np.zeros(2048, bool)
                 reached[(s >> np.uint64(53)).astype(np.int64)] = True
                 sizes.append(len(s))
@@ -337,6 +272,7 @@ class Join:
         self.members = self.scratch.save(one.unionByName(sized.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("class"))), "members")
         self.order, self.light = self._order(measured)
         self.groups = self._groups()
+        self.scratch.drop("measured", "classes", "times")
 
     def _order(self, measured: DataFrame):
         """Frequent shingles by hash with their counts, and the boundary."""
@@ -452,6 +388,7 @@ class Join:
             joined = graph.components(ends, self.scratch, "rest")
             whole = label.join(joined.toDF("component", "top"), "component", "left").select("node", F.coalesce("top", "component").alias("component"))
             label = whole.unionByName(joined.toDF("node", "component").join(label.select("node"), "node", "left_anti"))
+        self.scratch.drop("marked", *(f"{k}-{part}" for k in ("star", "rest") for part in ("candidates", "ids", "bits", "pairs", "lists", "heads", "links")))
         return self.members.join(label.withColumnRenamed("node", "class"), "class", "left").select("doc_id", "n", F.coalesce("component", "class").alias("component"))
 
 

@@ -35,7 +35,8 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, column_list, pieces
 from .html_extraction import _RAW, _TAG, Page, host_of
-from .jaccard_join import checked_broadcast, mix
+from .jaccard_join import checked_broadcast
+from .words import mix
 
 BUCKETS = 1 << 14
 _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")

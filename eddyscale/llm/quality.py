@@ -1,7 +1,7 @@
 """Quality classifier: random-indexing word vectors pooled per document, then a small network.
 
-Words are described by two features, their letters and their shape (case, digits, tail of
-punctuation), hashed into a fixed number of buckets.  A bucket's index vector is sparse and
+Words, parted by white space, are described by two features, their letters and their shape (case,
+digits, punctuation), hashed into a fixed number of buckets.  A bucket's index vector is sparse and
 ternary, drawn from a fixed seed.  Its context vector is the sum of the index vectors of the
 words around its occurrences (random indexing), unit length.  A document's vector is the mean
 of both over its words, with a few figures of its form.  A two-layer network in numpy gives a
@@ -25,21 +25,24 @@ column is named so.
 from __future__ import annotations
 
 import math
-import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, column_list, crc_fold, fold, free, pieces, unfold, with_fields
+from .common import Scratch, crc_fold, fold, free, pieces, unfold, with_fields
+from .words import CLASS, OTHER, UPPER, Hasher, bytes_of, latin, texts_of
 
 BUCKETS, WIDTH, NEAR = 4096, 64, 2
 FORM = 8
-_CORE = re.compile(r"\w(?:.*\w)?", re.S)
-_SHAPE = [(re.compile(r"[A-ZÀ-ÖØ-Þ]{2,}"), "XX"), (re.compile(r"[A-ZÀ-ÖØ-Þ]"), "X"), (re.compile(r"[a-zß-öø-ÿ]+"), "x"), (re.compile(r"[0-9]+"), "9")]
+#: Bytes that may begin and end a word's core: letters, digits, the underscore and all beyond ASCII.
+_INNER = CLASS > 0
+_INNER[0x5F] = True
+_INNER[0x80:] = True
+#: What stands for a run in a shape: one upper-case letter, several, lower-case letters, digits; by class but for the first.
+_SIGNS = np.frombuffer(b"XWx9", np.uint8)
 
 
 def index_vectors(seed: int = 20_240_601, ones: int = 8) -> np.ndarray:
@@ -50,46 +53,78 @@ def index_vectors(seed: int = 20_240_601, ones: int = 8) -> np.ndarray:
     return out / math.sqrt(ones)
 
 
-def shape(word: str) -> str:
-    for pattern, sign in _SHAPE:
-        word = pattern.sub(sign, word)
-    return word
+def running(marks: np.ndarray) -> np.ndarray:
+    """How many marks there are before each place, and in all."""
+    out = np.zeros(len(marks) + 1, np.int32)
+    np.cumsum(marks, out=out[1:])
+    return out
 
 
-class _Features(dict):
-    """Of a word: its letters' bucket and its shape's, in one number."""
+@dataclass
+class Described:
+    """Of a column: its bytes, where texts and their words begin, and two buckets of each word."""
 
-    def __missing__(self, word: str) -> int:
-        if len(self) > 300_000:
-            self.clear()
-        core = _CORE.search(word)
-        a = xxhash.xxh3_64_intdigest((core[0].lower() if core else word).encode("utf-8", "surrogatepass")) % BUCKETS
-        b = xxhash.xxh3_64_intdigest(shape(word).encode("utf-8", "surrogatepass"), seed=1) % BUCKETS
-        got = self[word] = a * BUCKETS + b
-        return got
+    data: np.ndarray
+    offsets: np.ndarray
+    bounds: np.ndarray
+    letters: np.ndarray
+    shapes: np.ndarray
 
 
 class Describer:
+    """Features of whole columns, from running sums over their bytes.
+
+    A word's letters are its core, without what isn't a letter or digit at both ends, lowered; its
+    shape has a sign for each run of upper-case letters, lower-case letters and digits, and every
+    other byte as it is.  Letters are those of ASCII and Latin-1.
+    """
+
     def __init__(self):
-        self.known = _Features()
-
-    def features(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        both = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        return both // BUCKETS, both % BUCKETS
-
-    def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Share of each bucket, and the form."""
-        words = text.split() if text else []
-        n = len(words)
-        if not n:
-            return np.zeros(BUCKETS, np.float32), np.zeros(FORM, np.float32)
-        a, b = self.features(words)
-        times = np.bincount(a, minlength=BUCKETS)
-        share = ((times + np.bincount(b, minlength=BUCKETS)) / n).astype(np.float32)
-        lines = text.count("\n") + 1
-        pairs = np.unique(a[1:] * BUCKETS + a[:-1]).size / max(1, n - 1)
-        form = (math.log1p(n), np.unique(a).size / n, times.max() / n, float((a[1:] == a[:-1]).mean()) if n > 1 else 0.0, pairs, math.log1p(n / lines), len(text) / n / 10, math.log1p(lines))
-        return share, np.array(form, np.float32)
+        self.hasher = Hasher()
+
+    def words(self, texts: pa.Array) -> Described:
+        data, offsets = bytes_of(texts)
+        values, starts, letters, shapes = self.hasher.values, [np.empty(0, np.int64)], [np.empty(0, np.int32)], [np.empty(0, np.int32)]
+        for at, part, first, end in self.hasher.chunks(data, offsets):
+            low, kind = latin(part)
+            inside = _INNER[part]
+            inner, count = np.flatnonzero(inside), running(inside)
+            a, b = count[first], count[end]
+            bare = a == b  # nothing but marks: the word itself
+            edge = np.append(inner, 0)
+            core, stop = np.where(bare, first, edge[np.minimum(a, len(inner))]), np.where(bare, end, edge[np.maximum(b - 1, 0)] + 1)
+            letters.append((self.hasher.between(self.hasher.sums(values[low]), core, stop) % np.uint64(BUCKETS)).astype(np.int32))
+            # a run's first byte gives its sign; a word begins a run
+            fresh = np.ones(len(part), bool)
+            fresh[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == OTHER)
+            fresh[first] = True
+            runs = np.flatnonzero(fresh)
+            sign = np.where(kind[runs] == OTHER, part[runs], _SIGNS[kind[runs]])
+            whole, place = running((part & 0xC0) != 0x80), running(fresh)
+            long = whole[np.append(runs[1:], len(part))] - whole[runs] > 1
+            sign = np.where((kind[runs] == UPPER) & ~long, _SIGNS[0], sign)
+            shapes.append((self.hasher.between(self.hasher.sums(values[sign]), place[first], place[end]) % np.uint64(BUCKETS)).astype(np.int32))
+            starts.append(first + at)
+        found = np.concatenate(starts)
+        return Described(data, offsets, np.searchsorted(found, offsets), np.concatenate(letters), np.concatenate(shapes))
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Of each text the share of each bucket, and the form."""
+        found = self.words(texts)
+        a, b, n = found.letters, found.shapes, len(texts)
+        share, form = np.zeros((n, BUCKETS), np.float32), np.zeros((n, FORM), np.float32)
+        # running counts of line ends and of characters, which are the bytes that don't continue one
+        ends, chars = running(found.data == 10)[found.offsets], running((found.data & 0xC0) != 0x80)[found.offsets]
+        lines, size = np.diff(ends) + 1, np.diff(chars)
+        for i, (start, stop) in enumerate(zip(found.bounds[:-1].tolist(), found.bounds[1:].tolist(), strict=True)):
+            if not (m := stop - start):
+                continue
+            x, y = a[start:stop], b[start:stop]
+            times = np.bincount(x, minlength=BUCKETS)
+            share[i] = (times + np.bincount(y, minlength=BUCKETS)) / m
+            pairs = np.unique(x[1:].astype(np.int64) * BUCKETS + x[:-1]).size / max(1, m - 1)
+            form[i] = (math.log1p(m), np.count_nonzero(times) / m, times.max() / m, float((x[1:] == x[:-1]).mean()) if m > 1 else 0.0, pairs, math.log1p(m / lines[i]), size[i] / m / 10, math.log1p(lines[i]))
+        return share, form
 
 
 def _contexts(fold_at: int = 1 << 27):
@@ -108,16 +143,13 @@ def _contexts(fold_at: int = 1 << 27):
                 np.add(total, part.T @ signs[at : at + 512], out=total)
             pairs[:] = 0
 
-        for batch in pieces(batches):
-            split = [text.split() if text else [] for text in column_list(batch, "text")]
-            if not (sizes := np.array([len(words) for words in split], np.int64)).sum():
-                continue
-            both = [describe.features(words) for words in split]
-            a, b = (np.concatenate([x[i] for x in both]) for i in (0, 1))
-            doc = np.repeat(np.arange(len(split)), sizes)
-            for at in range(0, len(doc), 1 << 20):
+        for batch in pieces(batches, max_bytes=4 << 20):
+            found = describe.words(texts_of(batch))
+            doc = np.repeat(np.arange(batch.num_rows), np.diff(found.bounds))
+            a, b = found.letters.astype(np.int64), found.shapes.astype(np.int64)
+            for at in range(0, len(doc), 1 << 18):
                 for d in range(1, NEAR + 1):
-                    here = slice(at, min(at + (1 << 20), len(doc) - d))
+                    here = slice(at, min(at + (1 << 18), len(doc) - d))
                     then = slice(at + d, here.stop + d)
                     if here.stop <= at:
                         continue
@@ -209,16 +241,16 @@ def train(x: np.ndarray, y: np.ndarray, hidden: int = 24, epochs: int = 60, rate
     return net
 
 
-def _vectors_of(texts: list, describe: Describer, table: np.ndarray) -> np.ndarray:
-    both = [describe(t) for t in texts]
-    return np.hstack([np.stack([s for s, _ in both]) @ table, np.stack([f for _, f in both])])
+def _vectors_of(texts: pa.Array, describe: Describer, table: np.ndarray) -> np.ndarray:
+    share, form = describe(texts)
+    return np.hstack([share @ table, form])
 
 
 def _described(shared):
     def run(batches):
         describe = Describer()
-        for batch in pieces(batches, rows=500):
-            x = _vectors_of(column_list(batch, "text"), describe, shared.value)
+        for batch in pieces(batches, rows=500, max_bytes=4 << 20):
+            x = _vectors_of(texts_of(batch), describe, shared.value)
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("label")), pa.array([r.astype("<f4").tobytes() for r in x], pa.binary())], names=["label", "x"])
 
     return run
@@ -227,9 +259,9 @@ def _described(shared):
 def _scored(shared):
     def run(batches):
         describe, (table, net) = Describer(), shared.value
-        for batch in pieces(batches, rows=500):
+        for batch in pieces(batches, rows=500, max_bytes=4 << 20):
             n = batch.num_rows
-            score = net(_vectors_of(column_list(batch, "text"), describe, table)) if net is not None and n else np.full(n, 0.5)
+            score = net(_vectors_of(texts_of(batch), describe, table)) if net is not None and n else np.full(n, 0.5)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score.astype(np.float64))], names=[*batch.schema.names, "score"])
 
     return run
