@@ -22,10 +22,10 @@ one is named so.
 
 from __future__ import annotations
 
-import re
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +33,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, column_list, free, pieces, quoted, unfold, with_fields
+from .common import Scratch, free, pieces, quoted, unfold, with_fields
+from .words import LOWER, UPPER, Hasher, bytes_of, latin, texts_of
 
-#: A word of Latin letters with a tail of ASCII punctuation: its tokens are the word's and the tail's.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-/:-@\[-`{-~]*)\Z")
+#: Bytes of ASCII punctuation.
+_PUNCTUATION = np.zeros(256, bool)
+_PUNCTUATION[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
 
 
 def default_tokenizer() -> str:
@@ -53,45 +55,91 @@ def _byte_letters() -> dict[int, str]:
 
 
 class Encoder:
-    """Token ids of a text as little-endian unsigned 32-bit numbers.
+    """Token ids of whole columns.
 
     The vocabulary drops white space and lowers case, and none of its tokens spans white space:
-    a text's ids are those of its words one after another.  Words are remembered; a plain word is
-    looked up by its lowered letters and its tail, any other is encoded by the library.
+    a text's ids are those of its words one after another.  A plain word, Latin letters with a tail
+    of ASCII punctuation, is its lowered letters and its tail; any other goes to the library whole.
+    Such units are told by hash and remembered, in a table of fixed size whose slots hold the last
+    unit that fell there; their ids lie in one array, which is begun anew at ``most`` ids.
     """
 
-    def __init__(self, path: str, remember: int = 400_000):
+    def __init__(self, path: str, bits: int = 18, most: int = 2_000_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.remember = Tokenizer.from_file(path), remember
-        self.letters = _byte_letters()
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {"": b""}
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _part(self, text: str) -> bytes:
-        got = self.parts.get(text)
-        if got is None:
-            shown = text.encode().decode("latin-1").translate(self.letters)
-            got = self.parts[text] = np.array([t.id for t in self.tokenizer.model.tokenize(shown)], "<u4").tobytes()
-        return got
-
-    def _new(self, word: str) -> bytes:
-        plain = _PLAIN.match(word)
-        got = self.words[word] = self._part(plain[1].lower()) + self._part(plain[2]) if plain else self._whole(word)
-        return got
+        self.tokenizer, self.most, self.shift = Tokenizer.from_file(path), most, np.uint64(64 - bits)
+        self.letters, self.hasher = _byte_letters(), Hasher()
+        self.hashes, self.entries = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int64)
+        self._clear()
+
+    def _clear(self) -> None:
+        self.hashes[:] = 0
+        self.ids, self.sizes, self.places = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def _part(self, text: str) -> list[int]:
+        return [t.id for t in self.tokenizer.model.tokenize(text.encode().decode("latin-1").translate(self.letters))]
+
+    def _whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _units(self, data: np.ndarray, offsets: np.ndarray):
+        """Of each chunk: its bytes, lowered too, where its words begin, and its units' words, starts, ends, kinds and hashes in order."""
+        for at, part, first, end in self.hasher.chunks(data, offsets):
+            low, kind = latin(part)
+            letter = (kind == UPPER) | (kind == LOWER)
+            here = np.arange(len(part) + 1)
+            # of each place, the first one from there on that isn't a letter, or isn't punctuation
+            beyond = lambda mark: np.minimum.accumulate(np.where(np.append(mark, False), len(part), here)[::-1])[::-1]
+            cut = np.minimum(beyond(letter)[first], end)
+            plain = beyond(_PUNCTUATION[part])[cut] >= end
+            sums = (self.hasher.sums(self.hasher.values[low]), self.hasher.sums(self.hasher.values[part]))
+            word = np.arange(len(first))
+            rows = []
+            for which, mask, start, stop in ((0, plain & (cut > first), first, cut), (1, plain & (end > cut), cut, end), (2, ~plain, first, end)):
+                h = self.hasher.between(sums[which > 0], start[mask], stop[mask]) ^ np.uint64(which * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+                rows.append((word[mask], start[mask], stop[mask], np.full(int(mask.sum()), which), h))
+            word, start, stop, which, h = (np.concatenate(x) for x in zip(*rows, strict=True))
+            order = np.lexsort((start, word))
+            yield at, part, low, first, word[order], start[order], stop[order], which[order], h[order]
+
+    def _known(self, part: np.ndarray, low: np.ndarray, start, stop, which, h) -> np.ndarray:
+        """The entry of each unit, new ones made."""
+        if len(self.ids) > self.most:
+            self._clear()
+        slot = (h >> self.shift).astype(np.int64)
+        out = self.entries[slot]
+        missed = np.flatnonzero(self.hashes[slot] != h)
+        if len(missed):
+            new, first, inverse = np.unique(h[missed], return_index=True, return_inverse=True)
+            at, made = missed[first], []
+            for a, b, k in zip(start[at].tolist(), stop[at].tolist(), which[at].tolist(), strict=True):
+                text = (part if k else low)[a:b].tobytes().decode()
+                made.append(self._whole(text) if k == 2 else self._part(text))
+            sizes = np.fromiter(map(len, made), np.int64, len(made))
+            entry = len(self.sizes) + np.arange(len(made))
+            self.places = np.concatenate((self.places, len(self.ids) + np.cumsum(sizes) - sizes))
+            self.sizes = np.concatenate((self.sizes, sizes))
+            self.ids = np.concatenate((self.ids, np.fromiter(chain.from_iterable(made), np.uint32, int(sizes.sum()))))
+            out[missed] = entry[inverse]
+            self.hashes[slot[at]], self.entries[slot[at]] = new, entry
+        return out
+
+    def column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, little-endian unsigned 32-bit numbers, and where each text's begin."""
+        data, offsets = bytes_of(texts)
+        ids, starts, counts = [np.empty(0, "<u4")], [np.empty(0, np.int64)], [np.zeros(1, np.int64)]
+        for at, part, low, first, word, start, stop, which, h in self._units(data, offsets):
+            entry = self._known(part, low, start, stop, which, h)
+            sizes = self.sizes[entry]
+            before = np.cumsum(sizes) - sizes
+            ids.append(self.ids[np.repeat(self.places[entry] - before, sizes) + np.arange(int(sizes.sum()))].astype("<u4"))
+            starts.append(first + at)
+            counts.append(np.bincount(word, sizes, len(first)).astype(np.int64))
+        bounds = np.searchsorted(np.concatenate(starts), offsets)
+        return np.concatenate(ids), np.cumsum(np.concatenate(counts))[bounds]
 
     def __call__(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if len(self.words) > self.remember:
-            self.words.clear()
-        if len(self.parts) > self.remember:
-            self.parts = {"": b""}
-        known, new = self.words.get, self._new
-        return b"".join([known(w) or new(w) for w in text.replace("\n", " ").split(" ") if w])
+        return self.column(pa.array([text], pa.string()))[0].tobytes()
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -232,10 +280,11 @@ def _cut_up(path: str, capacity: int, end: int):
 
     def run(batches):
         encode, seen, part = encoder(path), defaultdict(int), TaskContext.get().partitionId()
-        for batch in pieces(batches, rows=500):
+        for batch in pieces(batches, rows=2000, max_bytes=4 << 20):
             rows, take = [], []
-            for i, text in enumerate(column_list(batch, "text")):
-                ids = encode(text) + tail
+            found, bounds = encode.column(texts_of(batch))
+            for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+                ids = found[a:b].tobytes() + tail
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     one = ids[at : at + 4 * capacity]
                     length = len(one) // 4
