@@ -346,12 +346,48 @@ def test_quality_of_odd_rows(spark, docs, rows, none):
     assert quality.accepted(docs, labels).columns == docs.columns
 
 
+def described(text):
+    """(letters, shape) of each word, by regular expressions."""
+    import re
+
+    out = []
+    for word in (text or "").encode().split():
+        word = word.decode()
+        core = re.search(r"[A-Za-z0-9_\u0080-\U0010ffff](?:.*[A-Za-z0-9_\u0080-\U0010ffff])?", word, re.S)
+        low = "".join(c.lower() if c < "\u0100" and c != "×" else c for c in (core[0] if core else word))
+        upper, lower = "A-ZÀ-ÖØ-Þ", "a-zß-öø-ÿ"
+        shape = re.sub(rf"([{upper}]{{2,}})|([{upper}])|([{lower}]+)|([0-9]+)", lambda m: ("W", "X", "x", "9")[m.lastindex - 1] + "\0", word)
+        out.append((low, shape))
+    return out
+
+
+def buckets(text):
+    import pyarrow as pa
+
+    found = quality.Describer().words(pa.array([text], pa.string()))
+    return found.letters.tolist(), found.shapes.tolist()
+
+
+def test_letters_and_shapes():
+    rng = random.Random(3)
+    letters, shapes = {}, {}
+    alphabet = ["a", "b", "Z", "Q", "É", "ß", "÷", "×", "7", "0", "_", "-", "!", "日", "ÿ", "Þ", " ", "\n"]
+    for _ in range(400):
+        text = "".join(rng.choice(alphabet) for _ in range(rng.randrange(0, 40)))
+        a, b = buckets(text)
+        assert len(a) == len(described(text))
+        for (low, shape), x, y in zip(described(text), a, b, strict=True):
+            assert letters.setdefault(low, x) == x and shapes.setdefault(shape, y) == y, (text, low, shape)
+    # other words, other buckets, as far as there are buckets
+    assert len(set(letters.values())) > 0.6 * min(len(letters), quality.BUCKETS / 2) and len(set(shapes.values())) > 0.5 * min(len(shapes), quality.BUCKETS / 2)
+
+
 def test_contexts_are_of_all_documents(spark, docs, rows):
     """Against a sum word by word, and the fitted vectors don't depend on which documents have labels."""
-    index, describe = np.sign(quality.index_vectors()), quality.Describer()
+    index = np.sign(quality.index_vectors())
     want = np.zeros((quality.BUCKETS, quality.WIDTH))
     for _, text, *_ in rows:
-        a, b = describe.features((text or "").split())
+        a, b = buckets(text)
         for i in range(len(a)):
             for j in range(max(0, i - quality.NEAR), min(len(a), i + quality.NEAR + 1)):
                 if i != j:
@@ -367,6 +403,28 @@ def test_contexts_are_of_all_documents(spark, docs, rows):
     assert (np.frombuffer(folded.column(0)[0].as_py(), np.int64).reshape(want.shape) == 2 * want).all()
 
 
+def test_descriptions_against_each_text(rows):
+    """Whole columns, cut anywhere, give what text by text gives."""
+    import pyarrow as pa
+
+    texts = [r[1] for r in rows] + ["naïve É\u00a0x\n\n日本 語", "x"]
+    describe, small = quality.Describer(), quality.Describer()
+    small.hasher.chunk = 50
+    column = pa.array(["skipped"] + texts, pa.string()).slice(1)
+    share, form = describe(column)
+    for got, want in zip(small(column), (share, form), strict=True):
+        assert (got == want).all()
+    for i, text in enumerate(texts):
+        a, b = buckets(text)
+        want = (np.bincount(a, minlength=quality.BUCKETS) + np.bincount(b, minlength=quality.BUCKETS)) / max(1, len(a))
+        assert np.allclose(share[i], want, atol=1e-6)
+        if a:
+            n, lines = len(a), text.count("\n") + 1
+            assert np.allclose(form[i][[0, 5, 6, 7]], [np.log1p(n), np.log1p(n / lines), len(text) / n / 10, np.log1p(lines)], atol=1e-5)
+        else:
+            assert not form[i].any()
+
+
 def test_network_learns_and_is_calibrated():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(1500, 6))
@@ -744,7 +802,7 @@ def test_pipeline_stages_against_brute_force(spark, rows, tmp_path):
 
 
 def test_shapes_are_whole():
-    assert quality.shape("a1" * 20) != quality.shape("a1" * 20 + "-")
+    assert buckets("a1" * 20)[1] != buckets("a1" * 20 + "-")[1]
 
 
 def test_scratch_is_shared(spark):
