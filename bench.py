@@ -10,7 +10,7 @@ HEADLINE = ["flux_kinetic", "flux_kinetic_fft", "flux_3d", "shell_to_shell", "sh
 
 
 #: Rows of the published table: grid points along an axis, fields in the batch.
-SIZES = ((32, 4096), (64, 2048), (128, 512))
+SIZES = ((32, 16384), (64, 4096), (128, 1024))
 
 
 def fields(spark, n: int, count: int):

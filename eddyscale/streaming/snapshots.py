@@ -22,6 +22,7 @@ def diagnose(spark: SparkSession, folder: str, run: Callable[[DataFrame], DataFr
 
     def write(batch: DataFrame, number: int) -> None:
         run(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        M.release()  # what the batch's plans have kept
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
