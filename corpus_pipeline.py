@@ -2,6 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and reread as
 the next one's docs.  All but the last return the columns of documents.
+
+Defined results: a null or empty text is scored as a zero vector, and if it is accepted it is one
+empty line, no near copy of anything, clean, and one token; repeated rows go through each, a
+document and its copies of one id counting as one in line dedup and near copies; a null id is
+kept by the stages that compare ids; texts are read whole, whatever their length; ties go to the
+smaller id; empty tables give no rows.  Columns of any other name go through as they were, up to
+the last stage, which returns pieces.
 """
 
 from __future__ import annotations
@@ -56,4 +63,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = scratch.save(docs, f"stage-{k}")
+            scratch.drop(f"stage-{k - 1}")
     return docs

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -34,6 +35,11 @@ def scratch_root(spark: SparkSession) -> str:
     return _own_folder()
 
 
+#: Batches that go to Python workers, where the session has nothing of its own: texts are cut up
+#: there anyway, and what a batch takes is held several times over on its way.
+_ARROW = {"spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8m")}
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage.
 
@@ -44,6 +50,9 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
+        for name, (usual, ours) in _ARROW.items():
+            if spark.conf.get(name, None) == usual:
+                spark.conf.set(name, ours)
         self.root = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
@@ -112,9 +121,27 @@ def column_list(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 
 
-def pieces(batches, rows: int = 2000, max_bytes: int = 16 << 20):
+@lru_cache(maxsize=1)
+def _allocator():
+    """glibc's call that gives free memory back to the system, where there is one."""
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (AttributeError, OSError):
+        return None
+
+
+def trim() -> None:
+    """Python workers outlive their tasks: what a task no longer holds goes back, or workers grow to the sum of their peaks."""
+    pa.default_memory_pool().release_unused()
+    if _allocator():
+        _allocator()(0)
+
+
+def pieces(batches, rows: int = 2000, max_bytes: int = 8 << 20):
     """Cut Arrow batches so that a batch of very long texts doesn't fill a worker's memory."""
+    trim()
     for batch in batches:
         n = max(1, min(rows, int(batch.num_rows * max_bytes / max(1, batch.nbytes))))
         for at in range(0, batch.num_rows, n):
             yield batch.slice(at, n)
+    trim()

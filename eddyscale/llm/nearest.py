@@ -268,6 +268,7 @@ class Index:
         guessed = self.scratch.save(guessed.withColumn("rank", rank).where(F.col("rank") <= 2 * k + 1), "guessed")
         reached = self._best(guessed, queries, k).where(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
         floored = self.scratch.save(queries.join(reached, "query_id", "left").select("query_id", "embedding", F.coalesce("floor", F.lit(-2.0)).alias("floor")), "floored")
+        self.scratch.drop("guessed", "wanted-0")
         self.survivors = self.scratch.save(self._pairs(floored, sure, None), "survivors")
         self.steps = 1
         return self._best(self.survivors, queries, k)
