@@ -55,7 +55,7 @@ _LIGHT_MOST = 128  # largest boundary that is weighed
 class Shingler:
     """Distinct shingle hashes of texts, for a whole Arrow column at once."""
 
-    def __init__(self, width: int = 5, chunk: int = 1 << 20):
+    def __init__(self, width: int = 5, chunk: int = 1 << 18):
         self.width, self.words = width, Hasher(lowered=True, chunk=chunk)
 
     def sets(self, texts: pa.Array):

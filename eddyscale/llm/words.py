@@ -63,7 +63,7 @@ class Words:
 
 
 class Hasher:
-    def __init__(self, lowered: bool = False, chunk: int = 1 << 20):
+    def __init__(self, lowered: bool = False, chunk: int = 1 << 18):
         self.values, self.chunk = _LOWERED if lowered else _VALUE, chunk
         self.powers = self.inverses = np.ones(1, np.uint64)
 
