@@ -635,7 +635,7 @@ def test_deep_and_long_pages(spark):
     deep = "<div>" * 5000 + "x" + "</div>" * 5000
     rows = [(i, f"http://h.org/{i}", f"<p>y {i}" + "<div>" * i + deep) for i in range(4)] + [(9, "http://h.org/", "<b>" * 20_000 + "<p>z" * 2000), (10, "http://g.org/", "</i>" * 50_000 + "w " * 500_000)]
     got = {r["page_id"]: (r["text"], r["n_chars"]) for r in html_extraction.report(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)).collect()}
-    assert got[1][0] == "y 1" and got[9][0] == "\n".join(["z"] * 2000) and got[10][1] == 999_999
+    assert got[1][0] == "y 1\nx" and got[9][0] == "\n".join(["z"] * 2000) and got[10][1] == 999_999
 
 
 def test_kept_columns_of_any_name(spark):
