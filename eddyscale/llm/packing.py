@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, free, pieces, quoted, unfold, with_fields
-from .words import LOWER, UPPER, Hasher, bytes_of, latin, texts_of
+from .words import LOWER, UPPER, Hasher, blocks, bytes_of, hashes, latin, texts_of
 
 #: Bytes of ASCII punctuation.
 _PUNCTUATION = np.zeros(256, bool)
@@ -54,14 +54,20 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+#: Eights of bytes of a unit that is remembered, at most.
+_HELD = 4
+
+
 class Encoder:
     """Token ids of whole columns.
 
     The vocabulary drops white space and lowers case, and none of its tokens spans white space:
     a text's ids are those of its words one after another.  A plain word, Latin letters with a tail
     of ASCII punctuation, is its lowered letters and its tail; any other goes to the library whole.
-    Such units are told by hash and remembered, in a table of fixed size whose slots hold the last
-    unit that fell there; their ids lie in one array, which is begun anew at ``most`` ids.
+    Such units are found by hash and remembered, in a table of fixed size whose slots hold the last
+    unit that fell there: its length and its bytes, which are compared, so that no two units are
+    taken for one.  Units of more than ``_HELD`` times eight bytes are tokenised each time.  Their
+    ids lie in one array, which is begun anew at ``most`` ids.
     """
 
     def __init__(self, path: str, bits: int = 18, most: int = 2_000_000):
@@ -69,11 +75,11 @@ class Encoder:
 
         self.tokenizer, self.most, self.shift = Tokenizer.from_file(path), most, np.uint64(64 - bits)
         self.letters, self.hasher = _byte_letters(), Hasher()
-        self.hashes, self.entries = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int64)
+        self.held, self.entries = np.zeros((_HELD + 1, 1 << bits), np.uint64), np.zeros(1 << bits, np.int64)
         self._clear()
 
     def _clear(self) -> None:
-        self.hashes[:] = 0
+        self.held[:] = 0  # no unit has the length 0
         self.ids, self.sizes, self.places = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
 
     def _part(self, text: str) -> list[int]:
@@ -83,7 +89,7 @@ class Encoder:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _units(self, data: np.ndarray, offsets: np.ndarray):
-        """Of each chunk: its bytes, lowered too, where its words begin, and its units' words, starts, ends, kinds and hashes in order."""
+        """Of each chunk: its bytes, lowered too, where its words begin, and in order its units' words, starts, ends, kinds, hashes and bytes."""
         for at, part, first, end in self.hasher.chunks(data, offsets):
             low, kind = latin(part)
             letter = (kind == UPPER) | (kind == LOWER)
@@ -92,27 +98,32 @@ class Encoder:
             beyond = lambda mark: np.minimum.accumulate(np.where(np.append(mark, False), len(part), here)[::-1])[::-1]
             cut = np.minimum(beyond(letter)[first], end)
             plain = beyond(_PUNCTUATION[part])[cut] >= end
-            sums = (self.hasher.sums(self.hasher.values[low]), self.hasher.sums(self.hasher.values[part]))
             word = np.arange(len(first))
-            rows = []
+            rows, units = [], []
             for which, mask, start, stop in ((0, plain & (cut > first), first, cut), (1, plain & (end > cut), cut, end), (2, ~plain, first, end)):
-                h = self.hasher.between(sums[which > 0], start[mask], stop[mask]) ^ np.uint64(which * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-                rows.append((word[mask], start[mask], stop[mask], np.full(int(mask.sum()), which), h))
+                own, start, stop = part if which else low, start[mask], stop[mask]
+                rows.append((word[mask], start, stop, np.full(len(start), which), hashes(own, start, stop) ^ np.uint64(which * 0x9E3779B97F4A7C15 & (1 << 64) - 1)))
+                # the kind and the length in front of the bytes
+                units.append(np.vstack([(3 * (stop - start) + which).astype(np.uint64)[None], blocks(own, start, stop, _HELD)]))
             word, start, stop, which, h = (np.concatenate(x) for x in zip(*rows, strict=True))
             order = np.lexsort((start, word))
-            yield at, part, low, first, word[order], start[order], stop[order], which[order], h[order]
+            yield at, part, low, first, word[order], start[order], stop[order], which[order], h[order], np.concatenate(units, axis=1)[:, order]
 
-    def _known(self, part: np.ndarray, low: np.ndarray, start, stop, which, h) -> np.ndarray:
+    def _known(self, part: np.ndarray, low: np.ndarray, start, stop, which, h, unit) -> np.ndarray:
         """The entry of each unit, new ones made."""
         if len(self.ids) > self.most:
             self._clear()
         slot = (h >> self.shift).astype(np.int64)
         out = self.entries[slot]
-        missed = np.flatnonzero(self.hashes[slot] != h)
+        missed = np.flatnonzero((self.held[:, slot] != unit).any(0) | (stop - start > 8 * _HELD))
         if len(missed):
-            new, first, inverse = np.unique(h[missed], return_index=True, return_inverse=True)
-            at, made = missed[first], []
-            for a, b, k in zip(start[at].tolist(), stop[at].tolist(), which[at].tolist(), strict=True):
+            _, first, inverse = np.unique(h[missed], return_index=True, return_inverse=True)
+            at = missed[first]
+            # what has another's hash, or is too long to be compared, is by itself
+            alone = missed[(unit[:, missed] != unit[:, at[inverse]]).any(0) | (stop[missed] - start[missed] > 8 * _HELD)]
+            made = []
+            every = np.concatenate((at, alone))
+            for a, b, k in zip(start[every].tolist(), stop[every].tolist(), which[every].tolist(), strict=True):
                 text = (part if k else low)[a:b].tobytes().decode()
                 made.append(self._whole(text) if k == 2 else self._part(text))
             sizes = np.fromiter(map(len, made), np.int64, len(made))
@@ -121,15 +132,16 @@ class Encoder:
             self.sizes = np.concatenate((self.sizes, sizes))
             self.ids = np.concatenate((self.ids, np.fromiter(chain.from_iterable(made), np.uint32, int(sizes.sum()))))
             out[missed] = entry[inverse]
-            self.hashes[slot[at]], self.entries[slot[at]] = new, entry
+            out[alone] = entry[len(at) :]
+            self.held[:, slot[at]], self.entries[slot[at]] = unit[:, at], entry[: len(at)]
         return out
 
     def column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, little-endian unsigned 32-bit numbers, and where each text's begin."""
         data, offsets = bytes_of(texts)
         ids, starts, counts = [np.empty(0, "<u4")], [np.empty(0, np.int64)], [np.zeros(1, np.int64)]
-        for at, part, low, first, word, start, stop, which, h in self._units(data, offsets):
-            entry = self._known(part, low, start, stop, which, h)
+        for at, part, low, first, word, start, stop, which, h, unit in self._units(data, offsets):
+            entry = self._known(part, low, start, stop, which, h, unit)
             sizes = self.sizes[entry]
             before = np.cumsum(sizes) - sizes
             ids.append(self.ids[np.repeat(self.places[entry] - before, sizes) + np.arange(int(sizes.sum()))].astype("<u4"))

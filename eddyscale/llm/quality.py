@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, crc_fold, fold, free, pieces, unfold, with_fields
-from .words import CLASS, OTHER, UPPER, Hasher, bytes_of, latin, texts_of
+from .words import CLASS, OTHER, UPPER, Hasher, bytes_of, hashes, latin, texts_of
 
 BUCKETS, WIDTH, NEAR = 4096, 64, 2
 FORM = 8
@@ -72,7 +72,7 @@ class Described:
 
 
 class Describer:
-    """Features of whole columns, from running sums over their bytes.
+    """Features of whole columns, from hashes of runs of their bytes.
 
     A word's letters are its core, without what isn't a letter or digit at both ends, lowered; its
     shape has a sign for each run of upper-case letters, lower-case letters and digits, and every
@@ -84,7 +84,7 @@ class Describer:
 
     def words(self, texts: pa.Array) -> Described:
         data, offsets = bytes_of(texts)
-        values, starts, letters, shapes = self.hasher.values, [np.empty(0, np.int64)], [np.empty(0, np.int32)], [np.empty(0, np.int32)]
+        starts, letters, shapes = [np.empty(0, np.int64)], [np.empty(0, np.int32)], [np.empty(0, np.int32)]
         for at, part, first, end in self.hasher.chunks(data, offsets):
             low, kind = latin(part)
             inside = _INNER[part]
@@ -93,7 +93,7 @@ class Describer:
             bare = a == b  # nothing but marks: the word itself
             edge = np.append(inner, 0)
             core, stop = np.where(bare, first, edge[np.minimum(a, len(inner))]), np.where(bare, end, edge[np.maximum(b - 1, 0)] + 1)
-            letters.append((self.hasher.between(self.hasher.sums(values[low]), core, stop) % np.uint64(BUCKETS)).astype(np.int32))
+            letters.append((hashes(low, core, stop) % np.uint64(BUCKETS)).astype(np.int32))
             # a run's first byte gives its sign; a word begins a run
             fresh = np.ones(len(part), bool)
             fresh[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == OTHER)
@@ -103,7 +103,7 @@ class Describer:
             whole, place = running((part & 0xC0) != 0x80), running(fresh)
             long = whole[np.append(runs[1:], len(part))] - whole[runs] > 1
             sign = np.where((kind[runs] == UPPER) & ~long, _SIGNS[0], sign)
-            shapes.append((self.hasher.between(self.hasher.sums(values[sign]), place[first], place[end]) % np.uint64(BUCKETS)).astype(np.int32))
+            shapes.append((hashes(sign.astype(np.uint8), place[first], place[end]) % np.uint64(BUCKETS)).astype(np.int32))
             starts.append(first + at)
         found = np.concatenate(starts)
         return Described(data, offsets, np.searchsorted(found, offsets), np.concatenate(letters), np.concatenate(shapes))

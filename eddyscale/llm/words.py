@@ -1,8 +1,9 @@
 """Words of whole Arrow columns as hashes, without a Python object for each.
 
-A word is a run of bytes that aren't ASCII white space.  Its hash is a polynomial of its bytes,
-taken from running sums over the column's buffer in chunks that end between words, so neither a
-dictionary nor the length of a text takes memory.
+A word is a run of bytes that aren't ASCII white space (or that a table of one's own leaves).  Its
+hash takes its length and its bytes eight at a time, each eight mixed before the next come in; a
+word of more than ``LONG`` bytes goes through xxh3.  Columns go in chunks that end between words, so
+neither a dictionary nor the length of a text takes memory.
 """
 
 from __future__ import annotations
@@ -11,16 +12,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
-#: Of each byte: whether it is white space, and an odd random number as its value.
+#: Of each byte: whether it is white space, and the byte with A-Z lowered.
 BLANK = np.zeros(256, bool)
 BLANK[[0x20, *range(0x09, 0x0E)]] = True
-_VALUE = (np.random.default_rng(20_250_105).integers(0, 1 << 63, 256, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
-_LOWERED = _VALUE.copy()
-_LOWERED[0x41:0x5B] = _LOWERED[0x61:0x7B]
-#: The base of the words' polynomial, odd, and its inverse modulo 2^64.
-_BASE = 0x9FB21C651E98DF25
-_INVERSE = pow(_BASE, -1, 1 << 64)
+LOWERED = np.arange(256, dtype=np.uint8)
+LOWERED[0x41:0x5B] += 32
+#: Bytes beyond which a word is hashed by itself.
+LONG = 256
+#: The first n bytes of eight.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -62,21 +65,47 @@ class Words:
     bounds: np.ndarray
 
 
-class Hasher:
-    def __init__(self, lowered: bool = False, chunk: int = 1 << 18):
-        self.values, self.chunk = _LOWERED if lowered else _VALUE, chunk
-        self.powers = self.inverses = np.ones(1, np.uint64)
+def eights(data: np.ndarray) -> np.ndarray:
+    """At each byte the number that it and the next seven make; zeros follow the last."""
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    return np.ndarray((len(data) + 1,), "<u8", padded.data, 0, (1,))
+
+
+def blocks(data: np.ndarray, first: np.ndarray, end: np.ndarray, most: int) -> np.ndarray:
+    """(block, run): the first ``most`` times eight bytes of each run, zeros beyond its end."""
+    at, size = eights(data), end - first
+    out = np.zeros((most, len(first)), np.uint64)
+    for k in range(most):
+        own = np.flatnonzero(size > 8 * k) if k else slice(None)
+        out[k, own] = at[first[own] + 8 * k] & _FIRST[np.minimum(size[own] - 8 * k, 8)]
+    return out
+
+
+def hashes(data: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the runs of bytes from ``first`` to ``end``, wherever they are."""
+    at, size = eights(data), end - first
+    h = size.astype(np.uint64) * _ODD
+    h = mix(h ^ (at[first] & _FIRST[np.minimum(size, 8)]))
+    own, k = np.flatnonzero((size > 8) & (size <= LONG)), 8
+    while len(own):
+        h[own] = mix(h[own] ^ (at[first[own] + k] & _FIRST[np.minimum(size[own] - k, 8)]))
+        k += 8
+        own = own[size[own] > k]
+    whole = memoryview(np.ascontiguousarray(data))
+    for i in np.flatnonzero(size > LONG).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(whole[first[i] : end[i]])
+    return h
 
-    def _grow(self, n: int) -> None:
-        if len(self.powers) < n:
-            ladder = lambda base: np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n - 1, base, np.uint64))))
-            self.powers, self.inverses = ladder(_BASE), ladder(_INVERSE)
+
+class Hasher:
+    def __init__(self, lowered: bool = False, chunk: int = 1 << 18, blank: np.ndarray = BLANK):
+        self.lowered, self.chunk, self.blank = lowered, chunk, blank
 
     def _end(self, data: np.ndarray, at: int) -> int:
         """Where a chunk that begins at ``at`` ends: between two words."""
         end = min(len(data), at + self.chunk)
         while end < len(data):
-            if len(gap := np.flatnonzero(BLANK[data[end - 1 : end + self.chunk]])):
+            if len(gap := np.flatnonzero(self.blank[data[end - 1 : end + self.chunk]])):
                 return end + int(gap[0])
             end = min(len(data), end + self.chunk)
         return end
@@ -87,7 +116,7 @@ class Hasher:
         while at < len(data):
             end = self._end(data, at)
             part = data[at:end]
-            solid = ~BLANK[part]
+            solid = ~self.blank[part]
             first, last = solid.copy(), solid.copy()
             first[1:] &= ~solid[:-1]
             last[:-1] &= ~solid[1:]
@@ -98,27 +127,16 @@ class Hasher:
             yield at, part, np.flatnonzero(first), np.flatnonzero(last) + 1
             at = end
 
-    def sums(self, values: np.ndarray) -> np.ndarray:
-        """Running sums of a chunk's values, for ``between``."""
-        self._grow(len(values) + 1)
-        out = np.zeros(len(values) + 1, np.uint64)
-        np.cumsum(values * self.powers[: len(values)], out=out[1:])
-        return out
-
-    def between(self, sums: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Hashes of the runs from ``first`` to ``end``, wherever they are."""
-        return mix((sums[end] - sums[first]) * self.inverses[first] + (end - first - 1).astype(np.uint64))
-
     def __call__(self, texts: pa.Array) -> Words:
         """A null text has no words."""
         data, offsets = bytes_of(texts)
-        starts, ends, hashes = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+        starts, ends, found = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
         for at, part, first, end in self.chunks(data, offsets):
-            hashes.append(self.between(self.sums(self.values[part]), first, end))
+            found.append(hashes(LOWERED[part] if self.lowered else part, first, end))
             starts.append(first + at)
             ends.append(end + at)
-        found = np.concatenate(starts)
-        return Words(data, found, np.concatenate(ends), np.concatenate(hashes), offsets, np.searchsorted(found, offsets))
+        places = np.concatenate(starts)
+        return Words(data, places, np.concatenate(ends), np.concatenate(found), offsets, np.searchsorted(places, offsets))
 
 
 def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
