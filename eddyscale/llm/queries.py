@@ -1,12 +1,12 @@
 """The registered queries of this subpackage and the SQL of those that SQL can express.
 
-Sharding by checksum and curve, tokenising, trained models and HTML parsing have no SQL; their
-tests compare with brute force, a round trip or held-out rows.
+Sharding by checksum and curve, tokenising, trained models, eigenvectors and HTML parsing have no
+SQL; their tests compare with brute force, a round trip or held-out rows.
 """
 
 from __future__ import annotations
 
-from . import chat, decontamination, html_extraction, jaccard_join, language_id, line_dedup, nearest, packing, quality, sharding
+from . import chat, concatenation, decontamination, html_extraction, jaccard_join, language_id, line_dedup, nearest, packing, quality, resampling, sharding, whitening
 from .common import table
 
 QUERIES = {
@@ -20,6 +20,9 @@ QUERIES = {
     "op8_ngram_jaccard_join": lambda s, d: jaccard_join.report(table(s, d, "documents")),
     "op9_quality_classifier": lambda s, d: quality.report(table(s, d, "documents"), table(s, d, "labels")),
     "op10_html_extraction": lambda s, d: html_extraction.report(table(s, d, "pages")),
+    "op11_concatenate_and_cut": lambda s, d: concatenation.report(table(s, d, "documents")),
+    "op12_embedding_whitening": lambda s, d: whitening.report(table(s, d, "embeddings")),
+    "op13_importance_resampling": lambda s, d: resampling.report(table(s, d, "documents"), table(s, d, "benchmark")),
 }
 
 _LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -79,5 +82,20 @@ v AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
 r AS (SELECT a, b FROM v UNION SELECT r.a, v.b FROM r JOIN v ON r.b = v.a)
 SELECT d.doc_id, CAST(coalesce(z.n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, coalesce(t.low, d.doc_id)) AS component_id
 FROM d LEFT JOIN z USING (doc_id) LEFT JOIN (SELECT a, min(b) AS low FROM r GROUP BY a) t ON t.a = d.doc_id
+""",
+    # checksums by a table of 256 registers, over the bytes of each distinct feature
+    "op13_importance_resampling": f"""
+WITH z AS (SELECT list_transform(range(256), lambda x: list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, x)) AS t),
+w AS (SELECT row_number() OVER () AS rid, 'd' AS side, doc_id, {_WORDS} AS w FROM documents UNION ALL SELECT -row_number() OVER (), 'b', NULL, {_WORDS} FROM benchmark),
+f AS (SELECT side, rid, array_to_string(w[s : s + k - 1], ' ') AS g FROM (SELECT side, rid, w, k, unnest(range(1, len(w) - k + 2)) AS s FROM w, (VALUES (1), (2), (3)) q(k) WHERE len(w) >= k)),
+b AS (SELECT g, xor(list_reduce(list_transform(range(1, 2 * strlen(g), 2), lambda i: CAST('0x' || substr(hex(encode(g)), i, 2) AS BIGINT)), lambda c, y: xor(t[(xor(c, y) & 255) + 1], c >> 8), 4294967295), 4294967295) % 10000 AS bucket FROM (SELECT DISTINCT g FROM f), z),
+n AS (SELECT side, rid, bucket, count(*) AS n FROM f JOIN b USING (g) GROUP BY ALL),
+c AS (SELECT bucket, coalesce(sum(n) FILTER (WHERE side = 'd'), 0) AS s, coalesce(sum(n) FILTER (WHERE side = 'b'), 0) AS t FROM n GROUP BY bucket),
+a AS (SELECT bucket, CAST(floor(1000 * ln((t + 1.0::DOUBLE) * ((SELECT sum(s) FROM c) + 10000.0::DOUBLE) / ((s + 1.0::DOUBLE) * ((SELECT sum(t) FROM c) + 10000.0::DOUBLE)))) AS BIGINT) AS gain FROM c),
+d AS (SELECT w.rid, doc_id, len(w) AS n_words, CAST(coalesce(x.n, 0) AS BIGINT) AS n_features, CAST(coalesce(x.weight, 0) AS BIGINT) AS weight
+      FROM w LEFT JOIN (SELECT rid, sum(n) AS n, sum(n * gain) AS weight FROM n JOIN a USING (bucket) WHERE side = 'd' GROUP BY rid) x USING (rid) WHERE side = 'd'),
+e AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM d),
+r AS (SELECT *, CASE WHEN n_words >= 20 THEN row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id NULLS FIRST, rid) END AS place FROM e)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= (SELECT 5 * count(*) // 100 FROM d WHERE n_words >= 20) THEN place END AS rank FROM r
 """,
 }
