@@ -15,7 +15,7 @@ from eddyscale.llm import concatenation, offsets, packing, resampling, whitening
 from eddyscale.llm.common import Scratch
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-CLASH = {"kept": F.lit(1), "part": F.lit(2), "ids": F.lit("x"), "rank": F.lit(3), "start": F.lit(4), "bucket": F.lit(5), "rid": F.lit(6)}
+CLASH = {"kept": 1, "part": 2, "ids": "x", "rank": 3, "start": 4, "bucket": 5, "rid": 6}
 
 
 @pytest.fixture(scope="module")
@@ -29,7 +29,7 @@ def rows():
 
 @pytest.fixture(scope="module")
 def docs(spark, rows):
-    return spark.createDataFrame(rows, "doc_id long, text string").withColumns(CLASH).repartition(6)
+    return spark.createDataFrame(rows, "doc_id long, text string").withColumns({k: F.lit(v) for k, v in CLASH.items()}).repartition(6)
 
 
 # --- offsets ------------------------------------------------------------------------------------
