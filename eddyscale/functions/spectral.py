@@ -1,6 +1,7 @@
 """Wavenumbers, masks, filters, bands and tapers, each as a column expression and in numpy.
 
-A wavenumber is a closed form of its index, so no plan joins a grid table.
+A wavenumber is a closed form of its index, or a literal list's entry where an axis has one, so no
+plan joins a grid table.
 """
 
 from __future__ import annotations
@@ -32,8 +33,13 @@ def wavenumber(i: Column, n: int, length: float) -> Column:
     return signed(i, n) * F.lit(2 * math.pi / length)
 
 
+def _given(grid: Grid, d: int) -> tuple[float, ...] | None:
+    return None if grid.waves is None else grid.waves[d]
+
+
 def wavenumbers(grid: Grid, prefix: str = "i") -> list[Column]:
-    return [wavenumber(index(d, prefix), n, grid.lengths[d]) for d, n in enumerate(grid.ns)]
+    given = lambda own, d: F.get(F.array(*(F.lit(float(k)) for k in own)), index(d, prefix).cast("int"))
+    return [wavenumber(index(d, prefix), n, grid.lengths[d]) if (own := _given(grid, d)) is None else given(own, d) for d, n in enumerate(grid.ns)]
 
 
 def axis(n: int, length: float = 2 * math.pi) -> np.ndarray:
@@ -42,7 +48,7 @@ def axis(n: int, length: float = 2 * math.pi) -> np.ndarray:
 
 
 def axes(grid: Grid) -> list[np.ndarray]:
-    return [axis(n, length) for n, length in zip(grid.ns, grid.lengths, strict=True)]
+    return [axis(n, length) if (own := _given(grid, d)) is None else np.array(own, float) for d, (n, length) in enumerate(zip(grid.ns, grid.lengths, strict=True))]
 
 
 def _dims(grid: Grid, geometry: ShellMagnitude) -> tuple[int, ...]:
@@ -63,7 +69,8 @@ def magnitude_array(grid: Grid, geometry: ShellMagnitude = ShellMagnitude()) ->
 
 
 def largest(grid: Grid, geometry: ShellMagnitude = ShellMagnitude()) -> float:  # noqa: B008
-    return math.sqrt(sum(float(np.max(axis(grid.ns[d], grid.lengths[d]) ** 2)) for d in _dims(grid, geometry)))
+    own = axes(grid)
+    return math.sqrt(sum(float(np.max(own[d] ** 2)) for d in _dims(grid, geometry)))
 
 
 def kept(grid: Grid, dealiasing, prefix: str = "i") -> Column | None:

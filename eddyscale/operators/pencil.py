@@ -129,11 +129,10 @@ def along(df: DataFrame, cut: Cut, sizes: tuple[int, ...], d: int, work: Callabl
 class Axis:
     """One axis of a dealiasing rule: which modes take part, and their places in a transform that may be longer."""
 
-    def __init__(self, n: int, length: float, dealiasing):
-        self.n, self.long = n, dealiasing.length(n)
+    def __init__(self, n: int, k: np.ndarray, dealiasing):
+        self.n, self.long, self.k = n, dealiasing.length(n), k
         self.kept = np.flatnonzero(dealiasing.keeps(n))
         self.there = np.where(self.kept < (n + 1) // 2, self.kept, self.kept - n) % self.long
-        self.k = spectral.axis(n, length)
 
     def _at(self, index: np.ndarray, d: int, nd: int) -> tuple:
         return (slice(None), *(index if e == d else slice(None) for e in range(nd)))
@@ -154,6 +153,10 @@ class Axis:
         return x * (1j * self.k).reshape([-1 if e == d + 1 else 1 for e in range(x.ndim)])
 
 
+def axes_of(grid: Grid, dealiasing) -> list[Axis]:
+    return [Axis(n, k, dealiasing) for n, k in zip(grid.ns, spectral.axes(grid), strict=True)]
+
+
 def transformed(df: DataFrame, grid: Grid, cut: Cut, forward: bool = True) -> DataFrame:
     """Blocks of modes from blocks of points (the sum times 1/Np), or the real part's points from modes (the plain sum)."""
     for d in range(grid.nd):
@@ -184,10 +187,30 @@ def unblock(df: DataFrame, grid: Grid, cut: Cut, values: tuple[str, ...] = ("re"
     return df.select("field_id", *cut.names, "z").mapInArrow(run, kinds)
 
 
+def columns(df: DataFrame, grid: Grid, cut: Cut, names: list[str]) -> DataFrame:
+    """(field_id, i0.., names) of blocks: a row each place, its channels' real parts as columns."""
+    kinds = ", ".join([f"field_id {df.schema['field_id'].dataType.simpleString()}", *(f"i{d} int" for d in range(grid.nd)), *(f"{n} double" for n in names)])
+
+    def run(batches):
+        for batch in batches:
+            for r in range(batch.num_rows):
+                where = [cut.block(d, n, batch.column(d + 1)[r].as_py()) for d, n in enumerate(grid.ns)]
+                shape = [s.stop - s.start for s in where]
+                z = np.frombuffer(batch.column(grid.nd + 1)[r].as_buffer(), complex).reshape(len(names), -1).real
+                index = np.indices(shape).reshape(grid.nd, -1).astype(np.int32)
+                for at in range(0, z.shape[1], 1 << 16):
+                    some = slice(at, at + (1 << 16))
+                    own = [pa.array(index[d, some] + np.int32(where[d].start)) for d in range(grid.nd)]
+                    field = batch.column(0).take(pa.array(np.full(len(own[0]), r)))
+                    yield pa.RecordBatch.from_arrays([field, *own, *(pa.array(np.ascontiguousarray(one[some])) for one in z)], names=["field_id", *(f"i{d}" for d in range(grid.nd)), *names])
+
+    return df.select("field_id", *cut.names, "z").mapInArrow(run, kinds)
+
+
 def term_blocks(f: DataFrame, grid: Grid, m: int, cut: Cut, u: DataFrame | None = None, dealiasing=_OT, axes: list[Axis] | None = None) -> tuple[DataFrame, tuple[int, ...]]:
     """Blocks of (u . grad) f, all but the first axis transformed, and their lengths: the first is the caller's last step."""
     nd = grid.nd
-    axes = axes or [Axis(n, length, dealiasing) for n, length in zip(grid.ns, grid.lengths, strict=True)]
+    axes = axes or axes_of(grid, dealiasing)
     first_u, base = (0, m) if u is None else (m, m + nd)
     own = ["field_id", *cut.names, "z"]
     rows = f.select(*own) if u is None else f.select(*own, F.lit(0).alias("first")).unionByName(u.select(*own, F.lit(m).alias("first")))
@@ -221,7 +244,7 @@ def _scale(grid: Grid, axes: list[Axis]) -> float:
 def nonlinear_term(f: DataFrame, grid: Grid, m: int, u: DataFrame | None = None, dealiasing=_OT, parts: int | tuple[int, ...] | None = None) -> DataFrame:
     """Long modes of DFT[(u . grad) f] of long modes."""
     cut = cut_of(grid, None, parts)
-    axes = [Axis(n, length, dealiasing) for n, length in zip(grid.ns, grid.lengths, strict=True)]
+    axes = axes_of(grid, dealiasing)
     rows, sizes = term_blocks(blocks(f, grid, m, cut), grid, m, cut, None if u is None else blocks(u, grid, grid.nd, cut), dealiasing, axes)
     scale = _scale(grid, axes)
     return unblock(along(rows, cut, sizes, 0, lambda x, _: axes[0].forward(x, 0) * scale, axes[0].n), grid, cut)
@@ -242,7 +265,7 @@ def spectral_flux(f: DataFrame, grid: Grid, m: int | None = None, u: DataFrame |
         raise ValueError("blocks don't tell the number of components")
     if u is not None and "z" not in u.columns:
         u = blocks(u, grid, nd, cut)
-    axes = [Axis(n, length, dealiasing) for n, length in zip(grid.ns, grid.lengths, strict=True)]
+    axes = axes_of(grid, dealiasing)
     rows, sizes = term_blocks(f, grid, m, cut, u, dealiasing, axes)
     density, scale, dims = D.array_form(invariant), _scale(grid, axes), spectral._dims(grid, geometry)
 

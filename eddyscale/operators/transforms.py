@@ -1,9 +1,10 @@
-"""Fourier transforms between points and modes, filtering, and spherical analysis.
+"""Fourier transforms between points and modes, and filtering.
 
 A gridded transform goes axis by axis: each row meets the indices of one axis, an exploded literal
 range, and products are summed with map-side combining, so a grid of n^d points costs d n rows a
 point, not n^d.  Grids of more than ``LARGE`` points go through numpy, whole fields in stacks.
-Scattered points are summed a batch at a time in numpy, and blocks of points meet blocks of modes.
+Scattered points are summed a batch at a time in numpy, and blocks of points meet blocks of modes:
+exact, and as dear as points times modes.  With a ``tolerance`` they go through ``scattered``.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from ..functions import spectral
 from ..plans.types import FFT, Grid, ShellMagnitude, engine
 from . import modes as M
-from . import stack
+from . import scattered, stack
 
 #: Points of a grid beyond which method="auto" transforms in numpy.
 LARGE = 4096
@@ -95,14 +96,18 @@ def _integer_modes(grid: Grid) -> np.ndarray:
     return np.stack([k.ravel() for k in np.meshgrid(*(spectral.axis(n) for n in grid.ns), indexing="ij")], 1)
 
 
-def scattered_forward(points: DataFrame, grid: Grid) -> DataFrame:
+def scattered_forward(points: DataFrame, grid: Grid, tolerance: float | None = None, components: list[int] | None = None) -> DataFrame:
     """Type 1: modes of scattered points on [-pi, pi), (1/N) sum f e^{-ikx}. One to three dimensions.
 
-    Every task sums its points by field; what is shuffled is sums.
+    Every task sums its points by field; what is shuffled is sums.  ``components`` are looked up
+    if a ``tolerance`` is given without them.
     """
     if not 1 <= grid.nd <= 3:
         raise ValueError("one to three dimensions")
     count = points.groupBy("field_id", "c").agg(F.count("*").alias("n"))
+    if tolerance is not None:
+        sums = scattered.forward(points, grid, components or _numbers(points), tolerance)
+        return sums.join(count, ["field_id", "c"]).select(*M.place(grid), "c", (F.col("re") / F.col("n")).alias("re"), (F.col("im") / F.col("n")).alias("im"))
     k, index = _integer_modes(grid), np.indices(grid.ns).reshape(grid.nd, -1).astype(np.int32)
     xs = [f"x{d}" for d in range(grid.nd)]
 
@@ -121,11 +126,18 @@ def scattered_forward(points: DataFrame, grid: Grid) -> DataFrame:
     return sums.join(count, ["field_id", "c"]).select(*M.place(grid), "c", (F.col("re") / F.col("n")).alias("re"), (F.col("im") / F.col("n")).alias("im"))
 
 
-def scattered_inverse(modes: DataFrame, places: DataFrame, grid: Grid, block: int = 4096) -> DataFrame:
+def _numbers(rows: DataFrame) -> list[int]:
+    """The components that there are, a few."""
+    return sorted(r["c"] for r in rows.select("c").distinct().collect())
+
+
+def scattered_inverse(modes: DataFrame, places: DataFrame, grid: Grid, block: int = 4096, tolerance: float | None = None, components: list[int] | None = None) -> DataFrame:
     """Type 2: the modes' sum e^{+ikx} at scattered places (field_id, point, x0..): field_id, point, c, value.
 
     A field's places are cut into blocks of about ``block``; its modes go to each of them.
     """
+    if tolerance is not None:
+        return scattered.inverse(modes, places, grid, components or _numbers(modes), tolerance)
     most = places.groupBy("field_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1
     blocks = -(-most // block)
     own = places.withColumn("part", F.pmod(F.xxhash64("point"), F.lit(blocks)).cast("int"))
@@ -146,63 +158,3 @@ def scattered_inverse(modes: DataFrame, places: DataFrame, grid: Grid, block: in
 
     kind = places.schema["point"].dataType.simpleString()
     return every.groupBy("field_id", "part").cogroup(own.groupBy("field_id", "part")).applyInArrow(run, f"field_id string, point {kind}, c int, value double")
-
-
-# --- spherical fields -------------------------------------------------------------------------
-
-
-def harmonics(lmax: int, theta: np.ndarray, phi: np.ndarray) -> np.ndarray:
-    """Orthonormal complex Y_lm at colatitude and longitude: rows l*l + l + m, by stable recurrences."""
-    x, s = np.cos(theta), np.sin(theta)
-    out = np.zeros(((lmax + 1) ** 2, len(theta)), complex)
-    diagonal = np.full(len(theta), math.sqrt(1 / (4 * math.pi)))
-    for m in range(lmax + 1):
-        if m:
-            diagonal = -math.sqrt((2 * m + 1) / (2 * m)) * s * diagonal
-        before, now = np.zeros(len(theta)), diagonal
-        for deg in range(m, lmax + 1):
-            if deg > m:
-                a = math.sqrt((4 * deg * deg - 1) / (deg * deg - m * m))
-                b = math.sqrt(((deg - 1) ** 2 - m * m) / (4 * (deg - 1) ** 2 - 1)) if deg - 1 > m else 0.0
-                before, now = now, a * (x * now - b * before)
-            wave = now * np.exp(1j * m * phi)
-            out[deg * deg + deg + m] = wave
-            if m:
-                out[deg * deg + deg - m] = (-1) ** m * wave.conj()
-    return out
-
-
-def spherical_analysis(points: DataFrame, lmax: int) -> DataFrame:
-    """(field_id, l, m, c, re, im) of points (field_id, theta, phi, c, value, weight): sums of weight f conj(Y_lm).
-
-    Weights are quadrature weights that sum to 4 pi; without a column ``weight`` every point of
-    a field counts alike, as scattered points do.  Fields are summed in parts of a few thousand
-    points, then the parts.
-    """
-    if "weight" not in points.columns:
-        n = points.groupBy("field_id", "c").agg(F.count("*").alias("__n"))
-        points = points.join(n, ["field_id", "c"]).withColumn("weight", 4 * math.pi / F.col("__n"))
-
-    def run(batches):
-        for pdf in batches:
-            for (field, c), own in pdf.groupby(["field_id", "c"]):
-                y = harmonics(lmax, own["theta"].to_numpy(), own["phi"].to_numpy())
-                a = y.conj() @ (own["value"].to_numpy() * own["weight"].to_numpy())
-                lm = [(deg, m) for deg in range(lmax + 1) for m in range(-deg, deg + 1)]
-                yield pd.DataFrame({"field_id": field, "l": [x for x, _ in lm], "m": [x for _, x in lm], "c": c, "re": a.real, "im": a.imag})
-
-    parts = points.select("field_id", "theta", "phi", "c", "value", "weight").mapInPandas(run, "field_id string, l int, m int, c int, re double, im double")
-    return parts.groupBy("field_id", "l", "m", "c").agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
-
-
-def gauss_grid(lmax: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Colatitude, longitude and weight of a grid that analyses degree ``lmax`` exactly."""
-    x, w = np.polynomial.legendre.leggauss(lmax + 1)
-    n = 2 * lmax + 2
-    theta, phi = np.meshgrid(np.arccos(x), np.arange(n) * 2 * math.pi / n, indexing="ij")
-    return theta.ravel(), phi.ravel(), np.repeat(w * 2 * math.pi / n, n)
-
-
-def spherical_spectrum(coefficients: DataFrame) -> DataFrame:
-    """Energy by degree."""
-    return coefficients.groupBy("field_id", "l").agg(F.sum(F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("energy"))

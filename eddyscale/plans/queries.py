@@ -633,8 +633,8 @@ _DEFS: dict[str, tuple] = {
     "shells_linear": (lambda s, d: _shell_table(s, _LIN), _shell_table_sql("n - 1", "CASE WHEN n > sqrt(72) THEN sqrt(72) ELSE n END", "(n - 1 + CASE WHEN n > sqrt(72) THEN sqrt(72) ELSE n END) / 2", "n - 1 < sqrt(72)")),
     "shells_dyadic": (lambda s, d: _shell_table(s, P.DyadicBinning(0.5)), _shell_table_sql("0.5 * pow(2, n - 1)", "0.5 * pow(2, n)", "0.5 * sqrt(pow(2, n - 1) * pow(2, n))", "0.5 * pow(2, n - 1) <= sqrt(72)")),
     "shells_logarithmic": (lambda s, d: _shell_table(s, P.LogarithmicBinning(1.0, 1.5)), _shell_table_sql("pow(1.5, n - 1)", "pow(1.5, n)", "sqrt(pow(1.5, n - 1) * pow(1.5, n))", "pow(1.5, n - 1) <= sqrt(72)")),
-    "spherical_coefficients": (lambda s, d: T.spherical_analysis(_sphere(s, d), 2), _SPHERE + f"SELECT l, m, c, {_r('re')} AS re, {_r('im')} AS im FROM s"),
-    "spherical_spectrum": (lambda s, d: T.spherical_spectrum(T.spherical_analysis(_sphere(s, d), 2)), _SPHERE + f"SELECT l, {_r('sum(re * re + im * im)')} AS energy FROM s GROUP BY l"),
+    "spherical_coefficients": (lambda s, d: sphere.spherical_analysis(_sphere(s, d), 2), _SPHERE + f"SELECT l, m, c, {_r('re')} AS re, {_r('im')} AS im FROM s"),
+    "spherical_spectrum": (lambda s, d: sphere.spherical_spectrum(sphere.spherical_analysis(_sphere(s, d), 2)), _SPHERE + f"SELECT l, {_r('sum(re * re + im * im)')} AS energy FROM s GROUP BY l"),
     "flow_taylor_green": (lambda s, d: flows.energy(T.forward(flows.on_grid(s, CUBE, flows.taylor_green), CUBE)), f"SELECT {_r('0.125')} AS energy"),
     "flow_beltrami": (lambda s, d: flows.energy(T.forward(flows.on_grid(s, CUBE, flows.beltrami), CUBE)), f"SELECT {_r('(1 + 0.49 + 0.43 * 0.43) / 2')} AS energy"),
     "axes_checked": (_axes_rows, f"WITH p AS (SELECT CAST(l_orderkey % 12 AS INTEGER) * 0.5 AS a, CAST(l_partkey % 12 AS INTEGER) * 0.25 AS b FROM lineitem) SELECT 0 AS axis, {_r('(max(a) - min(a)) / (count(DISTINCT a) - 1)')} AS step, {_r('count(DISTINCT a) * (max(a) - min(a)) / (count(DISTINCT a) - 1)')} AS length FROM p UNION ALL SELECT 1, {_r('(max(b) - min(b)) / (count(DISTINCT b) - 1)')}, {_r('count(DISTINCT b) * (max(b) - min(b)) / (count(DISTINCT b) - 1)')} FROM p"),

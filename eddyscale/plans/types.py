@@ -14,10 +14,14 @@ from dataclasses import dataclass, field
 
 @dataclass(frozen=True)
 class Grid:
-    """A periodic grid: points and length along each axis. Indices count from 0."""
+    """A periodic grid: points and length along each axis. Indices count from 0.
+
+    ``waves``: for an axis whose wavenumbers follow no rule, one for each index; None for others.
+    """
 
     ns: tuple[int, ...]
     lengths: tuple[float, ...] | None = None
+    waves: tuple[tuple[float, ...] | None, ...] | None = None
 
     def __post_init__(self):
         import math
@@ -28,6 +32,8 @@ class Grid:
             object.__setattr__(self, "lengths", (2 * math.pi,) * len(self.ns))
         if len(self.lengths) != len(self.ns) or min(self.lengths) <= 0:
             raise ValueError("one positive length for each axis")
+        if self.waves is not None and [len(w) if w is not None else n for w, n in zip(self.waves, self.ns, strict=True)] != list(self.ns):
+            raise ValueError("one wavenumber for each index of an axis")
 
     @property
     def nd(self) -> int:
@@ -227,6 +233,15 @@ class CoarseGraining:
     scale: float
 
 
+@dataclass(frozen=True)
+class MaskedCoarseGraining:
+    """Of points with a column ``wet``; ``parts``: tiles along each axis."""
+
+    filter: object
+    scale: float
+    parts: int | tuple[int, ...] | None = None
+
+
 @dataclass(frozen=True)
 class TriadicDecomposition:
     nfft: int | None = None

@@ -243,15 +243,15 @@ def test_scattered_equals_gridded(spark):
 
 
 def test_spherical(spark):
-    theta, phi, weight = T.gauss_grid(4)
-    y = T.harmonics(4, theta, phi)
+    theta, phi, weight = sphere.gauss_grid(4)
+    y = sphere.harmonics(4, theta, phi)
     assert np.allclose((y * weight) @ y.conj().T, np.eye(25), atol=1e-12)
     value = (1.5 * y[2 * 2 + 2 + 1] - 0.5 * y[3 * 3 + 3 - 2]).real
     df = spark.createDataFrame([("f", float(a), float(b), 0, float(v), float(w)) for a, b, v, w in zip(theta, phi, value, weight, strict=True)], "field_id string, theta double, phi double, c int, value double, weight double")
-    got = {(r["l"], r["m"]): complex(r["re"], r["im"]) for r in T.spherical_analysis(df, 4).collect()}
+    got = {(r["l"], r["m"]): complex(r["re"], r["im"]) for r in sphere.spherical_analysis(df, 4).collect()}
     assert abs(got[2, 1] - 0.75) < 1e-12 and abs(got[3, -2] + 0.25) < 1e-12 and abs(got[1, 0]) < 1e-12
-    assert T.spherical_analysis(df.drop("weight"), 2).count() == 9
-    assert T.spherical_spectrum(T.spherical_analysis(df, 4)).count() == 5
+    assert sphere.spherical_analysis(df.drop("weight"), 2).count() == 9
+    assert sphere.spherical_spectrum(sphere.spherical_analysis(df, 4)).count() == 5
 
 
 def test_tod(spark):
