@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions import spectral
-from ..operators import batch, coarse, decompose, density, nonlinear, shells, tod, transfer
+from ..operators import batch, coarse, decompose, density, nonlinear, pencil, shells, sphere, tod, transfer
 from ..operators import modes as M
 from ..operators import transforms as T
-from ..sources import fields, flows
+from ..sources import fields
 from . import dispatch
 from . import types as P
 
@@ -52,7 +52,7 @@ class Sql:
     """Common table expressions over one grid."""
 
     def __init__(self, grid: P.Grid):
-        self.grid, self.n, self.nd = grid, grid.ns[0], grid.nd
+        self.grid, self.n, self.nd, self.size = grid, grid.ns[0], grid.nd, grid.size
         self.parts: list[str] = []
         d, n = range(self.nd), self.n
         self.ids = ", ".join(f"i{a}" for a in d)
@@ -74,11 +74,11 @@ class Sql:
         self.parts.append(f"{name} AS MATERIALIZED ({query})")
 
     def angle(self, a: str, b: str) -> str:
-        return f"2 * pi() / {self.n} * ({' + '.join(f'{a}{x} * {b}{x}' for x in range(self.nd))})"
+        return f"2 * pi() * ({' + '.join(f'{a}{x} * {b}{x} / {n}.0' for x, n in enumerate(self.grid.ns))})"
 
     def term(self, name: str, u: str = "uh", f: str = "uh", keys: tuple[str, ...] = (), u_keys: tuple[str, ...] = (), keep: bool = True) -> str:
         """Table ``name``: modes of the nonlinear term by keys."""
-        d, size = range(self.nd), self.n**self.nd
+        d, size = range(self.nd), self.size
         places = ", ".join(f"x.i{a} AS x{a}" for a in d)
         xs, also = ", ".join(f"x{a}" for a in d), "".join(f", {k}" for k in keys)
         more = "".join(f", {k}" for k in u_keys)
@@ -122,8 +122,8 @@ def _r(x: str) -> str:
     return f"round({x}, {DIGITS}) + 0.0"
 
 
-def _flux_sql(grid, binning, geometry=P.ShellMagnitude(), f="uh", invariant="ke", keep=True, u="uh") -> str:  # noqa: B008
-    q = Sql(grid)
+def _flux_sql(grid, binning, geometry=P.ShellMagnitude(), f="uh", invariant="ke", keep=True, u="uh", q: Sql | None = None) -> str:  # noqa: B008
+    q = q or Sql(grid)
     term, carrier = q.term("nl", u=u, f=f, keep=keep), f
     if invariant in ("helicity", "enstrophy"):
         carrier = q.curled("cw", f)
@@ -135,11 +135,11 @@ def _flux_sql(grid, binning, geometry=P.ShellMagnitude(), f="uh", invariant="ke"
     return q.done(f"SELECT CAST(n AS INTEGER) AS shell, {_r('center')} AS k_shell, {_r('coalesce(t, 0)')} AS transfer, {_r('sum(coalesce(t, 0)) OVER (ORDER BY n)')} AS flux FROM ed LEFT JOIN s ON shell = n")
 
 
-def _shell_sql(f="uh", what="matrix") -> str:
-    q = Sql(FLAT)
+def _shell_sql(f="uh", what="matrix", u="uh", q: Sql | None = None, keep: bool = True) -> str:
+    q = q or Sql(FLAT)
     q.edges(P.LinearBinning(1.0))
     q.add("fm", f"SELECT f.*, shell AS m FROM {f} f JOIN sh USING ({q.ids})")
-    q.density("t", f, q.term("nl", f="fm", keys=("m",)), ("m",))
+    q.density("t", f, q.term("nl", u=u, f="fm", keys=("m",), keep=keep), ("m",))
     q.add("s", f"SELECT shell AS n, m, sum(t) AS t FROM t JOIN sh USING ({q.ids}) GROUP BY ALL")
     q.add("mx", "SELECT a.n, b.n AS m, a.lo, a.hi, a.center, coalesce(t, 0) AS t FROM ed a CROSS JOIN ed b LEFT JOIN s ON s.n = a.n AND s.m = b.n")
     return q.done({
@@ -164,11 +164,11 @@ def _band_sql(bands: P.SmoothBands, what: str = "matrix") -> str:
     }[what])
 
 
-def _mode_sql(f="uh", net: bool = False) -> str:
+def _mode_sql(f="uh", net: bool = False, u="uh", q: Sql | None = None, keep: bool = True) -> str:
     """Every two modes, those that nothing joins as well."""
-    q = Sql(FLAT)
-    q.add("fp", f"SELECT f.*, i0 AS p0, i1 AS p1 FROM {f} f JOIN gr USING ({q.ids}) WHERE keep")
-    q.density("t", f, q.term("nl", f="fp", keys=("p0", "p1")), ("p0", "p1"))
+    q = q or Sql(FLAT)
+    q.add("fp", f"SELECT f.*, i0 AS p0, i1 AS p1 FROM {f} f JOIN gr USING ({q.ids}) {'WHERE keep' if keep else ''}")
+    q.density("t", f, q.term("nl", u=u, f="fp", keys=("p0", "p1"), keep=keep), ("p0", "p1"))
     q.add("al", "SELECT k.i0 AS k0, k.i1 AS k1, p.i0 AS p0, p.i1 AS p1, coalesce(t, 0) AS s FROM gr k CROSS JOIN gr p LEFT JOIN t ON t.i0 = k.i0 AND t.i1 = k.i1 AND t.p0 = p.i0 AND t.p1 = p.i1")
     return q.done(f"SELECT k0, k1, {_r('1000 * sum(s)')} AS net_milli FROM al GROUP BY k0, k1" if net else f"SELECT k0, k1, p0, p1, {_r('1000 * s')} AS s_milli FROM al")
 
@@ -255,21 +255,44 @@ def _coarse_sql(response: str, what: str = "map") -> str:
     }[what])
 
 
-def _filter_rows(s):
-    k = F.col("i0").cast("double")
-    cols = [spectral.filter_response(kind, k, 1.0).alias(n) for n, kind in (("sharp", P.SharpSpectralFilter()), ("gauss", P.GaussianFilter()), ("tophat", P.TopHatFilter()))]
-    return s.range(9).select(F.col("id").cast("int").alias("i0")).select("i0", *cols)
+def _masked_sql() -> str:
+    """Filtered quantities over the filtered mask, on wet cells, and the quotients' gradients."""
+    q = Sql(FLAT)
+    n2, response = q.n**2, "exp(-kap * kap * 4 / 24)"
+    q.add("vp", "SELECT i0 AS x0, i1 AS x1, CASE WHEN (i0 + i1) % 3 <> 0 THEN 1.0::DOUBLE ELSE 0 END AS w, coalesce(v0, 0) / 100 AS a, coalesce(v1, 0) / 100 AS b FROM gr LEFT JOIN pt ON i0 = x0 AND i1 = x1")
+    q.add("pr", "SELECT x0, x1, unnest(['w', 'u', 'v', 'uu', 'uv', 'vv']) AS w, unnest([w, w * a, w * b, w * a * a, w * a * b, w * b * b]) AS v FROM vp")
+    t = q.angle("g.i", "p.x")
+    q.add("fh", f"SELECT i0, i1, k0, k1, w, ({response}) * sum(v * cos({t})) / {n2} AS re, -({response}) * sum(v * sin({t})) / {n2} AS im FROM pr p, gr g GROUP BY i0, i1, k0, k1, kap, w")
+    t = q.angle("f.i", "x.i")
+    q.add("sm", f"SELECT x.i0, x.i1, w, sum(re * cos({t}) - im * sin({t})) AS v, sum(-f.k0 * im * cos({t}) - f.k0 * re * sin({t})) AS d0, sum(-f.k1 * im * cos({t}) - f.k1 * re * sin({t})) AS d1 FROM fh f, gr x GROUP BY ALL")
+    one = lambda w, v: f"max({v}) FILTER (WHERE w = '{w}')"
+    q.add("al", f"SELECT i0, i1, {', '.join(f'{one(w, v)} AS {w}_{v}' for w in ('w', 'u', 'v', 'uu', 'uv', 'vv') for v in ('v', 'd0', 'd1'))} FROM sm GROUP BY ALL")
+    q.add("qu", "SELECT i0, i1, u_v / w_v AS u, v_v / w_v AS v, uu_v / w_v AS uu, uv_v / w_v AS uv, vv_v / w_v AS vv, " + ", ".join(f"({c}_d{j} - {c}_v / w_v * w_d{j}) / w_v AS {c}{'xy'[j]}" for c in "uv" for j in (0, 1)) + " FROM al")
+    q.add("fx", "SELECT i0, i1, -((uu - u * u) * ux + (vv - v * v) * vy + (uv - u * v) * (uy + vx)) AS flux FROM qu")
+    return q.done(f"SELECT i0, i1, (i0 + i1) % 3 <> 0 AS wet, {_r('CASE WHEN (i0 + i1) % 3 <> 0 THEN flux ELSE 0 END')} AS flux FROM fx")
+
+
+def _filter_rows(s, d):
+    """Modes along the first axis through each filter."""
+    k = spectral.magnitude(FLAT)
+    kinds = (("sharp", P.SharpSpectralFilter()), ("gauss", P.GaussianFilter()), ("tophat", P.TopHatFilter()))
+    return _th(s, d).where("i1 = 0").select("i0", *((F.col(part) * spectral.filter_response(kind, k, 1.0)).alias(f"{n}_{part}") for n, kind in kinds for part in ("re", "im")))
+
 
+_RESPONSES = {"sharp": "CASE WHEN kap < pi() THEN 1.0::DOUBLE ELSE 0 END", "gauss": "exp(-kap * kap / 24)", "tophat": "CASE WHEN kap = 0 THEN 1.0::DOUBLE ELSE sin(kap / 2) / (kap / 2) END"}
 
-def _grid_rows(s):
-    rows = s.range(1).select(F.lit("f").alias("field_id"))
-    for d, n in enumerate(FLAT.ns):
-        rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(f"i{d}"))
-    k = spectral.wavenumbers(FLAT)
+
+def _grid_rows(s, d):
+    """What a grid's columns make of a scalar's modes."""
+    k, kappa = spectral.wavenumbers(FLAT), spectral.magnitude(FLAT)
     _, edges = shells.edges_of(FLAT, P.LinearBinning(1.0))
-    kappa = spectral.magnitude(FLAT)
     weights = spectral.band_weights(P.SmoothBands((1.0, 2.0, 4.0)), kappa)
-    return rows.select("i0", "i1", k[0].cast("double").alias("k0"), k[1].cast("double").alias("k1"), kappa.alias("kappa"), shells.shell_of(kappa, edges).alias("shell"), spectral.two_thirds(FLAT).alias("keep"), spectral.dealiasing_mask(FLAT).alias("mask"), *(F.get(weights, F.lit(b)).alias(f"w{b}") for b in range(3)))
+    return _th(s, d).select("i0", "i1", k[0].cast("double").alias("k0"), k[1].cast("double").alias("k1"), kappa.alias("kappa"), shells.shell_of(kappa, edges).alias("shell"), spectral.two_thirds(FLAT).alias("keep"), spectral.dealiasing_mask(FLAT).alias("mask"), *((F.get(weights, F.lit(b)) * F.col("re")).alias(f"re{b}") for b in range(3)))
+
+
+def _mask_energy(s, d):
+    """Energy inside and outside of both kinds of two thirds."""
+    return _u(s, d).groupBy(spectral.two_thirds(FLAT).alias("keep"), spectral.dealiasing_mask(FLAT).alias("mask"), spectral.dealiasing_mask(FLAT, "half").alias("half")).agg(F.sum(F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("energy"))
 
 
 _GRID_SQL = Sql(FLAT)
@@ -278,8 +301,8 @@ _BAND = "CASE WHEN kap > 0 THEN exp(-pow(ln(kap / {c}), 2) / 0.72) ELSE 0 END"
 _BANDS = [_BAND.format(c=float(c)) for c in (1, 2, 4)]
 _GRID_SQL = _GRID_SQL.done(
     f"SELECT i0, i1, {_r('k0')} AS k0, {_r('k1')} AS k1, {_r('kap')} AS kappa, CAST(coalesce(shell, 0) AS INTEGER) AS shell, keep, least(i0, 12 - i0) < 4.0 AND least(i1, 12 - i1) < 4.0 AS mask, "
-    + ", ".join(f"{_r(f'CASE WHEN kap > 0 THEN ({b}) / ({" + ".join(f"({x})" for x in _BANDS)}) ELSE 0 END')} AS w{n}" for n, b in enumerate(_BANDS))
-    + " FROM gr LEFT JOIN sh USING (i0, i1)"
+    + ", ".join(f"{_r(f'CASE WHEN kap > 0 THEN re * ({b}) / ({" + ".join(f"({x})" for x in _BANDS)}) ELSE 0 END')} AS re{n}" for n, b in enumerate(_BANDS))
+    + " FROM gr LEFT JOIN sh USING (i0, i1) JOIN th USING (i0, i1)"
 )
 
 
@@ -288,18 +311,33 @@ def _series(s, d):
 
 
 _TOD = tod.parameters(64, 16, 8, 1.0)
-_TOD_BLOCKS = ", ".join(f"({b}, {x})" for b, x in enumerate(tod.block_starts(64, _TOD)))
-_TOD_BASE = f"""WITH e AS (SELECT CAST(event_id % 64 AS BIGINT) AS t, CAST(user_id % 3 AS INTEGER) AS x, value FROM events),
-l AS (SELECT t, 0 AS var, x, sum(value) / 1000 AS v FROM e GROUP BY ALL UNION ALL SELECT t, 1, x, sum(ln(1 + abs(value))) / 1000 FROM e GROUP BY ALL),
-b AS (SELECT * FROM (VALUES {_TOD_BLOCKS}) q(block, s)),
-w AS (SELECT var, x, block, t - s AS j, v * (0.54 - 0.46 * cos(2 * pi() * (t - s) / 15)) AS v FROM l JOIN b ON t >= s AND t < s + 16),
-f AS (SELECT CAST(r AS INTEGER) AS f FROM range(-8, 8) q(r)),
-z AS (SELECT var, x, block, f, sum(v * cos(2 * pi() * f * j / 16)) / {float(_TOD.window.mean() * 16)!r} AS re, -sum(v * sin(2 * pi() * f * j / 16)) / {float(_TOD.window.mean() * 16)!r} AS im FROM w, f GROUP BY ALL)
+_HAMMING = "0.54 - 0.46 * cos(2 * pi() * (t - s) / {last})"
+
+
+def _tod_base(p: tod.Parameters, taper: str = _HAMMING, off: str = "0") -> str:
+    """Frequencies z of tapered blocks of the events' series, less ``off`` at each place."""
+    n, norm = p.nfft, repr(float(p.window.mean() * p.nfft))
+    blocks = ", ".join(f"({b}, {x})" for b, x in enumerate(tod.block_starts(p.nt, p)))
+    return f"""WITH e AS (SELECT CAST(event_id % 64 AS BIGINT) AS t, CAST(user_id % 3 AS INTEGER) AS x, value FROM events),
+l0 AS (SELECT t, 0 AS var, x, sum(value) / 1000 AS v FROM e GROUP BY ALL UNION ALL SELECT t, 1, x, sum(ln(1 + abs(value))) / 1000 FROM e GROUP BY ALL),
+l AS (SELECT t, var, x, v - ({off}) AS v FROM l0),
+b AS (SELECT * FROM (VALUES {blocks}) q(block, s)),
+w AS (SELECT var, x, block, t - s AS j, v * ({taper.format(last=n - 1)}) AS v FROM l JOIN b ON t >= s AND t < s + {n}),
+f AS (SELECT CAST(r AS INTEGER) AS f FROM range({-(n // 2)}, {n - n // 2}) q(r)),
+z AS (SELECT var, x, block, f, sum(v * cos(2 * pi() * f * j / {n})) / {norm} AS re, -sum(v * sin(2 * pi() * f * j / {n})) / {norm} AS im FROM w, f GROUP BY ALL)
 """
 
 
-def _tod_budget(s, d):
-    got = tod.tod(_series(s, d), window=16, noverlap=8, dt=1.0, outputs=("bispectrum",))
+_TOD_BASE = _tod_base(_TOD)
+_BLOCK_COLUMNS = f"SELECT var, x, CAST(block AS INTEGER) AS block, f, {_r('re')} AS re, {_r('im')} AS im FROM z"
+_HANN = tod.parameters(64, spectral.taper("hann", 16), 8, 1.0)
+_TUKEY = tod.parameters(64, spectral.taper("tukey", 16, 0.5), 8, 1.0)
+_HANN_SQL = "0.5 - 0.5 * cos(2 * pi() * (t - s) / {last})"
+_TUKEY_SQL = "CASE WHEN least(t - s, 15 - t + s) >= 3.75 THEN 1.0::DOUBLE ELSE 0.5 - 0.5 * cos(pi() * least(t - s, 15 - t + s) / 3.75) END"
+
+
+def _tod_budget(s, d, **options):
+    got = tod.tod(_series(s, d), window=16, noverlap=8, dt=1.0, outputs=("bispectrum",), **options)
     return got.bispectrum.groupBy("l", "n").agg(F.sum("budget").alias("budget"), F.sum(F.col("lambda") * F.col("lambda")).alias("energy"))
 
 
@@ -343,11 +381,33 @@ def _tod_coefficients(s, d):
     return got.coefficients.where("kind = 'convective' and n > 0 and l not in (0, -8) and n - l not in (0, -8)").groupBy("l", "n", "block").agg(F.sum(F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("energy"))
 
 
-def _tod_defaults(s, d):
-    """What is chosen where nothing is said."""
-    p = tod.parameters(64)
-    rows = [(b, start, p.nfft, p.noverlap, p.dt, float(p.window.sum())) for b, start in enumerate(tod.block_starts(64, p))]
-    return s.createDataFrame(rows, "block int, start int, nfft int, noverlap int, dt double, total double").coalesce(1)
+#: Values that a mean is given by, by variable and place.
+_MEANS = [[0.5 * (x + 1), 0.01 * (x + 1)] for x in range(3)]
+
+
+def _tod_auxiliary(s, d):
+    """Donor shapes, weighted by their values: as many modes as states hold all of a receiver's space."""
+    got = tod.tod(_series(s, d), window=16, noverlap=8, dt=1.0, return_coefficients=True, return_auxiliary_modes=True, places=2, edge=5)
+    donors = got.modes.where("kind = 'donor' and n > 0 and l not in (0, -8) and n - l not in (0, -8)")
+    joined = donors.join(got.bispectrum, ["l", "n", "mode"])
+    return joined.groupBy("l", "n", F.col("state").alias("var"), "x").agg(F.sum((F.col("re") * F.col("re") + F.col("im") * F.col("im")) * F.col("lambda") * F.col("lambda")).alias("energy"))
+
+
+_TOD_AUXILIARY = f""", tr AS (SELECT a.f AS l, b.f AS n FROM f a, f b WHERE b.f > 0 AND b.f - a.f BETWEEN -8 AND 7 AND a.f NOT IN (0, -8) AND b.f - a.f NOT IN (0, -8)),
+c AS (SELECT l, n, a.var, a.x, b.var AS var2, b.x AS x2, sum(a.re * b.re + a.im * b.im) / {_TOD.blocks} AS re, sum(a.im * b.re - a.re * b.im) / {_TOD.blocks} AS im FROM tr JOIN z a ON a.f = l JOIN z b ON b.f = n AND b.block = a.block GROUP BY ALL)
+SELECT l, n, var, x, {_r('sum(re * re + im * im)')} AS energy FROM c GROUP BY l, n, var, x"""
+
+
+def _tod_rank(s, d):
+    """Two variables that are one: a mode a triad, all others are cut."""
+    one = _series(s, d).where("var = 0")
+    got = tod.tod(one.unionByName(one.withColumn("var", F.lit(1))).where("x = 0"), window=16, noverlap=8, dt=1.0, outputs=("bispectrum",))
+    return got.bispectrum.groupBy("l", "n").agg(F.count("*").alias("modes"), F.sum("lambda").alias("value"))
+
+
+#: Of one place, the value is the root of both sides' energies: |sum p conj(q)| over the blocks, twice for two alike variables.
+_TOD_RANK = _TOD_PAIRS + f""", c AS (SELECT p.l, p.n, sum(p.re * q.re + p.im * q.im) / {_TOD.blocks} AS re, sum(p.im * q.re - p.re * q.im) / {_TOD.blocks} AS im FROM p JOIN z q ON q.f = p.n AND q.block = p.block AND q.var = p.var AND q.x = p.x WHERE p.var = 0 AND p.x = 0 GROUP BY ALL)
+SELECT l, n, count(*) AS modes, {_r('sum(2 * sqrt(re * re + im * im))')} AS value FROM c GROUP BY l, n"""
 
 
 def _batch_flux(s, d):
@@ -449,6 +509,21 @@ def _padded_sql() -> str:
     return q.done(f"SELECT CAST(n AS INTEGER) AS shell, {_r('center')} AS k_shell, {_r('coalesce(t, 0)')} AS transfer, {_r('sum(coalesce(t, 0)) OVER (ORDER BY n)')} AS flux FROM ed LEFT JOIN s ON shell = n")
 
 
+def _padded_even_sql() -> str:
+    """The same on an even grid: the middle stands at -6, its slope is +6, and its partner lies beyond the grid; sums wrap at 18."""
+    q = Sql(FLAT)
+    low = "CASE WHEN {0} < 6 THEN {0} ELSE {0} - 12 END"
+    q.add("hu", f"SELECT {low.format('i0')} AS q0, {low.format('i1')} AS q1, c, re, im, k0, k1 FROM uh JOIN gr USING (i0, i1)")
+    q.add("us", "SELECT q0, q1, c, sum(re) / 2 AS re, sum(im) / 2 AS im FROM (SELECT q0, q1, c, re, im FROM hu UNION ALL SELECT -q0, -q1, c, re, -im FROM hu) GROUP BY ALL")
+    q.add("gs", "SELECT j, q0, q1, c, sum(re) / 2 AS re, sum(im) / 2 AS im FROM (SELECT j, q0, q1, c, s * -im * k AS re, re * k AS im FROM (SELECT *, unnest([0, 1]) AS j, unnest([k0, k1]) AS k, 1 AS s FROM hu) UNION ALL SELECT j, -q0, -q1, c, -im * k, -re * k FROM (SELECT *, unnest([0, 1]) AS j, unnest([k0, k1]) AS k FROM hu)) GROUP BY ALL")
+    q.add("pr", "SELECT (u.q0 + g.q0 + 36) % 18 AS a, (u.q1 + g.q1 + 36) % 18 AS b, g.c, sum(u.re * g.re - u.im * g.im) / 20736 AS re, sum(u.re * g.im + u.im * g.re) / 20736 AS im FROM us u JOIN gs g ON u.c = g.j GROUP BY ALL")
+    q.add("nl", "SELECT i0, i1, c, re, im FROM pr JOIN gr ON a = CASE WHEN i0 < 6 THEN i0 ELSE i0 + 6 END AND b = CASE WHEN i1 < 6 THEN i1 ELSE i1 + 6 END")
+    q.density("t", "uh", "nl")
+    q.edges(P.LinearBinning(1.0))
+    q.add("s", "SELECT shell, sum(t) AS t FROM t JOIN sh USING (i0, i1) GROUP BY ALL")
+    return q.done(f"SELECT CAST(n AS INTEGER) AS shell, {_r('center')} AS k_shell, {_r('coalesce(t, 0)')} AS transfer, {_r('sum(coalesce(t, 0)) OVER (ORDER BY n)')} AS flux FROM ed LEFT JOIN s ON shell = n")
+
+
 def _budget_sql() -> str:
     q = Sql(FLAT)
     q.add("bh", "SELECT i0, i1, 0 AS c, -k1 * m1 AS re, k1 * r1 AS im FROM ph UNION ALL SELECT i0, i1, 1, k0 * m1, -k0 * r1 FROM ph")
@@ -490,25 +565,31 @@ def _mean_flux(wet: bool):
     return run
 
 
-def _taper_rows(s):
-    j = F.col("j")
-    rows = s.range(17).select(F.col("id").cast("int").alias("j"))
-    return rows.select("j", *(spectral.taper_column(kind, j, 17, alpha).alias(name) for name, kind, alpha in (("hamming", "hamming", 0.0), ("hann", "hann", 0.0), ("tukey", "tukey", 0.4))))
+def _taper_rows(s, d):
+    """The first rows of a series under each taper."""
+    rows = fields.event_series(s, d, 64, 3).where("t < 17 and var = 0 and x = 0").select(F.col("t").cast("int").alias("j"), "value")
+    kinds = (("hamming", "hamming", 0.0), ("hann", "hann", 0.0), ("tukey", "tukey", 0.4))
+    return rows.select("j", *((F.col("value") * spectral.taper_column(kind, F.col("j"), 17, alpha)).alias(name) for name, kind, alpha in kinds))
 
 
 _TAPER_SQL = (
-    f"SELECT CAST(j AS INTEGER) AS j, {_r('0.54 - 0.46 * cos(2 * pi() * j / 16)')} AS hamming, {_r('0.5 - 0.5 * cos(2 * pi() * j / 16)')} AS hann, "
-    f"{_r('CASE WHEN least(j, 16 - j) >= 3.2 THEN 1.0::DOUBLE ELSE 0.5 - 0.5 * cos(pi() * least(j, 16 - j) / 3.2) END')} AS tukey FROM range(17) q(j)"
+    "WITH v AS (SELECT CAST(event_id % 64 AS INTEGER) AS j, sum(value) / 1000 AS v FROM events WHERE event_id % 64 < 17 AND user_id % 3 = 0 GROUP BY 1) "
+    f"SELECT CAST(r AS INTEGER) AS j, {_r('coalesce(v, 0) * (0.54 - 0.46 * cos(2 * pi() * r / 16))')} AS hamming, {_r('coalesce(v, 0) * (0.5 - 0.5 * cos(2 * pi() * r / 16))')} AS hann, "
+    f"{_r('coalesce(v, 0) * CASE WHEN least(r, 16 - r) >= 3.2 THEN 1.0::DOUBLE ELSE 0.5 - 0.5 * cos(pi() * least(r, 16 - r) / 3.2) END')} AS tukey FROM range(17) q(r) LEFT JOIN v ON j = r"
 )
 
 
-def _shell_table(s, binning):
-    grid_edges = shells.shell_edges(binning, spectral.largest(FLAT))
-    return shells.shells(s, binning, grid_edges)
+def _shell_table(s, d, binning):
+    """Shells with the variance of a scalar in each."""
+    edges = shells.shell_edges(binning, spectral.largest(FLAT))
+    held = _th(s, d).withColumn("shell", shells.shell_of(spectral.magnitude(FLAT), edges)).groupBy("shell").agg(F.sum(F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("variance"))
+    return shells.shells(s, binning, edges).join(held, "shell", "left").na.fill(0.0, ["variance"])
 
 
 def _shell_table_sql(lo: str, hi: str, center: str, last: str) -> str:
-    return f"SELECT CAST(n AS INTEGER) AS shell, {_r(lo)} AS lo, {_r(hi)} AS hi, {_r(center)} AS center FROM range(1, 40) q(n) WHERE {last}"
+    q = Sql(FLAT)
+    q.add("st", f"SELECT n, {lo} AS lo, {hi} AS hi, {center} AS center FROM range(1, 40) q(n) WHERE {last}")
+    return q.done(f"SELECT CAST(n AS INTEGER) AS shell, {_r('lo')} AS lo, {_r('hi')} AS hi, {_r('center')} AS center, {_r('coalesce((SELECT sum(re * re + im * im) FROM th JOIN gr USING (i0, i1) WHERE kap >= lo AND kap < hi), 0)')} AS variance FROM st")
 
 
 def _density_rows(s, d):
@@ -546,20 +627,63 @@ def _sphere(s, d):
     return points
 
 
-_SPHERE = "WITH p AS (SELECT (s_suppkey % 19 + 0.5) * pi() / 19 AS a, (s_suppkey % 23) * 2 * pi() / 23 AS b, s_acctbal / 1000 AS v FROM supplier), y AS (" + " UNION ALL ".join(
-    f"SELECT {l} AS l, {m} AS m, 0 AS c, ({norm}) * ({body}) * cos({m} * b) * v AS re, -({norm}) * ({body}) * sin({m} * b) * v AS im FROM p"
-    for l, m, norm, body in (
-        (0, 0, "sqrt(1 / (4 * pi()))", "1"),
-        (1, -1, "sqrt(3 / (8 * pi()))", "sin(a)"),
-        (1, 0, "sqrt(3 / (4 * pi()))", "cos(a)"),
-        (1, 1, "-sqrt(3 / (8 * pi()))", "sin(a)"),
-        (2, -2, "sqrt(15 / (32 * pi()))", "sin(a) * sin(a)"),
-        (2, -1, "sqrt(15 / (8 * pi()))", "sin(a) * cos(a)"),
-        (2, 0, "sqrt(5 / (16 * pi()))", "3 * cos(a) * cos(a) - 1"),
-        (2, 1, "-sqrt(15 / (8 * pi()))", "sin(a) * cos(a)"),
-        (2, 2, "sqrt(15 / (32 * pi()))", "sin(a) * sin(a)"),
+def _harmonic_rows(points: str) -> str:
+    """Rows (l, m, c, re, im) of value v at colatitude a and longitude b against the harmonics up to degree two."""
+    return " UNION ALL ".join(
+        f"SELECT {l} AS l, {m} AS m, c, ({norm}) * ({body}) * cos({m} * b) * v AS re, -({norm}) * ({body}) * sin({m} * b) * v AS im FROM {points}"
+        for l, m, norm, body in (
+            (0, 0, "sqrt(1 / (4 * pi()))", "1"),
+            (1, -1, "sqrt(3 / (8 * pi()))", "sin(a)"),
+            (1, 0, "sqrt(3 / (4 * pi()))", "cos(a)"),
+            (1, 1, "-sqrt(3 / (8 * pi()))", "sin(a)"),
+            (2, -2, "sqrt(15 / (32 * pi()))", "sin(a) * sin(a)"),
+            (2, -1, "sqrt(15 / (8 * pi()))", "sin(a) * cos(a)"),
+            (2, 0, "sqrt(5 / (16 * pi()))", "3 * cos(a) * cos(a) - 1"),
+            (2, 1, "-sqrt(15 / (8 * pi()))", "sin(a) * cos(a)"),
+            (2, 2, "sqrt(15 / (32 * pi()))", "sin(a) * sin(a)"),
+        )
     )
-) + "), s AS (SELECT l, m, c, 4 * pi() * avg(re) AS re, 4 * pi() * avg(im) AS im FROM y GROUP BY ALL) "
+
+
+_SPHERE = f"WITH p AS (SELECT 0 AS c, (s_suppkey % 19 + 0.5) * pi() / 19 AS a, (s_suppkey % 23) * 2 * pi() / 23 AS b, s_acctbal / 1000 AS v, (s_nationkey + 1) / 100.0 AS w FROM supplier), y AS ({_harmonic_rows('p')}), s AS (SELECT l, m, c, 4 * pi() * avg(re) AS re, 4 * pi() * avg(im) AS im FROM y GROUP BY ALL) "
+_SPHERE_WEIGHTED = _SPHERE[: _SPHERE.index(", y AS")] + f", pw AS (SELECT c, a, b, v * w AS v FROM p), y AS ({_harmonic_rows('pw')}) SELECT l, m, c, {_r('sum(re)')} AS re, {_r('sum(im)')} AS im FROM y GROUP BY l, m, c"
+
+
+def _sphere_weighted(s, d):
+    """Each supplier with a weight of its own."""
+    rows = fields.table(s, d, "supplier").select("s_suppkey", ((F.col("s_nationkey") + 1) / 100.0).alias("weight"))
+    place = [((F.col("s_suppkey") % 19 + 0.5) * (math.pi / 19)).alias("theta"), ((F.col("s_suppkey") % 23) * (2 * math.pi / 23)).alias("phi")]
+    held = fields.table(s, d, "supplier").select("s_suppkey", F.lit("f").alias("field_id"), *place, F.lit(0).alias("c"), (F.col("s_acctbal") / 1000).alias("value"))
+    return sphere.spherical_analysis(held.join(rows, "s_suppkey"), 2)
+
+
+_RINGS, _LONGITUDES, _DEGREE = 5, 10, 2
+_SPHERE_GRID = sphere.coefficient_grid(_DEGREE)
+
+
+def _ring_points(s, d):
+    """Quantity and price of order lines on rings and longitudes, by order and part."""
+    return fields.lineitem_points(s, d, P.Grid((_RINGS, _LONGITUDES))).where("c < 2").withColumn("value", F.col("value") / 1000)
+
+
+class SphereSql(Sql):
+    """Coefficients of ``_ring_points`` on Gauss rings, as modes ``uh`` of a grid whose wavenumbers are given."""
+
+    def __init__(self):
+        self.grid, self.n, self.nd, self.size = _SPHERE_GRID, 0, 2, _SPHERE_GRID.size
+        self.parts, self.ids = [], "i0, i1"
+        theta, weight = sphere.rings("gauss", _RINGS)
+        self.add("rg", f"SELECT * FROM (VALUES {', '.join(f'({j}, {a!r}::DOUBLE, {w!r}::DOUBLE)' for j, (a, w) in enumerate(zip(theta.tolist(), weight.tolist(), strict=True)))}) q(j, a, w)")
+        self.add("pt", f"SELECT l_orderkey % {_RINGS} AS j, l_partkey % {_LONGITUDES} AS k, sum(l_quantity / 10) / 1000 AS v0, sum(l_extendedprice / 10000) / 1000 AS v1 FROM lineitem GROUP BY ALL")
+        self.add("p", f"SELECT a, 2 * pi() * k / {_LONGITUDES} AS b, unnest([0, 1]) AS c, w * 2 * pi() / {_LONGITUDES} * unnest([v0, v1]) AS v FROM pt JOIN rg USING (j)")
+        self.add("y", _harmonic_rows("p"))
+        self.add("co", "SELECT l, m, c, sum(re) AS re, sum(im) AS im FROM y GROUP BY ALL")
+        self.add("gr", f"SELECT CAST(a.r AS INTEGER) AS i0, CAST(b.r AS INTEGER) AS i1, CAST(a.r AS DOUBLE) AS k0, CAST(b.r AS DOUBLE) AS k1, sqrt(a.r * a.r + b.r * b.r) AS kap, TRUE AS keep FROM range({_DEGREE + 1}) a(r), range({2 * _DEGREE + 1}) b(r)")
+        self.add("uh", "SELECT CAST(l AS INTEGER) AS i0, CAST(m + l AS INTEGER) AS i1, c, re, im FROM co")
+
+
+def _from_sphere(method, **options):
+    return lambda s, d: dispatch.from_sphere(method, _ring_points(s, d), _DEGREE, nrings=_RINGS, nphi=_LONGITUDES, kind="gauss", dealiasing=P.NoDealiasing(), **options)
 
 
 def _axes_rows(s, d):
@@ -616,8 +740,9 @@ _DEFS: dict[str, tuple] = {
     "forward_transform": (lambda s, d: _u(s, d), _modes_sql(False)),
     "inverse_transform": (lambda s, d: T.inverse(T.forward(fields.lineitem_points(s, d, FLAT).where("c < 2"), FLAT), FLAT), Sql(FLAT).done(f"SELECT i0, i1, c, {_r('coalesce(CASE c WHEN 0 THEN v0 ELSE v1 END, 0)')} AS value FROM (SELECT i0, i1, unnest([0, 1]) AS c FROM gr) LEFT JOIN pt ON i0 = x0 AND i1 = x1")),
     "filtered_modes": (lambda s, d: T.apply_filter(_u(s, d), FLAT, P.GaussianFilter(), 1.5), Sql(FLAT).done(f"SELECT i0, i1, c, {_r('re * exp(-kap * kap * 2.25 / 24)')} AS re, {_r('im * exp(-kap * kap * 2.25 / 24)')} AS im FROM uh JOIN gr USING (i0, i1)")),
-    "grid_columns": (lambda s, d: _grid_rows(s), _GRID_SQL),
-    "filter_responses": (lambda s, d: _filter_rows(s), f"SELECT CAST(r AS INTEGER) AS i0, {_r('CASE WHEN r < pi() THEN 1.0::DOUBLE ELSE 0 END')} AS sharp, {_r('exp(-r * r / 24.0::DOUBLE)')} AS gauss, {_r('CASE WHEN r = 0 THEN 1.0::DOUBLE ELSE sin(r / 2.0::DOUBLE) / (r / 2.0::DOUBLE) END')} AS tophat FROM range(9) q(r)"),
+    "grid_columns": (_grid_rows, _GRID_SQL),
+    "dealiasing_masks": (_mask_energy, Sql(FLAT).done(f"SELECT keep, least(i0, 12 - i0) < 4.0 AND least(i1, 12 - i1) < 4.0 AS mask, least(i0, 12 - i0) < 6.0 AND least(i1, 12 - i1) < 6.0 AS half, {_r('sum(re * re + im * im)')} AS energy FROM uh JOIN gr USING (i0, i1) GROUP BY 1, 2, 3")),
+    "filter_responses": (_filter_rows, Sql(FLAT).done("SELECT i0, " + ", ".join(f"{_r(f'{part} * ({response})')} AS {n}_{part}" for n, response in _RESPONSES.items() for part in ("re", "im")) + " FROM th JOIN gr USING (i0, i1) WHERE i1 = 0")),
     "parts_helmholtz": (_energies(FLAT, P.HelmholtzDecomposition()), _energy_sql(FLAT, "helmholtz")),
     "parts_helical": (_energies(CUBE, P.HelicalDecomposition()), _energy_sql(CUBE, "helical")),
     "parts_toroidal": (_energies(CUBE, P.ToroidalPoloidalDecomposition()), _energy_sql(CUBE, "toroidal")),
@@ -629,27 +754,51 @@ _DEFS: dict[str, tuple] = {
     "part_rotational": (_rotational, Sql(FLAT).done(f"SELECT i0, i1, c, {_r('re')} AS re, {_r('im')} AS im FROM uh")),
     "part_divergent_points": (_rotational_points, _rotational_points_sql()),
     "forward_transform_fft": (lambda s, d: fields.streamfunction_velocity(T.forward(fields.lineitem_points(s, d, FLAT).where("c = 0"), FLAT, "fft", 1), FLAT), _modes_sql(False)),
-    "tapers": (lambda s, d: _taper_rows(s), _TAPER_SQL),
-    "shells_linear": (lambda s, d: _shell_table(s, _LIN), _shell_table_sql("n - 1", "CASE WHEN n > sqrt(72) THEN sqrt(72) ELSE n END", "(n - 1 + CASE WHEN n > sqrt(72) THEN sqrt(72) ELSE n END) / 2", "n - 1 < sqrt(72)")),
-    "shells_dyadic": (lambda s, d: _shell_table(s, P.DyadicBinning(0.5)), _shell_table_sql("0.5 * pow(2, n - 1)", "0.5 * pow(2, n)", "0.5 * sqrt(pow(2, n - 1) * pow(2, n))", "0.5 * pow(2, n - 1) <= sqrt(72)")),
-    "shells_logarithmic": (lambda s, d: _shell_table(s, P.LogarithmicBinning(1.0, 1.5)), _shell_table_sql("pow(1.5, n - 1)", "pow(1.5, n)", "sqrt(pow(1.5, n - 1) * pow(1.5, n))", "pow(1.5, n - 1) <= sqrt(72)")),
+    "tapers": (_taper_rows, _TAPER_SQL),
+    "shells_linear": (lambda s, d: _shell_table(s, d, _LIN), _shell_table_sql("n - 1", "CASE WHEN n > sqrt(72) THEN sqrt(72) ELSE n END", "(n - 1 + CASE WHEN n > sqrt(72) THEN sqrt(72) ELSE n END) / 2", "n - 1 < sqrt(72)")),
+    "shells_dyadic": (lambda s, d: _shell_table(s, d, P.DyadicBinning(0.5)), _shell_table_sql("0.5 * pow(2, n - 1)", "0.5 * pow(2, n)", "0.5 * sqrt(pow(2, n - 1) * pow(2, n))", "0.5 * pow(2, n - 1) <= sqrt(72)")),
+    "shells_logarithmic": (lambda s, d: _shell_table(s, d, P.LogarithmicBinning(1.0, 1.5)), _shell_table_sql("pow(1.5, n - 1)", "pow(1.5, n)", "sqrt(pow(1.5, n - 1) * pow(1.5, n))", "pow(1.5, n - 1) <= sqrt(72)")),
     "spherical_coefficients": (lambda s, d: sphere.spherical_analysis(_sphere(s, d), 2), _SPHERE + f"SELECT l, m, c, {_r('re')} AS re, {_r('im')} AS im FROM s"),
     "spherical_spectrum": (lambda s, d: sphere.spherical_spectrum(sphere.spherical_analysis(_sphere(s, d), 2)), _SPHERE + f"SELECT l, {_r('sum(re * re + im * im)')} AS energy FROM s GROUP BY l"),
-    "flow_taylor_green": (lambda s, d: flows.energy(T.forward(flows.on_grid(s, CUBE, flows.taylor_green), CUBE)), f"SELECT {_r('0.125')} AS energy"),
-    "flow_beltrami": (lambda s, d: flows.energy(T.forward(flows.on_grid(s, CUBE, flows.beltrami), CUBE)), f"SELECT {_r('(1 + 0.49 + 0.43 * 0.43) / 2')} AS energy"),
     "axes_checked": (_axes_rows, f"WITH p AS (SELECT CAST(l_orderkey % 12 AS INTEGER) * 0.5 AS a, CAST(l_partkey % 12 AS INTEGER) * 0.25 AS b FROM lineitem) SELECT 0 AS axis, {_r('(max(a) - min(a)) / (count(DISTINCT a) - 1)')} AS step, {_r('count(DISTINCT a) * (max(a) - min(a)) / (count(DISTINCT a) - 1)')} AS length FROM p UNION ALL SELECT 1, {_r('(max(b) - min(b)) / (count(DISTINCT b) - 1)')}, {_r('count(DISTINCT b) * (max(b) - min(b)) / (count(DISTINCT b) - 1)')} FROM p"),
     "coarse_scattered": (lambda s, d: coarse.scattered_flux(_scatter(s, d), SMALL, P.GaussianFilter(), 1.0), _scatter_sql()),
     "tod_budget": (_tod_budget, _TOD_SQL),
-    "tod_block_transform": (lambda s, d: tod.windowed_dft(_series(s, d), 64, _TOD), _TOD_BASE + f"SELECT var, x, CAST(block AS INTEGER) AS block, f, {_r('re')} AS re, {_r('im')} AS im FROM z"),
+    "tod_block_transform": (lambda s, d: tod.windowed_dft(_series(s, d), 64, _TOD), _TOD_BASE + _BLOCK_COLUMNS),
     "tod_blockwise": (_tod_blockwise, _TOD_BLOCKWISE + _TOD_PAIRS + _TOD_CROSS + f"SELECT l, n, {_r('coalesce(sum(re) FILTER (WHERE var = var2 AND x = x2), 0)')} AS budget, {_r('sum(re * re + im * im)')} AS energy FROM c GROUP BY l, n"),
     "tod_leading": (_tod_two, _TOD_TWO),
     "tod_coefficients": (_tod_coefficients, _TOD_BASE + _TOD_PAIRS + f" SELECT l, n, CAST(block AS INTEGER) AS block, {_r('sum(re * re + im * im)')} AS energy FROM p WHERE n > 0 AND l NOT IN (0, -8) AND n - l NOT IN (0, -8) GROUP BY l, n, block"),
-    "tod_defaults": (_tod_defaults, f"SELECT CAST(r AS INTEGER) AS block, CAST(4 * r AS INTEGER) AS start, 8 AS nfft, 4 AS noverlap, 0.125::DOUBLE AS dt, (SELECT {_r('sum(0.54 - 0.46 * cos(2 * pi() * j / 7))')} FROM range(8) w(j)) AS total FROM range(15) q(r)"),
+    "tod_defaults": (lambda s, d: tod.windowed_dft(_series(s, d), 64, tod.parameters(64)), _tod_base(tod.parameters(64)) + _BLOCK_COLUMNS),
+    "tod_hann": (lambda s, d: tod.windowed_dft(_series(s, d), 64, _HANN), _tod_base(_HANN, _HANN_SQL) + _BLOCK_COLUMNS),
+    "tod_tukey": (lambda s, d: tod.windowed_dft(_series(s, d), 64, _TUKEY), _tod_base(_TUKEY, _TUKEY_SQL) + _BLOCK_COLUMNS),
+    "tod_tree": (lambda s, d: _tod_budget(s, d, places=1, edge=3), _TOD_SQL),
+    "tod_means": (lambda s, d: _tod_budget(s, d, mean_type=[[m[v] for m in _MEANS] for v in (0, 1)], places=2), _tod_base(_TOD, off="CASE var WHEN 0 THEN 0.5 ELSE 0.01 END * (x + 1)") + _TOD_SQL[len(_TOD_BASE) :]),
+    "tod_auxiliary": (_tod_auxiliary, _TOD_BASE + _TOD_AUXILIARY),
+    "tod_rank": (_tod_rank, _TOD_BASE + _TOD_RANK),
     "batch_gather": (_batch_each, _EMB + f" SELECT CAST(vec_id AS VARCHAR) AS field_id, {_r('avg(v * v)')} AS energy FROM e GROUP BY vec_id"),
     "batch_mean": (_batch_mean, _EMB + f" SELECT CAST(x AS INTEGER) AS i0, {_r('avg(v * v)')} AS square FROM e GROUP BY x"),
     "batch_fold": (_batch_fold, _EMB + f" SELECT {_r('max(p)')} AS most, count(*) AS fields FROM (SELECT sum(v * v) AS p FROM e GROUP BY vec_id)"),
     "batch_power": (_batch_sum, _EMB + f" SELECT CAST(i AS INTEGER) AS i0, {_r('sum(re * re + im * im)')} AS power FROM h GROUP BY i"),
     "batch_flux": (_batch_flux, _batch_flux_sql()),
+    "flux_3d_pencil": (lambda s, d: pencil.spectral_flux(_u(s, d, CUBE), CUBE, 3, binning=_LIN, parts=3), _flux_sql(CUBE, _LIN)),
+    "flux_3d_helicity_pencil": (lambda s, d: pencil.spectral_flux(_u(s, d, CUBE), CUBE, 3, binning=_LIN, invariant=P.Helicity(), parts=(2, 3, 4)), _flux_sql(CUBE, _LIN, invariant="helicity")),
+    "flux_scalar_pencil": (lambda s, d: pencil.scalar_flux(_th(s, d), _u(s, d), FLAT, m=1, binning=_LIN, parts=(3, 4)), _flux_sql(FLAT, _LIN, f="th")),
+    "flux_padded_pencil": (lambda s, d: pencil.spectral_flux(_u(s, d, ODD), ODD, 2, binning=_LIN, dealiasing=P.PaddedThreeHalves(), parts=2), _padded_sql()),
+    "flux_padded_even": (lambda s, d: transfer.spectral_flux(_u(s, d), FLAT, binning=_LIN, dealiasing=P.PaddedThreeHalves(), method="fft", m=2), _padded_even_sql()),
+    "nonlinear_term_pencil": (lambda s, d: pencil.nonlinear_term(_u(s, d), FLAT, 2, parts=3).where(spectral.two_thirds(FLAT)), _modes_sql(True)),
+    "coarse_masked": (lambda s, d: coarse.masked_flux_map(_velocity_points(s, d).withColumn("wet", (F.col("i0") + F.col("i1")) % 3 != 0), FLAT, P.GaussianFilter(), 2.0, parts=3), _masked_sql()),
+    "coarse_gaussian_pencil": (lambda s, d: coarse.masked_flux_map(_velocity_points(s, d), FLAT, P.GaussianFilter(), 2.0, parts=(2, 3)).drop("wet"), _coarse_sql("exp(-kap * kap * 4 / 24)")),
+    "coarse_scattered_fast": (lambda s, d: coarse.scattered_flux(_scatter(s, d), SMALL, P.GaussianFilter(), 1.0, tolerance=1e-12), _scatter_sql()),
+    "spherical_weighted": (_sphere_weighted, _SPHERE_WEIGHTED),
+    "spherical_rings": (lambda s, d: sphere.ring_analysis(_ring_points(s, d), _RINGS, _LONGITUDES, _DEGREE, 2, "gauss", parts=2), SphereSql().done(f"SELECT CAST(l AS INTEGER) AS l, CAST(m AS INTEGER) AS m, c, {_r('re')} AS re, {_r('im')} AS im FROM co")),
+    "flux_spherical": (_from_sphere(P.SpectralFlux(_LIN)), _flux_sql(None, _LIN, keep=False, q=SphereSql())),
+    "shell_to_shell_spherical": (lambda s, d: _from_sphere(P.ShellToShell(_LIN))(s, d).matrix, _shell_sql(q=SphereSql(), keep=False)),
+    "mode_to_mode_spherical": (lambda s, d: _milli(_from_sphere(P.ModeToMode(), dense=True)(s, d).pairs), _mode_sql(q=SphereSql(), keep=False)),
+    "dispatched_shell_to_shell": (lambda s, d: dispatch.from_points(P.ShellToShell(_LIN), _velocity_points(s, d), FLAT).matrix, _shell_sql("vh", u="vh")),
+    "dispatched_mode_to_mode": (lambda s, d: _milli(dispatch.from_points(P.ModeToMode(), _velocity_points(s, d), FLAT, dense=True).pairs), _mode_sql("vh", u="vh")),
+    "dispatched_coarse": (lambda s, d: dispatch.from_points(P.CoarseGraining(P.GaussianFilter(), 2.0), _velocity_points(s, d), FLAT), _coarse_sql("exp(-kap * kap * 4 / 24)")),
+    "dispatched_coarse_masked": (lambda s, d: dispatch.from_points(P.MaskedCoarseGraining(P.GaussianFilter(), 2.0, 2), _velocity_points(s, d).withColumn("wet", (F.col("i0") + F.col("i1")) % 3 != 0), FLAT), _masked_sql()),
+    "dispatched_flux_pencil": (lambda s, d: dispatch.from_points(P.SpectralFlux(_LIN), _velocity_points(s, d), FLAT, whole=False, parts=2), _flux_sql(FLAT, _LIN, f="vh", u="vh")),
+    "dispatched_tod": (lambda s, d: dispatch.calculate_energy_transfer(P.TriadicDecomposition(16, 8), _series(s, d), dt=1.0, outputs=("bispectrum",)).bispectrum.groupBy("l", "n").agg(F.sum("budget").alias("budget"), F.sum(F.col("lambda") * F.col("lambda")).alias("energy")), _TOD_SQL),
     "total_energy_budget": (lambda s, d: transfer.total_energy_budget(_u(s, d), _magnetic(s, d), FLAT, binning=_LIN), _budget_sql()),
     "total_energy_budget_fft": (lambda s, d: transfer.total_energy_budget(_u(s, d), _magnetic(s, d), FLAT, binning=_LIN, method="fft"), _budget_sql()),
 }

@@ -6,12 +6,12 @@ import numpy as np
 import pytest
 
 from eddyscale.functions import spectral
-from eddyscale.operators import batch, coarse, decompose, density, nonlinear, shells, stack, tod, transfer
+from eddyscale.operators import batch, coarse, decompose, density, nonlinear, shells, sphere, stack, tod, transfer
 from eddyscale.operators import modes as M
 from eddyscale.operators import transforms as T
 from eddyscale.plans import dispatch
 from eddyscale.plans import types as P
-from eddyscale.sources import fields, flows
+from eddyscale.sources import fields
 from eddyscale.streaming import snapshots
 
 MODES = "field_id string, i0 int, i1 int, i2 int, c int, re double, im double"
@@ -431,25 +431,6 @@ def test_triadic_values_are_those_of_the_whole_product():
     assert len(s) == 0
 
 
-def test_flows(spark):
-    """A Beltrami flow is its own curl and decays as one wavenumber; an inviscid one keeps its energy and gains shells."""
-    points = flows.on_grid(spark, G3, flows.beltrami)
-    packed = stack.pack(T.forward(points, G3, m=3), G3, 3)
-    (row,) = packed.collect()
-    u = (np.array(row["re"]) + 1j * np.array(row["im"])).reshape(1, 3, 9, 9, 9)
-    k = np.meshgrid(*spectral.axes(G3), indexing="ij")
-    assert np.allclose(density._curl_array(u, k), u, atol=1e-12)
-    later = flows.evolve(packed, G3, 0.1, 0.05, 10)
-    (row,) = later.collect()
-    assert np.allclose(np.array(row["re"]) + 1j * np.array(row["im"]), u.ravel() * np.exp(-0.1 * 0.5), atol=1e-8)
-    green = stack.pack(T.forward(flows.on_grid(spark, G3, flows.taylor_green), G3, m=3), G3, 3)
-    free = flows.evolve(green, G3, 0.0, 0.01, 20)
-    before, after = (flows.energy(stack.unpack(x, G3)).first()["energy"] for x in (green, free))
-    assert abs(before - 0.125) < 1e-12 and abs(after - before) < 1e-5
-    shells_held = lambda x: stack.unpack(x, G3).where("re * re + im * im > 1e-12").selectExpr("least(i0, 9 - i0) as a").distinct().count()
-    assert shells_held(green) == 1 < shells_held(free)
-
-
 def test_fold_keeps_the_order(spark):
     import pandas as pd
 
@@ -478,7 +459,7 @@ def test_known_values(spark):
     assert np.allclose([got[n] for n in range(1, 6)], [0, -0.227943, 0.724083, -0.963046, 0.466906], atol=1e-6)
 
 
-@pytest.mark.parametrize("name", ["flux_kinetic", "mode_to_mode_fft", "flux_partial_helmholtz_fft", "total_energy_budget_fft", "tod_leading", "tod_coefficients", "batch_flux", "spherical_coefficients", "coarse_mean_wet"])
+@pytest.mark.parametrize("name", ["flux_kinetic", "mode_to_mode_fft", "flux_partial_helmholtz_fft", "total_energy_budget_fft", "tod_leading", "tod_coefficients", "batch_flux", "spherical_coefficients", "coarse_mean_wet", "flux_3d_pencil", "tod_tree", "tod_auxiliary", "coarse_masked", "coarse_scattered_fast", "flux_padded_even", "shell_to_shell_spherical", "dealiasing_masks", "tapers", "shells_logarithmic"])
 def test_sql_agrees(spark, name):
     import duckdb
 
