@@ -55,9 +55,11 @@ class Scratch:
                 spark.conf.set(name, ours)
         self.root = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
 
-    def save(self, df: DataFrame, name: str, options: dict | None = None) -> DataFrame:
+    def save(self, df: DataFrame, name: str, options: dict | None = None, by: str | None = None) -> DataFrame:
+        """``by``: a column of whole numbers that has a folder for each of its values."""
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").options(**(options or {})).parquet(path)
+        writer = df.write.mode("overwrite").options(**(options or {}))
+        (writer.partitionBy(by) if by else writer).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:

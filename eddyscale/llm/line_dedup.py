@@ -13,7 +13,9 @@ A line that is known, or new but held by a smaller document of its own batch, go
 batches ascend, the smallest document holding a line keeps it.
 
 Scale: texts are read by two maps; between them go only 128-bit hashes, 24 bytes for each
-distinct line of a document.  A batch holds at most ``per_core`` bytes of text for each core, so
+distinct line of a document, written in a folder for each batch: a batch reads its own, once for
+its keys and once for what it loses, whatever the number of batches.  Where the input's splits
+hold ids of many batches each, hashes are dealt out by batch first, in equal shares.  A batch holds at most ``per_core`` bytes of text for each core, so
 that a larger cluster takes larger and fewer ones; there are ``least_batches`` at least.  Hashes
 are grouped with map-side combining, and the join of (hash, document) pairs with the duplicated
 hashes is a plain one, whose hot keys adaptive execution splits.  Dropped hashes are gathered
@@ -144,6 +146,14 @@ def batches_for(docs: DataFrame, per_core: int = 256 << 20, least_batches: int =
     return max(least_batches, -(-size // (per_core * docs.sparkSession.sparkContext.defaultParallelism)))
 
 
+def in_order(docs: DataFrame, bounds: list[int], most: float = 4.0) -> bool:
+    """Whether the input's splits hold ids of few batches each, so that each may write a file for every batch it has."""
+    of = lambda c: sum((F.col(c) > b).cast("int") for b in bounds) if bounds else F.lit(0)
+    ends = docs.where("doc_id is not null").groupBy(F.spark_partition_id()).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    files = ends.agg(F.avg(of("high") - of("low") + 1).alias("n")).first()["n"]
+    return files is None or files <= most
+
+
 def dropped_hashes(docs: DataFrame, least: int = 10, batches: int | None = None, fanout: int = 2, scratch: Scratch | None = None) -> DataFrame:
     """(doc_id, drops): of each document that loses lines, the hashes of those lines."""
     spark = docs.sparkSession
@@ -155,7 +165,8 @@ def dropped_hashes(docs: DataFrame, least: int = 10, batches: int | None = None,
     step = sum((F.col("doc_id") > b).cast("int") for b in bounds) if bounds else F.lit(0)
     pairs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_pairs(least), schema)
     # null ids come last
-    lines = scratch.save(pairs.withColumn("batch", F.coalesce(step, F.lit(len(bounds))).cast("int")), "lines")
+    pairs = pairs.withColumn("batch", F.coalesce(step, F.lit(len(bounds))).cast("int"))
+    lines = scratch.save(pairs if in_order(docs, bounds) else pairs.hint("rebalance", "batch"), "lines", by="batch")
     runs, gone = LevelledRuns(scratch, fanout), []
     for k in range(len(bounds) + 1):
         here = lines.where(F.col("batch") == k)
