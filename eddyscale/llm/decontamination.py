@@ -6,12 +6,15 @@ longest suffix read so far that occurs in some item.  Where that suffix is at le
 long, the words of the window are hit, and the state reached by shortening it to a window tells
 which items hold it.  Items shorter than a window count as one window of their own length.
 
-Scale: one map over the documents, no shuffle; an automaton is built once a Python worker.  Items are taken in chunks of a bounded number
-of words, so that an automaton's size doesn't follow the benchmark's: a larger benchmark takes
-more passes, each of which adds its spans to those found before.
+Scale: one map over the documents, no shuffle; texts are tokenised once.  Items are taken in chunks
+of a bounded number of words, an automaton each, built once a Python worker and kept as arrays; an
+item longer than a chunk is cut into parts that overlap by a window less one word, so that every
+window is in some part.  A worker holds ``GROUP`` automata at most and runs them one after another:
+a benchmark of more words takes another pass over what the one before has written.
 
 Defined results: null or empty texts have no words and are clean; items without words are
-ignored; items of null id hit words but aren't listed; repeated rows are judged one by one, and
+ignored; items of null id hit words but aren't listed; the longest match of an item that was cut
+is that within a part; repeated rows are judged one by one, and
 repeated items are one; texts are read whole, whatever their length; an empty benchmark leaves
 every document clean, an empty table gives an empty one; there are no ties.  Columns of any name
 come back as they were; what is found takes an underscore in front where a column is named so.
@@ -22,13 +25,17 @@ from __future__ import annotations
 import hashlib
 import re
 import uuid
+from array import array
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_list, fold, free, pieces, quoted, unfold, with_fields
+from .common import Scratch, column_list, fold, free, pieces, quoted, unfold, with_fields
+
+#: Automata that a worker holds at a time.
+GROUP = 16
 
 #: Words are runs of digits, letters and everything beyond ASCII; A-Z is lowered.
 _TABLE = bytes(
@@ -80,35 +87,55 @@ class SuffixAutomaton:
                 self.link[new] = self._split(p, c, self.next[p][c])
             last = new
 
+    def compact(self) -> None:
+        """No more sequences: arcs as arrays, those of states that have several as a dictionary each."""
+        self.branches = {s: arcs for s, arcs in enumerate(self.next) if len(arcs) > 1}
+        single = [next(iter(arcs.items())) if len(arcs) == 1 else (0, 0) for arcs in self.next]
+        self.symbol, self.target = array("i", [c for c, _ in single]), array("i", [t for _, t in single])
+        self.link, self.length = array("i", self.link), array("i", self.length)
+        self.next = []
+
     def walk(self, sequence):
-        """(state, longest matching length) after each symbol."""
+        """(state, longest matching length) after each symbol, a number from 1."""
+        if self.next:
+            self.compact()
         state = n = 0
-        arcs, link, length = self.next, self.link, self.length
+        symbol, target, branches, link, length = self.symbol, self.target, self.branches, self.link, self.length
         for c in sequence:
-            while state and c not in arcs[state]:
+            while True:
+                if symbol[state] == c:
+                    to = target[state]
+                    break
+                to = branches[state].get(c, 0) if state in branches else 0
+                if to or not state:
+                    break
                 state = link[state]
                 n = length[state]
-            if c in arcs[state]:
-                state = arcs[state][c]
+            if to:
+                state = to
                 n += 1
             yield state, n
 
 
 class Matcher:
-    """Items (id, text) compiled for scanning."""
+    """Items (id, text) compiled for scanning; ``vocabulary``: numbers of words, from 1, that other matchers use too."""
 
-    def __init__(self, items: list[tuple[object, str | None]], window: int):
-        self.window, self.vocabulary, self.automaton = window, {}, SuffixAutomaton()
-        sequences = []
+    def __init__(self, items: list[tuple[object, str | None]], window: int, vocabulary: dict[bytes, int] | None = None):
+        self.window, self.automaton = window, SuffixAutomaton()
+        self.vocabulary = {} if vocabulary is None else vocabulary
+        sequences, own = [], set()
         for item, text in items:
             if ids := [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text)]:
                 sequences.append((None if item is None else str(item), ids))
                 self.automaton.add(ids)
+                own.update(ids)
+        self.own, self._mask = np.fromiter(own, np.int64, len(own)), np.zeros(0, bool)
         self.shortest = min((min(len(s), window) for _, s in sequences), default=0)
+        self.automaton.compact()
         link, length = self.automaton.link, self.automaton.length
         order = sorted(range(len(link)), key=length.__getitem__)
         #: of each state of at least a window: the state that holds its suffix of a window
-        self.anchor = [0] * len(link)
+        self.anchor = array("i", [0] * len(link))
         for s in order:
             if length[s] >= window:
                 self.anchor[s] = s if length[link[s]] < window else self.anchor[link[s]]
@@ -121,17 +148,30 @@ class Matcher:
             if len(ids) < window:
                 self.short.setdefault(s, set()).add(item)
         #: of each state: the nearest state on its suffix path, itself included, that is a short item
-        self.nearest = [0] * len(link)
+        self.nearest = array("i", [0] * len(link))
         if self.short:
             for s in order[1:]:
                 self.nearest[s] = s if s in self.short else self.nearest[link[s]]
 
+    def _is_own(self) -> np.ndarray:
+        """Of each number whether the word is in these items; made again where others have added words."""
+        if len(self._mask) <= len(self.vocabulary):
+            self._mask = np.zeros(len(self.vocabulary) + 1, bool)
+            self._mask[self.own] = True
+        return self._mask
+
+    def numbers(self, tokens: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.vocabulary.get, tokens, [0] * len(tokens)), np.int32, len(tokens))
+
     def scan(self, tokens: list[bytes]) -> tuple[list[tuple[int, int]], set, int]:
+        return self.scan_numbers(self.numbers(tokens))
+
+    def scan_numbers(self, ids: np.ndarray) -> tuple[list[tuple[int, int]], set, int]:
         """Hit spans [start, end) in order, items whose windows occur, the longest match (exact from a window up)."""
-        if not self.shortest or len(tokens) < self.shortest:
+        if not self.shortest or len(ids) < self.shortest:
             return [], set(), 0
-        ids = np.fromiter(map(self.vocabulary.get, tokens, [0] * len(tokens)), np.int32, len(tokens))
-        edges = np.flatnonzero(np.diff(np.concatenate(([False], ids > 0, [False])).astype(np.int8)))
+        mine = self._is_own()[ids]
+        edges = np.flatnonzero(np.diff(np.concatenate(([False], mine, [False])).astype(np.int8)))
         spans, found, longest = [], set(), 0
         length, link, window = self.automaton.length, self.automaton.link, self.window
         for start, end in edges.reshape(-1, 2).tolist():
@@ -163,6 +203,26 @@ class Matcher:
         return spans, found, longest
 
 
+class Matchers:
+    """Several matchers over one vocabulary."""
+
+    def __init__(self, chunks: list[list[tuple[object, str | None]]], window: int):
+        self.vocabulary: dict[bytes, int] = {}
+        self.parts = [Matcher(items, window, self.vocabulary) for items in chunks]
+
+    def scan(self, tokens: list[bytes]) -> tuple[list[tuple[int, int]], set, int]:
+        """What all of them find; words are looked up once."""
+        if len(self.parts) == 1:
+            return self.parts[0].scan(tokens)
+        ids, spans, found, longest = self.parts[0].numbers(tokens), [], set(), 0
+        for part in self.parts:
+            some, items, most = part.scan_numbers(ids)
+            spans += some
+            found |= items
+            longest = max(longest, most)
+        return merge(spans), found, longest
+
+
 def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(spans):
@@ -186,19 +246,19 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
 
 _FOUND = "n_words long, n_hit long, longest_match int, items array<string>, starts array<int>, ends array<int>"
 _NAMES = ("n_words", "n_hit", "longest_match", "items", "starts", "ends")
-#: The last matcher of this Python worker, by its broadcast's name: workers outlive tasks.
-_MATCHERS: dict[str, Matcher] = {}
+#: The last matchers of this Python worker, by their broadcast's name: workers outlive tasks.
+_MATCHERS: dict[str, Matchers] = {}
 
 
-def _matcher(name: str, shared, window: int) -> Matcher:
+def _matcher(name: str, shared, window: int) -> Matchers:
     if name not in _MATCHERS:
         _MATCHERS.clear()
-        _MATCHERS[name] = Matcher(shared.value, window)
+        _MATCHERS[name] = Matchers(shared.value, window)
     return _MATCHERS[name]
 
 
 def _scan(name: str, shared, window: int, again: bool):
-    """Rows of kept, text and what is found; ``again``: added to what an earlier chunk has found."""
+    """Rows of kept, text and what is found; ``again``: added to what an earlier pass has found."""
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int32())]
 
     def run(batches):
@@ -227,17 +287,44 @@ def _cut(batches):
         yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("kept")), pa.array(texts, pa.string())], names=["kept", "text"])
 
 
-def _found(rows: DataFrame, benchmark: DataFrame, window: int, chunk_words: int) -> DataFrame:
+def _parts(window: int, most: int):
+    """Items of more than ``most`` words in parts that overlap by a window less one word."""
+
+    def run(batches):
+        for batch in pieces(batches):
+            ids, texts = [], []
+            for item, text in zip(column_list(batch, "item_id"), column_list(batch, "text"), strict=True):
+                own = words(text)
+                if len(own) <= most:
+                    ids.append(item)
+                    texts.append(text)
+                    continue
+                for at in range(0, len(own) - window + 1, most - window + 1):
+                    ids.append(item)
+                    texts.append(b" ".join(own[at : at + most]).decode("utf-8", "surrogatepass"))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field("item_id").type), pa.array(texts, pa.string())], names=["item_id", "text"])
+
+    return run
+
+
+def _found(rows: DataFrame, benchmark: DataFrame, window: int, chunk_words: int, group: int = GROUP) -> DataFrame:
     """``rows`` (kept, text) with what is found in them."""
-    spark = rows.sparkSession
+    spark, schema = rows.sparkSession, with_fields(rows.schema, _FOUND)
+    most = max(chunk_words, 2 * window)
     items = benchmark.select("item_id", "text")
+    items = items.mapInArrow(_parts(window, most), items.schema)
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = 1 + int(total) // (chunk_words * 4)  # a word takes two bytes at least; half the bound, for an uneven deal
-    schema = with_fields(rows.schema, _FOUND)
-    for k in range(chunks):
-        part = items if chunks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(chunks)) == k)
-        shared = spark.sparkContext.broadcast([tuple(r) for r in part.collect()])  # bounded: about chunk_words words
-        rows = rows.mapInArrow(_scan(uuid.uuid4().hex, shared, window, k > 0), schema)
+    scratch = Scratch(spark, "decontamination") if chunks > group else None
+    for first in range(0, chunks, group):
+        chunk = F.pmod(F.xxhash64("item_id", "text"), F.lit(chunks)).cast("int")
+        dealt: list[list] = [[] for _ in range(min(group, chunks - first))]
+        for r in items.withColumn("chunk", chunk).where(F.col("chunk").between(first, first + len(dealt) - 1)).collect():  # bounded: about group * chunk_words words
+            dealt[r["chunk"] - first].append((r["item_id"], r["text"]))
+        shared = spark.sparkContext.broadcast([d for d in dealt if d] or [[]])
+        if first:
+            rows = scratch.save(rows, f"pass-{first}")
+        rows = rows.mapInArrow(_scan(uuid.uuid4().hex, shared, window, first > 0), schema)
     return rows
 
 
