@@ -55,7 +55,7 @@ def _byte_letters() -> dict[int, str]:
 
 
 #: Eights of bytes of a unit that is remembered, at most.
-_HELD = 4
+_HELD = 3
 
 
 class Encoder:
@@ -70,7 +70,7 @@ class Encoder:
     ids lie in one array, which is begun anew at ``most`` ids.
     """
 
-    def __init__(self, path: str, bits: int = 18, most: int = 2_000_000):
+    def __init__(self, path: str, bits: int = 19, most: int = 2_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.shift = Tokenizer.from_file(path), most, np.uint64(64 - bits)
@@ -99,14 +99,18 @@ class Encoder:
             cut = np.minimum(beyond(letter)[first], end)
             plain = beyond(_PUNCTUATION[part])[cut] >= end
             word = np.arange(len(first))
-            rows, units = [], []
-            for which, mask, start, stop in ((0, plain & (cut > first), first, cut), (1, plain & (end > cut), cut, end), (2, ~plain, first, end)):
+            lead, tail = plain & (cut > first), plain & (end > cut)
+            before = np.cumsum(lead.astype(np.int64) + tail + ~plain) - lead - tail - ~plain  # units of the words in front
+            rows, units, at_place = [], [], []
+            for which, mask, start, stop in ((0, lead, first, cut), (1, tail, cut, end), (2, ~plain, first, end)):
+                at_place.append(before[mask] + (lead[mask] if which == 1 else 0))
                 own, start, stop = part if which else low, start[mask], stop[mask]
                 rows.append((word[mask], start, stop, np.full(len(start), which), hashes(own, start, stop) ^ np.uint64(which * 0x9E3779B97F4A7C15 & (1 << 64) - 1)))
                 # the kind and the length in front of the bytes
                 units.append(np.vstack([(3 * (stop - start) + which).astype(np.uint64)[None], blocks(own, start, stop, _HELD)]))
             word, start, stop, which, h = (np.concatenate(x) for x in zip(*rows, strict=True))
-            order = np.lexsort((start, word))
+            order = np.empty(len(word), np.int64)
+            order[np.concatenate(at_place)] = np.arange(len(word))
             yield at, part, low, first, word[order], start[order], stop[order], which[order], h[order], np.concatenate(units, axis=1)[:, order]
 
     def _known(self, part: np.ndarray, low: np.ndarray, start, stop, which, h, unit) -> np.ndarray:
