@@ -4,7 +4,9 @@ Points on rings go through an FFT of each ring, a shuffle by order, and sums of
 functions over the rings, an order at a time.  Equiangular rings stand at (j + 1/2) pi / n; their
 functions of the colatitude, which continue evenly or oddly past the poles by the order's parity, are
 made twice as dense by Fourier series first, so that quadrature is exact up to degree n - 1.  Points
-anywhere are summed against all harmonics, with weights of their own or equal ones.
+anywhere are summed against all harmonics, with weights of their own or equal ones; with a tolerance
+they go to a Fourier series over both angles first (``scattered``), and each order's series in the
+colatitude meets the Legendre functions on the doubled sphere, so that no point meets a harmonic.
 
 Coefficients are modes of a grid of lmax + 1 by 2 lmax + 1 whose wavenumbers are given: degree along
 the first axis, and along the second the place m + l, or the order itself (``by_order``), as a
@@ -48,17 +50,20 @@ def harmonics(lmax: int, theta: np.ndarray, phi: np.ndarray) -> np.ndarray:
     return out
 
 
-def spherical_analysis(points: DataFrame, lmax: int) -> DataFrame:
+def spherical_analysis(points: DataFrame, lmax: int, tolerance: float | None = None, components: list[int] | None = None) -> DataFrame:
     """(field_id, l, m, c, re, im) of points (field_id, theta, phi, c, value, weight): sums of weight f conj(Y_lm).
 
     Weights are quadrature weights that sum to 4 pi; without a column ``weight`` every point of
     a field counts alike, as scattered points do.  Fields are summed in parts of a few thousand
-    points, then the parts.
+    points, then the parts; with a ``tolerance``, in time linear in the points.
     """
     if "weight" not in points.columns:
         n = points.groupBy("field_id", "c").agg(F.count("*").alias("__n"))
         points = points.join(n, ["field_id", "c"]).withColumn("weight", 4 * math.pi / F.col("__n"))
 
+    if tolerance is not None:
+        return _by_series(points, lmax, tolerance, components)
+
     def run(batches):
         for pdf in batches:
             for (field, c), own in pdf.groupby(["field_id", "c"]):
@@ -71,6 +76,57 @@ def spherical_analysis(points: DataFrame, lmax: int) -> DataFrame:
     return parts.groupBy("field_id", "l", "m", "c").agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
 
 
+def _by_series(points: DataFrame, lmax: int, tolerance: float, components: list[int] | None) -> DataFrame:
+    """The same by a Fourier series over both angles, and order by order."""
+    from . import scattered, transforms
+
+    if lmax > MOST_DEGREE:
+        raise ValueError(f"degrees up to {MOST_DEGREE}")
+    components, n = components or transforms._numbers(points), 2 * lmax + 1
+    rows = points.select("field_id", F.col("theta").alias("x0"), F.col("phi").alias("x1"), "c", (F.col("value") * F.col("weight")).alias("value"))
+    series = scattered.forward(rows, Grid((n, n)), components, tolerance)
+    parts, size = min(lmax + 1, max(1, (lmax + 1) // 8)), 2 * n  # points of the whole circle, twice the series' length
+    theta = (np.arange(n) + 0.5) * math.pi / n
+    field = points.schema["field_id"].dataType.simpleString()
+    number = {c: i for i, c in enumerate(components)}
+
+    def summed(table: pa.Table) -> pa.Table:
+        part = table.column("part")[0].as_py()
+        orders = list(range(part, lmax + 1, parts))
+        f = np.zeros((len(components), len(orders), n), complex)
+        at = (np.array([number[c] for c in table.column("c").to_pylist()]), (table.column("i1").to_numpy() - part) // parts, table.column("i0").to_numpy())
+        f[at] = table.column("re").to_numpy() + 1j * table.column("im").to_numpy()
+        k = np.where(np.arange(n) <= lmax, np.arange(n), np.arange(n) - n)
+        wide = np.zeros((*f.shape[:2], size), complex)
+        wide[..., k % size] = f * np.exp(1j * k * math.pi / size)  # at half steps
+        whole = np.fft.ifft(wide, axis=-1)  # the sum over the series, over the number of points
+        made = []
+        for i, order in enumerate(orders):
+            # the functions go on past the poles evenly or oddly
+            own = whole[:, i, :n] + (-1 if order % 2 else 1) * whole[:, i, :n - 1:-1]
+            for deg, p in legendre(lmax, order, theta):
+                made += _both(deg, order, own @ p, components)
+        return _coefficients(table, made)
+
+    low = series.where(F.col("i1") <= lmax).withColumn("part", (F.col("i1") % parts).cast("int"))
+    return low.groupBy("field_id", "part").applyInArrow(summed, f"field_id {field}, l int, m int, c int, re double, im double")
+
+
+def _both(deg: int, order: int, a: np.ndarray, components: list[int]) -> list[tuple]:
+    """Rows of an order and of its negative, of a real field."""
+    out, sign = [], -1 if order % 2 else 1
+    for c, z in zip(components, a, strict=True):
+        out.append((deg, order, c, z.real, z.imag))
+        if order:
+            out.append((deg, -order, c, sign * z.real, -sign * z.imag))
+    return out
+
+
+def _coefficients(table: pa.Table, rows: list[tuple]) -> pa.Table:
+    columns = [pa.array(x, k) for x, k in zip(zip(*rows, strict=True), [pa.int32()] * 3 + [pa.float64()] * 2, strict=True)]
+    return pa.table([table.column("field_id").combine_chunks().take(pa.array([0] * len(rows), pa.int64())), *columns], names=["field_id", "l", "m", "c", "re", "im"])
+
+
 def gauss_grid(lmax: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Colatitude, longitude and weight of a grid that analyses degree ``lmax`` exactly."""
     x, w = np.polynomial.legendre.leggauss(lmax + 1)
@@ -162,14 +218,8 @@ def ring_analysis(points: DataFrame, nrings: int, nphi: int, lmax: int, m: int,
         for i, order in enumerate(orders):
             own = (denser(f[:, i], order % 2 == 1) if kind == "equiangular" else f[:, i]) * weight
             for deg, p in legendre(lmax, order, theta):
-                a = own @ p
-                for c in range(m):
-                    out.append((deg, order, c, a[c].real, a[c].imag))
-                    if order:
-                        sign = -1 if order % 2 else 1
-                        out.append((deg, -order, c, sign * a[c].real, -sign * a[c].imag))
-        columns = [pa.array(x, k) for x, k in zip(zip(*out, strict=True), [pa.int32()] * 3 + [pa.float64()] * 2, strict=True)]
-        return pa.table([table.column("field_id").combine_chunks().take(pa.array([0] * len(out), pa.int64())), *columns], names=["field_id", "l", "m", "c", "re", "im"])
+                out += _both(deg, order, own @ p, list(range(m)))
+        return _coefficients(table, out)
 
     rows = points.where(F.col("c") < m).select("field_id", F.col("i0").cast("int").alias("i0"), F.col("i1").cast("int").alias("i1"), F.col("c").cast("int").alias("c"), F.col("value").cast("double").alias("value"))
     orders = rows.groupBy("field_id", "i0").applyInArrow(turned, f"field_id {field}, part int, i0 int, z binary")

@@ -35,10 +35,10 @@ def from_points(method, points: DataFrame, grid: P.Grid, /, **options):
     return calculate_energy_transfer(method, T.forward(points, grid, "fft"), grid, **options)
 
 
-def from_sphere(method, points: DataFrame, lmax: int, /, nrings: int | None = None, nphi: int | None = None, components: int = 2, kind: str = "equiangular", by_order: bool = False, **options):
+def from_sphere(method, points: DataFrame, lmax: int, /, nrings: int | None = None, nphi: int | None = None, components: int = 2, kind: str = "equiangular", by_order: bool = False, tolerance: float | None = None, **options):
     """The spherical front-end: points on rings (i0, i1), or anywhere (theta, phi), by their coefficients up to ``lmax``."""
     if {"theta", "phi"} <= set(points.columns):
-        found = sphere.spherical_analysis(points, lmax)
+        found = sphere.spherical_analysis(points, lmax, tolerance, list(range(components)))
     else:
         nrings = nrings or lmax + 1
         found = sphere.ring_analysis(points, nrings, nphi or 2 * nrings, lmax, components, kind)

@@ -657,6 +657,13 @@ def _sphere_weighted(s, d):
     return sphere.spherical_analysis(held.join(rows, "s_suppkey"), 2)
 
 
+def _sphere_velocity(s, d):
+    """Balance and nation of suppliers as two components at points of a sphere."""
+    rows = _sphere(s, d)
+    nation = fields.table(s, d, "supplier").select(F.lit("f").alias("field_id"), ((F.col("s_suppkey") % 19 + 0.5) * (math.pi / 19)).alias("theta"), ((F.col("s_suppkey") % 23) * (2 * math.pi / 23)).alias("phi"), F.lit(1).alias("c"), (F.col("s_nationkey") / 10.0).alias("value"))
+    return rows.unionByName(nation)
+
+
 _RINGS, _LONGITUDES, _DEGREE = 5, 10, 2
 _SPHERE_GRID = sphere.coefficient_grid(_DEGREE)
 
@@ -669,13 +676,16 @@ def _ring_points(s, d):
 class SphereSql(Sql):
     """Coefficients of ``_ring_points`` on Gauss rings, as modes ``uh`` of a grid whose wavenumbers are given."""
 
-    def __init__(self):
+    def __init__(self, scattered: bool = False):
         self.grid, self.n, self.nd, self.size = _SPHERE_GRID, 0, 2, _SPHERE_GRID.size
         self.parts, self.ids = [], "i0, i1"
         theta, weight = sphere.rings("gauss", _RINGS)
         self.add("rg", f"SELECT * FROM (VALUES {', '.join(f'({j}, {a!r}::DOUBLE, {w!r}::DOUBLE)' for j, (a, w) in enumerate(zip(theta.tolist(), weight.tolist(), strict=True)))}) q(j, a, w)")
         self.add("pt", f"SELECT l_orderkey % {_RINGS} AS j, l_partkey % {_LONGITUDES} AS k, sum(l_quantity / 10) / 1000 AS v0, sum(l_extendedprice / 10000) / 1000 AS v1 FROM lineitem GROUP BY ALL")
-        self.add("p", f"SELECT a, 2 * pi() * k / {_LONGITUDES} AS b, unnest([0, 1]) AS c, w * 2 * pi() / {_LONGITUDES} * unnest([v0, v1]) AS v FROM pt JOIN rg USING (j)")
+        if scattered:
+            self.add("p", "SELECT (s_suppkey % 19 + 0.5) * pi() / 19 AS a, (s_suppkey % 23) * 2 * pi() / 23 AS b, unnest([0, 1]) AS c, 4 * pi() / (SELECT count(*) FROM supplier) * unnest([s_acctbal / 1000, s_nationkey / 10.0]) AS v FROM supplier")
+        else:
+            self.add("p", f"SELECT a, 2 * pi() * k / {_LONGITUDES} AS b, unnest([0, 1]) AS c, w * 2 * pi() / {_LONGITUDES} * unnest([v0, v1]) AS v FROM pt JOIN rg USING (j)")
         self.add("y", _harmonic_rows("p"))
         self.add("co", "SELECT l, m, c, sum(re) AS re, sum(im) AS im FROM y GROUP BY ALL")
         self.add("gr", f"SELECT CAST(a.r AS INTEGER) AS i0, CAST(b.r AS INTEGER) AS i1, CAST(a.r AS DOUBLE) AS k0, CAST(b.r AS DOUBLE) AS k1, sqrt(a.r * a.r + b.r * b.r) AS kap, TRUE AS keep FROM range({_DEGREE + 1}) a(r), range({2 * _DEGREE + 1}) b(r)")
@@ -788,6 +798,8 @@ _DEFS: dict[str, tuple] = {
     "coarse_masked": (lambda s, d: coarse.masked_flux_map(_velocity_points(s, d).withColumn("wet", (F.col("i0") + F.col("i1")) % 3 != 0), FLAT, P.GaussianFilter(), 2.0, parts=3), _masked_sql()),
     "coarse_gaussian_pencil": (lambda s, d: coarse.masked_flux_map(_velocity_points(s, d), FLAT, P.GaussianFilter(), 2.0, parts=(2, 3)).drop("wet"), _coarse_sql("exp(-kap * kap * 4 / 24)")),
     "coarse_scattered_fast": (lambda s, d: coarse.scattered_flux(_scatter(s, d), SMALL, P.GaussianFilter(), 1.0, tolerance=1e-12), _scatter_sql()),
+    "spherical_coefficients_fast": (lambda s, d: sphere.spherical_analysis(_sphere(s, d), 2, tolerance=1e-12, components=[0]), _SPHERE + f"SELECT l, m, c, {_r('re')} AS re, {_r('im')} AS im FROM s"),
+    "flux_spherical_scattered": (lambda s, d: dispatch.from_sphere(P.SpectralFlux(_LIN), _sphere_velocity(s, d), _DEGREE, dealiasing=P.NoDealiasing(), tolerance=1e-12), _flux_sql(None, _LIN, keep=False, q=SphereSql(scattered=True))),
     "spherical_weighted": (_sphere_weighted, _SPHERE_WEIGHTED),
     "spherical_rings": (lambda s, d: sphere.ring_analysis(_ring_points(s, d), _RINGS, _LONGITUDES, _DEGREE, 2, "gauss", parts=2), SphereSql().done(f"SELECT CAST(l AS INTEGER) AS l, CAST(m AS INTEGER) AS m, c, {_r('re')} AS re, {_r('im')} AS im FROM co")),
     "flux_spherical": (_from_sphere(P.SpectralFlux(_LIN)), _flux_sql(None, _LIN, keep=False, q=SphereSql())),

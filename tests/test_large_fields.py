@@ -255,6 +255,17 @@ def test_rings_give_back_coefficients(spark, kind, nrings, lmax):
             sphere.ring_analysis(df, nrings, 2 * lmax, lmax, 2, kind)
 
 
+@pytest.mark.parametrize("lmax", [0, 1, 6])
+def test_points_of_a_sphere_to_a_tolerance(spark, lmax):
+    rng = np.random.default_rng(4)
+    rows = [("f", float(np.arccos(rng.uniform(-1, 1))) if i % 9 else 0.0, float(rng.uniform(0, 2 * np.pi)), c, float(rng.normal()), float(rng.random())) for i in range(120) for c in (0, 2)]
+    df = spark.createDataFrame(rows, "field_id string, theta double, phi double, c int, value double, weight double").cache()
+    for part in ("re", "im"):
+        fast, dense = (sphere.spherical_analysis(df, lmax, tolerance=t) for t in (1e-10, None))
+        a, b = ({(r["l"], r["m"], r["c"]): r[part] for r in x.collect()} for x in (fast, dense))
+        assert a.keys() == b.keys() and max(abs(a[k] - b[k]) for k in b) < 1e-8
+
+
 def test_high_degrees_are_orthonormal():
     theta, weight = sphere.rings("gauss", 513)
     for m in (0, 1, 100, 400, 512):
