@@ -154,6 +154,13 @@ def in_order(docs: DataFrame, bounds: list[int], most: float = 4.0) -> bool:
     return files is None or files <= most
 
 
+def dealt(pairs: DataFrame, batches: int) -> DataFrame:
+    """Hashes by batch, each batch's in equal shares, whatever hash or document they are of."""
+    spark = pairs.sparkSession
+    shares = max(-(-int(spark.conf.get("spark.sql.shuffle.partitions")) // batches), spark.sparkContext.defaultParallelism)
+    return pairs.repartition(batches * shares, "batch", F.pmod(F.xxhash64("doc_id", *HASHES), F.lit(shares)))
+
+
 def dropped_hashes(docs: DataFrame, least: int = 10, batches: int | None = None, fanout: int = 2, scratch: Scratch | None = None) -> DataFrame:
     """(doc_id, drops): of each document that loses lines, the hashes of those lines."""
     spark = docs.sparkSession
@@ -166,7 +173,7 @@ def dropped_hashes(docs: DataFrame, least: int = 10, batches: int | None = None,
     pairs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_pairs(least), schema)
     # null ids come last
     pairs = pairs.withColumn("batch", F.coalesce(step, F.lit(len(bounds))).cast("int"))
-    lines = scratch.save(pairs if in_order(docs, bounds) else pairs.hint("rebalance", "batch"), "lines", by="batch")
+    lines = scratch.save(pairs if in_order(docs, bounds) else dealt(pairs, len(bounds) + 1), "lines", by="batch")
     runs, gone = LevelledRuns(scratch, fanout), []
     for k in range(len(bounds) + 1):
         here = lines.where(F.col("batch") == k)
