@@ -20,7 +20,9 @@ priors are broadcast if few, else joined by host, where adaptive execution split
 
 Defined results: a page without text, markup and address gets the prior of all pages; nulls are
 no evidence; without labelled documents that have an id the language is null; ties go to the alphabetically
-first language; repeated rows are judged each.
+first language; repeated rows are judged each and count each in the sums; very long pages are read
+whole, in batches of bounded size; an empty table of pages gives none.  Of both tables only the
+columns named here are read, so others may have any name.
 """
 
 from __future__ import annotations
