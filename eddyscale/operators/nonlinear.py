@@ -8,8 +8,9 @@ component-resolved terms.
 
 A join grows with the square of the retained modes.  Both sides are cut into blocks of at most
 ``BLOCK`` modes by hash, and every block of one meets every block of the other: a small grid is
-one unit of work, a field of a million modes is millions of equal ones, whatever the cluster.
-Beyond a few thousand modes the FFT kernel is the cheaper route; it takes a field as a row.
+one unit of work, a larger one is many equal ones, whatever the cluster.  Beyond a few thousand modes
+the FFT kernel is the cheaper route; it takes a field as a row, and ``pencil`` one that is too large
+for that.  Beyond ``MOST`` modes the joins are refused.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from . import modes as M
 from . import stack
 
 BLOCK = 512
+#: Modes beyond which the joins' square is no longer sensible.
+MOST = 1 << 17
 
 
 def _kept(df: DataFrame, grid: Grid, dealiasing) -> DataFrame:
@@ -49,6 +52,8 @@ def wide_term(u: DataFrame, f: DataFrame, grid: Grid, m: int, dealiasing=OrszagT
     gradient = M.hermitian(_kept(f, grid, dealiasing), grid, m, f_keys, gradients)
     places = [f"i{d}" for d in range(nd)]
     modes = int(np.prod([sum(dealiasing.keeps(n)) for n in grid.ns]))
+    if modes > MOST:
+        raise ValueError(f"{modes} modes: joins take at most {MOST}; use method='fft', or pencil for a field too large for a task")
     blocks, on = -(-modes // block), ["field_id"]
     if blocks > 1:
         each, own = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))), F.pmod(F.hash(*places), F.lit(blocks))
