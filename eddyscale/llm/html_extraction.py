@@ -38,6 +38,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from functools import lru_cache
 
@@ -336,11 +337,60 @@ def node_keys(parents: list[int], labels: list[str]) -> list[int]:
     return keys
 
 
+#: Pairs of two lists of children that are all tried; in longer ones those near the diagonal, so many places to either side.
+_ALL, _NEAR = 1024, 8
+
+
+def _anchors(x: list[int], y: list[int], code_a: list[int], code_b: list[int]) -> list[tuple[int, int]]:
+    """Places of subtrees that either list has once, and equal: the longest run that rises in both."""
+    mine, theirs = Counter(code_a[p] for p in x), Counter(code_b[q] for q in y)
+    held = {code_b[q]: j for j, q in enumerate(y) if theirs[code_b[q]] == 1}
+    pairs = [(i, held[code_a[p]]) for i, p in enumerate(x) if mine[code_a[p]] == 1 and code_a[p] in held]
+    tails, last, before = [], [], [-1] * len(pairs)
+    for n, (_, j) in enumerate(pairs):
+        at = bisect_left(tails, j)
+        before[n] = last[at - 1] if at else -1
+        tails[at : at + 1], last[at : at + 1] = [j], [n]
+    out, n = [], last[-1] if last else -1
+    while n >= 0:
+        out.append(pairs[n])
+        n = before[n]
+    return out[::-1]
+
+
+def _heaviest(pairs: list[tuple[int, int, int]], width: int) -> tuple[int, list[tuple[int, int]]]:
+    """Of (i, j, weight) the chain that rises in both and weighs most: prefix maxima over j in a binary indexed tree."""
+    tree: list[tuple[int, int]] = [(0, -1)] * (width + 1)
+    before, at = [-1] * len(pairs), 0
+    order = sorted(range(len(pairs)), key=lambda n: (pairs[n][0], -pairs[n][1]))
+    for n in order:
+        _, j, weight = pairs[n]
+        best, k = (0, -1), j
+        while k:
+            best = max(best, tree[k])
+            k &= k - 1
+        before[n], k = best[1], j + 1
+        while k <= width:
+            tree[k] = max(tree[k], (best[0] + weight, n))
+            k += k & -k
+    best, k = (0, -1), width
+    while k:
+        best = max(best, tree[k])
+        k &= k - 1
+    out, at = [], best[1]
+    while at >= 0:
+        out.append(pairs[at][:2])
+        at = before[at]
+    return best[0], out
+
+
 def align(one: tuple[list[int], list[str]], other: tuple[list[int], list[str]]) -> dict[int, int]:
     """Simple tree matching of two trees (parents, labels): nodes of the first to nodes of the second.
 
     Equal subtrees at both ends of two lists of children are paired at once, which no better
-    matching can beat; only what is between them goes through the dynamic programme.
+    matching can beat; only what is between them goes through the dynamic programme.  Where that
+    is long, equal subtrees that either list has once are paired too, the longest run of them that
+    keeps its order, and between them, if it is still long, children near the diagonal are tried, not all with all.
     """
 
     def shape(parents, labels):
@@ -355,8 +405,10 @@ def align(one: tuple[list[int], list[str]], other: tuple[list[int], list[str]])
 
     (below_a, size_a, code_a), (below_b, _, code_b) = shape(*one), shape(*other)
     labels_a, labels_b = one[1], other[1]
-    found: dict[tuple[int, int], tuple] = {}
+    # of each pair of nodes: children that are paired at once, and what is left to the programme, list by list
+    found: dict[tuple[int, int], tuple[list, list]] = {}
     pairs = [(0, 0)]
+    met = {(0, 0)}
     for a, b in pairs:  # grows: a pair comes after that of its parents
         if code_a[a] == code_b[b]:
             continue
@@ -366,32 +418,51 @@ def align(one: tuple[list[int], list[str]], other: tuple[list[int], list[str]])
         end = 0
         while end < min(len(x), len(y)) - start and code_a[x[-1 - end]] == code_b[y[-1 - end]]:
             end += 1
-        found[a, b] = (x, y, start, end)
-        pairs += [(i, j) for i in x[start : len(x) - end] for j in y[start : len(y) - end] if labels_a[i] == labels_b[j]]
+        same = [*zip(x[:start], y[:start], strict=True), *zip(x[len(x) - end :], y[len(y) - end :], strict=True)]
+        x, y = x[start : len(x) - end], y[start : len(y) - end]
+        cuts = _anchors(x, y, code_a, code_b) if len(x) * len(y) > _ALL else []
+        same += [(x[i], y[j]) for i, j in cuts]
+        lists = []
+        for (i, j), (k, m) in zip([(-1, -1), *cuts], [*cuts, (len(x), len(y))], strict=True):
+            p, q = x[i + 1 : k], y[j + 1 : m]
+            if not p or not q:
+                continue
+            wide = len(q) if len(p) * len(q) <= _ALL else _NEAR
+            tried = [(n, o) for n, u in enumerate(p) for c in [n * len(q) // len(p)] for o in range(max(0, c - wide), min(len(q), c + wide + 1)) if labels_a[u] == labels_b[q[o]]]
+            lists.append((p, q, tried, wide == len(q)))
+            pairs += [(p[n], q[o]) for n, o in tried if (p[n], q[o]) not in met]
+            met.update((p[n], q[o]) for n, o in tried)
+        found[a, b] = (same, lists)
     worth: dict[tuple[int, int], int] = {}
     chosen: dict[tuple[int, int], list[tuple[int, int]]] = {}
     for a, b in reversed(pairs):
         if (a, b) not in found:
             worth[a, b] = size_a[a]
             continue
-        x, y, start, end = found[a, b]
-        same = [*zip(x[:start], y[:start], strict=True), *zip(x[len(x) - end :], y[len(y) - end :], strict=True)]
-        x, y = x[start : len(x) - end], y[start : len(y) - end]
-        best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-        for i, p in enumerate(x, 1):
-            for j, q in enumerate(y, 1):
-                both = worth[p, q] if labels_a[p] == labels_b[q] else 0
-                best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + both)
-        worth[a, b] = 1 + best[-1][-1] + sum(size_a[p] for p, _ in same)
-        i, j = len(x), len(y)
-        while i and j:
-            if best[i][j] == best[i - 1][j]:
-                i -= 1
-            elif best[i][j] == best[i][j - 1]:
-                j -= 1
-            else:
-                i, j = i - 1, j - 1
-                same.append((x[i], y[j]))
+        same, lists = found.pop((a, b))
+        total, same = 1 + sum(size_a[p] for p, _ in same), list(same)
+        for x, y, tried, whole in lists:
+            if not whole:
+                most, chain = _heaviest([(i, j, worth[x[i], y[j]]) for i, j in tried], len(y))
+                total += most
+                same += [(x[i], y[j]) for i, j in chain]
+                continue
+            best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+            for i, p in enumerate(x, 1):
+                for j, q in enumerate(y, 1):
+                    both = worth[p, q] if labels_a[p] == labels_b[q] else 0
+                    best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + both)
+            total += best[-1][-1]
+            i, j = len(x), len(y)
+            while i and j:
+                if best[i][j] == best[i - 1][j]:
+                    i -= 1
+                elif best[i][j] == best[i][j - 1]:
+                    j -= 1
+                else:
+                    i, j = i - 1, j - 1
+                    same.append((x[i], y[j]))
+        worth[a, b] = total
         chosen[a, b] = same
     out, left = {}, [(0, 0)]
     while left:
