@@ -98,9 +98,18 @@ def decompose(modes: DataFrame, grid: Grid, kind, m: int | None = None, key: str
 
 
 def decompose_points(points: DataFrame, grid: Grid, kind, method: str = "auto") -> DataFrame:
-    """field_id, component, i0.., c, value: the parts of a field on the grid's points."""
+    """field_id, component, i0.., c, value: the parts of a field on the grid's points.
+
+    Points with a column ``wet`` are parted on their wet cells (``masked``), which only divergence
+    and rotation allow; values then belong to faces.
+    """
+    from . import masked
     from . import transforms as T
 
+    if "wet" in points.columns:
+        if not isinstance(kind, (HelmholtzDecomposition, RotationalDecomposition, DivergentDecomposition)):
+            raise ValueError("with dry cells there are divergent and rotational parts only")
+        return masked.helmholtz(points, grid).where(F.col("component").isin(*kind.parts))
     parts = decompose(T.forward(points, grid, method), grid, kind, grid.nd)
     # a part of a field is a field of its own meanwhile
     named = parts.withColumn("field_id", F.to_json(F.struct("field_id", "component"))).drop("component")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions import spectral
-from ..operators import batch, coarse, decompose, density, nonlinear, pencil, shells, sphere, tod, transfer
+from ..operators import batch, coarse, decompose, density, masked, nonlinear, pencil, shells, sphere, tod, transfer
 from ..operators import modes as M
 from ..operators import transforms as T
 from ..sources import fields
@@ -620,6 +620,25 @@ def _rotational_points_sql() -> str:
     return q.done(f"SELECT i0, i1, c, {_r('v')} AS value FROM ({one(0)} UNION ALL {one(1)})")
 
 
+def _channels(s, d):
+    """The velocity in channels three cells wide, with dry cells between them."""
+    return _velocity_points(s, d).withColumn("wet", F.col("i0") % 4 != 3)
+
+
+def _channels_sql(parts: str = "both") -> str:
+    """Potential of each channel by cosines across it and exponentials along it."""
+    q = Sql(FLAT)
+    q.add("pv", "SELECT i0, i1, i0 // 4 AS q, i0 % 4 AS a, coalesce(v0, 0) / 100 AS u0, coalesce(v1, 0) / 100 AS u1 FROM gr LEFT JOIN pt ON i0 = x0 AND i1 = x1")
+    q.add("fc", "SELECT p.i0, p.i1, p.q, p.a, CASE WHEN p.a < 2 THEN (p.u0 + x.u0) / 2 ELSE 0 END AS f0, CASE WHEN p.a < 3 THEN (p.u1 + y.u1) / 2 ELSE 0 END AS f1 FROM pv p JOIN pv x ON x.i0 = (p.i0 + 1) % 12 AND x.i1 = p.i1 JOIN pv y ON y.i0 = p.i0 AND y.i1 = (p.i1 + 1) % 12")
+    q.add("bb", "SELECT p.q, p.a, p.i1 AS j, CASE WHEN p.a > 0 THEN x.f0 ELSE 0 END - p.f0 + y.f1 - p.f1 AS b FROM fc p JOIN fc x ON x.i0 = (p.i0 + 11) % 12 AND x.i1 = p.i1 JOIN fc y ON y.i0 = p.i0 AND y.i1 = (p.i1 + 11) % 12 WHERE p.a < 3")
+    q.add("mk", "SELECT m, k, 4 - 2 * cos(pi() * m / 3) - 2 * cos(pi() * k / 6) AS e FROM range(3) x(m), range(12) y(k) WHERE m + k > 0")
+    q.add("cf", "SELECT q, m, k, sum(b * cos(pi() * (a + 0.5) * m / 3) * cos(pi() * k * j / 6)) / any_value(e) * CASE m WHEN 0 THEN 1 ELSE 2 END / 36 AS re, -sum(b * cos(pi() * (a + 0.5) * m / 3) * sin(pi() * k * j / 6)) / any_value(e) * CASE m WHEN 0 THEN 1 ELSE 2 END / 36 AS im FROM bb, mk GROUP BY q, m, k")
+    q.add("ph2", "SELECT q, a, j, sum(cos(pi() * (a + 0.5) * m / 3) * (re * cos(pi() * k * j / 6) - im * sin(pi() * k * j / 6))) AS f FROM cf, range(3) x(a), range(12) y(j) GROUP BY q, a, j")
+    q.add("sl", "SELECT c.i0, c.i1, f0, f1, CASE WHEN c.a < 2 THEN x.f - p.f ELSE 0 END AS d0, CASE WHEN c.a < 3 THEN y.f - p.f ELSE 0 END AS d1 FROM fc c LEFT JOIN ph2 p ON p.q = c.q AND p.a = c.a AND p.j = c.i1 LEFT JOIN ph2 x ON x.q = c.q AND x.a = c.a + 1 AND x.j = c.i1 LEFT JOIN ph2 y ON y.q = c.q AND y.a = c.a AND y.j = (c.i1 + 1) % 12")
+    every = " UNION ALL ".join(f"SELECT '{n}' AS component, i0, i1, {c} AS c, {_r(v)} AS value FROM sl" for n, v_ in (("divergent", "d{c}"), ("rotational", "f{c} - d{c}")) for c in (0, 1) for v in (v_.format(c=c),))
+    return q.done(every if parts == "both" else f"SELECT * EXCLUDE (component) FROM ({every}) WHERE component = '{parts}'")
+
+
 def _sphere(s, d):
     """Suppliers as points of a sphere, each as heavy as any other."""
     rows = fields.table(s, d, "supplier")
@@ -796,6 +815,8 @@ _DEFS: dict[str, tuple] = {
     "flux_padded_even": (lambda s, d: transfer.spectral_flux(_u(s, d), FLAT, binning=_LIN, dealiasing=P.PaddedThreeHalves(), method="fft", m=2), _padded_even_sql()),
     "nonlinear_term_pencil": (lambda s, d: pencil.nonlinear_term(_u(s, d), FLAT, 2, parts=3).where(spectral.two_thirds(FLAT)), _modes_sql(True)),
     "coarse_masked": (lambda s, d: coarse.masked_flux_map(_velocity_points(s, d).withColumn("wet", (F.col("i0") + F.col("i1")) % 3 != 0), FLAT, P.GaussianFilter(), 2.0, parts=3), _masked_sql()),
+    "parts_dry_cells": (lambda s, d: decompose.decompose_points(_channels(s, d), FLAT, P.HelmholtzDecomposition()), _channels_sql()),
+    "part_rotational_dry_cells": (lambda s, d: masked.helmholtz(_channels(s, d), FLAT, parts=(1, 2)).where("component = 'rotational'").drop("component"), _channels_sql("rotational")),
     "coarse_gaussian_pencil": (lambda s, d: coarse.masked_flux_map(_velocity_points(s, d), FLAT, P.GaussianFilter(), 2.0, parts=(2, 3)).drop("wet"), _coarse_sql("exp(-kap * kap * 4 / 24)")),
     "coarse_scattered_fast": (lambda s, d: coarse.scattered_flux(_scatter(s, d), SMALL, P.GaussianFilter(), 1.0, tolerance=1e-12), _scatter_sql()),
     "spherical_coefficients_fast": (lambda s, d: sphere.spherical_analysis(_sphere(s, d), 2, tolerance=1e-12, components=[0]), _SPHERE + f"SELECT l, m, c, {_r('re')} AS re, {_r('im')} AS im FROM s"),
