@@ -9,9 +9,9 @@ equally labelled nodes in order.  All nodes of the DOM take part, within article
 Aligned nodes whose text is the same wherever they occur are template; the others are slots.
 The content is the part of the wrapper where the varying text is: from the root down, the
 search follows the child that holds ``most`` of its node's varying text, and leaves out what
-holds less than ``least`` of it, headings excepted.  Tags decide only where that is a tie: an
-article or main element that holds half of a host's varying text is the content, and a page
-of a host with too few articles for a wrapper is read by its tags alone.  In what varies, menus,
+holds less than ``least`` of it, headings excepted.  It ends at an article or main element that it comes to;
+where no child has enough for it to go on, such elements are the content if they hold half of
+the varying text.  A page of a host with too few articles for a wrapper is read by its tags alone.  In what varies, menus,
 headers, footers, sidebars, notices, adverts, forms and reader comments are told by tag, class,
 id and role, since their text may vary as well.
 
@@ -296,31 +296,44 @@ def within(parents: list[int], roots: set[int]) -> list[bool]:
     return out
 
 
-def descend(parents: list[int], labels: list[str], mass: dict[int, int], most: float = 0.8, least: float = 0.1) -> tuple[set[int], bool]:
-    """Roots of the part of a tree where the mass is, and whether their tag says so too."""
+def descend(parents: list[int], labels: list[str], mass: dict[int, int], most: float = 0.8, least: float = 0.1) -> tuple[set[int], str]:
+    """Roots of the part of a tree where the mass is, and what told them.
+
+    The search goes down by mass.  If it comes to the only outermost article (or, without one, main
+    element), that is the place, and both told it; if such elements hold half of the mass and the search ended
+    above them, or within one of several, tags did; else the search alone.
+    """
     n = len(labels)
     whole = [mass.get(i, 0) for i in range(n)]
     below: list[list[int]] = [[] for _ in labels]
     for i in range(n - 1, 0, -1):
         whole[parents[i]] += whole[i]
         below[parents[i]].append(i)
+    named = _named(parents, labels, whole)
+    at, also = 0, set()
+    while True:
+        if named == {at}:
+            return named, "both"
+        best = max(below[at], key=lambda i: (whole[i], -i), default=None)
+        if best is None or _tag_of(labels[best]) not in _GROUPS or whole[best] < most * whole[at] or not whole[at]:
+            return (named, "tags") if named else ({at} | also, "wrapper")
+        also |= {i for i in below[at] if i != best and (_HEADING.match(labels[i]) or whole[i] >= least * whole[at])}
+        at = best
+
+
+def _named(parents: list[int], labels: list[str], whole: list[int]) -> set[int]:
+    """The outermost article elements if they hold half of the mass, else the main elements if these do."""
     for tag in ("article", "main"):
-        under = [False] * n
+        under = [False] * len(labels)
         roots = set()
-        for i in range(1, n):
+        for i in range(1, len(labels)):
             is_one = _tag_of(labels[i]) == tag
             under[i] = under[parents[i]] or is_one
             if is_one and not under[parents[i]]:
                 roots.add(i)
         if roots and 2 * sum(whole[i] for i in roots) >= whole[0] > 0:
-            return roots, True
-    at, also = 0, set()
-    while True:
-        best = max(below[at], key=lambda i: (whole[i], -i), default=None)
-        if best is None or _tag_of(labels[best]) not in _GROUPS or whole[best] < most * whole[at] or not whole[at]:
-            return {at} | also, False
-        also |= {i for i in below[at] if i != best and (_HEADING.match(labels[i]) or whole[i] >= least * whole[at])}
-        at = best
+            return roots
+    return set()
 
 
 def _hash(text: str) -> int:
@@ -532,13 +545,13 @@ def _keyed(batches):
 def _regions(batches):
     """Of each wrapper: the keys of the roots of its content, and whether their tag says so."""
     for batch in pieces(batches, rows=500):
-        roots, tagged = [], []
+        roots, told = [], []
         for row in batch.to_pylist():
             at = {k: i for i, k in enumerate(row["keys"])}
             found, said = descend(row["parents"], row["labels"], {at[x["key"]]: x["chars"] for x in row["mass"] or []})
             roots.append([row["keys"][i] for i in found] if row["mass"] else [])
-            tagged.append(said)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(roots, pa.list_(pa.int64())), pa.array(tagged, pa.bool_())], names=["host", "content", "tagged"])
+            told.append(said)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(roots, pa.list_(pa.int64())), pa.array(told, pa.string())], names=["host", "content", "told"])
 
 
 def _decided(batches):
@@ -550,14 +563,15 @@ def _decided(batches):
             inside = within(row["parents"], {i for i, k in enumerate(row["keys"]) if k in roots})
             fixed.append([i in still for i in range(len(inside))])
             content.append([x and i not in still for i, x in enumerate(inside)])
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fixed, pa.list_(pa.bool_())), pa.array(content, pa.list_(pa.bool_())), batch.column(batch.schema.get_field_index("tagged"))], names=["host", "tree", "fixed", "inside", "tagged"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fixed, pa.list_(pa.bool_())), pa.array(content, pa.list_(pa.bool_())), batch.column(batch.schema.get_field_index("told"))], names=["host", "tree", "fixed", "inside", "told"])
 
 
 def induce(seen: DataFrame, support: int = 5, share: float = 0.5, scratch: Scratch | None = None) -> DataFrame:
-    """(host, tree, fixed, inside, tagged) of each tree of a host of ``ENOUGH`` different articles.
+    """(host, tree, fixed, inside, told) of each tree of a host of ``ENOUGH`` different articles.
 
     ``seen``: host, tree, parents, labels, article, slots of each page.  ``fixed`` and ``inside``
-    tell of each node whether it is template, and whether it is content.
+    tell of each node whether it is template, and whether it is content; ``told``, what told the
+    content's place (``descend``).
     """
     scratch = scratch or Scratch(seen.sparkSession, "html")
     known = scratch.save(seen.select("host", "tree", "article", "slots").distinct(), "known")
@@ -583,20 +597,25 @@ def induce(seen: DataFrame, support: int = 5, share: float = 0.5, scratch: Scrat
     whole = keyed.where("whole").select("host", "parents", "labels", "keys")
     mass = whole.select("host", F.explode("keys").alias("key")).join(stats.where("not still and chars > 0"), ["host", "key"])
     mass = mass.groupBy("host").agg(F.collect_list(F.struct("key", "chars")).alias("mass"))
-    regions = scratch.save(whole.join(mass, "host", "left").mapInArrow(_regions, "host string, content array<long>, tagged boolean"), "regions")
+    regions = scratch.save(whole.join(mass, "host", "left").mapInArrow(_regions, "host string, content array<long>, told string"), "regions")
     gone = keyed.select("host", "tree", F.posexplode("keys").alias("pos", "key")).join(stats.where("still").select("host", "key"), ["host", "key"])
     gone = gone.groupBy("host", "tree").agg(F.collect_list("pos").alias("still"))
     regions = broadcast_if(regions, F.size("content") + 1, 1_000_000)
-    both = keyed.join(gone, ["host", "tree"], "left").join(regions, "host").select("host", "tree", "parents", "keys", "still", "content", "tagged")
-    return both.mapInArrow(_decided, "host string, tree string, fixed array<boolean>, inside array<boolean>, tagged boolean")
+    both = keyed.join(gone, ["host", "tree"], "left").join(regions, "host").select("host", "tree", "parents", "keys", "still", "content", "told")
+    return both.mapInArrow(_decided, "host string, tree string, fixed array<boolean>, inside array<boolean>, told string")
 
 
 def _joined(test) -> "F.Column":
     return F.array_join(F.transform(F.filter("blocks", test), lambda b: b["text"]), "\n")
 
 
-def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), support: int = 5, share: float = 0.5, scratch: Scratch | None = None) -> DataFrame:
-    """``keep`` columns and ``text``, the main text of each page."""
+def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), support: int = 5, share: float = 0.5, scratch: Scratch | None = None, told: str | None = None) -> DataFrame:
+    """``keep`` columns and ``text``, the main text of each page.
+
+    ``told`` names a column that says what found it: ``wrapper``, the search by varying text; ``both``, the
+    search, at an element that its tag names too; ``tags``, such elements where the search was in doubt;
+    ``page``, the page's own tags, without a wrapper or where it finds nothing.
+    """
     scratch = scratch or Scratch(pages.sparkSession, "html")
     keep = tuple(c for c in keep if c != "text")
     kept = F.struct(*([F.col(quoted(c)).alias(c) for c in keep] or [F.lit(0).alias("none")]))
@@ -607,12 +626,13 @@ def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), suppor
     decided = broadcast_if(decided, F.size("fixed"), 2_000_000)
     joined = seen.select("kept", "host", "tree", "blocks").join(decided, ["host", "tree"], "left")
     on = lambda name, b: F.coalesce(F.get(name, b["node"]), F.lit(False))
-    wrapped = _joined(lambda b: on("inside", b) & ~b["around"] & (F.coalesce("tagged", F.lit(False)) | ~b["linked"]))
+    wrapped = _joined(lambda b: on("inside", b) & ~b["around"] & (F.coalesce(F.col("told") != "wrapper", F.lit(False)) | ~b["linked"]))
     # a page that has nothing where its host has its content is read by its tags
     plain = _joined(lambda b: b["own"] & ~on("fixed", b))
-    return unfold(joined.select("kept", F.when(wrapped != "", wrapped).otherwise(plain).alias("text")), [*keep, "text"])
+    found = joined.select("kept", F.when(wrapped != "", wrapped).otherwise(plain).alias("text"), F.when(wrapped != "", F.col("told")).otherwise("page").alias("told"))
+    return unfold(found, [*keep, "text"], *([F.col("told").alias(told)] if told else []))
 
 
 def report(pages: DataFrame, **options) -> DataFrame:
-    """The contract's row of each page."""
-    return extract(pages, **options).withColumn("n_chars", F.length("text").cast("long"))
+    """The contract's row of each page, and what decided it."""
+    return extract(pages, told="decided", **options).withColumn("n_chars", F.length("text").cast("long"))

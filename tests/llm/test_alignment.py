@@ -87,3 +87,32 @@ def test_heaviest_chain():
         best = max((sum(p[2] for p in c) for n in range(1 << len(pairs)) for c in [[p for k, p in enumerate(sorted(pairs)) if n >> k & 1]] if all(a[0] < b[0] and a[1] < b[1] for a, b in zip(c, c[1:], strict=False))), default=0)
         total, chain = html_extraction._heaviest(pairs, 6)
         assert total == best == sum(w for i, j, w in pairs if (i, j) in set(chain))
+
+
+WHERE = {
+    "wrapper": "<body><div><p>{0} and more of {0}<p>{1}</div><div>Site</div></body>",
+    "both": "<body><div><h1>Site</h1><article><p>{0}<p>{1}</article><div>Site</div></div></body>",
+    "tags": "<body><div><article><p>{0}</article><div><b>{1}</b></div><article><p>{1}</article></div></body>",
+}
+
+
+@pytest.mark.parametrize("told", WHERE)
+def test_what_decides_a_page(spark, told):
+    """The search alone, the search where it comes to an article, tags where no child has enough; a page without a wrapper."""
+    rows = [(i, "http://a.org/", WHERE[told].format(" ".join(f"x{i}{k}" for k in range(20)), " ".join(f"y{i}{k}" for k in range(20)))) for i in range(9)]
+    rows.append((9, "http://b.org/", "<article><p>alone</article>"))
+    got = {r["page_id"]: r for r in html_extraction.report(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i]["decided"] for i in range(10)] == [told] * 9 + ["page"]
+    assert all(f"x{i}19" in got[i]["text"] and f"y{i}19" in got[i]["text"] and "Site" not in got[i]["text"] for i in range(9)) and got[9]["text"] == "alone"
+
+
+def test_descent_is_by_mass():
+    """body > div > (article 6, article 4): no child has enough, so both articles; with one article, the search comes to it."""
+    two = ([-1, 0, 1, 2, 2], ["", "body", "div", "article", "article"])
+    assert html_extraction.descend(*two, {3: 6, 4: 4}) == ({3, 4}, "tags")
+    assert html_extraction.descend(*two, {3: 9, 4: 1}) == ({3, 4}, "tags")
+    one = ([-1, 0, 1, 2, 2], ["", "body", "div", "article", "div"])
+    assert html_extraction.descend(*one, {3: 9, 4: 1}) == ({3}, "both")
+    assert html_extraction.descend(*one, {3: 6, 4: 4}) == ({3}, "tags")
+    assert html_extraction.descend(*one, {3: 1, 4: 9}) == ({3, 4}, "wrapper")  # a tenth is enough to be taken along
+    assert html_extraction.descend(*one, {}) == ({0}, "wrapper")
