@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from eddyscale.operators import masked
+from eddyscale.operators import decompose, masked
 from eddyscale.plans import types as P
 
 
@@ -122,3 +122,13 @@ def test_too_few_steps_are_an_error(spark):
     u = np.random.default_rng(4).normal(size=(2, 6, 6))
     with pytest.raises(ArithmeticError):
         masked.helmholtz(points(spark, {"a": (u, np.ones((6, 6), bool) & (np.arange(6) % 3 > 0))}), P.Grid((6, 6)), most=1, parts=2)
+
+
+def test_points_with_dry_cells_are_parted_there(spark):
+    rng = np.random.default_rng(5)
+    u, wet = rng.normal(size=(2, 5, 6)), rng.random((5, 6)) > 0.2
+    df = points(spark, {"a": (u, wet)})
+    got = parts_of(decompose.decompose_points(df, P.Grid((5, 6)), P.DivergentDecomposition()), {"a": u.shape})["a"]
+    assert np.abs(got["divergent"] - dense(u, wet, (2 * np.pi / 5, 2 * np.pi / 6), True)[0]).max() < 1e-9 and not got["rotational"].any()
+    with pytest.raises(ValueError):
+        decompose.decompose_points(df, P.Grid((5, 6)), P.HelicalDecomposition())
