@@ -23,7 +23,8 @@ have.  What an article is, for this count, is the text where a single page has m
 Scale: a page is parsed once, in a map; its blocks go to the shared folder (no more than the
 texts), and what is joined and counted is hashes of nodes.  Counts are of distinct articles by
 host and node, combined map-side, so a host with a third of all pages is no larger than any
-other; trees are aligned once each; a decision is one row for each distinct tree, joined with
+other; trees are aligned once each, exactly, in time that the product of their numbers of different
+nodes bounds (``align``); a decision is one row for each distinct tree, joined with
 the pages by host and tree, where adaptive execution splits what is hot.  No row grows with a
 host's pages: a wrapper's counts are bounded by its nodes.
 
@@ -38,10 +39,12 @@ from __future__ import annotations
 
 import html as entities
 import re
-from bisect import bisect_left
+import tempfile
 from collections import Counter, defaultdict
 from functools import lru_cache
+from math import isqrt
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -350,25 +353,12 @@ def node_keys(parents: list[int], labels: list[str]) -> list[int]:
     return keys
 
 
-#: Pairs of two lists of children that are all tried; in longer ones those near the diagonal, so many places to either side.
-_ALL, _NEAR = 1024, 8
-
-
-def _anchors(x: list[int], y: list[int], code_a: list[int], code_b: list[int]) -> list[tuple[int, int]]:
-    """Places of subtrees that either list has once, and equal: the longest run that rises in both."""
-    mine, theirs = Counter(code_a[p] for p in x), Counter(code_b[q] for q in y)
-    held = {code_b[q]: j for j, q in enumerate(y) if theirs[code_b[q]] == 1}
-    pairs = [(i, held[code_a[p]]) for i, p in enumerate(x) if mine[code_a[p]] == 1 and code_a[p] in held]
-    tails, last, before = [], [], [-1] * len(pairs)
-    for n, (_, j) in enumerate(pairs):
-        at = bisect_left(tails, j)
-        before[n] = last[at - 1] if at else -1
-        tails[at : at + 1], last[at : at + 1] = [j], [n]
-    out, n = [], last[-1] if last else -1
-    while n >= 0:
-        out.append(pairs[n])
-        n = before[n]
-    return out[::-1]
+#: Cells of a dynamic programme that are looped over; larger ones go by rows of arrays.  Both try all pairs.
+_ALL = 1024
+#: Bytes of worths of pairs that an alignment holds in memory; more go to a temporary file.
+_HELD = 64 << 20
+#: Cells of a programme's table that are held while its way back is told; larger ones are done again from rows kept on the way.
+_CELLS = 1 << 24
 
 
 def _heaviest(pairs: list[tuple[int, int, int]], width: int) -> tuple[int, list[tuple[int, int]]]:
@@ -397,95 +387,290 @@ def _heaviest(pairs: list[tuple[int, int, int]], width: int) -> tuple[int, list[
     return best[0], out
 
 
-def align(one: tuple[list[int], list[str]], other: tuple[list[int], list[str]]) -> dict[int, int]:
-    """Simple tree matching of two trees (parents, labels): nodes of the first to nodes of the second.
+class _Worths:
+    """A number for each pair of two groups' kinds, row by row: an array, or a stretch of a file."""
 
-    Equal subtrees at both ends of two lists of children are paired at once, which no better
-    matching can beat; only what is between them goes through the dynamic programme.  Where that
-    is long, equal subtrees that either list has once are paired too, the longest run of them that
-    keeps its order, and between them, if it is still long, children near the diagonal are tried, not all with all.
-    """
+    __slots__ = ("at", "file", "kind", "rows", "width")
+
+    def __init__(self, rows: int, width: int, kind: np.dtype, file=None):
+        self.width, self.kind, self.file, self.rows = width, kind, file, None
+        if file is None:
+            self.rows = np.zeros((rows, width), kind)
+        else:
+            self.at = file.seek(0, 2)
+            file.truncate(self.at + rows * width * kind.itemsize)
+
+    def put(self, row: int, values: np.ndarray) -> None:
+        if self.file is None:
+            self.rows[row] = values
+        else:
+            self.file.seek(self.at + row * self.width * self.kind.itemsize)
+            self.file.write(values.astype(self.kind).tobytes())
+
+    def row(self, row: int) -> np.ndarray:
+        if self.file is None:
+            return self.rows[row]
+        self.file.seek(self.at + row * self.width * self.kind.itemsize)
+        return np.frombuffer(self.file.read(self.width * self.kind.itemsize), self.kind)
+
+
+class _Group:
+    """The kinds of subtrees that one path of labels leads to in either tree, with their places; groups below by label."""
+
+    __slots__ = ("below", "cells", "chain", "mine", "needed", "theirs", "worths")
+
+    def __init__(self, mine: dict[int, int], theirs: dict[int, int], needed: bool):
+        self.mine, self.theirs, self.needed = mine, theirs, needed
+        self.below: dict[str, _Group] = {}
+        self.cells, self.chain, self.worths = 0, None, None
+
+    def single(self) -> bool:
+        return len(self.mine) == len(self.theirs) == 1
 
-    def shape(parents, labels):
-        n = len(labels)
-        below, size, code = [[] for _ in range(n)], [1] * n, [0] * n
-        for i in range(1, n):
+
+class _Matching:
+    """Simple tree matching of two trees, kind by kind: subtrees that are equal are one kind, told once."""
+
+    def __init__(self, one: tuple[list[int], list[str]], other: tuple[list[int], list[str]]):
+        self.labels: list[str] = []
+        self.kids: list[tuple[int, ...]] = []
+        self.size: list[int] = []
+        known: dict[tuple, int] = {}
+        (self.code_a, self.below_a), (self.code_b, self.below_b) = (self._kinds(known, *tree) for tree in (one, other))
+        self.file, self.free = None, _HELD
+        self.groups = self._grouped()
+
+    def _kinds(self, known: dict[tuple, int], parents: list[int], labels: list[str]) -> tuple[list[int], list[list[int]]]:
+        below, code = [[] for _ in labels], [0] * len(labels)
+        for i in range(1, len(labels)):
             below[parents[i]].append(i)
-        for i in range(n - 1, -1, -1):
-            size[i] += sum(size[c] for c in below[i])
-            code[i] = xxhash.xxh3_128_intdigest(f"{labels[i]}({','.join(map(str, (code[c] for c in below[i])))})".encode("utf-8", "surrogatepass"))
-        return below, size, code
-
-    (below_a, size_a, code_a), (below_b, _, code_b) = shape(*one), shape(*other)
-    labels_a, labels_b = one[1], other[1]
-    # of each pair of nodes: children that are paired at once, and what is left to the programme, list by list
-    found: dict[tuple[int, int], tuple[list, list]] = {}
-    pairs = [(0, 0)]
-    met = {(0, 0)}
-    for a, b in pairs:  # grows: a pair comes after that of its parents
-        if code_a[a] == code_b[b]:
-            continue
-        x, y, start = below_a[a], below_b[b], 0
-        while start < min(len(x), len(y)) and code_a[x[start]] == code_b[y[start]]:
+        for i in range(len(labels) - 1, -1, -1):
+            key = (labels[i], tuple(code[c] for c in below[i]))
+            if key not in known:
+                known[key] = len(known)
+                self.labels.append(key[0])
+                self.kids.append(key[1])
+                self.size.append(1 + sum(self.size[c] for c in key[1]))
+            code[i] = known[key]
+        return code, below
+
+    def _between(self, a: int, b: int) -> tuple[int, tuple[int, ...], tuple[int, ...]]:
+        """How many children are equal at the start, and both lists without those that are so at the start and end."""
+        x, y, start, end = self.kids[a], self.kids[b], 0, 0
+        least = min(len(x), len(y))
+        while start < least and x[start] == y[start]:
             start += 1
-        end = 0
-        while end < min(len(x), len(y)) - start and code_a[x[-1 - end]] == code_b[y[-1 - end]]:
+        while end < least - start and x[-1 - end] == y[-1 - end]:
             end += 1
-        same = [*zip(x[:start], y[:start], strict=True), *zip(x[len(x) - end :], y[len(y) - end :], strict=True)]
-        x, y = x[start : len(x) - end], y[start : len(y) - end]
-        cuts = _anchors(x, y, code_a, code_b) if len(x) * len(y) > _ALL else []
-        same += [(x[i], y[j]) for i, j in cuts]
-        lists = []
-        for (i, j), (k, m) in zip([(-1, -1), *cuts], [*cuts, (len(x), len(y))], strict=True):
-            p, q = x[i + 1 : k], y[j + 1 : m]
-            if not p or not q:
+        return start, x[start : len(x) - end], y[start : len(y) - end]
+
+    def _by_label(self, kinds) -> dict[str, dict[int, int]]:
+        found: dict[str, dict[int, int]] = {}
+        for k in kinds:
+            places = found.setdefault(self.labels[k], {})
+            places.setdefault(k, len(places))
+        return found
+
+    def _grouped(self) -> list[_Group]:
+        """All groups, one after that which it is below; what a pair's worth is isn't needed where the pair is sure."""
+        a, b = self.code_a[0], self.code_b[0]
+        groups = [_Group({a: 0}, {b: 0}, False)]
+        for g in groups:
+            if g.single():
+                (a,), (b,) = g.mine, g.theirs
+                _, x, y = self._between(a, b)
+            else:
+                x, y = ([c for k in side for c in self.kids[k]] for side in (g.mine, g.theirs))
+            g.cells = len(x) * len(y)
+            needed = g.needed or not (g.single() and g.cells == 1)
+            theirs = self._by_label(y)
+            for label, places in self._by_label(x).items():
+                if label in theirs:
+                    g.below[label] = _Group(places, theirs[label], needed)
+            groups += g.below.values()
+        return groups
+
+    def _table(self, g: _Group) -> _Worths:
+        kind = np.min_scalar_type(min(max(self.size[k] for k in side) for side in (g.mine, g.theirs)))
+        taken = len(g.mine) * len(g.theirs) * kind.itemsize
+        if taken <= self.free:
+            self.free -= taken
+            return _Worths(len(g.mine), len(g.theirs), kind)
+        self.file = self.file or tempfile.TemporaryFile()
+        return _Worths(len(g.mine), len(g.theirs), kind, self.file)
+
+    def weigh(self) -> None:
+        """The most nodes that are paired within each pair of a group, from the leaves up."""
+        for g in reversed(self.groups):
+            if not g.needed:
                 continue
-            wide = len(q) if len(p) * len(q) <= _ALL else _NEAR
-            tried = [(n, o) for n, u in enumerate(p) for c in [n * len(q) // len(p)] for o in range(max(0, c - wide), min(len(q), c + wide + 1)) if labels_a[u] == labels_b[q[o]]]
-            lists.append((p, q, tried, wide == len(q)))
-            pairs += [(p[n], q[o]) for n, o in tried if (p[n], q[o]) not in met]
-            met.update((p[n], q[o]) for n, o in tried)
-        found[a, b] = (same, lists)
-    worth: dict[tuple[int, int], int] = {}
-    chosen: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for a, b in reversed(pairs):
-        if (a, b) not in found:
-            worth[a, b] = size_a[a]
-            continue
-        same, lists = found.pop((a, b))
-        total, same = 1 + sum(size_a[p] for p, _ in same), list(same)
-        for x, y, tried, whole in lists:
-            if not whole:
-                most, chain = _heaviest([(i, j, worth[x[i], y[j]]) for i, j in tried], len(y))
-                total += most
-                same += [(x[i], y[j]) for i, j in chain]
+            g.worths = self._table(g)
+            if g.single() or g.cells <= _ALL:
+                for a, row in g.mine.items():
+                    told = [self.match(g, a, b) for b in g.theirs]
+                    g.worths.put(row, np.array([worth for worth, _ in told]))
+                if g.single():
+                    g.chain = told[0][1]
+            else:
+                self._weigh_rows(g)
+
+    def _steps(self, g: _Group, columns: dict[str, tuple[list[int], list[int]]]):
+        """The step from a row of a programme to the next; ``columns``: by label, those of children and these children's kinds."""
+        places = {}
+        for label, (at, kinds) in columns.items():
+            if label in g.below:
+                theirs = g.below[label].theirs
+                all_of = len(at) == at[-1] - at[0] + 1  # slices are faster
+                to, before = (slice(at[0], at[-1] + 1), slice(at[0] - 1, at[-1])) if all_of else (np.array(at), np.array(at) - 1)
+                places[label] = g.below[label], to, before, np.array([theirs[k] for k in kinds])
+
+        def step(row: np.ndarray, kind: int) -> np.ndarray:
+            if self.labels[kind] not in places:
+                return row
+            h, to, before, theirs = places[self.labels[kind]]
+            new = row.copy()
+            new[to] = np.maximum(row[to], row[before] + h.worths.row(h.mine[kind])[theirs])
+            return np.maximum.accumulate(new, out=new)
+
+        return step
+
+    def _weigh_rows(self, g: _Group) -> None:
+        """Each kind of the first tree against all of the second at once: their programmes side by side in one row,
+        each lifted above the one before, so that maxima don't pass from one to the next."""
+        lift = 1 + max(self.size[b] for b in g.theirs)
+        long = np.array([len(self.kids[b]) for b in g.theirs])
+        base = np.repeat(np.arange(len(long)) * lift, long + 1)
+        ends = np.cumsum(long + 1) - 1
+        columns: dict[str, tuple[list[int], list[int]]] = {}
+        at = 0
+        for b in g.theirs:
+            for k, q in enumerate(self.kids[b], at + 1):
+                to, kinds = columns.setdefault(self.labels[q], ([], []))
+                to.append(k)
+                kinds.append(q)
+            at += len(self.kids[b]) + 1
+        step = self._steps(g, columns)
+        for a, place in g.mine.items():
+            row = base
+            for p in self.kids[a]:
+                row = step(row, p)
+            g.worths.put(place, row[ends] - base[ends] + 1)
+
+    def match(self, g: _Group, a: int, b: int) -> tuple[int, list[tuple[int, int]]]:
+        """The most nodes that are paired in two subtrees, and the places of the children that are."""
+        if a == b:
+            return self.size[a], [(k, k) for k in range(len(self.kids[a]))]
+        start, x, y = self._between(a, b)
+        m, n = len(self.kids[a]), len(self.kids[b])
+        chain = [(k, k) for k in range(start)] + [(k, n - m + k) for k in range(start + len(x), m)]
+        total = 1 + sum(self.size[self.kids[a][k]] for k, _ in chain)
+        if not x or not y:
+            return total, chain
+        both = Counter(self.labels[q] for q in y)
+        both = sum(both[self.labels[p]] for p in x)
+        if len(x) * len(y) == 1:
+            more = [(0, 0)] if both else []
+            most = self._worth(g, x[0], y[0]) if both and g.needed else 0
+        elif len(x) * len(y) <= _ALL:
+            most, more = self._looped(g, x, y)
+        elif both * 2000 < len(x) * (4000 + len(y)):  # few pairs are of equal label
+            most, more = self._sparse(g, x, y)
+        else:
+            most, more = self._by_rows(g, x, y)
+        return total + most, chain + [(start + i, start + j) for i, j in more]
+
+    def _worth(self, g: _Group, p: int, q: int) -> int:
+        h = g.below[self.labels[p]]
+        return h.worths.row(h.mine[p]).item(h.theirs[q])
+
+    def _looped(self, g: _Group, x: tuple[int, ...], y: tuple[int, ...]) -> tuple[int, list[tuple[int, int]]]:
+        best = [[0] * (len(y) + 1)]
+        names = [self.labels[q] for q in y]
+        for p in x:
+            name, up, row = self.labels[p], best[-1], [0]
+            if name in g.below:
+                h = g.below[name]
+                worths = h.worths.row(h.mine[p])
+                for j, q in enumerate(y):
+                    both = worths.item(h.theirs[q]) if names[j] == name else 0
+                    row.append(max(up[j + 1], row[j], up[j] + both))
+            best.append(row if len(row) > 1 else up)
+        i, j, chain = len(x), len(y), []
+        while i and j:
+            if best[i][j] == best[i - 1][j]:
+                i -= 1
+            elif best[i][j] == best[i][j - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                chain.append((i, j))
+        return best[-1][-1], chain
+
+    def _sparse(self, g: _Group, x: tuple[int, ...], y: tuple[int, ...]) -> tuple[int, list[tuple[int, int]]]:
+        places = defaultdict(list)
+        for j, q in enumerate(y):
+            places[self.labels[q]].append(j)
+        return _heaviest([(i, j, self._worth(g, p, y[j])) for i, p in enumerate(x) for j in places.get(self.labels[p], ())], len(y))
+
+    def _by_rows(self, g: _Group, x: tuple[int, ...], y: tuple[int, ...]) -> tuple[int, list[tuple[int, int]]]:
+        columns: dict[str, tuple[list[int], list[int]]] = {}
+        for j, q in enumerate(y, 1):
+            to, kinds = columns.setdefault(self.labels[q], ([], []))
+            to.append(j)
+            kinds.append(q)
+        step = self._steps(g, columns)
+        each = max(isqrt(len(x)) + 1, _CELLS // (len(y) + 1))
+        kept = [np.zeros(len(y) + 1, np.int32)]
+        row = kept[0]
+        for i in range((len(x) - 1) // each * each):
+            row = step(row, x[i])
+            if (i + 1) % each == 0:
+                kept.append(row)
+        most, j, chain = None, len(y), []
+        while kept:
+            first = (len(kept) - 1) * each
+            rows = [kept.pop()]
+            for p in x[first : first + each]:
+                rows.append(step(rows[-1], p))
+            most = int(rows[-1][-1]) if most is None else most
+            for i in range(len(rows) - 1, 0, -1):
+                if j and rows[i][j] != rows[i - 1][j]:
+                    j = int(np.searchsorted(rows[i], rows[i][j])) - 1
+                    chain.append((first + i - 1, j))
+        return most, chain
+
+    def pairs(self) -> dict[int, int]:
+        out, left = {}, [(0, 0, self.groups[0])]
+        while left:
+            i, j, g = left.pop()
+            a, b = self.code_a[i], self.code_b[j]
+            if a == b:  # equal subtrees, each in preorder
+                out.update(zip(range(i, i + self.size[a]), range(j, j + self.size[a]), strict=True))
                 continue
-            best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-            for i, p in enumerate(x, 1):
-                for j, q in enumerate(y, 1):
-                    both = worth[p, q] if labels_a[p] == labels_b[q] else 0
-                    best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + both)
-            total += best[-1][-1]
-            i, j = len(x), len(y)
-            while i and j:
-                if best[i][j] == best[i - 1][j]:
-                    i -= 1
-                elif best[i][j] == best[i][j - 1]:
-                    j -= 1
-                else:
-                    i, j = i - 1, j - 1
-                    same.append((x[i], y[j]))
-        worth[a, b] = total
-        chosen[a, b] = same
-    out, left = {}, [(0, 0)]
-    while left:
-        a, b = left.pop()
-        if (a, b) in chosen:
-            out[a] = b
-            left += chosen[a, b]
-        else:  # equal subtrees, each in preorder
-            out.update(zip(range(a, a + size_a[a]), range(b, b + size_a[a]), strict=True))
-    return out
+            out[i] = j
+            chain = self.match(g, a, b)[1] if g.chain is None else g.chain
+            for k, m in chain:
+                p = self.below_a[i][k]
+                left.append((p, self.below_b[j][m], g.below.get(self.labels[self.code_a[p]])))
+        return out
+
+
+def align(one: tuple[list[int], list[str]], other: tuple[list[int], list[str]]) -> dict[int, int]:
+    """Simple tree matching of two trees (parents, labels): nodes of the first to nodes of the second.
+
+    No matching that keeps order and parents pairs more nodes, however long the lists of children
+    are: each programme tries all pairs of equal label.  Equal subtrees are weighed once; equal ones
+    at both ends of two lists are paired at once, which no better matching can beat; long programmes
+    go by rows of arrays, or over their pairs alone where few are of equal label.  Time is the product
+    of the numbers of different nodes at most.  Worths of pairs beyond ``_HELD`` bytes go to a temporary file.
+    """
+    matching = _Matching(one, other)
+    try:
+        matching.weigh()
+        return matching.pairs()
+    finally:
+        if matching.file:
+            matching.file.close()
 
 
 def host_of(url: str | None) -> str:

@@ -116,3 +116,111 @@ def test_descent_is_by_mass():
     assert html_extraction.descend(*one, {3: 6, 4: 4}) == ({3}, "tags")
     assert html_extraction.descend(*one, {3: 1, 4: 9}) == ({3, 4}, "wrapper")  # a tenth is enough to be taken along
     assert html_extraction.descend(*one, {}) == ({0}, "wrapper")
+
+
+def best_pairs(one, other):
+    """The most nodes that simple tree matching pairs, by the plain programme over all pairs of children."""
+    below = []
+    for parents, _ in (one, other):
+        below.append([[] for _ in parents])
+        for i in range(1, len(parents)):
+            below[-1][parents[i]].append(i)
+    worth = {}
+    for a in range(len(one[1]) - 1, -1, -1):
+        for b in range(len(other[1]) - 1, -1, -1):
+            if one[1][a] == other[1][b]:
+                row = [0] * (len(below[1][b]) + 1)
+                for p in below[0][a]:
+                    up, row = row, [0]
+                    for j, q in enumerate(below[1][b]):
+                        row.append(max(up[j + 1], row[j], up[j] + worth.get((p, q), 0)))
+                worth[a, b] = 1 + row[-1]
+    return worth[0, 0]
+
+
+def is_matching(found, one, other):
+    kept = all(one[1][a] == other[1][b] and (a == 0 or found[one[0][a]] == other[0][b]) for a, b in found.items())
+    return kept and [b for _, b in sorted(found.items())] == sorted(found.values())
+
+
+def forest(rng, nodes, labels, reach):
+    """A tree of any form, in preorder; ``reach``: how far up the next node may hang."""
+    parents, up = [-1], [0]
+    for i in range(1, nodes):
+        del up[max(1, len(up) - rng.randrange(reach)) :]
+        parents.append(up[-1])
+        up.append(i)
+    return parents, ["", *rng.choices(labels, k=nodes - 1)]
+
+
+LONG = {  # labels, how far up: few long lists of many sorts, lists of few labels, lists whose labels are nearly all different
+    "posts": None,
+    "wide": (["a", "b", "c"], 40),
+    "deep": (["a", "b"], 3),
+    "sparse": ([f"x{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(300)], 40),
+}
+
+
+@pytest.mark.parametrize("kind", LONG)
+@pytest.mark.parametrize("limits", [{}, {"_HELD": 0, "_CELLS": 0}, {"_ALL": 0}, {"_ALL": 0, "_HELD": 0, "_CELLS": 0}, {"_ALL": 10**9}], ids=str)
+def test_no_pair_is_left_out(kind, limits, monkeypatch):
+    """Long lists, where partners may be far from the diagonal: as many pairs as the plain programme over all."""
+    for name, value in limits.items():
+        monkeypatch.setattr(html_extraction, name, value)
+    for seed in range(6):
+        rng = random.Random(seed)
+        one, other = (thread(rng, posts) if kind == "posts" else forest(rng, 6 * posts, *LONG[kind]) for posts in (70, 45))
+        found = html_extraction.align(one, other)
+        assert len(found) == best_pairs(one, other) and is_matching(found, one, other)
+
+
+def test_partner_far_from_the_diagonal():
+    """Children without a partner before the only one that has one: forty more in one list than in the other."""
+
+    def listing(prefix, before, after, last):
+        parents, labels = [-1, 0], ["", "div"]
+        for k in range(before + after):
+            parents.append(1)
+            labels.append(f"div.{prefix}{chr(97 + k // 26)}{chr(97 + k % 26)}")
+            if k == before:
+                parents += [1, len(labels), len(labels)]
+                labels += ["section", "p", last]
+        return parents, labels
+
+    one, other = listing("x", 50, 10, "ul"), listing("y", 5, 55, "ol")
+    found = html_extraction.align(one, other)
+    assert len(found) == 4 and {one[1][a] for a in found} == {"", "div", "section", "p"}
+
+
+def test_equal_subtree_that_crosses_larger_ones():
+    """A single equal subtree is no fixed point: pairing it would part fifty larger ones that are nearly equal."""
+
+    def listing(first, last):
+        parents, labels = [-1, 0], ["", "div"]
+        for label in [first] + ["post"] * 50 + [last]:
+            at = len(labels)
+            parents.append(1)
+            labels.append(label)
+            if label == "post":
+                parents += [at] * 4
+                labels += ["h3", "p", "ul", "dl" if first == "hr" else "pre"]
+        return parents, labels
+
+    one, other = listing("hr", "b"), listing("i", "hr")
+    assert len(html_extraction.align(one, other)) == 2 + 50 * 4 == best_pairs(one, other)
+
+
+def test_page_with_its_template_far_down(spark):
+    """What all pages of a host share is found wherever the page's long list has it."""
+    letters = [chr(97 + k // 26) + chr(97 + k % 26) for k in range(90)]
+    rows = []
+    for i in range(12):
+        parts = [f'<section><div class="x{chr(97 + i)}{k}"><p>of {i} alone {k}</p></div></section>' for k in letters[:76]]
+        kind = ("ul", "ol", "dl", "pre", "table", "blockquote")[i % 6]
+        parts.insert(3 + 6 * i, f"<section><p>Told by all pages</p>{''.join(f'<div class=t{k}></div>' for k in letters)}<{kind}>end {i}</{kind}></section>")
+        rows.append((i, f"http://a.org/{i}", f"<body><div>{''.join(parts)}</div></body>"))
+    got = {r["page_id"]: r["text"] for r in html_extraction.report(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    for i in range(12):
+        want = [f"of {i} alone {k}" for k in letters[:76]]
+        want.insert(3 + 6 * i, f"end {i}")
+        assert got[i].split("\n") == want
